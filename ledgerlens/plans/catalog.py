@@ -68,8 +68,20 @@ _BUNDLES: dict[str, Callable[[SparkSession, str], Tables]] = {
 }
 
 
+_cache: dict[tuple[str, str, str], Tables] = {}
+
+
 def bundle(spark: SparkSession, sf_dir: str, kind: str) -> Tables:
-    return _BUNDLES[kind](spark, sf_dir)
+    """The adapted tables of ``sf_dir``, built once per session (lazy plans only).
+
+    Reusing the DataFrame objects keeps file listing, footer reads and analysis
+    of the adapter projections out of every report call, as a session catalog
+    of registered tables would.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _cache:
+        _cache[key] = _BUNDLES[kind](spark, sf_dir)
+    return _cache[key]
 
 
 def run(spark: SparkSession, sf_dir: str, name: str, normalised: bool = True) -> DataFrame:

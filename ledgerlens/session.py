@@ -17,6 +17,7 @@ def local_session(cores: int | None = None, app: str = "ledgerlens",
     n = cores or int(os.environ.get("BENCH_CPUS", "8"))
     b = (SparkSession.builder.master(f"local[{n}]").appName(app)
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions or n))
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
