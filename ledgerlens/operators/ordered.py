@@ -1,20 +1,26 @@
 """Per-key ordered windows that survive a key holding a large share of all rows.
 
 ``Window.partitionBy(key)`` sends every row of a key to one task.  When one
-account carries a third of the fact table that task cannot finish.  Both
-operators here split each key into *ordered chunks* and combine two small
-passes, giving exactly the same numbers as the plain window:
-
-1. every row gets a chunk id that is a pure, monotone function of its order
-   columns: a coarse cell (the calendar day, or a log-scale amount cell) plus a
-   sub-chunk for cells that a pre-count found larger than ``target_rows``;
-2. the row-level window runs per (key, chunk): bounded work per task;
-3. chunk totals (one row per chunk) get an exclusive prefix sum per key, and
-   that offset is added back to each row.
-
-The hot-cell list is broadcast; it has at most ``rows / target_rows`` entries,
-so its size is bounded by construction.  Chunk ids depend only on the row, so a
-recomputed task after an executor loss assigns the same chunks.
+account carries a third of the fact table that task cannot finish.  The
+operators here give exactly the numbers of the plain window while splitting
+only the keys that need it:
+
+1. a per-key aggregate (partial, so skew-free) finds *hot* keys with more than
+   ``target_rows`` rows, with the range of their order value.  The hot list has
+   at most ``rows / target_rows`` entries: its broadcast size is bounded;
+2. rows of a hot key get a sub-chunk ``_sub`` in ``[0, k)``, ``k = ceil(n /
+   target_rows)``, by cutting the key's order-value range into k equal slices.
+   ``_sub`` is monotone in the row order and a pure function of the row, so a
+   recomputed task after an executor loss assigns the same chunk.  Other keys
+   keep ``_sub = 0`` (one chunk, as in the plain window);
+3. the row-level window runs per (key, ``_sub``) over a *range* partitioning on
+   (key, ``_sub``): bounded work per task, and the same partitioning already
+   satisfies the report's ORDER BY, so no second shuffle is needed to sort;
+4. chunk totals of hot keys only (at most ``2 * rows / target_rows`` rows) get
+   an exclusive prefix per key and are broadcast back as offsets.
+
+Slices assume the order value is spread evenly inside a hot key; when it is
+not, chunks are uneven but results stay exact.
 """
 
 from __future__ import annotations
@@ -24,98 +30,96 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens import settings
-from ledgerlens.functions.measures import seconds_of_day
+from ledgerlens.operators.interval import epoch_seconds
 
 _SUB = "_sub"
 
 
-def split_hot_cells(df: DataFrame, cells: list[str], frac: Column,
-                    target_rows: int | None = None) -> DataFrame:
-    """Add ``_sub``: a sub-chunk index inside each cell.
+def _hot_keys(df: DataFrame, key: str, pos: Column, target: int) -> DataFrame:
+    """Keys with more than ``target`` rows: key, _hot_n, _lo, _hi, _k (bounded size)."""
+    return (df.groupBy(key)
+              .agg(F.count(F.lit(1)).alias("_hot_n"), F.min(pos).alias("_lo"),
+                   F.max(pos).alias("_hi"))
+              .filter(F.col("_hot_n") > target)
+              .withColumn("_k", F.ceil(F.col("_hot_n") / F.lit(target)).cast("long")))
 
-    ``frac`` must lie in [0, 1) and be non-decreasing in the row order within a
-    cell; cells with more than ``target_rows`` rows are cut into
-    ``ceil(rows / target_rows)`` equal ``frac`` ranges, all others get 0.
-    """
-    target = settings.SKEW_TARGET_ROWS if target_rows is None else target_rows
-    hot = (df.groupBy(*cells)
-             .agg(F.count(F.lit(1)).alias("_cell_rows"))
-             .filter(F.col("_cell_rows") > target)
-             .select(*cells, F.ceil(F.col("_cell_rows") / F.lit(target)).cast("long").alias("_k")))
+
+def _with_sub(df: DataFrame, key: str, pos: Column, target: int) -> DataFrame:
+    """Add ``_sub`` (and the hot-key columns) to every row."""
+    hot = _hot_keys(df, key, pos, target)
     k = F.col("_k")
-    sub = F.when(k.isNull(), F.lit(0)).otherwise(
-        F.least(F.greatest(F.floor(frac * k), F.lit(0)), k - 1))
-    return (df.join(F.broadcast(hot), on=cells, how="left")
-              .withColumn(_SUB, sub.cast("long"))
-              .drop("_k"))
+    span = (F.col("_hi") - F.col("_lo")).cast("double") + F.lit(1.0)
+    slice_ = F.floor((pos - F.col("_lo")).cast("double") / span * k)
+    sub = F.when(k.isNull(), F.lit(0)).otherwise(F.least(F.greatest(slice_, F.lit(0)), k - 1))
+    return (df.join(F.broadcast(hot), key, "left")
+              .withColumn(_SUB, sub.cast("long")))
 
 
-def _attach(rows: DataFrame, offsets: DataFrame, chunk: list[str]) -> DataFrame:
-    """Join per-chunk offsets back to rows (null-safe on every chunk column)."""
-    renamed = offsets.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(chunk)],
-                             *[c for c in offsets.columns if c not in chunk])
-    cond = [rows[c].eqNullSafe(renamed[f"_o{i}"]) for i, c in enumerate(chunk)]
-    joined = rows.join(renamed, cond, "inner")
-    return joined.drop(*[f"_o{i}" for i in range(len(chunk))])
+def _offsets(x: DataFrame, key: str, measure: Column, name: str) -> DataFrame:
+    """Exclusive prefix of per-chunk ``measure`` sums, hot keys only (bounded size)."""
+    totals = (x.filter(F.col("_k").isNotNull())
+               .groupBy(key, _SUB).agg(F.sum(measure).alias("_chunk")))
+    before = Window.partitionBy(key).orderBy(_SUB).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(key, _SUB, F.coalesce(F.sum("_chunk").over(before), F.lit(0)).alias(name))
 
 
 def running_sum(df: DataFrame, key: str, value: str, out: str, count_out: str,
                 ts: str = "transaction_ts", tie: str = "transaction_id",
                 target_rows: int | None = None) -> DataFrame:
-    """Add ``out`` = running SUM(value) per key ordered by (ts, tie), frame ROWS
-    UNBOUNDED PRECEDING .. CURRENT ROW, and ``count_out`` = rows of the key.
+    """Running SUM(value) per key in (ts, tie) order plus the key's row count.
 
-    Chunks are (calendar day of ``ts``, slice of the day); hot days are sliced.
+    Frame: ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW.  The result is
+    sorted by (key, ts, tie).
     """
-    x = df.withColumn("_day", F.to_date(F.col(ts)))
-    x = split_hot_cells(x, [key, "_day"], seconds_of_day(ts) / F.lit(86400.0), target_rows)
-    chunk = [key, "_day", _SUB]
-    local = x.withColumn("_local", F.sum(value).over(
-        Window.partitionBy(*chunk).orderBy(ts, tie)
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    totals = x.groupBy(*chunk).agg(F.sum(value).alias("_chunk_sum"),
-                                   F.count(F.lit(1)).alias("_chunk_rows"))
-    before = (Window.partitionBy(key).orderBy("_day", _SUB)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(
-        *chunk,
-        F.coalesce(F.sum("_chunk_sum").over(before), F.lit(0)).alias("_offset"),
-        F.sum("_chunk_rows").over(Window.partitionBy(key)).alias(count_out))
-    total = F.col("_local") + F.col("_offset")
+    target = settings.SKEW_TARGET_ROWS if target_rows is None else target_rows
+    x = _with_sub(df, key, epoch_seconds(ts), target)
+    offsets = _offsets(x, key, F.col(value), "_offset")
+    chunk = Window.partitionBy(key, _SUB)
+    local = (x.repartitionByRange(key, _SUB)
+              .withColumn("_local", F.sum(value).over(
+                  chunk.orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+              .withColumn("_chunk_rows", F.count(F.lit(1)).over(chunk)))
+    total = F.col("_local") + F.coalesce(F.col("_offset"), F.lit(0))
     dtype = df.schema[value].dataType
     if isinstance(dtype, T.DecimalType):
         total = total.cast(T.DecimalType(38, dtype.scale))
-    return (_attach(local, offsets, chunk)
-            .withColumn(out, total)
-            .drop("_day", _SUB, "_local", "_offset"))
+    return (local.join(F.broadcast(offsets), [key, _SUB], "left")
+                 .withColumn(out, total)
+                 .withColumn(count_out, F.coalesce(F.col("_hot_n"), F.col("_chunk_rows")))
+                 .orderBy(key, _SUB, ts, tie)
+                 .drop(_SUB, "_hot_n", "_lo", "_hi", "_k", "_local", "_chunk_rows", "_offset"))
 
 
-def _amount_scale(value: Column) -> Column:
-    """Monotone log-scale coordinate of an amount: sign(v) * log2(|v| + 1) * cells."""
+def amount_scale(value: Column) -> Column:
+    """Monotone log-scale coordinate of an amount: sign(v) * log2(|v| + 1).
+
+    Used to cut a hot key's amount range into slices that hold similar row
+    counts for the usual long-tailed amount distributions.
+    """
     v = value.cast("double")
-    return F.signum(v) * F.log2(F.abs(v) + F.lit(1.0)) * F.lit(float(settings.AMOUNT_CELLS_PER_OCTAVE))
+    return F.signum(v) * F.log2(F.abs(v) + F.lit(1.0))
 
 
-def rank_desc(df: DataFrame, key: str, value: str, out: str,
+def rank_desc(df: DataFrame, key: str, value: str, out: str, tie: str = "transaction_id",
               target_rows: int | None = None) -> DataFrame:
-    """Add ``out`` = RANK() OVER (PARTITION BY key ORDER BY value DESC).
+    """RANK() OVER (PARTITION BY key ORDER BY value DESC), sorted by (key, rank, tie).
 
-    rank = 1 + rows of the key with a larger value = local rank inside the chunk
-    + rows in chunks of larger values.  Equal values share a chunk, so ties
-    rank as in SQL (gaps after ties).  NULL values sort last, as DESC does.
+    rank = local rank inside the chunk + rows of the key in chunks of larger
+    values.  Equal values always share a chunk, so ties rank as in SQL (with
+    gaps).  Chunks run from the largest values down (``_sub`` 0 = largest).
+    NULL values sort last, as DESC does.
     """
-    x = (df.withColumn("_v", _amount_scale(F.col(value)))
-           .withColumn("_cell", F.floor("_v")))
-    x = split_hot_cells(x, [key, "_cell"], F.col("_v") - F.col("_cell"), target_rows)
-    chunk = [key, "_cell", _SUB]
-    local = x.withColumn("_local", F.rank().over(
-        Window.partitionBy(*chunk).orderBy(F.col(value).desc())))
-    totals = x.groupBy(*chunk).agg(F.count(F.lit(1)).alias("_chunk_rows"))
-    before = (Window.partitionBy(key)
-              .orderBy(F.col("_cell").desc_nulls_last(), F.col(_SUB).desc())
-              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(
-        *chunk, F.coalesce(F.sum("_chunk_rows").over(before), F.lit(0)).alias("_offset"))
-    return (_attach(local, offsets, chunk)
-            .withColumn(out, (F.col("_local") + F.col("_offset")).cast("int"))
-            .drop("_v", "_cell", _SUB, "_local", "_offset"))
+    target = settings.SKEW_TARGET_ROWS if target_rows is None else target_rows
+    neg = -amount_scale(F.col(value))          # ascending in the rank order
+    x = _with_sub(df, key, neg, target)
+    x = x.withColumn(_SUB, F.when(F.col(value).isNull() & F.col("_k").isNotNull(),
+                                  F.col("_k")).otherwise(F.col(_SUB)))
+    offsets = _offsets(x, key, F.lit(1), "_offset")
+    local = (x.repartitionByRange(key, _SUB)
+              .withColumn("_local", F.rank().over(
+                  Window.partitionBy(key, _SUB).orderBy(F.col(value).desc()))))
+    return (local.join(F.broadcast(offsets), [key, _SUB], "left")
+                 .withColumn(out, (F.col("_local") + F.coalesce(F.col("_offset"), F.lit(0)))
+                             .cast("int"))
+                 .orderBy(key, _SUB, F.col(value).desc(), tie)
+                 .drop(_SUB, "_hot_n", "_lo", "_hi", "_k", "_local", "_offset"))

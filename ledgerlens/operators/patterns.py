@@ -40,21 +40,21 @@ def running_total(tables: Tables, target_rows: int | None = None) -> DataFrame:
     t = tables.transactions.select("account_id", "transaction_id", "transaction_date",
                                    "transaction_ts", "transaction_month", "amount",
                                    "transaction_status")
+    # running_sum returns rows sorted by (account, timestamp, id), which is the
+    # report order (account, date, time) with a deterministic tie-break.
     out = running_sum(t, "account_id", "amount", "running_total", "account_total_txns",
                       target_rows=target_rows)
-    return (out
-            .orderBy("account_id", "transaction_date", "transaction_ts", "transaction_id")
-            .select("account_id", "transaction_date", "transaction_month", "amount",
-                    "transaction_status", money("running_total").alias("running_total"),
-                    "account_total_txns"))
+    return out.select("account_id", "transaction_date", "transaction_month", "amount",
+                      "transaction_status", money("running_total").alias("running_total"),
+                      "account_total_txns")
 
 
 def amount_rank(tables: Tables, target_rows: int | None = None) -> DataFrame:
     """3b. RANK of every transaction's amount within its account (largest = 1)."""
     t = tables.transactions.select("account_id", "transaction_id", "transaction_date",
                                    "amount", "transaction_status")
-    return (rank_desc(t, "account_id", "amount", "amount_rank", target_rows=target_rows)
-            .orderBy("account_id", "amount_rank", "transaction_id"))
+    # Sorted by (account, rank, id) by rank_desc itself.
+    return rank_desc(t, "account_id", "amount", "amount_rank", target_rows=target_rows)
 
 
 def velocity_pairs(tables: Tables, min_minutes: int = S.VELOCITY_MIN_MINUTES,
