@@ -55,11 +55,11 @@ def _source_schema(table: str) -> T.StructType:
 def _typed(c: str, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.StringType):
         return F.col(c).cast("string")
-    return F.try_cast(F.col(c), dtype)
+    return F.col(c).try_cast(dtype)
 
 
 def enforce_types(raw: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """Cast string columns to ``schema``; return ``(clean, rejected)``.
+    """Cast columns to ``schema``; return ``(clean, rejected)``.
 
     A row is rejected when a declared NOT NULL column is NULL or when a present
     value does not convert (``try_cast`` gives NULL for a non-NULL input).  The
@@ -101,18 +101,26 @@ def fold_time(raw_tx: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def read_raw(spark: SparkSession, path: str, table: str, fmt: str = "parquet",
              **options: str) -> DataFrame:
-    """Read one table file with its declared column order (no schema inference)."""
+    """Read one table file without schema inference.
+
+    Parquet keeps its stored types.  CSV with a header binds columns by name
+    (all read as text); CSV without a header binds them by position in the
+    declared order, like a positional INSERT.  JSON binds by field name.
+    """
     schema = _source_schema(table)
     if fmt == "parquet":
         return spark.read.parquet(path)
     as_text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
-    reader = spark.read.schema(as_text)
     if fmt == "csv":
-        opts = {"header": "true", "nullValue": "NULL", "encoding": "UTF-8", "mode": "PERMISSIVE"}
+        opts = {"header": "true", "nullValue": "NULL", "encoding": "UTF-8", "mode": "PERMISSIVE",
+                "inferSchema": "false"}
         opts.update(options)
-        return reader.options(**opts).csv(path)
+        reader = spark.read.options(**opts)
+        if opts["header"].lower() == "true":
+            return reader.csv(path)
+        return reader.schema(as_text).csv(path)
     if fmt == "json":
-        return reader.options(**options).json(path)
+        return spark.read.schema(as_text).options(**options).json(path)
     raise ValueError(f"unsupported format {fmt!r}")
 
 
@@ -120,14 +128,17 @@ def load_table(spark: SparkSession, path: str, table: str, fmt: str = "parquet",
                **options: str) -> tuple[DataFrame, DataFrame]:
     """Load ``table`` from ``path``: returns ``(model rows, rejected rows)``.
 
-    Parquet input is assumed typed already and only re-cast to the declared
-    types; text input goes through :func:`enforce_types`.  ``is_verified`` is
-    filled with its declared default when the column is absent.
+    Every column is converted to its declared type with :func:`enforce_types`;
+    a column with a declared DEFAULT (``is_verified``) gets it when absent.
     """
     raw = read_raw(spark, path, table, fmt, **options)
     schema = _source_schema(table)
-    if table == "merchants" and "is_verified" not in raw.columns:
-        raw = raw.withColumn("is_verified", F.lit(S.DEFAULT_IS_VERIFIED))
+    for column, value in S.CONSTRAINTS[table].defaults.items():
+        if column not in raw.columns:          # DEFAULT applies to an omitted column
+            raw = raw.withColumn(column, F.lit(value))
+    missing = [f.name for f in schema.fields if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"{table}: columns missing from {path}: {missing}")
     clean, rejected = enforce_types(raw.select(*[f.name for f in schema.fields]), schema)
     if table == "transactions":
         model, bad_time = fold_time(clean)
