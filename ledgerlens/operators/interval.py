@@ -28,6 +28,18 @@ def epoch_seconds(ts: str | Column) -> Column:
     return F.unix_date(F.to_date(c)).cast("long") * 86400 + seconds_of_day(c)
 
 
+def utc_instant(ts: str | Column) -> Column:
+    """The wall-clock TIMESTAMP_NTZ read as UTC, as a TIMESTAMP (exact to the microsecond).
+
+    Independent of the session time zone, so no DST shift can reorder rows.
+    """
+    c = F.col(ts) if isinstance(ts, str) else ts
+    micros = (F.unix_date(F.to_date(c)).cast("long") * 86_400_000_000
+              + (F.hour(c) * 3600 + F.minute(c) * 60).cast("long") * 1_000_000
+              + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("long"))
+    return F.timestamp_micros(micros)
+
+
 def time_window_pairs(df: DataFrame, key: str, ts: str, row_id: str,
                       min_minutes: int, max_minutes: int, same_day_col: str | None,
                       cur_cols: dict[str, str], prev_cols: dict[str, str]) -> DataFrame:
