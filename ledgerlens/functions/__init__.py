@@ -14,10 +14,10 @@ from ledgerlens.functions.measures import (
     time_band_sort,
     transaction_time,
 )
-from ledgerlens.functions.sizing import bounded_broadcast, row_count
+from ledgerlens.functions.sizing import bounded_broadcast, fits_broadcast, row_count
 
 __all__ = [
     "amount_if", "decimal_avg", "hour_between", "money", "n_if", "n_status", "rate_pct",
     "seconds_of_day", "status_is", "time_band", "time_band_sort", "transaction_time",
-    "bounded_broadcast", "row_count",
+    "bounded_broadcast", "fits_broadcast", "row_count",
 ]

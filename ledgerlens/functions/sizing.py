@@ -32,6 +32,12 @@ def row_count(df: DataFrame) -> int:
     return n
 
 
+def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
+    """True when ``df`` provably has at most ``max_rows`` rows."""
+    limit = settings.BROADCAST_MAX_ROWS if max_rows is None else max_rows
+    return row_count(df) <= limit
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int | None = None,
                       size_of: DataFrame | None = None) -> DataFrame:
     """Hint ``df`` for broadcast iff it provably has at most ``max_rows`` rows.
@@ -40,9 +46,7 @@ def bounded_broadcast(df: DataFrame, max_rows: int | None = None,
     example the merchants table for a per-merchant threshold table that is
     derived from the transactions); by default ``df`` itself is counted.
     """
-    limit = settings.BROADCAST_MAX_ROWS if max_rows is None else max_rows
-    n = row_count(df if size_of is None else size_of)
-    return F.broadcast(df) if n <= limit else df
+    return F.broadcast(df) if fits_broadcast(df if size_of is None else size_of, max_rows) else df
 
 
 def clear_cache() -> None:

@@ -28,7 +28,7 @@ from ledgerlens.functions.measures import (
     status_is,
     transaction_time,
 )
-from ledgerlens.functions.sizing import bounded_broadcast
+from ledgerlens.functions.sizing import bounded_broadcast, fits_broadcast
 from ledgerlens.operators.interval import time_window_pairs
 from ledgerlens.operators.ordered import rank_desc, running_sum
 from ledgerlens.operators.volume import per_merchant_totals
@@ -182,9 +182,16 @@ def above_category_average(tables: Tables,
                         "merchant_category", "inner")
     t = tables.transactions.select("transaction_id", "account_id", "merchant_id", "amount",
                                    "transaction_status")
-    joined = t.join(bounded_broadcast(thresholds, size_of=tables.merchants), "merchant_id", "inner")
+    k = F.lit(Decimal(str(factor)))
+    small = fits_broadcast(tables.merchants)
+    if not small and Decimal(str(factor)) > 0:
+        # The fact table is about to be shuffled by merchant.  A qualifying row
+        # exceeds factor x its category mean, hence factor x the smallest
+        # category mean: a scalar that drops most rows before the shuffle.
+        t = t.filter(F.col("amount") > cats.agg(F.min("avg_amount")).scalar() * k)
+    joined = t.join(F.broadcast(thresholds) if small else thresholds, "merchant_id", "inner")
     return (joined
-            .filter(F.col("amount") > F.col("avg_amount") * F.lit(Decimal(str(factor))))
+            .filter(F.col("amount") > F.col("avg_amount") * k)
             .select("transaction_id", "account_id", "merchant_name", "merchant_category",
                     "amount", "transaction_status",
                     money("avg_amount").alias("category_avg_amount"),
