@@ -18,6 +18,7 @@ from ledgerlens import settings
 
 _lock = threading.Lock()
 _counts: dict[tuple[int, int], int] = {}
+_nonempty: dict[tuple[int, int], bool] = {}
 
 
 def row_count(df: DataFrame) -> int:
@@ -32,6 +33,22 @@ def row_count(df: DataFrame) -> int:
     return n
 
 
+def has_rows(df: DataFrame) -> bool:
+    """Whether ``df`` has any row, memoised by (session, semantic plan hash).
+
+    Used only to choose between plans that return the same result, so a stale
+    answer after the underlying files change costs speed, never correctness.
+    """
+    key = (id(df.sparkSession), df.semanticHash())
+    with _lock:
+        if key in _nonempty:
+            return _nonempty[key]
+    v = not df.isEmpty()
+    with _lock:
+        _nonempty[key] = v
+    return v
+
+
 def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
     """True when ``df`` provably has at most ``max_rows`` rows."""
     limit = settings.BROADCAST_MAX_ROWS if max_rows is None else max_rows
@@ -52,3 +69,4 @@ def bounded_broadcast(df: DataFrame, max_rows: int | None = None,
 def clear_cache() -> None:
     with _lock:
         _counts.clear()
+        _nonempty.clear()

@@ -160,3 +160,19 @@ def orders_bundle(spark: SparkSession, sf_dir: str = DEFAULT_SF_DIR) -> Tables:
 def events_bundle(spark: SparkSession, sf_dir: str = DEFAULT_SF_DIR) -> Tables:
     tx = event_transactions(spark, sf_dir)
     return Tables(accounts(spark, sf_dir), merchants(spark, sf_dir), tx, flags_from(tx))
+
+
+def materialize(tables: Tables, root: str, files: int) -> Tables:
+    """Write the adapted tables once as typed Parquet under ``root`` and read them back.
+
+    This is the load step: later reports scan typed columns (no per-row casts
+    or formatting) and the fact tables are split into ``files`` files so their
+    scans run in parallel.  ``root`` must be a shared folder.
+    """
+    out = {}
+    for name, df in tables.as_dict().items():
+        path = f"{root}/{name}"
+        n = files if name in ("transactions", "fraud_flags") else 1
+        df.repartition(n).write.mode("overwrite").parquet(path)
+        out[name] = df.sparkSession.read.parquet(path)
+    return Tables(**out)
