@@ -56,7 +56,8 @@ def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
 
 def too_long(df: DataFrame, limits: dict[str, int]) -> DataFrame:
     """Q5. Rows with a value longer than its declared VARCHAR length."""
-    present = {c: n for c, n in limits.items() if c in df.columns}
+    have = set(df.columns)
+    present = {c: n for c, n in limits.items() if c in have}
     cond = reduce(lambda a, b: a | b,
                   [F.length(F.col(c).cast("string")) > n for c, n in present.items()])
     return df.filter(cond)
@@ -96,8 +97,9 @@ def unique_report(tables: Tables) -> DataFrame:
     frames = []
     for name in TABLE_NAMES:
         df = tables.as_dict()[name]
+        have = set(df.columns)
         for cols in S.CONSTRAINTS[name].unique:
-            if not all(c in df.columns for c in cols):
+            if not all(c in have for c in cols):
                 continue
             dup = (df.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]))
                      .groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
@@ -110,12 +112,11 @@ def unique_report(tables: Tables) -> DataFrame:
 
 def _per_column_counts(df: DataFrame, name: str, checks: dict[str, Column],
                        value_name: str) -> DataFrame:
-    """One aggregate pass computing one count per column, unpivoted to rows."""
-    wide = df.agg(*[F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))).alias(c)
-                    for c, cond in checks.items()])
-    wide = wide.select(*[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in checks])
-    return (wide.unpivot([], list(checks), "column_name", value_name)
-                .select(F.lit(name).alias("table_name"), "column_name", value_name))
+    """One aggregate pass computing one count per column, returned as rows."""
+    counts = [F.struct(F.lit(c).alias("column_name"), F.count_if(cond).alias(value_name))
+              for c, cond in checks.items()]
+    return df.agg(F.array(*counts).alias("_r")).select(
+        F.lit(name).alias("table_name"), F.inline("_r"))
 
 
 def not_null_report(tables: Tables) -> DataFrame:
@@ -123,7 +124,8 @@ def not_null_report(tables: Tables) -> DataFrame:
     frames = []
     for name in TABLE_NAMES:
         df = tables.as_dict()[name]
-        cols = [c for c in S.CONSTRAINTS[name].not_null if c in df.columns]
+        have = set(df.columns)
+        cols = [c for c in S.CONSTRAINTS[name].not_null if c in have]
         frames.append(_per_column_counts(df, name, {c: F.col(c).isNull() for c in cols},
                                          "null_count"))
     return _union(frames)
@@ -136,9 +138,10 @@ def limits_report(tables: Tables) -> DataFrame:
     max_money = 10 ** (S.MONEY.precision - S.MONEY.scale)
     for name in TABLE_NAMES:
         df = tables.as_dict()[name]
+        have = set(df.columns)
         checks = {c: F.length(F.col(c).cast("string")) > n
-                  for c, n in S.CONSTRAINTS[name].max_length.items() if c in df.columns}
-        if name == "transactions" and "amount" in df.columns:
+                  for c, n in S.CONSTRAINTS[name].max_length.items() if c in have}
+        if name == "transactions" and "amount" in have:
             checks["amount"] = F.abs(F.col("amount").cast("decimal(38,2)")) >= F.lit(max_money)
         frames.append(_per_column_counts(df, name, checks, "violations"))
     return _union(frames)

@@ -136,7 +136,8 @@ def load_table(spark: SparkSession, path: str, table: str, fmt: str = "parquet",
     for column, value in S.CONSTRAINTS[table].defaults.items():
         if column not in raw.columns:          # DEFAULT applies to an omitted column
             raw = raw.withColumn(column, F.lit(value))
-    missing = [f.name for f in schema.fields if f.name not in raw.columns]
+    have = set(raw.columns)
+    missing = [f.name for f in schema.fields if f.name not in have]
     if missing:
         raise ValueError(f"{table}: columns missing from {path}: {missing}")
     clean, rejected = enforce_types(raw.select(*[f.name for f in schema.fields]), schema)

@@ -173,6 +173,8 @@ def materialize(tables: Tables, root: str, files: int) -> Tables:
     for name, df in tables.as_dict().items():
         path = f"{root}/{name}"
         n = files if name in ("transactions", "fraud_flags") else 1
-        df.repartition(n).write.mode("overwrite").parquet(path)
+        # hash on the primary key: balanced, and deterministic if a task is retried
+        pk = S.CONSTRAINTS[name].primary_key
+        df.repartition(n, *pk).write.mode("overwrite").parquet(path)
         out[name] = df.sparkSession.read.parquet(path)
     return Tables(**out)
