@@ -90,6 +90,8 @@ def time_window_pairs(df: DataFrame, key: str, ts: str, row_id: str,
     cond_all = cond[0]
     for c in cond[1:]:
         cond_all = cond_all & c
-    return (cur.join(prev, cond_all, "inner")
+    # Both sides are fact-sized: a shuffle sort-merge join on (key, bucket[, day]),
+    # never a broadcast of one side; AQE splits skewed key partitions.
+    return (cur.join(prev.hint("merge"), cond_all, "inner")
                .withColumn("minutes_apart", elapsed_min)
                .drop("_k", "_k2", "_b", "_b2", "_ts_c", "_ts_p", "_id_c", "_id_p", "_d_c", "_d_p"))
