@@ -86,3 +86,54 @@ def test_interval_join_rejects_bad_range(events_tx):
     with pytest.raises(ValueError):
         time_window_pairs(events_tx, "account_id", "transaction_ts", "transaction_id", 5, 1,
                           None, {}, {})
+
+
+def _one_hot_account(orders_tx):
+    # a third of all transactions moved onto account 0
+    return orders_tx.withColumn(
+        "account_id", F.when(F.col("transaction_id") % 3 == 0, F.lit(0)).otherwise(F.col("account_id")))
+
+
+@pytest.fixture
+def no_coalesce(spark):
+    # at test sizes AQE would merge all partitions into one and hide the spread
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_hot_account_is_spread_over_tasks(spark, orders_tx, no_coalesce):
+    t = _one_hot_account(orders_tx).select("account_id", "transaction_id", "transaction_ts", "amount")
+    hot_rows = t.filter("account_id = 0").count()
+    assert hot_rows * 3 >= t.count() - 3
+    got = running_sum(t, "account_id", "amount", "rt", "n", target_rows=hot_rows // 8)
+    spread = (got.filter("account_id = 0").select(F.spark_partition_id().alias("p"))
+                 .distinct().count())
+    assert spread >= 4
+    w = Window.partitionBy("account_id").orderBy("transaction_ts", "transaction_id")
+    naive = t.select("account_id", "transaction_id",
+                     F.sum("amount").over(w.rowsBetween(Window.unboundedPreceding, 0))
+                      .cast("decimal(38,2)").alias("rt"))
+    assert _same(got.select("account_id", "transaction_id", "rt"), naive)
+    ranked = rank_desc(t, "account_id", "amount", "rk", target_rows=hot_rows // 8)
+    assert ranked.filter("account_id = 0").select(F.spark_partition_id()).distinct().count() >= 4
+    # the plain window keeps the hot account in one partition
+    plain = t.repartitionByRange("account_id").withColumn("rt", F.sum("amount").over(w))
+    assert plain.filter("account_id = 0").select(F.spark_partition_id()).distinct().count() == 1
+
+
+def test_hot_account_velocity_is_spread(spark, events_tx, no_coalesce):
+    t = events_tx.withColumn(
+        "account_id", F.when(F.col("transaction_id") % 3 == 0, F.lit(0)).otherwise(F.col("account_id")))
+    t = t.select("account_id", "transaction_id", "transaction_ts", "transaction_date")
+    got = time_window_pairs(t, "account_id", "transaction_ts", "transaction_id", 1, 60,
+                            "transaction_date", {"account_id": "account_id", "transaction_id": "cur"},
+                            {"transaction_id": "prev"})
+    hot = got.filter("account_id = 0")
+    assert hot.select(F.spark_partition_id()).distinct().count() >= 4
+    a, b = t.alias("a"), t.alias("b")
+    d = F.timestamp_diff("MINUTE", F.col("b.transaction_ts"), F.col("a.transaction_ts"))
+    naive = a.join(b, (F.col("a.account_id") == F.col("b.account_id"))
+                   & (F.col("a.transaction_date") == F.col("b.transaction_date"))
+                   & (F.col("a.transaction_id") != F.col("b.transaction_id")) & d.between(1, 60))
+    assert hot.count() == naive.filter("a.account_id = 0").count() > 0
