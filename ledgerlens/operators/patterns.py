@@ -25,7 +25,6 @@ from ledgerlens.functions.measures import (
     money,
     n_if,
     n_status,
-    status_is,
     transaction_time,
 )
 from ledgerlens.functions.sizing import bounded_broadcast, fits_broadcast

@@ -8,6 +8,8 @@ event stream, which is what the velocity and account-fraud reports need).
 from __future__ import annotations
 
 import os
+import threading
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -70,6 +72,7 @@ _BUNDLES: dict[str, Callable[[SparkSession, str], Tables]] = {
 
 
 _cache: dict[tuple[str, str, str], Tables] = {}
+_lock = threading.Lock()
 
 
 def _shared_root(spark: SparkSession) -> str | None:
@@ -88,16 +91,19 @@ def bundle(spark: SparkSession, sf_dir: str, kind: str) -> Tables:
     """
     app = spark.sparkContext.applicationId
     key = (app, sf_dir, kind)
-    if key not in _cache:
-        lazy = _BUNDLES[kind](spark, sf_dir)
-        root = _shared_root(spark)
-        if root is None:
-            _cache[key] = lazy
-        else:
-            tag = os.path.basename(os.path.normpath(sf_dir)) or "data"
-            where = f"{root}/ledgerlens-model/{app}/{tag}-{abs(hash(sf_dir)) % 10**8}/{kind}"
-            _cache[key] = testdata.materialize(lazy, where, spark.sparkContext.defaultParallelism)
-    return _cache[key]
+    with _lock:                       # one load per session even if reports run in threads
+        if key not in _cache:
+            lazy = _BUNDLES[kind](spark, sf_dir)
+            root = _shared_root(spark)
+            if root is None:
+                _cache[key] = lazy
+            else:
+                tag = os.path.basename(os.path.normpath(sf_dir)) or "data"
+                digest = zlib.crc32(os.path.abspath(sf_dir).encode()) & 0xFFFFFFFF
+                where = f"{root}/ledgerlens-model/{app}/{tag}-{digest:08x}/{kind}"
+                _cache[key] = testdata.materialize(lazy, where,
+                                                   spark.sparkContext.defaultParallelism)
+        return _cache[key]
 
 
 def run(spark: SparkSession, sf_dir: str, name: str, normalised: bool = True) -> DataFrame:
