@@ -17,6 +17,9 @@ from ledgerlens import schema as S
 
 _HUNDRED = Decimal("100.0")
 
+# Scale of a "x * 100.0 / n" quotient in the reference engine: 1 + 4 digits.
+RATE_QUOTIENT_SCALE = 5
+
 # Result types of SUM / AVG over a DECIMAL(12,2) column.
 SUM_TYPE = T.DecimalType(S.MONEY.precision + 10, S.MONEY.scale)
 AVG_TYPE = T.DecimalType(S.MONEY.precision + 4, S.MONEY.scale + 4)
@@ -50,8 +53,14 @@ def money(c: str | Column) -> Column:
 
 
 def rate_pct(num: str | Column, den: str | Column, scale: int = 2) -> Column:
-    """``ROUND(num * 100.0 / den, 2)``; NULL when ``den`` is 0 or NULL (never raises)."""
-    return F.round(F.try_divide(_col(num) * F.lit(_HUNDRED), _col(den)), scale)
+    """``ROUND(num * 100.0 / den, 2)``; NULL when ``den`` is 0 or NULL (never raises).
+
+    The reference engine returns a decimal quotient with the dividend's scale
+    plus 4 digits (here 1 + 4 = 5), rounded half up, and ROUND applies to that;
+    the quotient is cast to 5 decimals first so results agree at every tie.
+    """
+    quotient = F.try_divide(_col(num) * F.lit(_HUNDRED), _col(den))
+    return F.round(quotient.cast(T.DecimalType(38, RATE_QUOTIENT_SCALE)), scale)
 
 
 def decimal_avg(total: str | Column, count: str | Column) -> Column:
