@@ -66,8 +66,12 @@ def velocity_pairs(tables: Tables, min_minutes: int = S.VELOCITY_MIN_MINUTES,
         "account_id", "current_txn", "transaction_date", "transaction_time", "current_amount",
         "current_status", "previous_txn", "previous_time", "previous_amount", "minutes_apart")
     if ordered:
-        out = out.orderBy("account_id", "transaction_date", "minutes_apart", "current_txn",
-                          "previous_txn")
+        # The range sort samples its input first; shuffling the (usually far
+        # smaller) pair output on its own key keeps that sample pass from
+        # recomputing the whole fact-sized join.
+        out = (out.repartition("account_id", "current_txn", "previous_txn")
+                  .orderBy("account_id", "transaction_date", "minutes_apart", "current_txn",
+                           "previous_txn"))
     return out
 
 
