@@ -61,7 +61,7 @@ def velocity_pairs(tables: Tables, min_minutes: int = S.VELOCITY_MIN_MINUTES,
                    ordered: bool = True) -> DataFrame:
     """3c. Each transaction paired with every earlier one of the same account (and
     day) between ``min_minutes`` and ``max_minutes`` whole minutes before it."""
-    pairs = _velocity(tables.transactions, min_minutes, max_minutes, same_day, extra_cur={})
+    pairs = velocity_base(tables.transactions, min_minutes, max_minutes, same_day, extra_cur={})
     out = pairs.select(
         "account_id", "current_txn", "transaction_date", "transaction_time", "current_amount",
         "current_status", "previous_txn", "previous_time", "previous_amount", "minutes_apart")
@@ -75,7 +75,7 @@ def velocity_pairs(tables: Tables, min_minutes: int = S.VELOCITY_MIN_MINUTES,
     return out
 
 
-def _velocity(t: DataFrame, min_minutes: int, max_minutes: int, same_day: bool,
+def velocity_base(t: DataFrame, min_minutes: int, max_minutes: int, same_day: bool,
               extra_cur: dict[str, str]) -> DataFrame:
     cur = {"account_id": "account_id", "transaction_id": "current_txn",
            "transaction_date": "transaction_date", "amount": "current_amount",

@@ -28,7 +28,7 @@ from ledgerlens.functions.measures import (
 )
 from ledgerlens.functions.sizing import bounded_broadcast
 from ledgerlens.operators.fraud import account_fraud_profile
-from ledgerlens.operators.patterns import _velocity
+from ledgerlens.operators.patterns import velocity_base
 from ledgerlens.sources.tables import Tables
 
 
@@ -123,7 +123,7 @@ def time_pattern_analysis(tables: Tables) -> DataFrame:
 def velocity_events(tables: Tables, min_minutes: int = S.VELOCITY_MIN_MINUTES,
                     max_minutes: int = S.VELOCITY_MAX_MINUTES, same_day: bool = True) -> DataFrame:
     """V6. Velocity pairs with the account and the current transaction's merchant."""
-    pairs = _velocity(tables.transactions, min_minutes, max_minutes, same_day,
+    pairs = velocity_base(tables.transactions, min_minutes, max_minutes, same_day,
                       extra_cur={"merchant_id": "merchant_id"})
     a = tables.accounts.select("account_id", "full_name", "risk_tier", "kyc_status")
     m = tables.merchants.select("merchant_id", "merchant_name", "merchant_category",
@@ -160,6 +160,20 @@ MART_PARTITIONS = {
 }
 
 
+def register_tables(tables: Tables) -> list[str]:
+    """Register the four model tables as temp views for SQL users.
+
+    ``transactions`` also exposes ``transaction_time`` (``HH:mm:ss`` text) next to
+    ``transaction_ts``, so queries written against a date + time layout read it.
+    """
+    views = tables.as_dict()
+    views["transactions"] = tables.transactions.withColumn(
+        "transaction_time", F.date_format("transaction_ts", "HH:mm:ss"))
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    return list(views)
+
+
 def register_views(tables: Tables, names: list[str] | None = None) -> list[str]:
     """Register the views as session temp views; returns the registered names."""
     chosen = list(VIEWS) if names is None else names

@@ -165,6 +165,16 @@ VELOCITY_MAX_MINUTES = 60
 # Outlier pattern (3f): factor over the category mean.
 CATEGORY_OUTLIER_FACTOR = Decimal("1.5")
 
+# Closed value sets of the columns the reports compare against literals or group by.
+DOMAINS = {
+    "transactions": {"transaction_status": (SUCCESS, FAILED, FLAGGED, REVERSED)},
+    "fraud_flags": {"flag_status": (CONFIRMED_FRAUD, UNDER_REVIEW, FALSE_POSITIVE),
+                    "flag_reason": (REASON_UNUSUAL_AMOUNT, REASON_LATE_NIGHT, REASON_VELOCITY),
+                    "flagged_by": ("System", "Analyst", "Customer")},
+    "accounts": {"kyc_status": ("Verified", "Pending", "Unverified"),
+                 "account_status": ("Active", "Suspended", "Closed")},
+}
+
 # Merchants are verified unless stated otherwise.
 DEFAULT_IS_VERIFIED = 1
 

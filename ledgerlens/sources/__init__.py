@@ -3,6 +3,7 @@
 from ledgerlens.sources.tables import (
     TABLE_NAMES,
     Tables,
+    canonical_case,
     enforce_types,
     fold_time,
     load_table,
@@ -11,5 +12,5 @@ from ledgerlens.sources.tables import (
     use_database,
 )
 
-__all__ = ["TABLE_NAMES", "Tables", "enforce_types", "fold_time", "load_table",
+__all__ = ["TABLE_NAMES", "Tables", "canonical_case", "enforce_types", "fold_time", "load_table",
            "load_tables", "namespace_path", "use_database"]

@@ -99,6 +99,21 @@ def fold_time(raw_tx: DataFrame) -> tuple[DataFrame, DataFrame]:
     return model, bad
 
 
+def canonical_case(df: DataFrame, table: str) -> DataFrame:
+    """Map case / surrounding-space variants of known domain values to their
+    declared spelling (``'flagged '`` -> ``'Flagged'``), as a case-insensitive
+    collation would compare them; other values are kept as they are."""
+    for col, values in S.DOMAINS.get(table, {}).items():
+        if col not in df.columns:
+            continue
+        key = F.lower(F.trim(F.col(col)))
+        expr = F.col(col)
+        for v in reversed(values):
+            expr = F.when(key == F.lit(v.lower()), F.lit(v)).otherwise(expr)
+        df = df.withColumn(col, expr)
+    return df
+
+
 def read_raw(spark: SparkSession, path: str, table: str, fmt: str = "parquet",
              **options: str) -> DataFrame:
     """Read one table file without schema inference.
@@ -125,11 +140,12 @@ def read_raw(spark: SparkSession, path: str, table: str, fmt: str = "parquet",
 
 
 def load_table(spark: SparkSession, path: str, table: str, fmt: str = "parquet",
-               **options: str) -> tuple[DataFrame, DataFrame]:
+               canonical: bool = False, **options: str) -> tuple[DataFrame, DataFrame]:
     """Load ``table`` from ``path``: returns ``(model rows, rejected rows)``.
 
     Every column is converted to its declared type with :func:`enforce_types`;
     a column with a declared DEFAULT (``is_verified``) gets it when absent.
+    ``canonical=True`` applies :func:`canonical_case` to the domain columns.
     """
     raw = read_raw(spark, path, table, fmt, **options)
     schema = _source_schema(table)
@@ -141,6 +157,8 @@ def load_table(spark: SparkSession, path: str, table: str, fmt: str = "parquet",
     if missing:
         raise ValueError(f"{table}: columns missing from {path}: {missing}")
     clean, rejected = enforce_types(raw.select(*[f.name for f in schema.fields]), schema)
+    if canonical:
+        clean = canonical_case(clean, table)
     if table == "transactions":
         model, bad_time = fold_time(clean)
         rejected = rejected.select(
@@ -152,10 +170,12 @@ def load_table(spark: SparkSession, path: str, table: str, fmt: str = "parquet",
 
 
 def load_tables(spark: SparkSession, base: str, fmt: str = "parquet",
-                database: str = "fintech_fraud", **options: str) -> tuple[Tables, dict[str, DataFrame]]:
+                database: str = "fintech_fraud", canonical: bool = False,
+                **options: str) -> tuple[Tables, dict[str, DataFrame]]:
     """Load all four tables from ``<base>/<database>/<table>[.fmt]``."""
     root = namespace_path(base, database)
     loaded, rejected = {}, {}
     for name in TABLE_NAMES:
-        loaded[name], rejected[name] = load_table(spark, f"{root}/{name}", name, fmt, **options)
+        loaded[name], rejected[name] = load_table(spark, f"{root}/{name}", name, fmt,
+                                                  canonical, **options)
     return Tables(**loaded), rejected

@@ -63,6 +63,18 @@ def test_load_tables_from_namespace_and_default(spark, scratch):
     assert volume.monthly_trend(tables).count() == 5
 
 
+def test_canonical_case(spark, scratch):
+    path = os.path.join(scratch, "csv3", "transactions.csv")
+    rows = _tx_rows(TRANSACTIONS[:2])
+    rows[0] = rows[0][:9] + ("flagged ",) + rows[0][10:]
+    rows[1] = rows[1][:9] + ("FLAGGED",) + rows[1][10:]
+    _write_csv(path, S.TRANSACTIONS_RAW.names, rows)
+    plain, _ = load_table(spark, path, "transactions", fmt="csv")
+    assert {r.transaction_status for r in plain.collect()} == {"flagged ", "FLAGGED"}
+    canon, _ = load_table(spark, path, "transactions", fmt="csv", canonical=True)
+    assert {r.transaction_status for r in canon.collect()} == {"Flagged"}
+
+
 def test_parquet_round_trip(spark, fixture_tables, scratch):
     path = os.path.join(scratch, "pq", "accounts")
     fixture_tables.accounts.write.mode("overwrite").parquet(path)
@@ -83,6 +95,17 @@ def test_register_views_and_marts(spark, fixture_tables, scratch):
     assert vel.count() == 6
 
 
+def test_register_tables_for_sql(spark, fixture_tables):
+    assert views.register_tables(fixture_tables) == ["accounts", "merchants", "transactions",
+                                                     "fraud_flags"]
+    row = spark.sql("""
+        SELECT t.transaction_id, t.transaction_time, a.full_name
+        FROM transactions t JOIN accounts a ON t.account_id = a.account_id
+        WHERE hour(t.transaction_ts) BETWEEN 0 AND 4 AND t.transaction_status = 'Flagged'
+        ORDER BY t.amount DESC LIMIT 1""").first()
+    assert (row.transaction_id, row.transaction_time, row.full_name) == ("T020", "01:30:00", "Hauwa Bello")
+
+
 def test_use_database(spark):
     use_database(spark, "ledgerlens_test_db")
     assert spark.catalog.currentDatabase() == "ledgerlens_test_db"
