@@ -116,6 +116,8 @@ def rank_desc(df: DataFrame, key: str, value: str, out: str, tie: str = "transac
               target_rows: int | None = None) -> DataFrame:
     """RANK() OVER (PARTITION BY key ORDER BY value DESC), sorted by (key, rank, tie).
 
+    The rank is BIGINT: a hot key may hold more than 2^31 rows.
+
     rank = local rank inside the chunk + rows of the key in chunks of larger
     values.  Equal values always share a chunk, so ties rank as in SQL (with
     gaps).  Chunks run from the largest values down (``_sub`` 0 = largest).
@@ -127,7 +129,7 @@ def rank_desc(df: DataFrame, key: str, value: str, out: str, tie: str = "transac
     if not has_rows(hot):
         return (df.repartitionByRange(key)
                   .withColumn(out, F.rank().over(
-                      Window.partitionBy(key).orderBy(F.col(value).desc())))
+                      Window.partitionBy(key).orderBy(F.col(value).desc())).cast("long"))
                   .orderBy(key, F.col(value).desc(), tie))
     x = _with_sub(df, key, neg, hot)
     x = x.withColumn(_SUB, F.when(F.col(value).isNull() & F.col("_k").isNotNull(),
@@ -138,6 +140,6 @@ def rank_desc(df: DataFrame, key: str, value: str, out: str, tie: str = "transac
                   Window.partitionBy(key, _SUB).orderBy(F.col(value).desc()))))
     return (local.join(F.broadcast(offsets), [key, _SUB], "left")
                  .withColumn(out, (F.col("_local") + F.coalesce(F.col("_offset"), F.lit(0)))
-                             .cast("int"))
+                             .cast("long"))
                  .orderBy(key, _SUB, F.col(value).desc(), tie)
                  .drop(_SUB, "_hot_n", "_lo", "_hi", "_k", "_local", "_offset"))
