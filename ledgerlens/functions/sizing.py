@@ -66,7 +66,37 @@ def bounded_broadcast(df: DataFrame, max_rows: int | None = None,
     return F.broadcast(df) if fits_broadcast(df if size_of is None else size_of, max_rows) else df
 
 
+_small: dict[tuple[str, int], DataFrame] = {}
+
+
+def materialize_small(df: DataFrame, label: str) -> DataFrame:
+    """Write a small derived table (plan statistics such as a hot-key list) once
+    per session to the shared ``spark.checkpoint.dir`` and read it back, so
+    the plans that use it several times do not recompute it.  Without a shared
+    folder the lazy plan is returned unchanged.
+
+    Only for tables that steer plan choices: callers stay exact when the
+    written copy is older than the data.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        return df
+    app = spark.sparkContext.applicationId
+    key = (app, df.semanticHash())
+    with _lock:
+        if key in _small:
+            return _small[key]
+    path = f"{root.rstrip('/')}/ledgerlens-stats/{app}/{label}-{key[1] & 0xFFFFFFFF:08x}"
+    df.write.mode("overwrite").parquet(path)
+    out = spark.read.parquet(path)
+    with _lock:
+        _small[key] = out
+    return out
+
+
 def clear_cache() -> None:
     with _lock:
         _counts.clear()
         _nonempty.clear()
+        _small.clear()

@@ -7,7 +7,8 @@ only the keys that need it:
 
 1. a per-key aggregate (partial, so skew-free) finds *hot* keys with more than
    ``target_rows`` rows, with the range of their order value.  The hot list has
-   at most ``rows / target_rows`` entries: its broadcast size is bounded;
+   at most ``rows / target_rows`` entries: its broadcast size is bounded.  It
+   is written once to the shared checkpoint folder and reused;
 2. rows of a hot key get a sub-chunk ``_sub`` in ``[0, k)``, ``k = ceil(n /
    target_rows)``, by cutting the key's order-value range into k equal slices.
    ``_sub`` is monotone in the row order and a pure function of the row, so a
@@ -32,19 +33,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens import settings
-from ledgerlens.functions.sizing import has_rows
+from ledgerlens.functions.sizing import has_rows, materialize_small
 from ledgerlens.operators.interval import epoch_seconds
 
 _SUB = "_sub"
 
 
 def _hot_keys(df: DataFrame, key: str, pos: Column, target: int) -> DataFrame:
-    """Keys with more than ``target`` rows: key, _hot_n, _lo, _hi, _k (bounded size)."""
-    return (df.groupBy(key)
-              .agg(F.count(F.lit(1)).alias("_hot_n"), F.min(pos).alias("_lo"),
-                   F.max(pos).alias("_hi"))
-              .filter(F.col("_hot_n") > target)
-              .withColumn("_k", F.ceil(F.col("_hot_n") / F.lit(target)).cast("long")))
+    """Keys with more than ``target`` rows: key, _lo, _hi, _k (bounded size).
+
+    Computed once and kept in the shared folder (it is used by the check, the
+    row split and the offsets).  It only decides how rows are chunked; counts
+    and sums always come from the rows themselves, so an outdated copy cannot
+    change a result.
+    """
+    hot = (df.groupBy(key)
+             .agg(F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_lo"), F.max(pos).alias("_hi"))
+             .filter(F.col("_n") > target)
+             .select(key, "_lo", "_hi", F.ceil(F.col("_n") / F.lit(target)).cast("long").alias("_k")))
+    return materialize_small(hot, "hot-keys")
 
 
 def _with_sub(df: DataFrame, key: str, pos: Column, hot: DataFrame) -> DataFrame:
@@ -58,11 +65,14 @@ def _with_sub(df: DataFrame, key: str, pos: Column, hot: DataFrame) -> DataFrame
 
 
 def _offsets(x: DataFrame, key: str, measure: Column, name: str) -> DataFrame:
-    """Exclusive prefix of per-chunk ``measure`` sums, hot keys only (bounded size)."""
+    """Per chunk of a hot key: exclusive prefix of ``measure`` sums over earlier
+    chunks, and the key's total row count (bounded size: hot chunks only)."""
     totals = (x.filter(F.col("_k").isNotNull())
-               .groupBy(key, _SUB).agg(F.sum(measure).alias("_chunk")))
+               .groupBy(key, _SUB).agg(F.sum(measure).alias("_chunk"),
+                                       F.count(F.lit(1)).alias("_chunk_n")))
     before = Window.partitionBy(key).orderBy(_SUB).rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(key, _SUB, F.coalesce(F.sum("_chunk").over(before), F.lit(0)).alias(name))
+    return totals.select(key, _SUB, F.coalesce(F.sum("_chunk").over(before), F.lit(0)).alias(name),
+                         F.sum("_chunk_n").over(Window.partitionBy(key)).alias("_key_rows"))
 
 
 def running_sum(df: DataFrame, key: str, value: str, out: str, count_out: str,
@@ -97,9 +107,9 @@ def running_sum(df: DataFrame, key: str, value: str, out: str, count_out: str,
         total = total.cast(res_type)
     return (local.join(F.broadcast(offsets), [key, _SUB], "left")
                  .withColumn(out, total)
-                 .withColumn(count_out, F.coalesce(F.col("_hot_n"), F.col("_chunk_rows")))
+                 .withColumn(count_out, F.coalesce(F.col("_key_rows"), F.col("_chunk_rows")))
                  .orderBy(key, _SUB, ts, tie)
-                 .drop(_SUB, "_hot_n", "_lo", "_hi", "_k", "_local", "_chunk_rows", "_offset"))
+                 .drop(_SUB, "_lo", "_hi", "_k", "_local", "_chunk_rows", "_offset", "_key_rows"))
 
 
 def amount_scale(value: Column) -> Column:
@@ -142,4 +152,4 @@ def rank_desc(df: DataFrame, key: str, value: str, out: str, tie: str = "transac
                  .withColumn(out, (F.col("_local") + F.coalesce(F.col("_offset"), F.lit(0)))
                              .cast("long"))
                  .orderBy(key, _SUB, F.col(value).desc(), tie)
-                 .drop(_SUB, "_hot_n", "_lo", "_hi", "_k", "_local", "_offset"))
+                 .drop(_SUB, "_lo", "_hi", "_k", "_local", "_offset", "_key_rows"))

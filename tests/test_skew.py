@@ -137,3 +137,28 @@ def test_hot_account_velocity_is_spread(spark, events_tx, no_coalesce):
                    & (F.col("a.transaction_date") == F.col("b.transaction_date"))
                    & (F.col("a.transaction_id") != F.col("b.transaction_id")) & d.between(1, 60))
     assert hot.count() == naive.filter("a.account_id = 0").count() > 0
+
+
+def test_outdated_hot_key_statistics_do_not_change_results(spark, orders_tx, scratch, no_coalesce):
+    import os
+    path = os.path.join(scratch, "grow")
+    t = _one_hot_account(orders_tx).select("account_id", "transaction_id", "transaction_ts", "amount")
+    t.filter("transaction_id % 2 = 0").write.mode("overwrite").parquet(path)
+    first = spark.read.parquet(path)
+    running_sum(first, "account_id", "amount", "rt", "n", target_rows=500).count()
+    rank_desc(first, "account_id", "amount", "rk", target_rows=500).count()
+    # new rows arrive in the same folder: the stored hot-key table is now outdated
+    t.filter("transaction_id % 2 = 1").write.mode("append").parquet(path)
+    grown = spark.read.parquet(path)
+    w = Window.partitionBy("account_id")
+    naive = grown.select("account_id", "transaction_id",
+                         F.sum("amount").over(w.orderBy("transaction_ts", "transaction_id")
+                                              .rowsBetween(Window.unboundedPreceding, 0))
+                          .cast("decimal(38,2)").alias("rt"),
+                         F.count(F.lit(1)).over(w).alias("n"))
+    got = running_sum(grown, "account_id", "amount", "rt", "n", target_rows=500)
+    assert _same(got.select("account_id", "transaction_id", "rt", "n"), naive)
+    naive_rk = grown.select("account_id", "transaction_id", F.rank().over(
+        w.orderBy(F.col("amount").desc())).cast("long").alias("rk"))
+    got_rk = rank_desc(grown, "account_id", "amount", "rk", target_rows=500)
+    assert _same(got_rk.select("account_id", "transaction_id", "rk"), naive_rk)
