@@ -39,3 +39,37 @@ def test_lazy_and_materialised_bundles_agree(spark, name, monkeypatch):
     monkeypatch.setattr(catalog, "_cache", {})
     lazy = catalog.run(spark, SF, name).toPandas()
     assert diff(lazy, materialised) is None, diff(lazy, materialised)
+
+
+SKEW_CONF = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+             "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+
+
+def test_hot_account_join_is_split_by_aqe(spark, monkeypatch):
+    """Above the broadcast limit a hot account's join partition is split by AQE
+    (thresholds scaled down to test size)."""
+    from pyspark.sql import functions as F
+
+    from ledgerlens.operators import patterns
+    tb = catalog.bundle(spark, "/root/testdata/sf0.01", "orders")
+    hot = tb.with_(transactions=tb.transactions.withColumn(
+        "account_id", F.when(F.col("transaction_id") % 3 == 0, F.lit(0)).otherwise(F.col("account_id"))))
+    expected = patterns.late_night(hot).toPandas()
+    monkeypatch.setattr(settings, "BROADCAST_MAX_ROWS", 0)
+    sizing.clear_cache()
+    for k, v in SKEW_CONF.items():
+        spark.conf.set(k, v)
+    try:
+        df = patterns.late_night(hot)
+        got = df.toPandas()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin(skew=true)" in plan
+        assert diff(got, expected) is None
+    finally:
+        for k in SKEW_CONF:
+            spark.conf.unset(k)
+        sizing.clear_cache()
