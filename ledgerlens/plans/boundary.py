@@ -3,7 +3,7 @@
 Inside the library money is DECIMAL and dates are DATE.  Engines disagree on
 the result types of SUM / AVG / division over decimals, so every result handed
 to an external comparison is normalised the same way on both sides:
-integers -> BIGINT, decimals -> DOUBLE, dates -> ISO text.
+integers -> BIGINT, decimals -> DOUBLE, dates and timestamps -> ISO text.
 """
 
 from __future__ import annotations
@@ -25,5 +25,7 @@ def normalise(df: DataFrame) -> DataFrame:
             c = c.cast("double")
         elif isinstance(f.dataType, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
+        elif isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType)):
+            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         cols.append(c.alias(f.name))
     return df.select(*cols)

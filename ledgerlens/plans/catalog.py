@@ -19,17 +19,27 @@ from ledgerlens.operators import fraud, patterns, quality, volume
 from ledgerlens.plans import views
 from ledgerlens.plans.boundary import normalise
 from ledgerlens.sources import testdata
-from ledgerlens.sources.tables import Tables
+from ledgerlens.sources.tables import Tables, ingest
 
 
 @dataclass(frozen=True)
 class Report:
     name: str
     fn: Callable[..., DataFrame]
-    bundle: str = "orders"
+    bundle: str | None = "orders"          # None: fn(spark, sf_dir) reads raw inputs itself
     params: dict = field(default_factory=dict)
 
 
+def ingest_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S5/S7: raw transaction text (from orders) through typed ingest."""
+    return ingest(testdata.raw_order_transactions(spark, sf_dir), "transactions")[0]
+
+
+def ingest_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4/Q6: raw merchant text without ``is_verified`` through typed ingest (DEFAULT 1)."""
+    return ingest(testdata.raw_merchants(spark, sf_dir), "merchants")[0]
+
+
 REPORTS: list[Report] = [
     Report("kpi_1a_monthly_trend", volume.monthly_trend),
     Report("kpi_1b_by_channel", volume.by_channel),
@@ -61,6 +71,8 @@ REPORTS: list[Report] = [
     Report("dq_not_null", quality.not_null_report),
     Report("dq_foreign_keys", quality.foreign_key_report),
     Report("dq_limits", quality.limits_report),
+    Report("src_ingest_transactions", ingest_transactions, None),
+    Report("src_ingest_merchants", ingest_merchants, None),
 ]
 
 BY_NAME = {r.name: r for r in REPORTS}
@@ -109,5 +121,8 @@ def bundle(spark: SparkSession, sf_dir: str, kind: str) -> Tables:
 def run(spark: SparkSession, sf_dir: str, name: str, normalised: bool = True) -> DataFrame:
     """Build report ``name`` over the test data in ``sf_dir`` (lazy)."""
     r = BY_NAME[name]
-    df = r.fn(bundle(spark, sf_dir, r.bundle), **r.params)
+    if r.bundle is None:
+        df = r.fn(spark, sf_dir, **r.params)
+    else:
+        df = r.fn(bundle(spark, sf_dir, r.bundle), **r.params)
     return normalise(df) if normalised else df

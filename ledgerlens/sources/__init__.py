@@ -6,11 +6,12 @@ from ledgerlens.sources.tables import (
     canonical_case,
     enforce_types,
     fold_time,
+    ingest,
     load_table,
     load_tables,
     namespace_path,
     use_database,
 )
 
-__all__ = ["TABLE_NAMES", "Tables", "canonical_case", "enforce_types", "fold_time", "load_table",
+__all__ = ["TABLE_NAMES", "Tables", "canonical_case", "enforce_types", "fold_time", "ingest", "load_table",
            "load_tables", "namespace_path", "use_database"]

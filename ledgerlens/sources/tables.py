@@ -147,7 +147,16 @@ def load_table(spark: SparkSession, path: str, table: str, fmt: str = "parquet",
     a column with a declared DEFAULT (``is_verified``) gets it when absent.
     ``canonical=True`` applies :func:`canonical_case` to the domain columns.
     """
-    raw = read_raw(spark, path, table, fmt, **options)
+    return ingest(read_raw(spark, path, table, fmt, **options), table, canonical)
+
+
+def ingest(raw: DataFrame, table: str, canonical: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Raw rows of ``table`` (text or typed columns, by name) -> ``(model, rejected)``.
+
+    Applies the declared DEFAULT to an omitted column, converts every column to
+    its declared type, folds date + time of day into ``transaction_ts`` for
+    transactions, and returns rows that fail any of it with a reason.
+    """
     schema = _source_schema(table)
     for column, value in S.CONSTRAINTS[table].defaults.items():
         if column not in raw.columns:          # DEFAULT applies to an omitted column
@@ -155,7 +164,7 @@ def load_table(spark: SparkSession, path: str, table: str, fmt: str = "parquet",
     have = set(raw.columns)
     missing = [f.name for f in schema.fields if f.name not in have]
     if missing:
-        raise ValueError(f"{table}: columns missing from {path}: {missing}")
+        raise ValueError(f"{table}: columns missing: {missing}")
     clean, rejected = enforce_types(raw.select(*[f.name for f in schema.fields]), schema)
     if canonical:
         clean = canonical_case(clean, table)

@@ -162,6 +162,28 @@ def events_bundle(spark: SparkSession, sf_dir: str = DEFAULT_SF_DIR) -> Tables:
     return Tables(accounts(spark, sf_dir), merchants(spark, sf_dir), tx, flags_from(tx))
 
 
+def raw_order_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders rendered as a raw transactions file: every column text, date and
+    time of day separate, amount as decimal text (the shape ingest reads)."""
+    t = order_transactions(spark, sf_dir)
+    return t.select(
+        F.col("transaction_id").cast("string").alias("transaction_id"),
+        F.col("account_id").cast("string").alias("account_id"),
+        F.col("merchant_id").cast("string").alias("merchant_id"),
+        F.date_format("transaction_date", "yyyy-MM-dd").alias("transaction_date"),
+        F.date_format("transaction_ts", "HH:mm:ss").alias("transaction_time"),
+        "transaction_month", "transaction_type", "channel",
+        F.col("amount").cast("string").alias("amount"),
+        "transaction_status", "failure_reason", "device_type")
+
+
+def raw_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts rendered as a raw merchants file without the ``is_verified`` column."""
+    m = merchants(spark, sf_dir)
+    return m.select(F.col("merchant_id").cast("string").alias("merchant_id"),
+                    "merchant_name", "merchant_category", "region", "state")
+
+
 def materialize(tables: Tables, root: str, files: int) -> Tables:
     """Write the adapted tables once as typed Parquet under ``root`` and read them back.
 
