@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens import settings
 
-_lock = threading.Lock()
+_lock = threading.RLock()
 _counts: dict[tuple[int, int], int] = {}
 _nonempty: dict[tuple[int, int], bool] = {}
 
@@ -84,15 +84,12 @@ def materialize_small(df: DataFrame, label: str) -> DataFrame:
         return df
     app = spark.sparkContext.applicationId
     key = (app, df.semanticHash())
-    with _lock:
-        if key in _small:
-            return _small[key]
-    path = f"{root.rstrip('/')}/ledgerlens-stats/{app}/{label}-{key[1] & 0xFFFFFFFF:08x}"
-    df.write.mode("overwrite").parquet(path)
-    out = spark.read.parquet(path)
-    with _lock:
-        _small[key] = out
-    return out
+    with _lock:                     # small write; holding the lock avoids racing writers
+        if key not in _small:
+            path = f"{root.rstrip('/')}/ledgerlens-stats/{app}/{label}-{key[1] & 0xFFFFFFFF:08x}"
+            df.write.mode("overwrite").parquet(path)
+            _small[key] = spark.read.parquet(path)
+        return _small[key]
 
 
 def clear_cache() -> None:
