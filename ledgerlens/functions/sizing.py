@@ -78,15 +78,16 @@ def materialize_small(df: DataFrame, label: str) -> DataFrame:
     Only for tables that steer plan choices: callers stay exact when the
     written copy is older than the data.
     """
+    from ledgerlens.session import app_id, shared_dir
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    root = shared_dir(spark)
     if not root:
         return df
-    app = spark.sparkContext.applicationId
+    app = app_id(spark)
     key = (app, df.semanticHash())
     with _lock:                     # small write; holding the lock avoids racing writers
         if key not in _small:
-            path = f"{root.rstrip('/')}/ledgerlens-stats/{app}/{label}-{key[1] & 0xFFFFFFFF:08x}"
+            path = f"{root}/ledgerlens-stats/{app}/{label}-{key[1] & 0xFFFFFFFF:08x}"
             df.write.mode("overwrite").parquet(path)
             _small[key] = spark.read.parquet(path)
         return _small[key]

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerlens.operators import fraud, patterns, quality, volume
 from ledgerlens.plans import views
 from ledgerlens.plans.boundary import normalise
+from ledgerlens.session import app_id, parallelism, shared_dir
 from ledgerlens.sources import testdata
 from ledgerlens.sources.tables import Tables, ingest
 
@@ -88,8 +89,7 @@ _lock = threading.Lock()
 
 
 def _shared_root(spark: SparkSession) -> str | None:
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return d.rstrip("/") if d else None
+    return shared_dir(spark)
 
 
 def bundle(spark: SparkSession, sf_dir: str, kind: str) -> Tables:
@@ -101,7 +101,7 @@ def bundle(spark: SparkSession, sf_dir: str, kind: str) -> Tables:
     Either way the DataFrame objects are reused, which keeps file listing and
     plan analysis out of every report call.
     """
-    app = spark.sparkContext.applicationId
+    app = app_id(spark)
     key = (app, sf_dir, kind)
     with _lock:                       # one load per session even if reports run in threads
         if key not in _cache:
@@ -113,8 +113,7 @@ def bundle(spark: SparkSession, sf_dir: str, kind: str) -> Tables:
                 tag = os.path.basename(os.path.normpath(sf_dir)) or "data"
                 digest = zlib.crc32(os.path.abspath(sf_dir).encode()) & 0xFFFFFFFF
                 where = f"{root}/ledgerlens-model/{app}/{tag}-{digest:08x}/{kind}"
-                _cache[key] = testdata.materialize(lazy, where,
-                                                   spark.sparkContext.defaultParallelism)
+                _cache[key] = testdata.materialize(lazy, where, parallelism(spark))
         return _cache[key]
 
 

@@ -31,9 +31,38 @@ def local_session(cores: int | None = None, app: str = "ledgerlens",
     return spark
 
 
+def _context(spark: SparkSession):
+    try:
+        return spark.sparkContext          # not available on Spark Connect sessions
+    except Exception:  # noqa: BLE001
+        return None
+
+
+def shared_dir(spark: SparkSession) -> str | None:
+    """The shared folder named by ``spark.checkpoint.dir`` (or the context's
+    checkpoint dir), or None when the session names none."""
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        sc = _context(spark)
+        d = sc.getCheckpointDir() if sc is not None else None
+    return d.rstrip("/") if d else None
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder configured for this session."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    d = shared_dir(spark)
     if not d:
         raise RuntimeError("spark.checkpoint.dir is not set; set it to a shared folder")
     return d
+
+
+def app_id(spark: SparkSession) -> str:
+    """Identifier of the running application (scopes per-session files and caches)."""
+    return spark.conf.get("spark.app.id", None) or _context(spark).applicationId
+
+
+def parallelism(spark: SparkSession) -> int:
+    sc = _context(spark)
+    if sc is not None:
+        return sc.defaultParallelism
+    return int(spark.conf.get("spark.default.parallelism", "8"))
