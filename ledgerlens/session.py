@@ -22,6 +22,8 @@ def local_session(cores: int | None = None, app: str = "ledgerlens",
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
+         # coalesce small shuffle partitions to the advisory size (fewer tiny tasks)
+         .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g")))
     for k, v in (extra or {}).items():
