@@ -17,13 +17,18 @@ from pyspark.sql import functions as F
 from ledgerlens import settings
 
 _lock = threading.RLock()
-_counts: dict[tuple[int, int], int] = {}
-_nonempty: dict[tuple[int, int], bool] = {}
+_counts: dict[tuple[str, int], int] = {}
+_nonempty: dict[tuple[str, int], bool] = {}
+
+
+def _key(df: DataFrame) -> tuple[str, int]:
+    from ledgerlens.session import app_id
+    return app_id(df.sparkSession), df.semanticHash()
 
 
 def row_count(df: DataFrame) -> int:
-    """Row count of ``df``, memoised by (session, semantic plan hash)."""
-    key = (id(df.sparkSession), df.semanticHash())
+    """Row count of ``df``, memoised by (application, semantic plan hash)."""
+    key = _key(df)
     with _lock:
         if key in _counts:
             return _counts[key]
@@ -39,7 +44,7 @@ def has_rows(df: DataFrame) -> bool:
     Used only to choose between plans that return the same result, so a stale
     answer after the underlying files change costs speed, never correctness.
     """
-    key = (id(df.sparkSession), df.semanticHash())
+    key = _key(df)
     with _lock:
         if key in _nonempty:
             return _nonempty[key]
@@ -83,8 +88,8 @@ def materialize_small(df: DataFrame, label: str) -> DataFrame:
     root = shared_dir(spark)
     if not root:
         return df
-    app = app_id(spark)
-    key = (app, df.semanticHash())
+    key = _key(df)
+    app = key[0]
     with _lock:                     # small write; holding the lock avoids racing writers
         if key not in _small:
             path = f"{root}/ledgerlens-stats/{app}/{label}-{key[1] & 0xFFFFFFFF:08x}"

@@ -40,3 +40,29 @@ def test_late_night_stream_matches_batch(spark, fixture_tables, scratch):
     got = normalise(spark.read.parquet(out)).toPandas()
     want = normalise(patterns.late_night(fixture_tables)).toPandas()
     assert diff(got, want) is None, diff(got, want)
+
+
+def test_velocity_stream_with_late_row(spark, scratch):
+    from datetime import date
+    from decimal import Decimal
+
+    from ledgerlens import schema as S
+    from ledgerlens.sources.tables import fold_time
+
+    def land(rows, folder):
+        raw = [(i, a, "M1", date(2024, 7, 1), hhmm, "2024-07", "Debit", "Web", Decimal("1.00"),
+                "Success", None, "Web") for i, a, hhmm in rows]
+        model, _ = fold_time(spark.createDataFrame(raw, S.TRANSACTIONS_RAW))
+        model.coalesce(1).write.mode("append").parquet(folder)
+
+    src = os.path.join(scratch, "stream_in_late")
+    out = os.path.join(scratch, "stream_out_late")
+    land([("L1", "A", "10:00:00"), ("L2", "A", "10:30:00")], src)
+    land([("L3", "A", "10:50:00"), ("L4", "B", "12:00:00")], src)       # watermark -> 11:50
+    land([("L5", "A", "10:40:00"), ("L6", "A", "11:52:00")], src)       # L5 arrives late
+    q = start(velocity_alerts(read_transactions(spark, src, max_files_per_trigger=1)), out)
+    assert q.awaitTermination(120) and q.exception() is None
+    got = {(r.current_txn, r.previous_txn) for r in spark.read.parquet(out).collect()}
+    batch = {("L2", "L1"), ("L3", "L1"), ("L3", "L2"), ("L5", "L1"), ("L5", "L2"), ("L3", "L5")}
+    on_time = {("L2", "L1"), ("L3", "L1"), ("L3", "L2")}
+    assert on_time <= got <= batch
