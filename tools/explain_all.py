@@ -31,14 +31,17 @@ def main() -> None:
         formatted = buf.getvalue()
         with open(os.path.join(out, f"{r.name}.txt"), "w") as fh:
             fh.write(formatted)
-        shuffles = len(re.findall(r"Exchange hashpartitioning|Exchange rangepartitioning|"
-                                  r"Exchange SinglePartition|Exchange RoundRobin", formatted))
-        bcast = formatted.count("BroadcastExchange")
-        scans = formatted.count("Scan parquet")
-        smj = formatted.count("SortMergeJoin")
-        bhj = formatted.count("BroadcastHashJoin")
-        print(f"{r.name:42s} scans={scans:2d} shuffles={shuffles:2d} broadcasts={bcast:2d} "
-              f"bhj={bhj} smj={smj} windows={formatted.count('Window ')}")
+        final = formatted.split("== Initial Plan ==")[0]
+        tree = final.split("\n\n")[0]          # the tree, before the node details
+        lines = tree.splitlines()
+
+        def count(word: str) -> int:
+            return sum(1 for ln in lines if re.search(rf"\b{word}\b", ln))
+
+        print(f"{r.name:42s} scans={count('Scan'):2d} "
+              f"shuffles={count('Exchange'):2d} "
+              f"broadcasts={count('BroadcastExchange'):2d} bhj={count('BroadcastHashJoin')} "
+              f"smj={count('SortMergeJoin')} windows={count('Window')} sorts={count('Sort')}")
     spark.stop()
 
 
