@@ -11,7 +11,8 @@ from ledgerlens.sources.tables import (
     load_tables,
     namespace_path,
     use_database,
+    write_tables,
 )
 
 __all__ = ["TABLE_NAMES", "Tables", "canonical_case", "enforce_types", "fold_time", "ingest", "load_table",
-           "load_tables", "namespace_path", "use_database"]
+           "load_tables", "namespace_path", "use_database", "write_tables"]

@@ -145,7 +145,9 @@ def load_table(spark: SparkSession, path: str, table: str, fmt: str = "parquet",
 
     Every column is converted to its declared type with :func:`enforce_types`;
     a column with a declared DEFAULT (``is_verified``) gets it when absent.
-    ``canonical=True`` applies :func:`canonical_case` to the domain columns.
+    Transactions may come in the raw layout (date + time text) or in the model
+    layout written by :func:`write_tables`.  ``canonical=True`` applies
+    :func:`canonical_case` to the domain columns.
     """
     return ingest(read_raw(spark, path, table, fmt, **options), table, canonical)
 
@@ -158,6 +160,11 @@ def ingest(raw: DataFrame, table: str, canonical: bool = False) -> tuple[DataFra
     transactions, and returns rows that fail any of it with a reason.
     """
     schema = _source_schema(table)
+    have = set(raw.columns)
+    model_layout = (table == "transactions" and "transaction_ts" in have
+                    and "transaction_time" not in have)
+    if model_layout:                           # already folded: typed check only
+        schema = S.TRANSACTIONS
     for column, value in S.CONSTRAINTS[table].defaults.items():
         if column not in raw.columns:          # DEFAULT applies to an omitted column
             raw = raw.withColumn(column, F.lit(value))
@@ -168,7 +175,7 @@ def ingest(raw: DataFrame, table: str, canonical: bool = False) -> tuple[DataFra
     clean, rejected = enforce_types(raw.select(*[f.name for f in schema.fields]), schema)
     if canonical:
         clean = canonical_case(clean, table)
-    if table == "transactions":
+    if table == "transactions" and not model_layout:
         model, bad_time = fold_time(clean)
         rejected = rejected.select(
             *[F.col(f.name).cast("string").alias(f.name) for f in schema.fields], "reject_reason")
@@ -178,6 +185,25 @@ def ingest(raw: DataFrame, table: str, canonical: bool = False) -> tuple[DataFra
     return clean, rejected
 
 
+PARTITION_COLUMNS = {"transactions": ["transaction_month"]}
+
+
+def write_tables(tables: Tables, base: str, database: str = "fintech_fraud",
+                 mode: str = "overwrite") -> str:
+    """Store the model tables as Parquet under ``<base>/<database>/<table>``.
+
+    Transactions are partitioned by ``transaction_month`` so month-sliced reads
+    prune whole folders.  :func:`load_tables` reads the result back.
+    """
+    root = namespace_path(base, database)
+    for name, df in tables.as_dict().items():
+        writer = df.write.mode(mode)
+        if name in PARTITION_COLUMNS:
+            writer = writer.partitionBy(*PARTITION_COLUMNS[name])
+        writer.parquet(f"{root}/{name}")
+    return root
+
+
 def load_tables(spark: SparkSession, base: str, fmt: str = "parquet",
                 database: str = "fintech_fraud", canonical: bool = False,
                 **options: str) -> tuple[Tables, dict[str, DataFrame]]:

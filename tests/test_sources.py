@@ -106,6 +106,22 @@ def test_register_tables_for_sql(spark, fixture_tables):
     assert (row.transaction_id, row.transaction_time, row.full_name) == ("T020", "01:30:00", "Hauwa Bello")
 
 
+def test_write_and_load_model_tables(spark, fixture_tables, scratch):
+    from ledgerlens.sources import load_tables, write_tables
+    from tools.compare import diff
+    root = write_tables(fixture_tables, os.path.join(scratch, "model"))
+    assert any(d.startswith("transaction_month=") for d in os.listdir(f"{root}/transactions"))
+    tables, rejected = load_tables(spark, os.path.join(scratch, "model"))
+    assert all(df.count() == 0 for df in rejected.values())
+    assert tables.transactions.schema.names == S.TRANSACTIONS.names
+    for fn in (volume.monthly_trend, views.velocity_events, views.account_risk_profile):
+        assert diff(fn(tables).toPandas(), fn(fixture_tables).toPandas()) is None
+    # a month filter reads one partition folder
+    plan = tables.transactions.filter("transaction_month = '2024-03'")._jdf.queryExecution() \
+        .executedPlan().toString()
+    assert "PartitionFilters" in plan and "2024-03" in plan
+
+
 def test_use_database(spark):
     use_database(spark, "ledgerlens_test_db")
     assert spark.catalog.currentDatabase() == "ledgerlens_test_db"
