@@ -1,10 +1,13 @@
 """Size-checked broadcast.
 
-A join side is broadcast only after a row count proves it small.  The count is a
-Spark job over the (usually tiny, Parquet-backed) dimension, memoised per
-session and logical plan so repeated reports do not pay for it twice.  Above the
-limit the side is returned untouched and Spark plans a shuffle join, where AQE
-can still split skewed partitions.
+A join side is broadcast only after it is proven small: first a row count
+(cheap on Parquet), then - only if that passes - one aggregate over the side
+that measures the actual bytes of its text columns, giving its in-memory size
+as rows x (row header + 8 bytes per field) + variable-length bytes.  Both are
+Spark jobs over the (usually tiny) dimension, memoised per application and
+logical plan so repeated reports do not pay for them twice.  Above either limit
+the side is returned untouched and Spark plans a shuffle join, where AQE can
+still split skewed partitions.
 """
 
 from __future__ import annotations
@@ -13,11 +16,13 @@ import threading
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens import settings
 
 _lock = threading.RLock()
 _counts: dict[tuple[str, int], int] = {}
+_bytes: dict[tuple[str, int], int] = {}
 _nonempty: dict[tuple[str, int], bool] = {}
 
 
@@ -54,19 +59,44 @@ def has_rows(df: DataFrame) -> bool:
     return v
 
 
-def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
-    """True when ``df`` provably has at most ``max_rows`` rows."""
-    limit = settings.BROADCAST_MAX_ROWS if max_rows is None else max_rows
-    return row_count(df) <= limit
+def byte_size(df: DataFrame) -> int:
+    """In-memory size of ``df`` as broadcast rows: per row a null-bit word plus
+    8 bytes per field, plus the measured bytes of variable-length columns
+    (each rounded up to 8).  One aggregate pass, memoised."""
+    key = _key(df)
+    with _lock:
+        if key in _bytes:
+            return _bytes[key]
+    fields = df.schema.fields
+    var = [f.name for f in fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    wide = [f.name for f in fields if isinstance(f.dataType, T.DecimalType) and f.dataType.precision > 18]
+    parts = [F.count(F.lit(1)).alias("n")]
+    parts += [F.coalesce(F.sum((F.octet_length(F.col(c)) + 7).bitwiseAND(F.lit(-8))), F.lit(0))
+              .alias(f"v{i}") for i, c in enumerate(var)]
+    row = df.agg(*parts).first()
+    n = row["n"]
+    size = n * (8 + 8 * len(fields) + 16 * len(wide)) + sum(row[f"v{i}"] for i in range(len(var)))
+    with _lock:
+        _bytes[key] = size
+    return size
+
+
+def fits_broadcast(df: DataFrame, max_rows: int | None = None,
+                   max_bytes: int | None = None) -> bool:
+    """True when ``df`` provably has at most ``max_rows`` rows and at most
+    ``max_bytes`` bytes in memory (the byte pass runs only if the rows fit)."""
+    rows = settings.BROADCAST_MAX_ROWS if max_rows is None else max_rows
+    limit = settings.BROADCAST_MAX_BYTES if max_bytes is None else max_bytes
+    return row_count(df) <= rows and byte_size(df) <= limit
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int | None = None,
                       size_of: DataFrame | None = None) -> DataFrame:
-    """Hint ``df`` for broadcast iff it provably has at most ``max_rows`` rows.
+    """Hint ``df`` for broadcast iff it is provably small (see :func:`fits_broadcast`).
 
-    ``size_of`` names a cheaper DataFrame whose row count bounds ``df``'s (for
+    ``size_of`` names a cheaper DataFrame whose size bounds ``df``'s (for
     example the merchants table for a per-merchant threshold table that is
-    derived from the transactions); by default ``df`` itself is counted.
+    derived from the transactions); by default ``df`` itself is measured.
     """
     return F.broadcast(df) if fits_broadcast(df if size_of is None else size_of, max_rows) else df
 
@@ -101,5 +131,6 @@ def materialize_small(df: DataFrame, label: str) -> DataFrame:
 def clear_cache() -> None:
     with _lock:
         _counts.clear()
+        _bytes.clear()
         _nonempty.clear()
         _small.clear()
