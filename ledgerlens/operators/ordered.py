@@ -60,6 +60,7 @@ def _with_sub(df: DataFrame, key: str, pos: Column, hot: DataFrame) -> DataFrame
     span = (F.col("_hi") - F.col("_lo")).cast("double") + F.lit(1.0)
     slice_ = F.floor((pos - F.col("_lo")).cast("double") / span * k)
     sub = F.when(k.isNull(), F.lit(0)).otherwise(F.least(F.greatest(slice_, F.lit(0)), k - 1))
+    # bounded by construction: at most rows / target hot keys
     return (df.join(F.broadcast(hot), key, "left")
               .withColumn(_SUB, sub.cast("long")))
 
@@ -105,6 +106,7 @@ def running_sum(df: DataFrame, key: str, value: str, out: str, count_out: str,
     total = F.col("_local") + F.coalesce(F.col("_offset"), F.lit(0))
     if res_type:
         total = total.cast(res_type)
+    # bounded by construction: at most 2 * rows / target hot chunks
     return (local.join(F.broadcast(offsets), [key, _SUB], "left")
                  .withColumn(out, total)
                  .withColumn(count_out, F.coalesce(F.col("_key_rows"), F.col("_chunk_rows")))
@@ -148,6 +150,7 @@ def rank_desc(df: DataFrame, key: str, value: str, out: str, tie: str = "transac
     local = (x.repartitionByRange(key, _SUB)
               .withColumn("_local", F.rank().over(
                   Window.partitionBy(key, _SUB).orderBy(F.col(value).desc()))))
+    # bounded by construction: at most 2 * rows / target hot chunks
     return (local.join(F.broadcast(offsets), [key, _SUB], "left")
                  .withColumn(out, (F.col("_local") + F.coalesce(F.col("_offset"), F.lit(0)))
                              .cast("long"))

@@ -192,6 +192,7 @@ def above_category_average(tables: Tables,
         # exceeds factor x its category mean, hence factor x the smallest
         # category mean: a scalar that drops most rows before the shuffle.
         t = t.filter(F.col("amount") > cats.agg(F.min("avg_amount")).scalar() * k)
+    # thresholds has one row per merchant: the merchants check above bounds it
     joined = t.join(F.broadcast(thresholds) if small else thresholds, "merchant_id", "inner")
     return (joined
             .filter(F.col("amount") > F.col("avg_amount") * k)

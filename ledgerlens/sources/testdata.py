@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens import schema as S
+from ledgerlens.functions.sizing import bounded_broadcast
 from ledgerlens.sources.tables import Tables
 
 DEFAULT_SF_DIR = "/root/testdata/sf0.01"
@@ -50,9 +51,9 @@ def _pick(index: Column, values: tuple[str, ...]) -> Column:
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer")
-    # nation (25 rows) and region (5 rows) are fixed-size TPC-H dimensions.
-    n = F.broadcast(read(spark, sf_dir, "nation"))
-    r = F.broadcast(read(spark, sf_dir, "region"))
+    # nation (25 rows) and region (5 rows): broadcast behind the same size check
+    n = bounded_broadcast(read(spark, sf_dir, "nation"))
+    r = bounded_broadcast(read(spark, sf_dir, "region"))
     k = F.col("c_custkey")
     return (c.join(n, c.c_nationkey == n.n_nationkey)
              .join(r, n.n_regionkey == r.r_regionkey)
