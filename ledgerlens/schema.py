@@ -86,6 +86,9 @@ FRAUD_FLAGS = T.StructType([
     T.StructField("resolution_date", T.DateType(), True),
 ])
 
+# Default namespace (database / folder) holding the four tables.
+DEFAULT_DATABASE = "payments"
+
 SCHEMAS = {
     "accounts": ACCOUNTS,
     "merchants": MERCHANTS,

@@ -37,12 +37,12 @@ class Tables:
 TABLE_NAMES = ("accounts", "merchants", "transactions", "fraud_flags")
 
 
-def namespace_path(base: str, database: str = "fintech_fraud") -> str:
+def namespace_path(base: str, database: str = S.DEFAULT_DATABASE) -> str:
     """Root folder of one database namespace (``CREATE DATABASE`` / ``USE``)."""
     return f"{base.rstrip('/')}/{database}"
 
 
-def use_database(spark: SparkSession, database: str = "fintech_fraud") -> None:
+def use_database(spark: SparkSession, database: str = S.DEFAULT_DATABASE) -> None:
     """Create (if needed) and select a catalog database for views and tables."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
     spark.catalog.setCurrentDatabase(database)
@@ -188,7 +188,7 @@ def ingest(raw: DataFrame, table: str, canonical: bool = False) -> tuple[DataFra
 PARTITION_COLUMNS = {"transactions": ["transaction_month"]}
 
 
-def write_tables(tables: Tables, base: str, database: str = "fintech_fraud",
+def write_tables(tables: Tables, base: str, database: str = S.DEFAULT_DATABASE,
                  mode: str = "overwrite") -> str:
     """Store the model tables as Parquet under ``<base>/<database>/<table>``.
 
@@ -205,7 +205,7 @@ def write_tables(tables: Tables, base: str, database: str = "fintech_fraud",
 
 
 def load_tables(spark: SparkSession, base: str, fmt: str = "parquet",
-                database: str = "fintech_fraud", canonical: bool = False,
+                database: str = S.DEFAULT_DATABASE, canonical: bool = False,
                 **options: str) -> tuple[Tables, dict[str, DataFrame]]:
     """Load all four tables from ``<base>/<database>/<table>[.fmt]``."""
     root = namespace_path(base, database)
