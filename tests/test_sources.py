@@ -126,3 +126,22 @@ def test_use_database(spark):
     use_database(spark, "ledgerlens_test_db")
     assert spark.catalog.currentDatabase() == "ledgerlens_test_db"
     spark.catalog.setCurrentDatabase("default")
+
+
+def test_command_line_runner(spark, scratch):
+    from ledgerlens.__main__ import main, model_reports
+    base = os.path.join(scratch, "cli_in")
+    root = namespace_path(base)
+    _write_csv(f"{root}/accounts", S.ACCOUNTS.names, ACCOUNTS)
+    _write_csv(f"{root}/merchants", S.MERCHANTS.names, MERCHANTS)
+    _write_csv(f"{root}/transactions", S.TRANSACTIONS_RAW.names, _tx_rows(TRANSACTIONS))
+    _write_csv(f"{root}/fraud_flags", S.FRAUD_FLAGS.names, FLAGS)
+    out = os.path.join(scratch, "cli_out")
+    written = main(["--input", base, "--format", "csv", "--out", out], spark=spark)
+    assert set(written) == set(model_reports())
+    assert spark.read.parquet(written["pat_3c_velocity_pairs"]).count() == 6
+    assert spark.read.parquet(written["kpi_2a_overall_fraud_rate"]).first().flagged_count == 5
+    assert spark.read.parquet(f"{out}/_rejected/transactions").count() == 0
+    one = main(["--input", base, "--format", "csv", "--out", os.path.join(scratch, "cli_one"),
+                "--report", "vw_monthly_fraud_summary"], spark=spark)
+    assert list(one) == ["vw_monthly_fraud_summary"]
