@@ -32,13 +32,17 @@ def test_csv_ingest_quarantines_bad_rows(spark, scratch):
         ("B2", "A01", "M01", "2024-01-01", "10:00:00", "2024-01", "Debit", "Web", "ten", "Success", None, "Web"),
         ("B3", None, "M01", "2024-01-01", "10:00:00", "2024-01", "Debit", "Web", "10.00", "Success", None, "Web"),
         ("B4", "A01", "M01", "2024-02-30", "10:00:00", "2024-02", "Debit", "Web", "10.00", "Success", None, "Web"),
+        ("B5", "A01", "M01", "2024-01-01", "", "2024-01", "Debit", "Web", "10.00", "Success", None, "Web"),
+        ("G1", "A01", "M01", "2024-01-01", "9:05:00.5", "2024-01", "Debit", "Web", "10.00", "Success", None, "Web"),
     ]
     _write_csv(path, [f.name for f in S.TRANSACTIONS_RAW.fields], good + bad)
     model, rejected = load_table(spark, path, "transactions", fmt="csv")
     assert model.schema.names == S.TRANSACTIONS.names
-    assert sorted(r.transaction_id for r in model.collect()) == ["T001", "T002", "T003"]
+    assert sorted(r.transaction_id for r in model.collect()) == ["G1", "T001", "T002", "T003"]
+    g1 = [r for r in model.collect() if r.transaction_id == "G1"][0]
+    assert str(g1.transaction_ts) == "2024-01-01 09:05:00.500000"
     reasons = {r.transaction_id: r.reject_reason for r in rejected.collect()}
-    assert set(reasons) == {"B1", "B2", "B3", "B4"}
+    assert set(reasons) == {"B1", "B2", "B3", "B4", "B5"}
     assert "bad amount" in reasons["B2"] and "null account_id" in reasons["B3"]
     assert reasons["B1"] == "bad transaction_time" and "bad transaction_date" in reasons["B4"]
     t1 = [r for r in model.collect() if r.transaction_id == "T001"][0]
