@@ -30,7 +30,7 @@ from ledgerlens.functions.measures import (
 from ledgerlens.functions.sizing import bounded_broadcast, fits_broadcast
 from ledgerlens.operators.interval import time_window_pairs
 from ledgerlens.operators.ordered import rank_desc, running_sum
-from ledgerlens.operators.volume import per_merchant_totals
+from ledgerlens.operators.volume import per_merchant_totals, with_category
 from ledgerlens.sources.tables import Tables
 
 
@@ -165,11 +165,16 @@ def risk_scores(tables: Tables, high_value: Decimal | int = S.HIGH_VALUE_AMOUNT,
 def category_averages(tables: Tables) -> DataFrame:
     """Mean transaction amount per merchant category (transactions joined to merchants).
 
-    Aggregated per merchant first, so only merchant-sized rows meet the dimension.
+    Map-side join and direct category aggregate when merchants are small;
+    otherwise aggregated per merchant first, so only merchant-sized rows meet
+    the dimension.
     """
+    tagged = with_category(tables)
+    if tagged is not None:
+        return tagged.groupBy("merchant_category").agg(F.avg("amount").alias("avg_amount"))
     m = tables.merchants.select("merchant_id", "merchant_category")
     per_merchant = per_merchant_totals(tables.transactions)
-    return (per_merchant.join(bounded_broadcast(m), "merchant_id", "inner")
+    return (per_merchant.join(m, "merchant_id", "inner")
             .groupBy("merchant_category")
             .agg(decimal_avg(F.sum("sum_amount"), F.sum("n_amount")).alias("avg_amount")))
 

@@ -19,7 +19,7 @@ from ledgerlens.functions.measures import (
     rate_pct,
     status_is,
 )
-from ledgerlens.functions.sizing import bounded_broadcast
+from ledgerlens.functions.sizing import fits_broadcast
 from ledgerlens.sources.tables import Tables
 
 
@@ -78,11 +78,35 @@ def per_merchant_totals(transactions: DataFrame) -> DataFrame:
                  amount_if(status_is(S.FLAGGED)).alias("sum_flagged")))
 
 
+def with_category(tables: Tables) -> DataFrame | None:
+    """Fact rows tagged with their merchant category by a map-side join, or None
+    when the merchants table is too large to broadcast."""
+    m = tables.merchants.select("merchant_id", "merchant_category")
+    if not fits_broadcast(m):
+        return None
+    return tables.transactions.join(F.broadcast(m), "merchant_id", "inner")
+
+
 def by_merchant_category(tables: Tables) -> DataFrame:
-    """1d. Inner join to merchants, then revenue / flags / mean value per category."""
+    """1d. Inner join to merchants, then revenue / flags / mean value per category.
+
+    With a small merchants table the join happens map-side and rows aggregate
+    straight to categories (one partial row per category and task).  With a
+    large one, rows are first aggregated per merchant (partial aggregates) and
+    only that merchant-sized result is joined.
+    """
+    tagged = with_category(tables)
+    if tagged is not None:
+        return (tagged
+                .groupBy("merchant_category")
+                .agg(F.count("transaction_id").alias("total_transactions"),
+                     money(amount_if(status_is(S.SUCCESS))).alias("successful_revenue"),
+                     n_status(S.FLAGGED).alias("flagged_count"),
+                     money(F.avg("amount")).alias("avg_transaction_value"))
+                .orderBy(F.col("flagged_count").desc(), "merchant_category"))
     m = tables.merchants.select("merchant_id", "merchant_category")
     per_merchant = per_merchant_totals(tables.transactions)
-    joined = per_merchant.join(bounded_broadcast(m), "merchant_id", "inner")
+    joined = per_merchant.join(m, "merchant_id", "inner")
     return (joined
             .groupBy("merchant_category")
             .agg(F.sum("n_txn").alias("total_transactions"),
@@ -91,4 +115,3 @@ def by_merchant_category(tables: Tables) -> DataFrame:
                  money(decimal_avg(F.sum("sum_amount"), F.sum("n_amount")))
                  .alias("avg_transaction_value"))
             .orderBy(F.col("flagged_count").desc(), "merchant_category"))
-
