@@ -33,13 +33,20 @@ def status_is(status: str, col: str = "transaction_status") -> Column:
     return F.col(col) == F.lit(status)
 
 
-def n_if(cond: Column) -> Column:
-    """``SUM(CASE WHEN cond THEN 1 ELSE 0 END)`` (BIGINT; NULL only on empty input)."""
-    return F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0)))
+def n_if(cond: Column, global_agg: bool = False) -> Column:
+    """``SUM(CASE WHEN cond THEN 1 ELSE 0 END)`` (BIGINT).
+
+    Inside GROUP BY every group has rows, so this equals ``count_if(cond)``.
+    Only an aggregate without GROUP BY over an empty input differs (SUM gives
+    NULL): pass ``global_agg=True`` there to keep the SUM form.
+    """
+    if global_agg:
+        return F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0)))
+    return F.count_if(cond)
 
 
-def n_status(status: str, col: str = "transaction_status") -> Column:
-    return n_if(status_is(status, col))
+def n_status(status: str, col: str = "transaction_status", global_agg: bool = False) -> Column:
+    return n_if(status_is(status, col), global_agg)
 
 
 def amount_if(cond: Column, amount: str | Column = "amount") -> Column:

@@ -29,7 +29,7 @@ def overall_fraud_rate(tables: Tables) -> DataFrame:
     """2a. One row: total, flagged, fraud rate and flagged value."""
     return (tables.transactions
             .agg(F.count(F.lit(1)).alias("total_transactions"),
-                 n_status(S.FLAGGED).alias("flagged_count"),
+                 n_status(S.FLAGGED, global_agg=True).alias("flagged_count"),
                  money(amount_if(status_is(S.FLAGGED))).alias("total_flagged_amount"))
             .select("total_transactions", "flagged_count",
                     rate_pct("flagged_count", "total_transactions").alias("fraud_rate_pct"),

@@ -29,3 +29,12 @@ def test_time_band_without_else(spark):
                    "SELECT timestamp_ntz'2024-01-01 23:00:00' UNION ALL SELECT NULL")
     got = [(r.b, r.s) for r in df.select(time_band().alias("b"), time_band_sort().alias("s")).collect()]
     assert got == [("Late Night (00-04)", 1), ("Evening (18-23)", 4), (None, None)]
+
+
+def test_counts_on_empty_input(spark, fixture_tables):
+    from ledgerlens.operators import fraud, volume
+    empty = fixture_tables.with_(transactions=fixture_tables.transactions.limit(0))
+    row = fraud.overall_fraud_rate(empty).first()
+    # no GROUP BY over no rows: COUNT is 0, SUM(CASE ...) is NULL, the rate NULL
+    assert (row.total_transactions, row.flagged_count, row.fraud_rate_pct) == (0, None, None)
+    assert volume.monthly_trend(empty).count() == 0
