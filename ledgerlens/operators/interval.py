@@ -46,7 +46,8 @@ def time_window_pairs(df: DataFrame, key: str, ts: str, row_id: str,
     """All (current, previous) row pairs of one key with the minute distance in range.
 
     ``cur_cols`` / ``prev_cols`` map source columns to output names for each side.
-    Output also has ``minutes_apart`` (BIGINT, truncated whole minutes).
+    Output: those columns, ``minutes_apart`` (BIGINT, truncated whole minutes) and
+    the two timestamps as ``cur_ts`` / ``prev_ts``.
     """
     if min_minutes < 0 or max_minutes < min_minutes:
         raise ValueError("need 0 <= min_minutes <= max_minutes")
@@ -92,6 +93,6 @@ def time_window_pairs(df: DataFrame, key: str, ts: str, row_id: str,
         cond_all = cond_all & c
     # Both sides are fact-sized: a shuffle sort-merge join on (key, bucket[, day]),
     # never a broadcast of one side; AQE splits skewed key partitions.
-    return (cur.join(prev.hint("merge"), cond_all, "inner")
-               .withColumn("minutes_apart", elapsed_min)
-               .drop("_k", "_k2", "_b", "_b2", "_ts_c", "_ts_p", "_id_c", "_id_p", "_d_c", "_d_p"))
+    return cur.join(prev.hint("merge"), cond_all, "inner").select(
+        *cur_cols.values(), *prev_cols.values(), elapsed_min.alias("minutes_apart"),
+        F.col("_ts_c").alias("cur_ts"), F.col("_ts_p").alias("prev_ts"))

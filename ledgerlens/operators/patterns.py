@@ -76,19 +76,18 @@ def velocity_pairs(tables: Tables, min_minutes: int = S.VELOCITY_MIN_MINUTES,
 
 
 def velocity_base(t: DataFrame, min_minutes: int, max_minutes: int, same_day: bool,
-              extra_cur: dict[str, str]) -> DataFrame:
+                  extra_cur: dict[str, str]) -> DataFrame:
+    """Velocity pairs with the report's column names (unsorted)."""
     cur = {"account_id": "account_id", "transaction_id": "current_txn",
            "transaction_date": "transaction_date", "amount": "current_amount",
-           "transaction_status": "current_status", "transaction_ts": "_cur_ts", **extra_cur}
-    prev = {"transaction_id": "previous_txn", "amount": "previous_amount",
-            "transaction_ts": "_prev_ts"}
+           "transaction_status": "current_status", **extra_cur}
+    prev = {"transaction_id": "previous_txn", "amount": "previous_amount"}
     pairs = time_window_pairs(t, "account_id", "transaction_ts", "transaction_id",
                               min_minutes, max_minutes,
                               "transaction_date" if same_day else None, cur, prev)
-    return (pairs
-            .withColumn("transaction_time", transaction_time("_cur_ts"))
-            .withColumn("previous_time", transaction_time("_prev_ts"))
-            .drop("_cur_ts", "_prev_ts"))
+    return pairs.select(*cur.values(), *prev.values(), "minutes_apart",
+                        transaction_time("cur_ts").alias("transaction_time"),
+                        transaction_time("prev_ts").alias("previous_time"))
 
 
 def late_night(tables: Tables, first_hour: int = S.LATE_NIGHT_FIRST_HOUR,
