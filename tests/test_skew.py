@@ -162,3 +162,14 @@ def test_outdated_hot_key_statistics_do_not_change_results(spark, orders_tx, scr
         w.orderBy(F.col("amount").desc())).cast("long").alias("rk"))
     got_rk = rank_desc(grown, "account_id", "amount", "rk", target_rows=500)
     assert _same(got_rk.select("account_id", "transaction_id", "rk"), naive_rk)
+
+
+def test_rank_with_negative_and_zero_amounts(spark):
+    vals = [-1000.5, -3.0, -3.0, -0.01, 0.0, 0.0, 0.01, 2.5, 2.5, 99999.99, None]
+    rows = [("hot", i, vals[i % len(vals)]) for i in range(200)] + [("cold", 1, -1.0), ("cold", 2, 1.0)]
+    df = spark.createDataFrame(rows, "k string, id int, v double")
+    naive = df.select("k", "id", F.rank().over(Window.partitionBy("k").orderBy(F.col("v").desc()))
+                      .cast("long").alias("rk"))
+    for target in (5, 17, 1000):
+        got = rank_desc(df, "k", "v", "rk", tie="id", target_rows=target)
+        assert _same(got.select("k", "id", "rk"), naive)
