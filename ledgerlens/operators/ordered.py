@@ -66,13 +66,14 @@ def _with_sub(df: DataFrame, key: str, pos: Column, hot: DataFrame) -> DataFrame
 
 
 def _offsets(x: DataFrame, key: str, measure: Column, name: str) -> DataFrame:
-    """Per chunk of a hot key: exclusive prefix of ``measure`` sums over earlier
-    chunks, and the key's total row count (bounded size: hot chunks only)."""
+    """Per chunk of a hot key: SUM of ``measure`` over earlier chunks (NULL when
+    they hold no non-NULL value, as SQL's SUM), and the key's total row count
+    (bounded size: hot chunks only)."""
     totals = (x.filter(F.col("_k").isNotNull())
                .groupBy(key, _SUB).agg(F.sum(measure).alias("_chunk"),
                                        F.count(F.lit(1)).alias("_chunk_n")))
     before = Window.partitionBy(key).orderBy(_SUB).rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(key, _SUB, F.coalesce(F.sum("_chunk").over(before), F.lit(0)).alias(name),
+    return totals.select(key, _SUB, F.sum("_chunk").over(before).alias(name),
                          F.sum("_chunk_n").over(Window.partitionBy(key)).alias("_key_rows"))
 
 
@@ -103,7 +104,11 @@ def running_sum(df: DataFrame, key: str, value: str, out: str, count_out: str,
     local = (x.repartitionByRange(key, _SUB)
               .withColumn("_local", F.sum(value).over(chunk.orderBy(ts, tie).rowsBetween(*frame)))
               .withColumn("_chunk_rows", F.count(F.lit(1)).over(chunk)))
-    total = F.col("_local") + F.coalesce(F.col("_offset"), F.lit(0))
+    # SUM ignores NULLs: NULL only while neither this chunk nor any earlier one
+    # has contributed a value
+    local_sum, offset = F.col("_local"), F.col("_offset")
+    total = F.when(local_sum.isNull(), offset).when(offset.isNull(), local_sum) \
+             .otherwise(local_sum + offset)
     if res_type:
         total = total.cast(res_type)
     # bounded by construction: at most 2 * rows / target hot chunks
@@ -153,6 +158,6 @@ def rank_desc(df: DataFrame, key: str, value: str, out: str, tie: str = "transac
     # bounded by construction: at most 2 * rows / target hot chunks
     return (local.join(F.broadcast(offsets), [key, _SUB], "left")
                  .withColumn(out, (F.col("_local") + F.coalesce(F.col("_offset"), F.lit(0)))
-                             .cast("long"))
+                             .cast("long"))   # row counts: an absent offset is 0
                  .orderBy(key, _SUB, F.col(value).desc(), tie)
                  .drop(_SUB, "_lo", "_hi", "_k", "_local", "_offset", "_key_rows"))
