@@ -74,3 +74,62 @@ def test_chunked_windows_match_plain(spark, rows, target):
     rk = rank_desc(df, "account_id", "amount", "rk", target_rows=target)
     got = rs.select("transaction_id", "rt", "n").join(rk.select("transaction_id", "rk"), "transaction_id")
     assert sorted(got.collect()) == sorted(plain.collect())
+
+
+statuses = st.sampled_from(["Success", "Flagged", "Failed", "Reversed"])
+flag_statuses = st.sampled_from(["Confirmed Fraud", "Under Review", "False Positive"])
+
+
+@SLOW
+@given(tx=st.lists(st.tuples(st.sampled_from(["a1", "a2", "a3", "zz"]), statuses,
+                             st.decimals(0, 1000, places=2)), max_size=25),
+       fl=st.lists(st.tuples(st.sampled_from(["a1", "a2", "a4", "zz"]), flag_statuses), max_size=12))
+def test_fan_out_algebra_matches_exploding_join(spark, tx, fl):
+    from ledgerlens.operators.fraud import account_fraud_profile
+    from ledgerlens.sources.tables import Tables
+    accounts = spark.createDataFrame([(a,) for a in ("a1", "a2", "a3", "a4", "a5")], "account_id string")
+    t = spark.createDataFrame([(f"t{i}", a, s, Decimal(v)) for i, (a, s, v) in enumerate(tx)],
+                              "transaction_id string, account_id string, transaction_status string, "
+                              "amount decimal(12,2)")
+    f = spark.createDataFrame([(f"f{i}", a, s) for i, (a, s) in enumerate(fl)],
+                              "flag_id string, account_id string, flag_status string")
+    tables = Tables(accounts, accounts, t, f)
+    got = account_fraud_profile(tables, ["account_id"], fan_out=True)
+    accounts.createOrReplaceTempView("p_a")
+    t.createOrReplaceTempView("p_t")
+    f.createOrReplaceTempView("p_f")
+    naive = spark.sql("""
+        SELECT a.account_id, COUNT(t.transaction_id) AS total_transactions,
+               ROUND(SUM(t.amount), 2) AS total_transaction_value,
+               SUM(CASE WHEN t.transaction_status = 'Flagged' THEN 1 ELSE 0 END) AS flagged_count,
+               ROUND(SUM(CASE WHEN t.transaction_status = 'Flagged' THEN t.amount ELSE 0 END), 2)
+                 AS flagged_amount,
+               COUNT(f.flag_id) AS total_flags,
+               SUM(CASE WHEN f.flag_status = 'Confirmed Fraud' THEN 1 ELSE 0 END) AS confirmed_fraud_count,
+               SUM(CASE WHEN f.flag_status = 'Under Review' THEN 1 ELSE 0 END) AS under_review_count
+        FROM p_a a LEFT JOIN p_t t ON a.account_id = t.account_id
+                   LEFT JOIN p_f f ON a.account_id = f.account_id
+        GROUP BY a.account_id""")
+
+    def norm(df):
+        return sorted(tuple(None if v is None else (float(v) if isinstance(v, Decimal) else v)
+                            for v in r) for r in df.collect())
+    assert norm(got) == norm(naive)
+
+
+@settings(max_examples=60, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(pairs=st.lists(st.tuples(st.integers(0, 5000), st.integers(0, 5000)), min_size=1, max_size=30))
+def test_rate_rounding_matches_decimal_rule(spark, pairs):
+    from decimal import ROUND_HALF_UP
+
+    from ledgerlens.functions.measures import rate_pct
+    df = spark.createDataFrame(pairs, "n long, d long")
+    got = [r.r for r in df.select(rate_pct("n", "d").alias("r")).collect()]
+    want = []
+    for n, d in pairs:
+        if d == 0:
+            want.append(None)
+            continue
+        q5 = (Decimal(n * 100) / Decimal(d)).quantize(Decimal("0.00001"), ROUND_HALF_UP)
+        want.append(q5.quantize(Decimal("0.01"), ROUND_HALF_UP))
+    assert got == want
