@@ -133,3 +133,17 @@ def test_rate_rounding_matches_decimal_rule(spark, pairs):
         q5 = (Decimal(n * 100) / Decimal(d)).quantize(Decimal("0.00001"), ROUND_HALF_UP)
         want.append(q5.quantize(Decimal("0.01"), ROUND_HALF_UP))
     assert got == want
+
+
+@SLOW
+@given(rows=st.lists(st.tuples(st.sampled_from(["c1", "c2"]), st.integers(0, 6),
+                               st.decimals(-99999, 99999, places=2)), min_size=1, max_size=40))
+def test_two_level_average_equals_avg(spark, rows):
+    from ledgerlens.functions.measures import decimal_avg
+    df = spark.createDataFrame([(c, m, Decimal(v)) for c, m, v in rows],
+                               "category string, merchant int, amount decimal(12,2)")
+    direct = df.groupBy("category").agg(F.avg("amount").alias("a"))
+    per_merchant = df.groupBy("category", "merchant").agg(F.sum("amount").alias("s"),
+                                                          F.count("amount").alias("n"))
+    two_level = per_merchant.groupBy("category").agg(decimal_avg(F.sum("s"), F.sum("n")).alias("a"))
+    assert sorted(direct.collect()) == sorted(two_level.collect())
