@@ -4,9 +4,11 @@
                          --out OUT [--report NAME ...] [--canonical]
 
 Reads ``BASE/<database>/{accounts,merchants,transactions,fraud_flags}``, writes
-rejected input rows to ``OUT/_rejected/<table>`` and each report to
-``OUT/<report>`` (the ``vw_*`` views partitioned by month where they have one).
-Uses the active Spark session if there is one (e.g. under spark-submit).
+rejected input rows to ``OUT/_rejected/<table>``, the typed model once to
+``OUT/_model`` (transactions partitioned by month; every report then scans it
+instead of re-parsing the input) and each report to ``OUT/<report>`` (the
+``vw_*`` views partitioned by month where they have one).  Uses the active
+Spark session if there is one (e.g. under spark-submit).
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import SparkSession
 
 from ledgerlens.plans import catalog, views
 from ledgerlens.schema import DEFAULT_DATABASE
-from ledgerlens.sources.tables import load_tables
+from ledgerlens.sources.tables import load_tables, write_tables
 
 
 def model_reports() -> dict[str, catalog.Report]:
@@ -38,11 +40,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     args = ap.parse_args(argv)
 
     spark = spark or SparkSession.builder.getOrCreate()
-    tables, rejected = load_tables(spark, args.input, args.format, args.database, args.canonical)
+    parsed, rejected = load_tables(spark, args.input, args.format, args.database, args.canonical)
     out = args.out.rstrip("/")
     written = {}
     for table, bad in rejected.items():
         bad.write.mode("overwrite").parquet(f"{out}/_rejected/{table}")
+    # parse once: reports read the typed copy (this also cuts the lineage)
+    write_tables(parsed, f"{out}/_model", database=args.database)
+    tables, _ = load_tables(spark, f"{out}/_model", "parquet", args.database)
     reports = model_reports()
     for name in args.report or list(reports):
         r = reports[name]

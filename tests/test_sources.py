@@ -146,6 +146,8 @@ def test_command_line_runner(spark, scratch):
     assert spark.read.parquet(written["pat_3c_velocity_pairs"]).count() == 6
     assert spark.read.parquet(written["kpi_2a_overall_fraud_rate"]).first().flagged_count == 5
     assert spark.read.parquet(f"{out}/_rejected/transactions").count() == 0
+    assert any(d.startswith("transaction_month=")
+               for d in os.listdir(f"{out}/_model/payments/transactions"))
     one = main(["--input", base, "--format", "csv", "--out", os.path.join(scratch, "cli_one"),
                 "--report", "vw_monthly_fraud_summary"], spark=spark)
     assert list(one) == ["vw_monthly_fraud_summary"]
