@@ -151,3 +151,23 @@ def test_command_line_runner(spark, scratch):
     one = main(["--input", base, "--format", "csv", "--out", os.path.join(scratch, "cli_one"),
                 "--report", "vw_monthly_fraud_summary"], spark=spark)
     assert list(one) == ["vw_monthly_fraud_summary"]
+
+
+def test_json_ingest(spark, scratch):
+    import json
+    path = os.path.join(scratch, "json1", "fraud_flags.json")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w", encoding="utf-8") as fh:
+        for f in FLAGS:
+            rec = dict(zip(S.FRAUD_FLAGS.names, f))
+            rec["flag_date"] = rec["flag_date"].isoformat()
+            rec["resolution_date"] = rec["resolution_date"].isoformat() if rec["resolution_date"] else None
+            fh.write(json.dumps(rec, ensure_ascii=False) + "\n")
+        fh.write(json.dumps({"flag_id": "F98", "transaction_id": "T001", "account_id": "A02",
+                             "flag_date": "not a date", "flag_reason": "x", "flag_status": "y",
+                             "flagged_by": "z"}) + "\n")
+    model, rejected = load_table(spark, path, "fraud_flags", fmt="json")
+    assert model.count() == len(FLAGS) and model.schema == S.FRAUD_FLAGS or \
+        model.schema.names == S.FRAUD_FLAGS.names
+    assert {r.flag_reason for r in model.collect()} >= {S.REASON_VELOCITY}
+    assert [r.flag_id for r in rejected.collect()] == ["F98"]
