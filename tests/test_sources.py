@@ -171,3 +171,16 @@ def test_json_ingest(spark, scratch):
         model.schema.names == S.FRAUD_FLAGS.names
     assert {r.flag_reason for r in model.collect()} >= {S.REASON_VELOCITY}
     assert [r.flag_id for r in rejected.collect()] == ["F98"]
+
+
+def test_positional_csv_without_header(spark, scratch):
+    path = os.path.join(scratch, "csv_pos", "merchants.csv")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w", newline="", encoding="utf-8") as fh:
+        w = csv.writer(fh)
+        for m in MERCHANTS:
+            w.writerow(m)
+    model, rejected = load_table(spark, path, "merchants", fmt="csv", header="false")
+    assert rejected.count() == 0
+    got = {r.merchant_id: (r.merchant_category, r.is_verified) for r in model.collect()}
+    assert got["M02"] == ("Transfers", 0) and got["M03"] == ("Food", 1)
