@@ -32,11 +32,13 @@ def test_shuffle_join_path_matches_broadcast_path(spark, name, monkeypatch):
 
 
 @pytest.mark.parametrize("name", ["kpi_1a_monthly_trend", "pat_3a_running_total",
-                                  "pat_3c_velocity_pairs", "dq_primary_keys"])
+                                  "pat_3c_velocity_pairs", "dq_primary_keys",
+                                  "src_ingest_transactions", "src_ingest_merchants"])
 def test_lazy_and_materialised_bundles_agree(spark, name, monkeypatch):
     materialised = catalog.run(spark, SF, name).toPandas()
     monkeypatch.setattr(catalog, "_shared_root", lambda s: None)
     monkeypatch.setattr(catalog, "_cache", {})
+    monkeypatch.setattr(catalog, "_raw_cache", {})
     lazy = catalog.run(spark, SF, name).toPandas()
     assert diff(lazy, materialised) is None, diff(lazy, materialised)
 
