@@ -147,3 +147,49 @@ def test_two_level_average_equals_avg(spark, rows):
                                                           F.count("amount").alias("n"))
     two_level = per_merchant.groupBy("category").agg(decimal_avg(F.sum("s"), F.sum("n")).alias("a"))
     assert sorted(direct.collect()) == sorted(two_level.collect())
+
+
+keys = st.one_of(st.none(), st.sampled_from(["k1", "k2", "k3", "k4", "x" * 12]))
+
+
+@SLOW
+@given(acc=st.lists(st.tuples(keys, st.one_of(st.none(), st.text("ab", max_size=3))), max_size=12),
+       tx=st.lists(st.tuples(keys, keys), max_size=15))
+def test_quality_reports_match_sql(spark, acc, tx):
+    from ledgerlens import schema as S
+    from ledgerlens.operators import quality
+    from ledgerlens.sources.tables import Tables
+    a = spark.createDataFrame([(k, n, n, n, "r", "s", "t", "Active", None, "Verified", "Low")
+                               for k, n in acc],
+                              ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.ACCOUNTS.fields))
+    t = spark.createDataFrame([(f"t{i}", acct, "m1") for i, (acct, _) in enumerate(tx)] +
+                              [(tid, "k1", "m1") for tid, _ in tx if tid is not None],
+                              "transaction_id string, account_id string, merchant_id string")
+    m = spark.createDataFrame([("m1",)], "merchant_id string")
+    f = spark.createDataFrame([], "flag_id string, transaction_id string, account_id string")
+    tables = Tables(a, m, t, f)
+    a.createOrReplaceTempView("q_a")
+    t.createOrReplaceTempView("q_t")
+
+    pk = {r.table_name: (r.row_count, r.duplicate_keys, r.null_keys)
+          for r in quality.primary_key_report(tables).collect()}
+    want_a = spark.sql("""SELECT COUNT(*) AS n,
+        (SELECT COUNT(*) FROM (SELECT account_id FROM q_a GROUP BY account_id HAVING COUNT(*) > 1)),
+        COUNT(*) - COUNT(account_id) FROM q_a""").first()
+    assert pk["accounts"] == tuple(want_a)
+    want_t = spark.sql("""SELECT COUNT(*),
+        (SELECT COUNT(*) FROM (SELECT transaction_id FROM q_t GROUP BY transaction_id HAVING COUNT(*) > 1)),
+        COUNT(*) - COUNT(transaction_id) FROM q_t""").first()
+    assert pk["transactions"] == tuple(want_t)
+
+    fk = {(r.child_table, r.column_name): r.orphan_rows
+          for r in quality.foreign_key_report(tables).collect()}
+    orphans = spark.sql("""SELECT COUNT(*) FROM q_t t WHERE t.account_id IS NOT NULL
+        AND NOT EXISTS (SELECT 1 FROM q_a a WHERE a.account_id = t.account_id)""").first()[0]
+    assert fk[("transactions", "account_id")] == orphans
+
+    nn = {(r.table_name, r.column_name): r.null_count for r in quality.not_null_report(tables).collect()}
+    assert nn[("accounts", "full_name")] == sum(1 for _, n in acc if n is None)
+    assert nn[("accounts", "registration_date")] == len(acc)
+    lim = {(r.table_name, r.column_name): r.violations for r in quality.limits_report(tables).collect()}
+    assert lim[("accounts", "account_id")] == sum(1 for k, _ in acc if k is not None and len(k) > 10)
