@@ -12,7 +12,8 @@ from ledgerlens.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session(8, app="ledgerlens-tests", shuffle_partitions=8)
+    s = local_session(8, app="ledgerlens-tests", shuffle_partitions=8,
+                      extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="ledgerlens-wh-")})
     if not s.conf.get("spark.checkpoint.dir", None):
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerlens-ckpt-"))
     yield s
