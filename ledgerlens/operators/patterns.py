@@ -91,21 +91,23 @@ def velocity_base(t: DataFrame, min_minutes: int, max_minutes: int, same_day: bo
 
 
 def late_night(tables: Tables, first_hour: int = S.LATE_NIGHT_FIRST_HOUR,
-               last_hour: int = S.LATE_NIGHT_LAST_HOUR) -> DataFrame:
+               last_hour: int = S.LATE_NIGHT_LAST_HOUR, ordered: bool = True) -> DataFrame:
     """3d. Transactions between ``first_hour`` and ``last_hour`` (inclusive) with
-    account and merchant details, largest amount first."""
+    account and merchant details, largest amount first (``ordered=False`` skips
+    the global sort, a shuffle of the whole result, for downstream jobs)."""
     t = (tables.transactions
          .filter(hour_between(first_hour, last_hour))
          .select("account_id", "merchant_id", "transaction_id", "transaction_date",
                  "transaction_ts", "amount", "transaction_status"))
     a = tables.accounts.select("account_id", "full_name", "risk_tier")
     m = tables.merchants.select("merchant_id", "merchant_name", "merchant_category")
-    return (t.join(bounded_broadcast(a), "account_id", "inner")
-             .join(bounded_broadcast(m), "merchant_id", "inner")
-             .orderBy(F.col("amount").desc(), "transaction_id")
-             .select("account_id", "full_name", "risk_tier", "transaction_id",
-                     "transaction_date", transaction_time().alias("transaction_time"),
-                     "amount", "transaction_status", "merchant_name", "merchant_category"))
+    out = (t.join(bounded_broadcast(a), "account_id", "inner")
+            .join(bounded_broadcast(m), "merchant_id", "inner"))
+    if ordered:
+        out = out.orderBy(F.col("amount").desc(), "transaction_id")
+    return out.select("account_id", "full_name", "risk_tier", "transaction_id",
+                      "transaction_date", transaction_time().alias("transaction_time"),
+                      "amount", "transaction_status", "merchant_name", "merchant_category")
 
 
 def _points(col: str, points: dict[str, int]) -> Column:
@@ -123,8 +125,9 @@ def risk_scores(tables: Tables, high_value: Decimal | int = S.HIGH_VALUE_AMOUNT,
                 status_points: dict[str, int] | None = None,
                 cutoffs: tuple[tuple[str, int], ...] = S.RISK_LABELS,
                 first_hour: int = S.LATE_NIGHT_FIRST_HOUR,
-                last_hour: int = S.LATE_NIGHT_LAST_HOUR) -> DataFrame:
-    """3e. Composite risk score and label per account (all accounts, highest first).
+                last_hour: int = S.LATE_NIGHT_LAST_HOUR, ordered: bool = True) -> DataFrame:
+    """3e. Composite risk score and label per account (all accounts, highest first;
+    ``ordered=False`` skips the global sort).
 
     score = w_flag*flagged + w_night*late_night + w_high*(amount > high_value)
             + KYC points + account-status points; label by the first cut-off reached.
@@ -155,10 +158,10 @@ def risk_scores(tables: Tables, high_value: Decimal | int = S.HIGH_VALUE_AMOUNT,
         label = F.when(cond, F.lit(name)) if label is None else label.when(cond, F.lit(name))
     label = F.lit(S.RISK_LABEL_DEFAULT) if label is None else label.otherwise(
         F.lit(S.RISK_LABEL_DEFAULT))
-    return (scored
-            .withColumn("composite_risk_score", score.cast("long"))
-            .withColumn("risk_label", label)
-            .orderBy(F.col("composite_risk_score").desc(), "account_id"))
+    out = (scored
+           .withColumn("composite_risk_score", score.cast("long"))
+           .withColumn("risk_label", label))
+    return out.orderBy(F.col("composite_risk_score").desc(), "account_id") if ordered else out
 
 
 def category_averages(tables: Tables) -> DataFrame:
@@ -178,9 +181,10 @@ def category_averages(tables: Tables) -> DataFrame:
             .agg(decimal_avg(F.sum("sum_amount"), F.sum("n_amount")).alias("avg_amount")))
 
 
-def above_category_average(tables: Tables,
-                           factor: Decimal | float = S.CATEGORY_OUTLIER_FACTOR) -> DataFrame:
-    """3f. Transactions above ``factor`` x their merchant category's mean amount."""
+def above_category_average(tables: Tables, factor: Decimal | float = S.CATEGORY_OUTLIER_FACTOR,
+                           ordered: bool = True) -> DataFrame:
+    """3f. Transactions above ``factor`` x their merchant category's mean amount,
+    largest excess first (``ordered=False`` skips the global sort)."""
     m = tables.merchants.select("merchant_id", "merchant_name", "merchant_category")
     cats = category_averages(tables)
     # One threshold row per merchant: at most |merchants| rows, so the merchants
@@ -198,10 +202,10 @@ def above_category_average(tables: Tables,
         t = t.filter(F.col("amount") > cats.agg(F.min("avg_amount")).scalar() * k)
     # thresholds has one row per merchant: the merchants check above bounds it
     joined = t.join(F.broadcast(thresholds) if small else thresholds, "merchant_id", "inner")
-    return (joined
-            .filter(F.col("amount") > F.col("avg_amount") * k)
-            .select("transaction_id", "account_id", "merchant_name", "merchant_category",
-                    "amount", "transaction_status",
-                    money("avg_amount").alias("category_avg_amount"),
-                    money(F.col("amount") - F.col("avg_amount")).alias("amount_above_avg"))
-            .orderBy(F.col("amount_above_avg").desc(), "transaction_id"))
+    out = (joined
+           .filter(F.col("amount") > F.col("avg_amount") * k)
+           .select("transaction_id", "account_id", "merchant_name", "merchant_category",
+                   "amount", "transaction_status",
+                   money("avg_amount").alias("category_avg_amount"),
+                   money(F.col("amount") - F.col("avg_amount")).alias("amount_above_avg")))
+    return out.orderBy(F.col("amount_above_avg").desc(), "transaction_id") if ordered else out

@@ -140,3 +140,12 @@ def test_late_night(fixture_tables):
     got = [r.transaction_id for r in patterns.late_night(fixture_tables).collect()]
     # amounts 250000, 150000, 120000, 110000, 100000, 5000, 3000, 300, 50
     assert got == ["T020", "T001", "T003", "T021", "T002", "T004", "T006", "T012", "T018"]
+
+
+def test_unordered_variants_return_the_same_rows(fixture_tables):
+    for fn in (patterns.late_night, patterns.risk_scores, patterns.above_category_average,
+               patterns.velocity_pairs):
+        a = fn(fixture_tables)
+        b = fn(fixture_tables, ordered=False)
+        assert sorted(a.collect()) == sorted(b.collect())
+        assert "Sort" not in b._jdf.queryExecution().optimizedPlan().toString().split("\n")[0]
