@@ -129,14 +129,15 @@ def account_fraud_profile(tables: Tables, account_cols: list[str], fan_out: bool
     )
 
 
-def high_risk_accounts(tables: Tables, fan_out: bool = True) -> DataFrame:
-    """2e. Accounts with at least one flagged transaction, most confirmed first."""
+def high_risk_accounts(tables: Tables, fan_out: bool = True, ordered: bool = True) -> DataFrame:
+    """2e. Accounts with at least one flagged transaction, most confirmed first
+    (``ordered=False`` skips the global sort)."""
     cols = ["account_id", "full_name", "account_status", "risk_tier", "kyc_status"]
     prof = account_fraud_profile(tables, cols, fan_out)
-    return (prof
-            .filter(F.col("flagged_count") > 0)
-            .select(*cols, "total_transactions",
-                    F.col("flagged_count").alias("flagged_transactions"),
-                    F.col("flagged_amount").alias("total_flagged_amount"),
-                    "total_flags", "confirmed_fraud_count")
-            .orderBy(F.col("confirmed_fraud_count").desc(), "account_id"))
+    out = (prof
+           .filter(F.col("flagged_count") > 0)
+           .select(*cols, "total_transactions",
+                   F.col("flagged_count").alias("flagged_transactions"),
+                   F.col("flagged_amount").alias("total_flagged_amount"),
+                   "total_flags", "confirmed_fraud_count"))
+    return out.orderBy(F.col("confirmed_fraud_count").desc(), "account_id") if ordered else out

@@ -144,7 +144,7 @@ def test_late_night(fixture_tables):
 
 def test_unordered_variants_return_the_same_rows(fixture_tables):
     for fn in (patterns.late_night, patterns.risk_scores, patterns.above_category_average,
-               patterns.velocity_pairs):
+               patterns.velocity_pairs, fraud.high_risk_accounts):
         a = fn(fixture_tables)
         b = fn(fixture_tables, ordered=False)
         assert sorted(a.collect()) == sorted(b.collect())
