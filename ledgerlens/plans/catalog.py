@@ -58,7 +58,8 @@ def _raw(spark: SparkSession, sf_dir: str, kind: str,
                 tag = os.path.basename(os.path.normpath(sf_dir)) or "data"
                 digest = zlib.crc32(os.path.abspath(sf_dir).encode()) & 0xFFFFFFFF
                 path = f"{root}/ledgerlens-model/{app_id(spark)}/{tag}-{digest:08x}/raw/{kind}"
-                (df.repartition(parallelism(spark))
+                # hash on the key column: deterministic if a task is retried
+                (df.repartition(parallelism(spark), df.columns[0])
                    .write.mode("overwrite").options(header="true", nullValue="NULL").csv(path))
                 _raw_cache[key] = ("csv", read_raw(spark, path, kind, fmt="csv"))
         return _raw_cache[key]
