@@ -16,3 +16,21 @@ def test_every_query_has_oracle_sql():
     assert set(q) == set(o)
     assert len(q) >= 30
     assert all(callable(f) for f in q.values())
+
+
+def test_bench_prints_one_json_line():
+    import json
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = dict(os.environ, BENCH_SF_DIR="/root/testdata/sf0.001", BENCH_RUNS="1", BENCH_CPUS="2")
+    res = subprocess.run([sys.executable, os.path.join(root, "bench.py"), "kpi_2a_overall_fraud_rate",
+                          "pat_3c_velocity_pairs"], capture_output=True, text=True, env=env,
+                         timeout=600, cwd=root)
+    lines = [ln for ln in res.stdout.splitlines() if ln.strip()]
+    assert res.returncode == 0 and len(lines) == 1
+    out = json.loads(lines[0])
+    assert {"metric", "value", "unit", "queries", "sf"} <= set(out)
+    assert out["unit"] == "sec" and set(out["queries"]) == {"kpi_2a_overall_fraud_rate",
+                                                          "pat_3c_velocity_pairs"}
