@@ -34,7 +34,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     ap.add_argument("--format", default="parquet", choices=["parquet", "csv", "json"])
     ap.add_argument("--database", default=DEFAULT_DATABASE)
     ap.add_argument("--out", required=True, help="output folder")
-    ap.add_argument("--report", action="append", help="report name (repeatable); default all")
+    ap.add_argument("--report", action="append", choices=sorted(model_reports()),
+                    metavar="NAME", help="report name (repeatable); default all")
     ap.add_argument("--canonical", action="store_true",
                     help="map case variants of status / reason values to their declared spelling")
     args = ap.parse_args(argv)
