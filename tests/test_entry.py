@@ -34,3 +34,11 @@ def test_bench_prints_one_json_line():
     assert {"metric", "value", "unit", "queries", "sf"} <= set(out)
     assert out["unit"] == "sec" and set(out["queries"]) == {"kpi_2a_overall_fraud_rate",
                                                           "pat_3c_velocity_pairs"}
+
+
+def test_registered_reports_read_whole_tables(spark):
+    """No registered report caps or samples rows."""
+    for name, fn in E.queries().items():
+        plan = fn(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "GlobalLimit" not in plan and "LocalLimit" not in plan, name
+        assert "Sample " not in plan and "Sample(" not in plan, name
