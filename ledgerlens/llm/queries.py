@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlens.llm import simhash
-from ledgerlens.llm.common import table
+from ledgerlens.llm import dac, packing, sharding, simhash
+from ledgerlens.llm.common import new_path, table
+
+
+def op3_packing(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents") if docs is None else docs,
+                          public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset", "source", "padded_to")
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (sharding.shard_rows(table(spark, sf_dir, "documents"), shards=8)
+            .withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")}))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "dac")
+    dac.write_token_files(table(spark, sf_dir, "documents"), path,
+                          public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return (dac.read_documents(spark, path)
+            .select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +36,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_packing": op3_packing,
+    "op5_sharding": op5_sharding,
+    "op6_token_files": op6_token_files,
     "op10_simhash": op10_simhash,
 }
 
