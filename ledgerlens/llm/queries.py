@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import dac, packing, sharding, simhash
+from ledgerlens.llm import dac, decontamination, packing, sharding, simhash
 from ledgerlens.llm.common import new_path, table
 
 
@@ -30,6 +30,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+            .select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (simhash.near_duplicates(table(spark, sf_dir, "documents"))
             .select("doc_id", "fingerprint", "component_id"))
@@ -39,8 +44,9 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op5_sharding": op5_sharding,
     "op6_token_files": op6_token_files,
+    "op7_decontamination": op7_decontamination,
     "op10_simhash": op10_simhash,
 }
 
 #: DuckDB SQL where it can express a query
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_decontamination": decontamination.SQL}
