@@ -6,10 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import dac, decontamination, packing, sharding, simhash
+from ledgerlens.llm import dac, decontamination, langid, packing, quality, sharding, simhash
 from ledgerlens.llm.common import new_path, table
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out()))
+    return (langid.identified(docs.select("doc_id", "text"), model)
+            .select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "cross_entropy",
+                    "rejected"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents") if docs is None else docs,
                           public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
@@ -35,16 +43,25 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(~quality.held_out()))
+    return (quality.scored(docs.select("doc_id", "text"), model)
+            .select("doc_id", quality.held_out().alias("held_out"), "score", "predicted"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (simhash.near_duplicates(table(spark, sf_dir, "documents"))
             .select("doc_id", "fingerprint", "component_id"))
 
 
 QUERIES = {
+    "op2_langid": op2_langid,
     "op3_packing": op3_packing,
     "op5_sharding": op5_sharding,
     "op6_token_files": op6_token_files,
     "op7_decontamination": op7_decontamination,
+    "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
 }
 
