@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import dac, decontamination, langid, packing, quality, sharding, simhash
+from ledgerlens.llm import dac, decontamination, langid, packing, quality, secrets, sharding, simhash
 from ledgerlens.llm.common import new_path, table
 
 
@@ -43,6 +43,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scanned(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"),
+                        F.sha2(F.concat_ws(",", "secrets"), 256).alias("secrets_sha256"), "max_probability")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels").where(~quality.held_out()))
@@ -61,6 +67,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_token_files": op6_token_files,
     "op7_decontamination": op7_decontamination,
+    "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
 }

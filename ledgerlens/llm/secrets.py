@@ -1,0 +1,212 @@
+"""Secret scans: candidates by pattern, false positives removed by a random forest.
+
+Everything here is DataFrame functions and the DataFrame API of Spark ML.  A candidate is a
+long run of characters that keys are made of.  Its features: length, transitions between
+character classes, entropy of its characters, how much of it dictionary words cover, the path
+(source) it came from, and the words next to it.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ledgerlens.llm.common import kept
+
+#: a candidate: a long run of the characters of keys (no other candidate beside it)
+CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+#: fixed values: words that name a secret when a value is assigned to them
+NAMES = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key",
+         "auth", "authorization", "bearer", "credential", "credentials", "private_key", "client_secret", "key")
+#: fixed values: parts of a path that hold examples rather than live values
+EXAMPLE_PATH = r"(?i)(^|[^a-z])(tests?|fixtures?|examples?|samples?|docs?|mock|vendor|dist)([^a-z]|$)"
+#: characters kept beside a candidate
+CONTEXT = 48
+#: dictionary words: letters, this long, in at least so many documents
+DICTIONARY_WORD, DICTIONARY_DOCS = r"[a-z]{3,15}", 3
+#: dictionary rows are broadcast up to so many (words of 15 letters at most)
+BROADCAST_ROWS = 500_000
+MASK = "[SECRET]"
+
+FEATURES = ["length", "entropy", "digits", "uppers", "symbols", "moves", "hex", "vowels", "coverage",
+            "example_path", "path_depth", "named", "assigned", "quoted", "after_quote"]
+
+
+def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
+    """``(doc_id, text_key, path, value, before, after)``: every occurrence of a candidate in the
+    whole texts, with the characters beside it.  ``text_key`` is a 64-bit hash of the text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = docs.select("doc_id", F.xxhash64("text").alias("text_key"),
+                        F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"),
+                        F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("values"),
+                        F.split(text, CANDIDATE, -1).alias("gaps")).where(F.size("values") > 0)
+    each = F.transform("values", lambda v, i: F.struct(
+        v.alias("value"),
+        F.substring(F.get("gaps", i), -CONTEXT, CONTEXT).alias("before"),
+        F.substring(F.get("gaps", i + 1), 1, CONTEXT).alias("after")))
+    return found.select("doc_id", "text_key", "path", F.explode(each).alias("c")).select(
+        "doc_id", "text_key", "path", "c.*")
+
+
+def dictionary(docs: DataFrame, wanted: DataFrame, min_docs: int = DICTIONARY_DOCS) -> DataFrame:
+    """The words of ``wanted(word)`` that stand as words of their own in at least ``min_docs``
+    documents (all documents are counted)."""
+    words = F.array_distinct(F.regexp_extract_all(
+        F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(rf"\b{DICTIONARY_WORD}\b"), F.lit(0)))
+    seen = docs.select(F.explode(words).alias("word"))
+    small = wanted.count() <= BROADCAST_ROWS
+    return (seen.join(F.broadcast(wanted) if small else wanted, "word", "left_semi")
+            .groupBy("word").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
+            .select("word"))
+
+
+def _share(value: Column, pattern: str) -> Column:
+    return F.length(F.regexp_replace(value, pattern, "")) / F.length(value)
+
+
+def _runs(value: Column) -> Column:
+    """The letter runs of a value that a dictionary can know, lowered."""
+    return F.regexp_extract_all(F.lower(value), F.lit(r"[a-z]{3,}"), F.lit(0))
+
+
+def features(found: DataFrame, words: DataFrame | None) -> DataFrame:
+    """``found`` with the columns ``FEATURES``; ``words(word)`` is the dictionary.
+
+    Features of a value are made once for each distinct value, features of its surroundings for
+    each occurrence.
+    """
+    values = found.select("value").distinct()
+    v = F.col("value")
+    chars = F.split(v, "")
+    kinds = F.translate(v, "0123456789", "0" * 10)
+    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(kinds, "[a-z]", "a"), "[A-Z]", "A"), "[^a0A]", "-")
+    entropy = F.aggregate(
+        F.transform(F.array_distinct(chars),
+                    lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.size(chars)),
+        F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
+    # every border between two character classes: what is left after runs are collapsed
+    moves = (F.length(F.regexp_replace(kinds, r"(.)\1+", "$1")) - 1) / F.length(v)
+    values = values.withColumns({
+        "length": F.least(F.length(v), F.lit(200)).cast("double"),
+        "entropy": entropy,
+        "digits": _share(v, "[^0-9]"),
+        "uppers": _share(v, "[^A-Z]"),
+        "symbols": _share(v, "[A-Za-z0-9]"),
+        "moves": moves,
+        "hex": v.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$").cast("double"),
+        "vowels": _share(v, "[^AEIOUaeiou]"),
+    })
+    if words is None:
+        covered = values.select("value", F.lit(0.0).alias("coverage"))
+    else:
+        runs = values.select("value", F.explode_outer(F.array_distinct(_runs(v))).alias("word"))
+        small = words.count() <= BROADCAST_ROWS
+        known = runs.join(F.broadcast(words) if small else words, "word", "left_semi")
+        covered = (known.groupBy("value").agg(F.sum(F.length("word")).alias("letters"))
+                   .select("value", (F.col("letters") / F.length("value")).alias("coverage")))
+    values = values.join(covered, "value", "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
+    name = F.lower(F.regexp_extract("before", r"([A-Za-z][A-Za-z0-9_-]*)[\"']?\s*(?:[:=]>?|\s)?\s*[\"']?$", 1))
+    context = found.withColumns({
+        "example_path": F.col("path").rlike(EXAMPLE_PATH).cast("double"),
+        "path_depth": F.size(F.split("path", r"[/\\]")).cast("double"),
+        "named": name.isin(*NAMES).cast("double"),
+        "assigned": F.col("before").rlike(r"[:=]\s*[\"']?$").cast("double"),
+        "quoted": F.col("before").rlike(r"[\"']$").cast("double"),
+        "after_quote": F.col("after").rlike(r"^[\"']").cast("double"),
+    })
+    return context.join(values, "value")
+
+
+def weak_labels(found: DataFrame) -> DataFrame:
+    """``found`` with ``label``: labelled findings where none are given.
+
+    1: a value in quotes, assigned to a name of a secret, of letters and digits both.
+    0: a value of letters only, or of digits only, that no such name stands before.
+    Others are null: what a forest learns from the first two kinds decides them.
+    """
+    name = F.lower(F.regexp_extract("before", r"([A-Za-z][A-Za-z0-9_-]*)\s*[:=]\s*[\"']$", 1)).isin(*NAMES)
+    mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
+    plain = F.col("value").rlike("^(?:[A-Za-z_-]+|[0-9_-]+)$")
+    return found.withColumn("label", F.when(name & mixed, 1.0).when(plain & ~name, 0.0))
+
+
+def train(labelled: DataFrame, trees: int = 20, depth: int = 6, max_findings: int = 4000) -> RandomForestClassificationModel | None:
+    """A random forest from ``labelled`` findings (columns ``FEATURES``, ``value`` and ``label`` 0 or 1).
+
+    At most ``max_findings`` distinct findings of each label are used, those of the smallest
+    hashes.  None if one label has no finding: there is nothing to tell apart.
+    """
+    rows = labelled.where("label in (0.0, 1.0)").dropDuplicates(["value", "label"])
+    order = F.xxhash64("value")
+    both = [rows.where(F.col("label") == x).orderBy(order, "value").limit(max_findings) for x in (0.0, 1.0)]
+    sample = kept(both[0].union(both[1]).select("label", *FEATURES))
+    if sample.select("label").distinct().count() < 2:
+        return None
+    ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample)
+    return RandomForestClassifier(labelCol="label", numTrees=trees, maxDepth=depth, seed=1,
+                                  featureSubsetStrategy="sqrt").fit(ready.coalesce(1))
+
+
+def judged(found: DataFrame, model: RandomForestClassificationModel | None, threshold: float = 0.5) -> DataFrame:
+    """``found`` (with ``FEATURES``) with ``probability`` and ``secret``.  Without a model every
+    candidate of letters and digits both is taken for a secret."""
+    if model is None:
+        mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
+        return found.withColumn("probability", mixed.cast("double")).withColumn("secret", mixed)
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found)
+    return (model.transform(rows)
+            .withColumn("probability", vector_to_array("probability")[1])
+            .withColumn("secret", F.col("probability") > threshold)
+            .drop("features", "rawPrediction", "prediction"))
+
+
+def findings(docs: DataFrame, labelled: DataFrame | None = None, path: str = "source",
+             trees: int = 20, threshold: float = 0.5) -> DataFrame:
+    """``(doc_id, text_key, value, probability, secret, occurrences)``: each distinct candidate of
+    each distinct (doc_id, text), secret if its likeliest occurrence is.
+
+    ``labelled`` are findings with ``value, before, after, path, label`` (1: a secret); without
+    it, ``weak_labels`` of the candidates themselves are used.  The dictionary and the judgement
+    cover all documents; only the forest's training is bounded.  Null texts have no candidate, null paths are empty.
+    """
+    found = kept(candidates(docs, path).groupBy("doc_id", "text_key", "path", "value", "before", "after")
+                 .agg(F.count(F.lit(1)).alias("occurrences")))
+    wanted = kept(found.select("value").distinct().select(F.explode(_runs(F.col("value"))).alias("word"))
+                  .where(F.length("word") <= 15).distinct())
+    words = kept(dictionary(docs, wanted))
+    learn = features(weak_labels(found) if labelled is None else labelled, words)
+    judge = judged(features(found, words), train(learn, trees), threshold)
+    return (judge.groupBy("doc_id", "text_key", "value")
+            .agg(F.max("probability").alias("probability"), F.max("secret").alias("secret"),
+                 F.sum("occurrences").alias("occurrences")))
+
+
+def scanned(docs: DataFrame, labelled: DataFrame | None = None, path: str = "source",
+            threshold: float = 0.5) -> DataFrame:
+    """``docs`` with ``n_candidates``, ``secrets`` (sorted distinct values) and ``max_probability``.
+
+    Every row of ``docs(doc_id, text, <path>)`` stays, with its own columns (columns of the new
+    names are replaced).  Texts without candidates, null and empty ones have no secrets and a
+    null probability; a null doc_id is an id like any other; repeated rows each get the result.
+    """
+    per_doc = (findings(docs, labelled, path, threshold=threshold).groupBy("doc_id", "text_key")
+               .agg(F.sum("occurrences").alias("found_candidates"),
+                    F.sort_array(F.collect_set(F.when(F.col("secret"), F.col("value")))).alias("found_secrets"),
+                    F.max("probability").alias("found_probability"))
+               .withColumnRenamed("doc_id", "found_id").withColumnRenamed("text_key", "found_key"))
+    new = {"n_candidates": F.coalesce("found_candidates", F.lit(0)).cast("long"),
+           "secrets": F.coalesce("found_secrets", F.array().cast("array<string>")),
+           "max_probability": F.col("found_probability")}
+    old = docs.drop(*new)
+    match = F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.xxhash64("text") == F.col("found_key"))
+    return old.join(per_doc, match, "left").withColumns(new).select(*old.columns, *new)
+
+
+def redacted(text: str = "text", secrets: str = "secrets", mask: str = MASK) -> Column:
+    """The text with every secret replaced by ``mask``, longest first (one may hold another)."""
+    by_length = F.transform(F.array_sort(F.transform(secrets, lambda s: F.struct(-F.length(s), s))),
+                            lambda x: x["col2"])
+    return F.aggregate(by_length, F.col(text), lambda acc, s: F.replace(acc, s, F.lit(mask)))
