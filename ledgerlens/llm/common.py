@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,14 +13,27 @@ from pyspark.sql import functions as F
 from ledgerlens.session import shared_dir
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the package wherever the session was started
+    (on a cluster, ship it with --py-files or install it)."""
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        root = str(Path(__file__).resolve().parents[2])
+        paths = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if root not in paths:
+            context.environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table."""
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def work_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a scratch folder only where the session
     names none and runs in this process (tests)."""
+    importable(spark)
     found = shared_dir(spark)
     if not found:
         if not spark.sparkContext.master.startswith("local["):

@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import dac, decontamination, langid, packing, quality, secrets, sharding, simhash
+from ledgerlens.llm import dac, decontamination, langid, neighbours, packing, quality, secrets, sharding, simhash
 from ledgerlens.llm.common import new_path, table
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(~langid.held_out()))
@@ -62,6 +66,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_neighbours": op1_neighbours,
     "op2_langid": op2_langid,
     "op3_packing": op3_packing,
     "op5_sharding": op5_sharding,
