@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import dac, decontamination, langid, neighbours, packing, quality, secrets, sharding, simhash
+from ledgerlens.llm import dac, decontamination, html_text, langid, neighbours, packing, quality, secrets, sharding, simhash
 from ledgerlens.llm.common import new_path, table
 
 
@@ -29,6 +29,11 @@ def op3_packing(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None)
                          "sequence_id", "offset", "source", "padded_to")
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (html_text.extracted(table(spark, sf_dir, "pages"))
+            .select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars")))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (sharding.shard_rows(table(spark, sf_dir, "documents"), shards=8)
             .withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")}))
@@ -69,6 +74,7 @@ QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_langid": op2_langid,
     "op3_packing": op3_packing,
+    "op4_html": op4_html,
     "op5_sharding": op5_sharding,
     "op6_token_files": op6_token_files,
     "op7_decontamination": op7_decontamination,
