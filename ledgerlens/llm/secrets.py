@@ -207,6 +207,6 @@ def scanned(docs: DataFrame, labelled: DataFrame | None = None, path: str = "sou
 
 def redacted(text: str = "text", secrets: str = "secrets", mask: str = MASK) -> Column:
     """The text with every secret replaced by ``mask``, longest first (one may hold another)."""
-    by_length = F.transform(F.array_sort(F.transform(secrets, lambda s: F.struct(-F.length(s), s))),
-                            lambda x: x["col2"])
+    sized = F.transform(secrets, lambda s: F.struct((-F.length(s)).alias("n"), s.alias("value")))
+    by_length = F.transform(F.array_sort(sized), lambda x: x["value"])
     return F.aggregate(by_length, F.col(text), lambda acc, s: F.replace(acc, s, F.lit(mask)))

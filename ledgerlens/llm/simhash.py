@@ -53,16 +53,19 @@ def text_fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``(doc_id, fp)``: the signed 64-bit fingerprint of every row's whole text.
+    """``(doc_id, text_key, fp)``: the signed 64-bit fingerprint of every row's whole text, and a
+    64-bit hash of the text that, with the doc_id, stands for the row.
 
     A null, empty or wordless text has fingerprint 0; repeated rows stay repeated.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([text_fingerprint(t, width) for t in b["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text_key": b["text_key"],
+                                "fp": fp.view(np.int64)})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    return rows.mapInPandas(run, "doc_id long, text_key long, fp long")
 
 
 def _fuzzy_keys(fps: DataFrame) -> DataFrame:
@@ -169,7 +172,8 @@ def links(fps: DataFrame, distance: int = 3, key_block: int = KEY_BLOCK) -> Data
 
 def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3,
                     key_block: int = KEY_BLOCK) -> DataFrame:
-    """``(doc_id, fp, fingerprint, component_id)`` of every row of ``docs(doc_id, text)``.
+    """``(doc_id, text_key, fp, fingerprint, component, component_id)`` of every row of
+    ``docs(doc_id, text)``; ``component`` names the component by its smallest fingerprint.
 
     Words are runs without ASCII white space of the text with A-Z lowered; fingerprints that
     differ in at most ``distance`` bits are linked, and ``component_id`` is the smallest doc_id
@@ -185,7 +189,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3,
     roots = (classes.join(joined, F.col("fp") == F.col("id"), "left")
              .select("fp", "least", F.coalesce("root", "fp").alias("root")))
     smallest = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = roots.select("fp", "root").join(smallest, "root").select("fp", "component_id")
+    named = roots.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id")
     return (prints.join(named, "fp")
-            .select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-                    "component_id"))
+            .select("doc_id", "text_key", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+                    F.col("root").alias("component"), "component_id"))
