@@ -79,7 +79,7 @@ class Segment:
             block = bits.reshape(-1, RANK_BLOCK // 8)[at // RANK_BLOCK]
             inside = np.unpackbits(block, axis=1, bitorder="little")
             before = np.arange(RANK_BLOCK) < (at % RANK_BLOCK)[:, None]
-            at = rank[at // RANK_BLOCK].astype(np.int64) + (inside & before).sum(axis=1)
+            at = rank[at // RANK_BLOCK].astype(np.int64) + (inside & before).sum(axis=1, dtype=np.int64)
         return out
 
     def all(self) -> np.ndarray:
@@ -181,8 +181,13 @@ def tokens_at(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     import pandas as pd
 
     segments = _segments(spark, path)
-    places = segments.select(F.col("part"), F.col("seq"), "start", (F.col("start") + F.col("n")).alias("end"))
-    found = wanted.join(places, (F.col("position") >= F.col("start")) & (F.col("position") < F.col("end")))
+    # segments are listed under the stretches of the stream that they touch: an equi-join
+    stretch = F.lit(SEGMENT_TOKENS)
+    end = F.col("start") + F.col("n")
+    places = _segments(spark, path).select("part", "seq", "start", end.alias("end"), F.explode(F.sequence(
+        F.floor(F.col("start") / stretch), F.floor((end - 1) / stretch))).alias("stretch"))
+    asked = wanted.select("position", F.floor(F.col("position") / stretch).alias("stretch"))
+    found = asked.join(places, "stretch").where("position >= start and position < end")
 
     def run(seg: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
         if not len(seg) or not len(want):

@@ -148,15 +148,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             .select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"),
                     F.col("n_hit").alias("hit_words"), "ids"))
     new = {
-        "n_words": F.coalesce(F.regexp_count("text", F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long"),
+        "n_words": F.coalesce(F.regexp_count("row.text", F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long"),
         "n_hit": F.coalesce("hit_words", F.lit(0)).cast("long"),
         "n_items": F.coalesce(F.size("ids"), F.lit(0)).cast("long"),
         "items_sha256": F.sha2(F.coalesce(F.concat_ws(",", "ids"), F.lit("")), 256),
         "contaminated": F.coalesce(F.col("hit_words") > 0, F.lit(False)),
     }
-    old = docs.drop(*new)
-    match = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_key"))
-    return old.join(hits, match, "left").withColumns(new).select(*old.columns, *new)
+    rows = docs.drop(*new).select(F.struct("*").alias("row"))          # no name can clash
+    match = F.col("row.doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("row.text") == F.col("hit_key"))
+    return rows.join(hits, match, "left").select("row.*", *[c.alias(n) for n, c in new.items()])
 
 
 #: DuckDB SQL of the same result, by comparing every window

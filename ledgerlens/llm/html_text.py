@@ -251,15 +251,15 @@ def extracted(pages: DataFrame, threshold: float = THRESHOLD, gamma: float = GAM
     rows and columns are kept (a column ``text`` is replaced); repeated rows each get their text;
     an empty table stays empty.
     """
-    hosted = pages.drop("text").withColumn("_host", host_of(F.col("url")))
-    tree = importance(site_nodes(hosted.where("_host <> ''").select(F.col("_host").alias("host"), "html")), gamma)
-    low = kept(tree.where(F.col("importance") < threshold).groupBy("host").agg(F.collect_set("path").alias("_low"))
-               .withColumnRenamed("host", "_host"))
+    rows = pages.drop("text").select(F.struct("*").alias("row"))      # no name can clash
+    hosted = rows.withColumn("host", host_of(F.col("row.url")))
+    tree = importance(site_nodes(hosted.where("host <> ''").select("host", F.col("row.html").alias("html"))), gamma)
+    low = kept(tree.where(F.col("importance") < threshold).groupBy("host").agg(F.collect_set("path").alias("low")))
 
     @F.pandas_udf("string")
     def text(html: pd.Series, low: pd.Series) -> pd.Series:
         return pd.Series([main_text(h, frozenset(() if x is None else x.tolist())) for h, x in zip(html, low)],
                          dtype=object)
 
-    return (hosted.join(low, "_host", "left").withColumn("text", text("html", "_low"))
-            .select(*[c for c in pages.columns if c != "text"], "text"))
+    found = hosted.join(low, "host", "left").withColumn("text", text("row.html", "low"))
+    return found.select("row.*", "text")

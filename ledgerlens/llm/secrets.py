@@ -200,9 +200,9 @@ def scanned(docs: DataFrame, labelled: DataFrame | None = None, path: str = "sou
     new = {"n_candidates": F.coalesce("found_candidates", F.lit(0)).cast("long"),
            "secrets": F.coalesce("found_secrets", F.array().cast("array<string>")),
            "max_probability": F.col("found_probability")}
-    old = docs.drop(*new)
-    match = F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.xxhash64("text") == F.col("found_key"))
-    return old.join(per_doc, match, "left").withColumns(new).select(*old.columns, *new)
+    rows = docs.drop(*new).select(F.struct("*").alias("row"))          # no name can clash
+    match = F.col("row.doc_id").eqNullSafe(F.col("found_id")) & (F.xxhash64("row.text") == F.col("found_key"))
+    return rows.join(per_doc, match, "left").select("row.*", *[c.alias(n) for n, c in new.items()])
 
 
 def redacted(text: str = "text", secrets: str = "secrets", mask: str = MASK) -> Column:
