@@ -4,9 +4,9 @@
                          --out OUT [--report NAME ...] [--canonical]
 
 Reads ``BASE/<database>/{accounts,merchants,transactions,fraud_flags}``, writes
-rejected input rows to ``OUT/_rejected/<table>``, the typed model once to
-``OUT/_model`` (transactions partitioned by month; every report then scans it
-instead of re-parsing the input) and each report to ``OUT/<report>`` (the
+every input row once, judged, to ``OUT/_staged/<table>``, rejected rows to
+``OUT/_rejected/<table>``, the typed model to ``OUT/_model`` (transactions partitioned
+by month; every report then scans it instead of re-parsing the input) and each report to ``OUT/<report>`` (the
 ``vw_*`` views partitioned by month where they have one).  Uses the active
 Spark session if there is one (e.g. under spark-submit).
 """
@@ -20,12 +20,22 @@ from pyspark.sql import SparkSession
 
 from ledgerlens.plans import catalog, views
 from ledgerlens.schema import DEFAULT_DATABASE
-from ledgerlens.sources.tables import load_tables, write_tables
+from ledgerlens.sources.tables import (
+    TABLE_NAMES,
+    Tables,
+    canonical_case,
+    ingest_marked,
+    load_tables,
+    namespace_path,
+    read_raw,
+    split_marked,
+    write_tables,
+)
 
 
 def model_reports() -> dict[str, catalog.Report]:
     """Registered reports that run on the four model tables."""
-    return {r.name: r for r in catalog.REPORTS if r.bundle is not None}
+    return {r.name: r for r in catalog.REPORTS if r.bundle in ("orders", "events")}
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> dict[str, str]:
@@ -41,13 +51,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     args = ap.parse_args(argv)
 
     spark = spark or SparkSession.builder.getOrCreate()
-    parsed, rejected = load_tables(spark, args.input, args.format, args.database, args.canonical)
     out = args.out.rstrip("/")
-    written = {}
-    for table, bad in rejected.items():
+    root = namespace_path(args.input, args.database)
+    written, parsed = {}, {}
+    for table in TABLE_NAMES:
+        # every record is parsed and judged once; good and rejected rows are split on read
+        staged = f"{out}/_staged/{table}"
+        raw = read_raw(spark, f"{root}/{table}", table, args.format)
+        ingest_marked(raw, table).write.mode("overwrite").parquet(staged)
+        good, bad = split_marked(spark.read.parquet(staged))
         bad.write.mode("overwrite").parquet(f"{out}/_rejected/{table}")
-    # parse once: reports read the typed copy (this also cuts the lineage)
-    write_tables(parsed, f"{out}/_model", database=args.database)
+        parsed[table] = canonical_case(good, table) if args.canonical else good
+    write_tables(Tables(**parsed), f"{out}/_model", database=args.database)
     tables, _ = load_tables(spark, f"{out}/_model", "parquet", args.database)
     reports = model_reports()
     for name in args.report or list(reports):

@@ -1,18 +1,17 @@
 """Size-checked broadcast.
 
-A join side is broadcast only after it is proven small: first a row count
-(cheap on Parquet), then - only if that passes - one aggregate over the side
-that measures the actual bytes of its text columns, giving its in-memory size
-as rows x (row header + 8 bytes per field) + variable-length bytes.  Both are
-Spark jobs over the (usually tiny) dimension, memoised per application and
-logical plan so repeated reports do not pay for them twice.  Above either limit
-the side is returned untouched and Spark plans a shuffle join, where AQE can
-still split skewed partitions.
+A join side is broadcast only after it is proven small, by one aggregate over the
+side itself: its rows, and the actual bytes of its text columns, which give its
+in-memory size as rows x (row header + 8 bytes per field) + variable-length
+bytes.  The measurement is a Spark job over the (usually small) dimension when
+the plan is built.  It is not kept between calls: files may grow in a session.
+Above either limit the side is returned untouched and Spark plans a shuffle
+join, where AQE can still split skewed partitions.
 """
 
 from __future__ import annotations
 
-import threading
+import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,53 +19,11 @@ from pyspark.sql import types as T
 
 from ledgerlens import settings
 
-_lock = threading.RLock()
-_counts: dict[tuple[str, int], int] = {}
-_bytes: dict[tuple[str, int], int] = {}
-_nonempty: dict[tuple[str, int], bool] = {}
 
-
-def _key(df: DataFrame) -> tuple[str, int]:
-    from ledgerlens.session import app_id
-    return app_id(df.sparkSession), df.semanticHash()
-
-
-def row_count(df: DataFrame) -> int:
-    """Row count of ``df``, memoised by (application, semantic plan hash)."""
-    key = _key(df)
-    with _lock:
-        if key in _counts:
-            return _counts[key]
-    n = df.count()
-    with _lock:
-        _counts[key] = n
-    return n
-
-
-def has_rows(df: DataFrame) -> bool:
-    """Whether ``df`` has any row, memoised by (session, semantic plan hash).
-
-    Used only to choose between plans that return the same result, so a stale
-    answer after the underlying files change costs speed, never correctness.
-    """
-    key = _key(df)
-    with _lock:
-        if key in _nonempty:
-            return _nonempty[key]
-    v = not df.isEmpty()
-    with _lock:
-        _nonempty[key] = v
-    return v
-
-
-def byte_size(df: DataFrame) -> int:
-    """In-memory size of ``df`` as broadcast rows: per row a null-bit word plus
-    8 bytes per field, plus the measured bytes of variable-length columns
-    (each rounded up to 8).  One aggregate pass, memoised."""
-    key = _key(df)
-    with _lock:
-        if key in _bytes:
-            return _bytes[key]
+def measure(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes) of ``df`` as broadcast rows: per row a null-bit word plus 8
+    bytes per field, plus the measured bytes of variable-length columns (each
+    rounded up to 8)."""
     fields = df.schema.fields
     var = [f.name for f in fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
     wide = [f.name for f in fields if isinstance(f.dataType, T.DecimalType) and f.dataType.precision > 18]
@@ -75,62 +32,48 @@ def byte_size(df: DataFrame) -> int:
               .alias(f"v{i}") for i, c in enumerate(var)]
     row = df.agg(*parts).first()
     n = row["n"]
-    size = n * (8 + 8 * len(fields) + 16 * len(wide)) + sum(row[f"v{i}"] for i in range(len(var)))
-    with _lock:
-        _bytes[key] = size
-    return size
+    return n, n * (8 + 8 * len(fields) + 16 * len(wide)) + sum(row[f"v{i}"] for i in range(len(var)))
+
+
+def row_count(df: DataFrame) -> int:
+    """Rows of ``df`` now."""
+    return df.count()
+
+
+def byte_size(df: DataFrame) -> int:
+    """In-memory size of ``df`` as broadcast rows (see :func:`measure`)."""
+    return measure(df)[1]
 
 
 def fits_broadcast(df: DataFrame, max_rows: int | None = None,
                    max_bytes: int | None = None) -> bool:
-    """True when ``df`` provably has at most ``max_rows`` rows and at most
-    ``max_bytes`` bytes in memory (the byte pass runs only if the rows fit)."""
+    """True when ``df`` has, as measured now, at most ``max_rows`` rows and at most
+    ``max_bytes`` bytes in memory."""
     rows = settings.BROADCAST_MAX_ROWS if max_rows is None else max_rows
     limit = settings.BROADCAST_MAX_BYTES if max_bytes is None else max_bytes
-    return row_count(df) <= rows and byte_size(df) <= limit
+    n, size = measure(df)
+    return n <= rows and size <= limit
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int | None = None,
                       size_of: DataFrame | None = None) -> DataFrame:
     """Hint ``df`` for broadcast iff it is provably small (see :func:`fits_broadcast`).
 
-    ``size_of`` names a cheaper DataFrame whose size bounds ``df``'s (for
-    example the merchants table for a per-merchant threshold table that is
-    derived from the transactions); by default ``df`` itself is measured.
+    ``size_of`` names a cheaper DataFrame whose size bounds ``df``'s; by default
+    ``df`` itself is measured.
     """
     return F.broadcast(df) if fits_broadcast(df if size_of is None else size_of, max_rows) else df
 
 
-_small: dict[tuple[str, int], DataFrame] = {}
-
-
-def materialize_small(df: DataFrame, label: str) -> DataFrame:
-    """Write a small derived table (plan statistics such as a hot-key list) once
-    per session to the shared ``spark.checkpoint.dir`` and read it back, so
-    the plans that use it several times do not recompute it.  Without a shared
-    folder the lazy plan is returned unchanged.
-
-    Only for tables that steer plan choices: callers stay exact when the
-    written copy is older than the data.
-    """
-    from ledgerlens.session import app_id, shared_dir
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once and stored by a reliable checkpoint in the session's shared folder,
+    so that what it holds survives the loss of an executor.  A session of this process alone
+    that names no folder gets a scratch one."""
+    from ledgerlens.session import checkpoint_dir, sc_is_remote, shared_dir
     spark = df.sparkSession
-    root = shared_dir(spark)
-    if not root:
-        return df
-    key = _key(df)
-    app = key[0]
-    with _lock:                     # small write; holding the lock avoids racing writers
-        if key not in _small:
-            path = f"{root}/ledgerlens-stats/{app}/{label}-{key[1] & 0xFFFFFFFF:08x}"
-            df.write.mode("overwrite").parquet(path)
-            _small[key] = spark.read.parquet(path)
-        return _small[key]
-
-
-def clear_cache() -> None:
-    with _lock:
-        _counts.clear()
-        _bytes.clear()
-        _nonempty.clear()
-        _small.clear()
+    folder = shared_dir(spark)
+    if folder is None:
+        folder = checkpoint_dir(spark) if sc_is_remote(spark) else tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)

@@ -100,32 +100,55 @@ def per_account_flags(flags: DataFrame) -> DataFrame:
                  n_status(S.UNDER_REVIEW, st).alias("_rev")))
 
 
-def account_fraud_profile(tables: Tables, account_cols: list[str], fan_out: bool = True) -> DataFrame:
+#: products of two row counts: wider than BIGINT, which they can exceed on one hot account
+WIDE_COUNT = "decimal(38,0)"
+
+
+def account_fraud_profile(tables: Tables, account_cols: list[str], fan_out: bool = True,
+                          flagged_only: bool = False) -> DataFrame:
     """Accounts left-joined to per-account transaction and flag aggregates.
 
     Output columns: ``account_cols`` plus total_transactions,
     total_transaction_value, flagged_count, flagged_amount, total_flags,
     confirmed_fraud_count, under_review_count with the reference's NULL rules:
-    value is NULL without transactions; the CASE-based sums are 0.
+    value is NULL without transactions; the CASE-based sums are 0.  Counts are
+    DECIMAL(38,0) with ``fan_out`` (they are products) and BIGINT without.
+
+    ``flagged_only`` keeps accounts with a flagged transaction.  Fan-out never
+    turns a zero into more, so the rule is applied to the transaction aggregate,
+    below both joins.
     """
     a = tables.accounts.select(*account_cols)
     tx = per_account_transactions(tables.transactions)
+    if flagged_only:
+        tx = tx.where("_fl > 0")
     fl = per_account_flags(tables.fraud_flags)
-    j = a.join(tx, "account_id", "left").join(fl, "account_id", "left")
-    n = F.coalesce(F.col("_n"), F.lit(0))
-    m = F.coalesce(F.col("_m"), F.lit(0))
-    t_mult: Column = F.greatest(m, F.lit(1)) if fan_out else F.lit(1)
-    f_mult: Column = F.greatest(n, F.lit(1)) if fan_out else F.lit(1)
-    zero = F.lit(0)
+    j = a.join(tx, "account_id", "inner" if flagged_only else "left").join(fl, "account_id", "left")
+
+    def count(column: str) -> Column:
+        n = F.coalesce(F.col(column), F.lit(0))
+        return n.cast(WIDE_COUNT) if fan_out else n
+
+    one = F.lit(1).cast(WIDE_COUNT) if fan_out else F.lit(1)
+    n, m = count("_n"), count("_m")
+    t_mult: Column = F.greatest(m, one) if fan_out else one
+    f_mult: Column = F.greatest(n, one) if fan_out else one
+
+    def times(x: Column, by: Column) -> Column:
+        return (x * by).cast(WIDE_COUNT) if fan_out else x
+
+    def value(x: Column) -> Column:
+        return money(x.cast("decimal(38,2)") * t_mult) if fan_out else money(x)
+
     return j.select(
         *account_cols,
-        (n * t_mult).alias("total_transactions"),
-        money(F.col("_sum") * t_mult).alias("total_transaction_value"),
-        (F.coalesce(F.col("_fl"), zero) * t_mult).alias("flagged_count"),
-        money(F.coalesce(F.col("_fl_sum"), F.lit(0).cast(S.MONEY)) * t_mult).alias("flagged_amount"),
-        (m * f_mult).alias("total_flags"),
-        (F.coalesce(F.col("_conf"), zero) * f_mult).alias("confirmed_fraud_count"),
-        (F.coalesce(F.col("_rev"), zero) * f_mult).alias("under_review_count"),
+        times(n, t_mult).alias("total_transactions"),
+        value(F.col("_sum")).alias("total_transaction_value"),
+        times(count("_fl"), t_mult).alias("flagged_count"),
+        value(F.coalesce(F.col("_fl_sum"), F.lit(0).cast(S.MONEY))).alias("flagged_amount"),
+        times(m, f_mult).alias("total_flags"),
+        times(count("_conf"), f_mult).alias("confirmed_fraud_count"),
+        times(count("_rev"), f_mult).alias("under_review_count"),
     )
 
 
@@ -133,11 +156,9 @@ def high_risk_accounts(tables: Tables, fan_out: bool = True, ordered: bool = Tru
     """2e. Accounts with at least one flagged transaction, most confirmed first
     (``ordered=False`` skips the global sort)."""
     cols = ["account_id", "full_name", "account_status", "risk_tier", "kyc_status"]
-    prof = account_fraud_profile(tables, cols, fan_out)
-    out = (prof
-           .filter(F.col("flagged_count") > 0)
-           .select(*cols, "total_transactions",
-                   F.col("flagged_count").alias("flagged_transactions"),
-                   F.col("flagged_amount").alias("total_flagged_amount"),
-                   "total_flags", "confirmed_fraud_count"))
+    out = account_fraud_profile(tables, cols, fan_out, flagged_only=True).select(
+        *cols, "total_transactions",
+        F.col("flagged_count").alias("flagged_transactions"),
+        F.col("flagged_amount").alias("total_flagged_amount"),
+        "total_flags", "confirmed_fraud_count")
     return out.orderBy(F.col("confirmed_fraud_count").desc(), "account_id") if ordered else out

@@ -76,7 +76,9 @@ def time_window_pairs(df: DataFrame, key: str, ts: str, row_id: str,
                    .otherwise(F.array(b_first, b_last))).alias("_b2"),
         *[F.col(c).alias(o) for c, o in prev_cols.items()])
 
-    elapsed_min = F.timestamp_diff("MINUTE", F.col("_ts_p"), F.col("_ts_c"))
+    # wall clocks read as instants of UTC: a difference of NTZ values would take the session
+    # zone's gaps into account
+    elapsed_min = F.timestamp_diff("MINUTE", utc_instant("_ts_p"), utc_instant("_ts_c"))
     cond = [F.col("_k") == F.col("_k2"), F.col("_b") == F.col("_b2"),
             F.col("_id_c") != F.col("_id_p")]
     if same_day_col:

@@ -2,28 +2,20 @@
 
 ``Window.partitionBy(key)`` sends every row of a key to one task.  When one
 account carries a third of the fact table that task cannot finish.  The
-operators here give exactly the numbers of the plain window while splitting
-only the keys that need it:
-
-1. a per-key aggregate (partial, so skew-free) finds *hot* keys with more than
-   ``target_rows`` rows, with the range of their order value.  The hot list has
-   at most ``rows / target_rows`` entries: its broadcast size is bounded.  It
-   is written once to the shared checkpoint folder and reused;
-2. rows of a hot key get a sub-chunk ``_sub`` in ``[0, k)``, ``k = ceil(n /
-   target_rows)``, by cutting the key's order-value range into k equal slices.
-   ``_sub`` is monotone in the row order and a pure function of the row, so a
-   recomputed task after an executor loss assigns the same chunk.  Other keys
-   keep ``_sub = 0`` (one chunk, as in the plain window);
-3. the row-level window runs per (key, ``_sub``) over a *range* partitioning on
-   (key, ``_sub``): bounded work per task, and the same partitioning already
-   satisfies the report's ORDER BY, so no second shuffle is needed to sort;
-4. chunk totals of hot keys only (at most ``2 * rows / target_rows`` rows) get
-   an exclusive prefix per key and are broadcast back as offsets.
-
-Slices assume the order value is spread evenly inside a hot key; when it is
-not, chunks are uneven but results stay exact.  When the check finds no hot key
-at all (memoised per plan), the plain window over a range partitioning of the
-key is used: same result, two jobs and one join fewer.
+operators here give exactly the numbers of the plain window and split a key
+wherever it is large:
+
+1. one aggregate tells whether any key has more than ``target_rows`` rows; if
+   none has, the plain window over a range partitioning of the key is used;
+2. otherwise all rows are range-partitioned on (key, order columns, tie) into
+   chunks of about ``target_rows`` rows.  The cuts are quantiles of the rows
+   themselves (Spark samples them), so neither outliers nor long runs of one
+   value make a chunk large: the tie column cuts a run of equal values too;
+3. the chunk number is stored with the rows by a checkpoint.  Chunks therefore
+   stay what they are when a task is repeated after the loss of an executor;
+4. the window runs per (key, chunk), and a summary of the chunks of keys that
+   lie in more than one chunk (at most two rows a chunk) gives each chunk what
+   the earlier ones contribute.  It is broadcast only below ``SUMMARY_ROWS``.
 """
 
 from __future__ import annotations
@@ -33,48 +25,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens import settings
-from ledgerlens.functions.sizing import has_rows, materialize_small
-from ledgerlens.operators.interval import epoch_seconds
+from ledgerlens.functions.sizing import checkpointed
 
-_SUB = "_sub"
+_CHUNK = "_chunk"
+#: a summary has two rows a chunk at most; with more chunks than that it is shuffled
+SUMMARY_ROWS = 200_000
 
 
-def _hot_keys(df: DataFrame, key: str, pos: Column, target: int) -> DataFrame:
-    """Keys with more than ``target`` rows: key, _lo, _hi, _k (bounded size).
+def _hot_rows(df: DataFrame, key: str, target: int) -> int:
+    """Rows of ``df`` if a key has more than ``target`` of them, else 0."""
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    row = sizes.agg(F.max("_n").alias("most"), F.sum("_n").alias("rows")).first()
+    return row["rows"] if (row["most"] or 0) > target else 0
 
-    Computed once and kept in the shared folder (it is used by the check, the
-    row split and the offsets).  It only decides how rows are chunked; counts
-    and sums always come from the rows themselves, so an outdated copy cannot
-    change a result.
-    """
-    hot = (df.groupBy(key)
-             .agg(F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_lo"), F.max(pos).alias("_hi"))
-             .filter(F.col("_n") > target)
-             .select(key, "_lo", "_hi", F.ceil(F.col("_n") / F.lit(target)).cast("long").alias("_k")))
-    return materialize_small(hot, "hot-keys")
-
-
-def _with_sub(df: DataFrame, key: str, pos: Column, hot: DataFrame) -> DataFrame:
-    """Add ``_sub`` (and the hot-key columns) to every row."""
-    k = F.col("_k")
-    span = (F.col("_hi") - F.col("_lo")).cast("double") + F.lit(1.0)
-    slice_ = F.floor((pos - F.col("_lo")).cast("double") / span * k)
-    sub = F.when(k.isNull(), F.lit(0)).otherwise(F.least(F.greatest(slice_, F.lit(0)), k - 1))
-    # bounded by construction: at most rows / target hot keys
-    return (df.join(F.broadcast(hot), key, "left")
-              .withColumn(_SUB, sub.cast("long")))
-
-
-def _offsets(x: DataFrame, key: str, measure: Column, name: str) -> DataFrame:
-    """Per chunk of a hot key: SUM of ``measure`` over earlier chunks (NULL when
-    they hold no non-NULL value, as SQL's SUM), and the key's total row count
-    (bounded size: hot chunks only)."""
-    totals = (x.filter(F.col("_k").isNotNull())
-               .groupBy(key, _SUB).agg(F.sum(measure).alias("_chunk"),
-                                       F.count(F.lit(1)).alias("_chunk_n")))
-    before = Window.partitionBy(key).orderBy(_SUB).rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(key, _SUB, F.sum("_chunk").over(before).alias(name),
-                         F.sum("_chunk_n").over(Window.partitionBy(key)).alias("_key_rows"))
+
+def _chunked(df: DataFrame, rows: int, target: int, *order: Column) -> DataFrame:
+    """``df`` with its chunk number, range-partitioned on ``order`` and stored."""
+    chunks = -(-rows // target)
+    return checkpointed(df.repartitionByRange(chunks, *order).withColumn(_CHUNK, F.spark_partition_id()))
+
+
+def _earlier(summary: DataFrame, key: str, rows: int, target: int) -> DataFrame:
+    """Keys that lie in several chunks only: the summary that is joined back."""
+    several = summary.withColumn("_of", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    several = several.where(F.col("_of") > 1).drop("_of")
+    return F.broadcast(several) if 2 * -(-rows // target) <= SUMMARY_ROWS else several
+
+
+def _before(key: str) -> Window:
+    return Window.partitionBy(key).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def running_sum(df: DataFrame, key: str, value: str, out: str, count_out: str,
@@ -86,24 +65,24 @@ def running_sum(df: DataFrame, key: str, value: str, out: str, count_out: str,
     sorted by (key, ts, tie).
     """
     target = settings.SKEW_TARGET_ROWS if target_rows is None else target_rows
-    pos = epoch_seconds(ts)
-    hot = _hot_keys(df, key, pos, target)
     frame = Window.unboundedPreceding, Window.currentRow
     dtype = df.schema[value].dataType
     res_type = T.DecimalType(38, dtype.scale) if isinstance(dtype, T.DecimalType) else None
-    if not has_rows(hot):
+    rows = _hot_rows(df, key, target)
+    if not rows:
         w = Window.partitionBy(key)
         out_col = F.sum(value).over(w.orderBy(ts, tie).rowsBetween(*frame))
         return (df.repartitionByRange(key)
                   .withColumn(out, out_col.cast(res_type) if res_type else out_col)
                   .withColumn(count_out, F.count(F.lit(1)).over(w))
                   .orderBy(key, ts, tie))
-    x = _with_sub(df, key, pos, hot)
-    offsets = _offsets(x, key, F.col(value), "_offset")
-    chunk = Window.partitionBy(key, _SUB)
-    local = (x.repartitionByRange(key, _SUB)
-              .withColumn("_local", F.sum(value).over(chunk.orderBy(ts, tie).rowsBetween(*frame)))
-              .withColumn("_chunk_rows", F.count(F.lit(1)).over(chunk)))
+    x = _chunked(df, rows, target, F.col(key), F.col(ts), F.col(tie))
+    chunk = Window.partitionBy(key, _CHUNK)
+    local = (x.withColumn("_local", F.sum(value).over(chunk.orderBy(ts, tie).rowsBetween(*frame)))
+              .withColumn("_rows", F.count(F.lit(1)).over(chunk)))
+    totals = x.groupBy(key, _CHUNK).agg(F.sum(value).alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    offsets = totals.select(key, _CHUNK, F.sum("_sum").over(_before(key)).alias("_offset"),
+                            F.sum("_n").over(Window.partitionBy(key)).alias("_key_rows"))
     # SUM ignores NULLs: NULL only while neither this chunk nor any earlier one
     # has contributed a value
     local_sum, offset = F.col("_local"), F.col("_offset")
@@ -111,53 +90,45 @@ def running_sum(df: DataFrame, key: str, value: str, out: str, count_out: str,
              .otherwise(local_sum + offset)
     if res_type:
         total = total.cast(res_type)
-    # bounded by construction: at most 2 * rows / target hot chunks
-    return (local.join(F.broadcast(offsets), [key, _SUB], "left")
+    return (local.join(_earlier(offsets, key, rows, target), [key, _CHUNK], "left")
                  .withColumn(out, total)
-                 .withColumn(count_out, F.coalesce(F.col("_key_rows"), F.col("_chunk_rows")))
-                 .orderBy(key, _SUB, ts, tie)
-                 .drop(_SUB, "_lo", "_hi", "_k", "_local", "_chunk_rows", "_offset", "_key_rows"))
-
-
-def amount_scale(value: Column) -> Column:
-    """Monotone log-scale coordinate of an amount: sign(v) * log2(|v| + 1).
-
-    Used to cut a hot key's amount range into slices that hold similar row
-    counts for the usual long-tailed amount distributions.
-    """
-    v = value.cast("double")
-    return F.signum(v) * F.log2(F.abs(v) + F.lit(1.0))
+                 .withColumn(count_out, F.coalesce(F.col("_key_rows"), F.col("_rows")))
+                 .orderBy(key, ts, tie)
+                 .drop(_CHUNK, "_local", "_rows", "_offset", "_key_rows"))
 
 
 def rank_desc(df: DataFrame, key: str, value: str, out: str, tie: str = "transaction_id",
               target_rows: int | None = None) -> DataFrame:
     """RANK() OVER (PARTITION BY key ORDER BY value DESC), sorted by (key, rank, tie).
 
-    The rank is BIGINT: a hot key may hold more than 2^31 rows.
-
-    rank = local rank inside the chunk + rows of the key in chunks of larger
-    values.  Equal values always share a chunk, so ties rank as in SQL (with
-    gaps).  Chunks run from the largest values down (``_sub`` 0 = largest).
-    NULL values sort last, as DESC does.
+    The rank is BIGINT: a key may hold more than 2^31 rows.  NULL values rank
+    last, as DESC does.  A chunk's rows rank among themselves, after all rows of
+    the key in earlier chunks; only where a chunk begins inside a run of equal
+    values do its first rows take the rank at which the run began.
     """
     target = settings.SKEW_TARGET_ROWS if target_rows is None else target_rows
-    neg = -amount_scale(F.col(value))          # ascending in the rank order
-    hot = _hot_keys(df, key, neg, target)
-    if not has_rows(hot):
+    rows = _hot_rows(df, key, target)
+    falling = F.col(value).desc()
+    if not rows:
         return (df.repartitionByRange(key)
                   .withColumn(out, F.rank().over(
-                      Window.partitionBy(key).orderBy(F.col(value).desc())).cast("long"))
-                  .orderBy(key, F.col(value).desc(), tie))
-    x = _with_sub(df, key, neg, hot)
-    x = x.withColumn(_SUB, F.when(F.col(value).isNull() & F.col("_k").isNotNull(),
-                                  F.col("_k")).otherwise(F.col(_SUB)))
-    offsets = _offsets(x, key, F.lit(1), "_offset")
-    local = (x.repartitionByRange(key, _SUB)
-              .withColumn("_local", F.rank().over(
-                  Window.partitionBy(key, _SUB).orderBy(F.col(value).desc()))))
-    # bounded by construction: at most 2 * rows / target hot chunks
-    return (local.join(F.broadcast(offsets), [key, _SUB], "left")
-                 .withColumn(out, (F.col("_local") + F.coalesce(F.col("_offset"), F.lit(0)))
-                             .cast("long"))   # row counts: an absent offset is 0
-                 .orderBy(key, _SUB, F.col(value).desc(), tie)
-                 .drop(_SUB, "_lo", "_hi", "_k", "_local", "_offset", "_key_rows"))
+                      Window.partitionBy(key).orderBy(falling)).cast("long"))
+                  .orderBy(key, falling, tie))
+    x = _chunked(df, rows, target, F.col(key), falling, F.col(tie))
+    local = x.withColumn("_local", F.rank().over(
+        Window.partitionBy(key, _CHUNK).orderBy(falling)).cast("long"))
+    ends = local.groupBy(key, _CHUNK).agg(
+        F.count(F.lit(1)).alias("_n"), F.max("_local").alias("_last_rank"), F.max(value).alias("_first"),
+        F.when(F.count(value) == F.count(F.lit(1)), F.min(value)).alias("_last"))
+    ends = ends.withColumn("_offset", F.coalesce(F.sum("_n").over(_before(key)), F.lit(0)))
+    # where the last value of each chunk began to rank; of a run over chunks, the first of them
+    began = (ends.groupBy(F.col(key).alias("_key"), F.col("_last").alias("_run"))
+                 .agg(F.min(F.col("_offset") + F.col("_last_rank")).alias("_began")))
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col("_first").eqNullSafe(F.col("_run"))
+    offsets = ends.join(began, same, "left").select(key, _CHUNK, "_offset", "_began")
+    rank = F.col("_local") + F.coalesce(F.col("_offset"), F.lit(0))
+    rank = F.when(F.col("_local") == 1, F.least(rank, F.col("_began"))).otherwise(rank)
+    return (local.join(_earlier(offsets, key, rows, target), [key, _CHUNK], "left")
+                 .withColumn(out, rank)
+                 .orderBy(key, falling, tie)
+                 .drop(_CHUNK, "_local", "_offset", "_began"))

@@ -27,7 +27,7 @@ from ledgerlens.functions.measures import (
     n_status,
     transaction_time,
 )
-from ledgerlens.functions.sizing import bounded_broadcast, fits_broadcast
+from ledgerlens.functions.sizing import bounded_broadcast, checkpointed, fits_broadcast
 from ledgerlens.operators.interval import time_window_pairs
 from ledgerlens.operators.ordered import rank_desc, running_sum
 from ledgerlens.operators.volume import per_merchant_totals, with_category
@@ -104,7 +104,8 @@ def late_night(tables: Tables, first_hour: int = S.LATE_NIGHT_FIRST_HOUR,
     out = (t.join(bounded_broadcast(a), "account_id", "inner")
             .join(bounded_broadcast(m), "merchant_id", "inner"))
     if ordered:
-        out = out.orderBy(F.col("amount").desc(), "transaction_id")
+        # dealt by key first: the sort samples that shuffle, not the scan and the joins again
+        out = out.repartition("transaction_id").orderBy(F.col("amount").desc(), "transaction_id")
     return out.select("account_id", "full_name", "risk_tier", "transaction_id",
                       "transaction_date", transaction_time().alias("transaction_time"),
                       "amount", "transaction_status", "merchant_name", "merchant_category")
@@ -186,11 +187,10 @@ def above_category_average(tables: Tables, factor: Decimal | float = S.CATEGORY_
     """3f. Transactions above ``factor`` x their merchant category's mean amount,
     largest excess first (``ordered=False`` skips the global sort)."""
     m = tables.merchants.select("merchant_id", "merchant_name", "merchant_category")
-    cats = category_averages(tables)
-    # One threshold row per merchant: at most |merchants| rows, so the merchants
-    # table's count bounds it (no need to run the aggregate to size it).
-    thresholds = m.join(bounded_broadcast(cats, size_of=tables.merchants),
-                        "merchant_category", "inner")
+    # the means are needed more than once and are few: computed once, sized by themselves
+    cats = checkpointed(category_averages(tables))
+    # one threshold row per merchant: at most |merchants| rows
+    thresholds = m.join(bounded_broadcast(cats), "merchant_category", "inner")
     t = tables.transactions.select("transaction_id", "account_id", "merchant_id", "amount",
                                    "transaction_status")
     k = F.lit(Decimal(str(factor)))
@@ -208,4 +208,6 @@ def above_category_average(tables: Tables, factor: Decimal | float = S.CATEGORY_
                    "amount", "transaction_status",
                    money("avg_amount").alias("category_avg_amount"),
                    money(F.col("amount") - F.col("avg_amount")).alias("amount_above_avg")))
-    return out.orderBy(F.col("amount_above_avg").desc(), "transaction_id") if ordered else out
+    if not ordered:
+        return out
+    return out.repartition("transaction_id").orderBy(F.col("amount_above_avg").desc(), "transaction_id")

@@ -64,10 +64,9 @@ def too_long(df: DataFrame, limits: dict[str, int]) -> DataFrame:
 
 
 def fill_default(df: DataFrame, column: str, value: object) -> DataFrame:
-    """Q6. Apply a column DEFAULT: add the column when absent, fill NULLs otherwise."""
-    if column not in df.columns:
-        return df.withColumn(column, F.lit(value))
-    return df.withColumn(column, F.coalesce(F.col(column), F.lit(value)))
+    """Q6. Apply a column DEFAULT: add the column when it is absent.  An explicit NULL is no
+    omission; it stays and Q3 reports it."""
+    return df if column in df.columns else df.withColumn(column, F.lit(value))
 
 
 # ---------------------------------------------------------------------------
@@ -133,16 +132,20 @@ def not_null_report(tables: Tables) -> DataFrame:
 
 def limits_report(tables: Tables) -> DataFrame:
     """Per length-limited column: values longer than the declared length; for the
-    money column: values outside DECIMAL(12,2)."""
+    money column: values that DECIMAL(12,2) cannot hold exactly.
+
+    Typed money can hold nothing else, so that rule tells something on a bundle
+    whose amounts are raw text or wider decimals.
+    """
     frames = []
-    max_money = 10 ** (S.MONEY.precision - S.MONEY.scale)
     for name in TABLE_NAMES:
         df = tables.as_dict()[name]
         have = set(df.columns)
         checks = {c: F.length(F.col(c).cast("string")) > n
                   for c, n in S.CONSTRAINTS[name].max_length.items() if c in have}
         if name == "transactions" and "amount" in have:
-            checks["amount"] = F.abs(F.col("amount").cast("decimal(38,2)")) >= F.lit(max_money)
+            typed, wide = F.col("amount").try_cast(S.MONEY), F.col("amount").try_cast("decimal(38,18)")
+            checks["amount"] = F.col("amount").isNotNull() & ~wide.eqNullSafe(typed.cast("decimal(38,18)"))
         frames.append(_per_column_counts(df, name, checks, "violations"))
     return _union(frames)
 
@@ -153,7 +156,10 @@ def foreign_key_report(tables: Tables) -> DataFrame:
     d = tables.as_dict()
     for name in TABLE_NAMES:
         for fk, parent, pk in S.CONSTRAINTS[name].foreign_keys:
-            n = orphans(d[name], fk, d[parent], pk).agg(F.count(F.lit(1)).alias("orphan_rows"))
+            # rows per key first: the join sees each key once, however many rows hold it
+            held = d[name].groupBy(fk).agg(F.count(F.lit(1)).alias("_rows"))
+            n = orphans(held, fk, d[parent], pk).agg(
+                F.coalesce(F.sum("_rows"), F.lit(0)).cast("long").alias("orphan_rows"))
             frames.append(n.select(F.lit(name).alias("child_table"), F.lit(fk).alias("column_name"),
                                    F.lit(parent).alias("parent_table"), "orphan_rows"))
     return _union(frames)

@@ -3,7 +3,7 @@
 Inside the library money is DECIMAL and dates are DATE.  Engines disagree on
 the result types of SUM / AVG / division over decimals, so every result handed
 to an external comparison is normalised the same way on both sides:
-integers -> BIGINT, decimals -> DOUBLE, dates and timestamps -> ISO text.
+integers and whole decimals -> BIGINT, other decimals -> DOUBLE, dates and timestamps -> ISO text.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ def normalise(df: DataFrame) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, _INTEGRAL):
+        whole = isinstance(f.dataType, T.DecimalType) and f.dataType.scale == 0
+        if isinstance(f.dataType, _INTEGRAL) or whole:
             c = c.cast("bigint")
         elif isinstance(f.dataType, (T.DecimalType, T.FloatType)):
             c = c.cast("double")

@@ -14,13 +14,23 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerlens import schema as S
 from ledgerlens.operators import fraud, patterns, quality, volume
 from ledgerlens.plans import views
 from ledgerlens.plans.boundary import normalise
-from ledgerlens.session import app_id, parallelism, shared_dir
+from ledgerlens.session import app_id, delete_at_exit, listing, parallelism, shared_dir
 from ledgerlens.sources import testdata
-from ledgerlens.sources.tables import Tables, ingest, read_raw
+from ledgerlens.sources.tables import (
+    BAD_RECORD,
+    TABLE_NAMES,
+    Tables,
+    ingest,
+    load_tables,
+    read_raw,
+    write_tables,
+)
 
 
 @dataclass(frozen=True)
@@ -35,49 +45,88 @@ def _shared_root(spark: SparkSession) -> str | None:
     return shared_dir(spark)
 
 
-_raw_cache: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
+#: the given tables that the adapters read
+GIVEN = ("customer", "nation", "region", "part", "orders", "events")
+
+
+def _given(spark: SparkSession, sf_dir: str) -> tuple:
+    """The files that the given tables are made of now; what is kept in a session is kept for
+    exactly these."""
+    return tuple(listing(spark, f"{sf_dir}/{name}.parquet") for name in GIVEN)
+
+
+def _place(spark: SparkSession, root: str, sf_dir: str, given: tuple, kind: str) -> str:
+    tag = os.path.basename(os.path.normpath(sf_dir)) or "data"
+    digest = zlib.crc32(repr((sf_dir, given)).encode())
+    base = f"{root}/ledgerlens-model/{app_id(spark)}"
+    delete_at_exit(spark, base)
+    return f"{base}/{tag}-{digest:08x}/{kind}"
+
+
+_raw_cache: dict[tuple, tuple[str, DataFrame]] = {}
 _lock = threading.RLock()
 
+RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "accounts": testdata.raw_accounts,
+    "merchants": testdata.raw_merchants,
+    "transactions": testdata.raw_order_transactions,
+    "fraud_flags": testdata.raw_flags,
+}
+
 
-def _raw(spark: SparkSession, sf_dir: str, kind: str,
-         make: Callable[[SparkSession, str], DataFrame]) -> tuple[str, DataFrame]:
-    """A raw-text rendering of a given table, made once per session.
+def _raw(spark: SparkSession, sf_dir: str, kind: str) -> tuple[str, DataFrame]:
+    """A raw-text rendering of a given table, made once for its files.
 
-    With a shared folder it is written there as a CSV file set (header, NULL
-    marker) and opened once with the file reader (header bound by name);
-    otherwise the lazy DataFrame is used directly.
+    With a shared folder it is written there as CSV (positional records; merchants
+    with a header, as a column is left out) and opened with the file reader;
+    otherwise the lazy frame is used directly.
     """
-    key = (app_id(spark), sf_dir, kind)
+    given = _given(spark, sf_dir)
+    key = (app_id(spark), sf_dir, kind, given)
     with _lock:
         if key not in _raw_cache:
-            df = make(spark, sf_dir)
+            df = RAW[kind](spark, sf_dir)
             root = _shared_root(spark)
             if root is None:
                 _raw_cache[key] = ("frame", df)
             else:
-                tag = os.path.basename(os.path.normpath(sf_dir)) or "data"
-                digest = zlib.crc32(os.path.abspath(sf_dir).encode()) & 0xFFFFFFFF
-                path = f"{root}/ledgerlens-model/{app_id(spark)}/{tag}-{digest:08x}/raw/{kind}"
-                # hash on the key column: deterministic if a task is retried
-                (df.repartition(parallelism(spark), df.columns[0])
-                   .write.mode("overwrite").options(header="true", nullValue="NULL").csv(path))
-                _raw_cache[key] = ("csv", read_raw(spark, path, kind, fmt="csv"))
+                path = _place(spark, root, sf_dir, given, f"raw/{kind}")
+                named = kind == "merchants"
+                if named:
+                    df.drop(BAD_RECORD).write.mode("overwrite").options(header="true", nullValue="NULL").csv(path)
+                else:
+                    testdata.csv_lines(df).write.mode("overwrite").text(path)
+                _raw_cache[key] = ("csv", read_raw(spark, path, kind, fmt="csv", header=str(named).lower()))
         return _raw_cache[key]
 
 
-def _ingest_raw(spark: SparkSession, sf_dir: str, kind: str,
-                make: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
-    return ingest(_raw(spark, sf_dir, kind, make)[1], kind)[0]
+def ingest_good(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """S3-S6: the raw text of a table through the CSV reader and typed ingest."""
+    return ingest(_raw(spark, sf_dir, kind)[1], kind)[0]
 
 
-def ingest_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S3/S5/S7: raw transaction text (from orders) read as CSV through typed ingest."""
-    return _ingest_raw(spark, sf_dir, "transactions", testdata.raw_order_transactions)
+def ingest_rejected(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """S7: the rows that ingest rejects, by primary key and reason."""
+    rejected = ingest(_raw(spark, sf_dir, kind)[1], kind)[1]
+    return rejected.select(*S.CONSTRAINTS[kind].primary_key, "reject_reason")
 
 
-def ingest_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S4/Q6: raw merchant text without ``is_verified`` read as CSV (DEFAULT 1 applies)."""
-    return _ingest_raw(spark, sf_dir, "merchants", testdata.raw_merchants)
+def model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S8: the model tables and the views written as Parquet, read back, and counted."""
+    root = _shared_root(spark)
+    tables = bundle(spark, sf_dir, "orders")
+    if root is not None:
+        base = _place(spark, root, sf_dir, _given(spark, sf_dir), "round-trip")
+        write_tables(tables, base)
+        tables = load_tables(spark, base)[0]
+        views.write_marts(tables, f"{base}/marts")
+        monthly = spark.read.parquet(f"{base}/marts/vw_monthly_fraud_summary")
+    else:
+        monthly = views.monthly_fraud_summary(tables)
+    stored = tables.transactions.groupBy("transaction_month").agg(
+        F.count(F.lit(1)).alias("stored_rows"), F.sum("amount").alias("stored_amount"))
+    return monthly.select("transaction_month", "total_transactions", "flagged_count", "fraud_rate_pct").join(
+        stored, "transaction_month")
 
 
 REPORTS: list[Report] = [
@@ -111,8 +160,15 @@ REPORTS: list[Report] = [
     Report("dq_not_null", quality.not_null_report),
     Report("dq_foreign_keys", quality.foreign_key_report),
     Report("dq_limits", quality.limits_report),
-    Report("src_ingest_transactions", ingest_transactions, None),
-    Report("src_ingest_merchants", ingest_merchants, None),
+    Report("dq_dirty_primary_keys", quality.primary_key_report, "dirty"),
+    Report("dq_dirty_unique", quality.unique_report, "dirty"),
+    Report("dq_dirty_not_null", quality.not_null_report, "dirty"),
+    Report("dq_dirty_foreign_keys", quality.foreign_key_report, "dirty"),
+    Report("dq_dirty_limits", quality.limits_report, "dirty"),
+    *(Report(f"src_ingest_{t}", ingest_good, None, {"kind": t}) for t in ("transactions", "merchants", "accounts",
+                                                                     "fraud_flags")),
+    *(Report(f"src_rejected_{t}", ingest_rejected, None, {"kind": t}) for t in TABLE_NAMES),
+    Report("sink_round_trip", model_round_trip, None),
 ]
 
 BY_NAME = {r.name: r for r in REPORTS}
@@ -120,23 +176,23 @@ BY_NAME = {r.name: r for r in REPORTS}
 _BUNDLES: dict[str, Callable[[SparkSession, str], Tables]] = {
     "orders": testdata.orders_bundle,
     "events": testdata.events_bundle,
+    "dirty": testdata.dirty_bundle,
 }
 
 
-_cache: dict[tuple[str, str, str], Tables] = {}
+_cache: dict[tuple, Tables] = {}
 
 
 def bundle(spark: SparkSession, sf_dir: str, kind: str) -> Tables:
-    """The adapted model tables of ``sf_dir``, built once per session.
+    """The adapted model tables of ``sf_dir``, built once for the files it holds.
 
     When the session names a shared ``spark.checkpoint.dir``, the adapted
-    tables are written there once as typed Parquet (the load step) and every
-    report reads them back; otherwise the adapters stay lazy projections.
-    Either way the DataFrame objects are reused, which keeps file listing and
-    plan analysis out of every report call.
+    tables are written there once as typed Parquet (the load step), are removed
+    when the session's JVM ends, and every report reads them back; otherwise the
+    adapters stay lazy projections.  Changed given files give new tables.
     """
-    app = app_id(spark)
-    key = (app, sf_dir, kind)
+    given = _given(spark, sf_dir)
+    key = (app_id(spark), sf_dir, kind, given)
     with _lock:                       # one load per session even if reports run in threads
         if key not in _cache:
             lazy = _BUNDLES[kind](spark, sf_dir)
@@ -144,10 +200,9 @@ def bundle(spark: SparkSession, sf_dir: str, kind: str) -> Tables:
             if root is None:
                 _cache[key] = lazy
             else:
-                tag = os.path.basename(os.path.normpath(sf_dir)) or "data"
-                digest = zlib.crc32(os.path.abspath(sf_dir).encode()) & 0xFFFFFFFF
-                where = f"{root}/ledgerlens-model/{app}/{tag}-{digest:08x}/{kind}"
-                _cache[key] = testdata.materialize(lazy, where, parallelism(spark))
+                size = sum(f[1] for files in given for f in files)
+                _cache[key] = testdata.materialize(lazy, _place(spark, root, sf_dir, given, kind), size,
+                                                   parallelism(spark))
         return _cache[key]
 
 

@@ -47,9 +47,32 @@ def shared_dir(spark: SparkSession) -> str | None:
     if not d:
         sc = _context(spark)
         d = sc.getCheckpointDir() if sc is not None else None
+    if d and d.startswith(("file:", "/")) and sc_is_remote(spark):
+        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+        if d.startswith("file:") or default.startswith("file:"):
+            raise RuntimeError(f"spark.checkpoint.dir {d!r} is a folder of one machine; name a shared one")
     return d.rstrip("/") if d else None
 
 
+def sc_is_remote(spark: SparkSession) -> bool:
+    """Whether executors run on other machines than the driver."""
+    sc = _context(spark)
+    return sc is not None and not sc.master.startswith("local")
+
+
+def listing(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """(name, bytes, modification time) of the files of a table."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(place))
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared store when the session's JVM ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder configured for this session."""
     d = shared_dir(spark)

@@ -6,7 +6,7 @@ None of these change what a query returns; they pick between equivalent plans.
 from __future__ import annotations
 
 # A dimension side is broadcast only when a row count proves it has at most this
-# many rows beyond it the join stays a shuffle join (sort-merge, with AQE skew
+# many rows; beyond it the join stays a shuffle join (sort-merge, with AQE skew
 # splitting).  Dimensions are projected to the few columns a join needs first.
 BROADCAST_MAX_ROWS = 2_000_000
 
@@ -14,12 +14,7 @@ BROADCAST_MAX_ROWS = 2_000_000
 # fields and the actual bytes of its text columns) is at most this many bytes.
 BROADCAST_MAX_BYTES = 128 * 1024 * 1024
 
-# Ordered per-key windows (running totals, ranks) split any (key, coarse chunk)
-# cell with more rows than this into sub-chunks, so one hot account never lands
-# in a single window task.  The list of hot cells is broadcast; it has at most
-# rows(table) / SKEW_TARGET_ROWS entries.
+# Ordered per-key windows (running totals, ranks) cut the rows into chunks of about
+# this many as soon as one key has more, so one hot account never lands in a single
+# window task.
 SKEW_TARGET_ROWS = 1_000_000
-
-# Sub-chunks of amount-ordered windows are cut on a log2 scale with this many
-# cells per doubling of the amount.
-AMOUNT_CELLS_PER_OCTAVE = 4

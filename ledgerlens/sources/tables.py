@@ -52,51 +52,96 @@ def _source_schema(table: str) -> T.StructType:
     return S.TRANSACTIONS_RAW if table == "transactions" else S.SCHEMAS[table]
 
 
+#: column of a raw frame that holds a text record which does not fit the table's columns
+BAD_RECORD = "_bad_record"
+#: a time of day, with or without seconds and fractions
+TIME_OF_DAY = r"^\s*([01]?[0-9]|2[0-3]):([0-5][0-9])(?::([0-5][0-9])(\.[0-9]{1,6})?)?\s*$"
+
+
 def _typed(c: str, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.StringType):
         return F.col(c).cast("string")
     return F.col(c).try_cast(dtype)
 
 
-def enforce_types(raw: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """Cast columns to ``schema``; return ``(clean, rejected)``.
+def _changed(c: str, typed: Column, dtype: T.DataType) -> Column:
+    """Whether a present value does not convert, or only by rounding digits away."""
+    bad = F.col(c).isNotNull() & typed.isNull()
+    if isinstance(dtype, T.DecimalType):
+        exact = F.col(c).try_cast(T.DecimalType(38, 18))
+        bad = bad | (typed.isNotNull() & ~exact.eqNullSafe(typed.cast(T.DecimalType(38, 18))))
+    return bad
 
-    A row is rejected when a declared NOT NULL column is NULL or when a present
-    value does not convert (``try_cast`` gives NULL for a non-NULL input).  The
-    rejected frame keeps the raw values plus a ``reject_reason`` column.
+
+def mark_types(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    """Every row of ``raw`` with its raw columns, a struct ``typed`` of the declared types and
+    ``reject_reason`` (empty for a good row).
+
+    A row is bad when its text record has more or fewer fields than the table, when a declared
+    NOT NULL column is NULL, when a present value does not convert, and when a decimal has more
+    digits after the point than its column (it is not rounded).
     """
-    checks = []
-    typed_cols = []
+    checks, typed_cols = [], []
+    if BAD_RECORD in raw.columns:
+        checks.append(F.when(F.col(BAD_RECORD).isNotNull(), F.lit("bad record")))
     for f in schema.fields:
         typed = _typed(f.name, f.dataType)
         typed_cols.append(typed.alias(f.name))
-        bad_cast = F.col(f.name).isNotNull() & typed.isNull()
-        checks.append(F.when(bad_cast, F.lit(f"bad {f.name}")))
+        checks.append(F.when(_changed(f.name, typed, f.dataType), F.lit(f"bad {f.name}")))
         if not f.nullable:
             checks.append(F.when(F.col(f.name).isNull(), F.lit(f"null {f.name}")))
-    reason = F.concat_ws("; ", *checks)
-    marked = raw.withColumn("reject_reason", reason)
-    clean = marked.filter(F.col("reject_reason") == "").select(*typed_cols)
-    rejected = marked.filter(F.col("reject_reason") != "")
-    return clean, rejected
+    return raw.withColumns({"typed": F.struct(*typed_cols), "reject_reason": F.concat_ws("; ", *checks)})
 
 
-def fold_time(raw_tx: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Raw transactions (date + time text) -> model layout with ``transaction_ts``.
+def split_marked(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Good rows (the struct ``typed``) and rejected rows (all other columns) of a marked frame."""
+    clean = marked.filter(F.col("reject_reason") == "").select("typed.*")
+    return clean, marked.filter(F.col("reject_reason") != "").drop("typed")
+
+
+def enforce_types(raw: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """Cast columns to ``schema``; return ``(clean, rejected)``, rejected rows with their raw
+    values and a ``reject_reason`` (see :func:`mark_types`)."""
+    return split_marked(mark_types(raw, schema))
+
+
+def wall_clock(date: Column, time: Column) -> Column:
+    """Date and time-of-day text as TIMESTAMP_NTZ; NULL for a time outside 00:00:00-23:59:59.
 
-    A time of day outside 00:00:00-23:59:59 does not form a timestamp; such rows
-    are returned in the rejected frame.
+    The text is cast straight to a wall-clock timestamp, so no session time zone (and no gap of
+    one) has a part in it.
     """
-    ts = F.try_to_timestamp(
-        F.concat_ws(" ", F.col("transaction_date").cast("string"), F.col("transaction_time")),
-        F.lit("yyyy-MM-dd H:mm[:ss][.SSSSSS]")).cast(T.TimestampNTZType())
+    def part(i: int) -> Column:
+        return F.regexp_extract(time, TIME_OF_DAY, i)
+
+    seconds = F.when(part(3) == "", "00").otherwise(part(3))
+    text = F.concat(date.cast("string"), F.lit(" "), F.lpad(part(1), 2, "0"), F.lit(":"), part(2),
+                    F.lit(":"), seconds, part(4))
+    return F.when(time.rlike(TIME_OF_DAY), text.try_cast(T.TimestampNTZType()))
+
+
+def fold_time(raw_tx: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Raw transactions (date + time text) -> model layout with ``transaction_ts``, and the rows
+    whose time of day does not form a timestamp."""
+    ts = wall_clock(F.col("transaction_date"), F.col("transaction_time"))
     with_ts = raw_tx.withColumn("transaction_ts", ts)
-    good = with_ts.filter(F.col("transaction_ts").isNotNull())
-    bad = (with_ts.filter(F.col("transaction_ts").isNull())
-           .drop("transaction_ts")
-           .withColumn("reject_reason", F.lit("bad transaction_time")))
-    model = good.select(*[f.name for f in S.TRANSACTIONS.fields])
-    return model, bad
+    model = with_ts.where("transaction_ts is not null").select(*[f.name for f in S.TRANSACTIONS.fields])
+    bad = with_ts.where("transaction_ts is null").drop("transaction_ts")
+    return model, bad.withColumn("reject_reason", F.lit("bad transaction_time"))
+
+
+def _fold_time(marked: DataFrame) -> DataFrame:
+    """Marked raw transactions (date + time text) with the model layout in ``typed``.
+
+    A time of day outside 00:00:00-23:59:59 does not form a timestamp; such rows are rejected.
+    """
+    ts = wall_clock(F.col("typed.transaction_date"), F.col("typed.transaction_time"))
+    model = F.struct(*[ts.alias(f.name) if f.name == "transaction_ts" else F.col(f"typed.{f.name}")
+                       for f in S.TRANSACTIONS.fields])
+    late = (F.col("reject_reason") == "") & ts.isNull()
+    return marked.withColumns({
+        "reject_reason": F.when(late, F.lit("bad transaction_time")).otherwise(F.col("reject_reason")),
+        "typed": model})
 
 
 def canonical_case(df: DataFrame, table: str) -> DataFrame:
@@ -128,14 +173,16 @@ def read_raw(spark: SparkSession, path: str, table: str, fmt: str = "parquet",
     as_text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
     if fmt == "csv":
         opts = {"header": "true", "nullValue": "NULL", "encoding": "UTF-8", "mode": "PERMISSIVE",
-                "inferSchema": "false"}
+                "inferSchema": "false", "columnNameOfCorruptRecord": BAD_RECORD,
+                "columnPruning": "false"}      # a record's fields are counted whatever is selected
         opts.update(options)
         reader = spark.read.options(**opts)
-        if opts["header"].lower() == "true":
-            return reader.csv(path)
-        return reader.schema(as_text).csv(path)
+        if opts["header"].lower() == "true":   # bound by the header's names
+            as_text = T.StructType([T.StructField(c, T.StringType(), True) for c in reader.csv(path).columns])
+        return reader.schema(as_text.add(BAD_RECORD, T.StringType(), True)).csv(path)
     if fmt == "json":
-        return spark.read.schema(as_text).options(**options).json(path)
+        return (spark.read.schema(as_text.add(BAD_RECORD, T.StringType(), True))
+                .options(columnNameOfCorruptRecord=BAD_RECORD, **options).json(path))
     raise ValueError(f"unsupported format {fmt!r}")
 
 
@@ -159,6 +206,14 @@ def ingest(raw: DataFrame, table: str, canonical: bool = False) -> tuple[DataFra
     its declared type, folds date + time of day into ``transaction_ts`` for
     transactions, and returns rows that fail any of it with a reason.
     """
+    clean, rejected = split_marked(ingest_marked(raw, table))
+    return (canonical_case(clean, table) if canonical else clean), rejected
+
+
+def ingest_marked(raw: DataFrame, table: str) -> DataFrame:
+    """Every raw row once: its raw values as text, the model row in ``typed`` and a
+    ``reject_reason``.  Written and read back, it splits into good and rejected rows
+    (:func:`split_marked`) without parsing the input twice."""
     schema = _source_schema(table)
     have = set(raw.columns)
     model_layout = (table == "transactions" and "transaction_ts" in have
@@ -172,20 +227,16 @@ def ingest(raw: DataFrame, table: str, canonical: bool = False) -> tuple[DataFra
     missing = [f.name for f in schema.fields if f.name not in have]
     if missing:
         raise ValueError(f"{table}: columns missing: {missing}")
-    clean, rejected = enforce_types(raw.select(*[f.name for f in schema.fields]), schema)
-    if canonical:
-        clean = canonical_case(clean, table)
+    names = [f.name for f in schema.fields]
+    marked = mark_types(raw.select(*names, *[c for c in (BAD_RECORD,) if c in have]), schema)
     if table == "transactions" and not model_layout:
-        model, bad_time = fold_time(clean)
-        rejected = rejected.select(
-            *[F.col(f.name).cast("string").alias(f.name) for f in schema.fields], "reject_reason")
-        bad_time = bad_time.select(
-            *[F.col(f.name).cast("string").alias(f.name) for f in schema.fields], "reject_reason")
-        return model, rejected.unionByName(bad_time)
-    return clean, rejected
+        marked = _fold_time(marked)
+    return marked.select(*[F.col(c).cast("string").alias(c) for c in names], "typed", "reject_reason")
 
 
 PARTITION_COLUMNS = {"transactions": ["transaction_month"]}
+#: files of a month and table: rows of a month are dealt to so many tasks by key
+MONTH_FILES = 4
 
 
 def write_tables(tables: Tables, base: str, database: str = S.DEFAULT_DATABASE,
@@ -193,14 +244,18 @@ def write_tables(tables: Tables, base: str, database: str = S.DEFAULT_DATABASE,
     """Store the model tables as Parquet under ``<base>/<database>/<table>``.
 
     Transactions are partitioned by ``transaction_month`` so month-sliced reads
-    prune whole folders.  :func:`load_tables` reads the result back.
+    prune whole folders; rows are clustered by month and a hash of the key first,
+    so a month has at most ``MONTH_FILES`` files, not one of every task.
+    :func:`load_tables` reads the result back.
     """
     root = namespace_path(base, database)
     for name, df in tables.as_dict().items():
-        writer = df.write.mode(mode)
         if name in PARTITION_COLUMNS:
-            writer = writer.partitionBy(*PARTITION_COLUMNS[name])
-        writer.parquet(f"{root}/{name}")
+            month = PARTITION_COLUMNS[name]
+            bucket = F.pmod(F.xxhash64(*S.CONSTRAINTS[name].primary_key), F.lit(MONTH_FILES))
+            df.repartition(*month, bucket).write.mode(mode).partitionBy(*month).parquet(f"{root}/{name}")
+        else:
+            df.write.mode(mode).parquet(f"{root}/{name}")
     return root
 
 

@@ -16,6 +16,7 @@ rules are written in DuckDB SQL in ``ledgerlens.plans.oracle``.
 from __future__ import annotations
 
 import os
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 
 from ledgerlens import schema as S
 from ledgerlens.functions.sizing import bounded_broadcast
-from ledgerlens.sources.tables import Tables
+from ledgerlens.sources.tables import BAD_RECORD, Tables
 
 DEFAULT_SF_DIR = "/root/testdata/sf0.01"
 
@@ -163,39 +164,106 @@ def events_bundle(spark: SparkSession, sf_dir: str = DEFAULT_SF_DIR) -> Tables:
     return Tables(accounts(spark, sf_dir), merchants(spark, sf_dir), tx, flags_from(tx))
 
 
+def dirty_bundle(spark: SparkSession, sf_dir: str = DEFAULT_SF_DIR) -> Tables:
+    """The orders bundle with violations of every declared rule on fixed key residues:
+    repeated rows, NULLs, orphan keys, long values, and amounts that DECIMAL(12,2) cannot hold."""
+    base = orders_bundle(spark, sf_dir)
+
+    def spoil(df: DataFrame, key: str, repeat: int, **rules: tuple[int, Column]) -> DataFrame:
+        k = F.col(key)
+        new = {c: F.when(k % mod == 0, bad).otherwise(F.col(c)) for c, (mod, bad) in rules.items()}
+        out = df.select(*[new.get(c, F.col(c)).alias(c) for c in df.columns], k.alias("_k"))
+        return out.union(out.where(F.col("_k") % repeat == 0)).drop("_k")
+
+    null, orphan = F.lit(None).cast("string"), F.lit(-1).cast("bigint")
+    amount, k = F.col("amount").cast("decimal(20,3)"), F.col("transaction_id")
+    wide = (F.when(k % 43 == 0, amount + F.lit(Decimal("0.005"))).when(k % 47 == 0, amount + F.lit(10 ** 10))
+            .otherwise(amount).cast("decimal(20,3)"))
+    return Tables(
+        spoil(base.accounts, "account_id", 50, risk_tier=(31, null), account_type=(37, F.lit("x" * 25))),
+        spoil(base.merchants, "merchant_id", 50, merchant_name=(31, null), region=(37, F.lit("z" * 60))),
+        spoil(base.transactions.withColumn("amount", wide), "transaction_id", 53, channel=(59, null),
+              device_type=(61, F.lit("y" * 25)), account_id=(41, orphan), merchant_id=(29, orphan)),
+        spoil(base.fraud_flags, "flag_id", 11, flagged_by=(17, null), flag_reason=(13, F.lit("y" * 120)),
+              transaction_id=(19, orphan), account_id=(23, orphan)))
+
+
+# ---------------------------------------------------------------------------
+# Raw renderings: every column text, bad values on fixed key residues
+# ---------------------------------------------------------------------------
+
+def _texts(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+
+
+def _raw(df: DataFrame, key: str, mod: int, rules: dict[str, tuple[int, Column]], extra: int) -> DataFrame:
+    """Text columns of ``df``; a row whose key leaves the given remainder by ``mod`` gets the bad
+    value, and one that leaves ``extra`` a field too many (its whole record in ``BAD_RECORD``)."""
+    k = F.col(key).cast("bigint")
+    cols = [F.when(k % mod == rules[c][0], rules[c][1]).otherwise(F.col(c)).alias(c) if c in rules
+            else F.col(c) for c in df.columns]
+    return df.select(*cols, F.when(k % mod == extra, F.lit("one field too many")).alias(BAD_RECORD))
+
+
 def raw_order_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders rendered as a raw transactions file: every column text, date and
-    time of day separate, amount as decimal text (the shape ingest reads)."""
+    """Orders as a raw transactions file: date and time of day separate, amounts as text."""
     t = order_transactions(spark, sf_dir)
-    return t.select(
-        F.col("transaction_id").cast("string").alias("transaction_id"),
-        F.col("account_id").cast("string").alias("account_id"),
-        F.col("merchant_id").cast("string").alias("merchant_id"),
+    text = _texts(t.select(
+        "transaction_id", "account_id", "merchant_id",
         F.date_format("transaction_date", "yyyy-MM-dd").alias("transaction_date"),
         F.date_format("transaction_ts", "HH:mm:ss").alias("transaction_time"),
-        "transaction_month", "transaction_type", "channel",
-        F.col("amount").cast("string").alias("amount"),
-        "transaction_status", "failure_reason", "device_type")
+        "transaction_month", "transaction_type", "channel", "amount",
+        "transaction_status", "failure_reason", "device_type"))
+    return _raw(text, "transaction_id", 97, {
+        "transaction_time": (1, F.lit("25:10:00")), "amount": (2, F.concat("amount", F.lit("5"))),
+        "transaction_date": (3, F.lit("not a date")), "channel": (4, F.lit(None).cast("string"))}, extra=5)
+
+
+def raw_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as a raw accounts file."""
+    return _raw(_texts(accounts(spark, sf_dir)), "account_id", 53, {
+        "registration_date": (1, F.lit("2020-13-45")), "risk_tier": (2, F.lit(None).cast("string"))}, extra=3)
+
+
+def raw_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags of the orders as a raw fraud_flags file."""
+    return _raw(_texts(flags_from(order_transactions(spark, sf_dir))), "flag_id", 89, {
+        "flag_date": (1, F.lit("31/12/2024")), "flagged_by": (2, F.lit(None).cast("string")),
+        "resolution_date": (3, F.lit("soon"))}, extra=4)
 
 
 def raw_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts rendered as a raw merchants file without the ``is_verified`` column."""
-    m = merchants(spark, sf_dir)
-    return m.select(F.col("merchant_id").cast("string").alias("merchant_id"),
-                    "merchant_name", "merchant_category", "region", "state")
+    m = merchants(spark, sf_dir).drop("is_verified")
+    return _raw(_texts(m), "merchant_id", 41, {"merchant_name": (1, F.lit(None).cast("string"))}, extra=-1)
+
+
+def csv_lines(raw: DataFrame) -> DataFrame:
+    """Positional CSV records of a raw frame: quoted fields, NULL bare, one field more where
+    ``BAD_RECORD`` is set."""
+    fields = [c for c in raw.columns if c != BAD_RECORD]
+    quoted = [F.coalesce(F.concat(F.lit('"'), F.regexp_replace(c, r'(["\\\\])', r"\\$1"), F.lit('"')),
+                         F.lit("NULL")) for c in fields]
+    return raw.select(F.concat_ws(",", *quoted, F.when(F.col(BAD_RECORD).isNotNull(), F.lit('"extra"'))).alias("value"))
+
+
+#: bytes of given data that one file of the adapted tables holds
+FILE_BYTES = 128 << 20
 
 
-def materialize(tables: Tables, root: str, files: int) -> Tables:
+def materialize(tables: Tables, root: str, given_bytes: int, least: int) -> Tables:
     """Write the adapted tables once as typed Parquet under ``root`` and read them back.
 
     This is the load step: later reports scan typed columns (no per-row casts
-    or formatting) and the fact tables are split into ``files`` files so their
-    scans run in parallel.  ``root`` must be a shared folder.
+    or formatting).  Files follow the size of the given data; the fact tables
+    have ``least`` files at least, so that their scans run in parallel.
+    ``root`` must be a shared folder.
     """
     out = {}
+    by_size = max(1, -(-given_bytes // FILE_BYTES))
     for name, df in tables.as_dict().items():
         path = f"{root}/{name}"
-        n = files if name in ("transactions", "fraud_flags") else 1
+        n = max(by_size, least) if name in ("transactions", "fraud_flags") else by_size
         # hash on the primary key: balanced, and deterministic if a task is retried
         pk = S.CONSTRAINTS[name].primary_key
         df.repartition(n, *pk).write.mode("overwrite").parquet(path)

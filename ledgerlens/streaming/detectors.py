@@ -79,7 +79,7 @@ def velocity_alerts(stream_tx: DataFrame, min_minutes: int = S.VELOCITY_MIN_MINU
         F.col("p_transaction_id").alias("previous_txn"),
         transaction_time("p_transaction_ts").alias("previous_time"),
         F.col("p_amount").alias("previous_amount"),
-        F.timestamp_diff("MINUTE", F.col("p_transaction_ts"), F.col("c_transaction_ts"))
+        F.timestamp_diff("MINUTE", F.col("p_event_time"), F.col("c_event_time"))
          .alias("minutes_apart"))
 
 

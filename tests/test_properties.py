@@ -95,21 +95,17 @@ def test_fan_out_algebra_matches_exploding_join(spark, tx, fl):
                               "flag_id string, account_id string, flag_status string")
     tables = Tables(accounts, accounts, t, f)
     got = account_fraud_profile(tables, ["account_id"], fan_out=True)
-    accounts.createOrReplaceTempView("p_a")
-    t.createOrReplaceTempView("p_t")
-    f.createOrReplaceTempView("p_f")
-    naive = spark.sql("""
-        SELECT a.account_id, COUNT(t.transaction_id) AS total_transactions,
-               ROUND(SUM(t.amount), 2) AS total_transaction_value,
-               SUM(CASE WHEN t.transaction_status = 'Flagged' THEN 1 ELSE 0 END) AS flagged_count,
-               ROUND(SUM(CASE WHEN t.transaction_status = 'Flagged' THEN t.amount ELSE 0 END), 2)
-                 AS flagged_amount,
-               COUNT(f.flag_id) AS total_flags,
-               SUM(CASE WHEN f.flag_status = 'Confirmed Fraud' THEN 1 ELSE 0 END) AS confirmed_fraud_count,
-               SUM(CASE WHEN f.flag_status = 'Under Review' THEN 1 ELSE 0 END) AS under_review_count
-        FROM p_a a LEFT JOIN p_t t ON a.account_id = t.account_id
-                   LEFT JOIN p_f f ON a.account_id = f.account_id
-        GROUP BY a.account_id""")
+    # every (transaction, flag) pair of an account as a row, then folded up
+    pairs = accounts.join(t, "account_id", "left").join(f, "account_id", "left")
+    hit = F.col("transaction_status") == "Flagged"
+
+    def n(cond):
+        return F.sum(F.when(cond, 1).otherwise(0))
+
+    naive = pairs.groupBy("account_id").agg(
+        F.count("transaction_id"), F.round(F.sum("amount"), 2), n(hit),
+        F.round(F.sum(F.when(hit, F.col("amount")).otherwise(Decimal(0))), 2), F.count("flag_id"),
+        n(F.col("flag_status") == "Confirmed Fraud"), n(F.col("flag_status") == "Under Review"))
 
     def norm(df):
         return sorted(tuple(None if v is None else (float(v) if isinstance(v, Decimal) else v)

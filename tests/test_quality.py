@@ -79,6 +79,49 @@ def test_limits(dirty):
 
 def test_fill_default(spark):
     df = spark.createDataFrame([("M1", None), ("M2", 0)], "merchant_id string, is_verified int")
-    assert [r.is_verified for r in quality.fill_default(df, "is_verified", 1).orderBy("merchant_id").collect()] == [1, 0]
+    # an explicit NULL is a violation, not an omission
+    assert [r.is_verified for r in quality.fill_default(df, "is_verified", 1).orderBy("merchant_id").collect()] == [None, 0]
     absent = quality.fill_default(df.select("merchant_id"), "is_verified", 1)
     assert {r.is_verified for r in absent.collect()} == {1}
+
+
+def test_every_rule_can_fail(spark):
+    """On the spoiled bundle each rule counts violations."""
+    from ledgerlens.plans import catalog
+    run = lambda name: catalog.run(spark, "/root/testdata/sf0.01", f"dq_dirty_{name}").toPandas()
+    pk = run("primary_keys")
+    assert (pk["duplicate_keys"] > 0).all()
+    assert (run("unique")["duplicate_values"] > 0).all()
+    assert (run("foreign_keys")["orphan_rows"] > 0).all()
+    assert (run("not_null").groupby("table_name")["null_count"].max() > 0).all()
+    limits = run("limits")
+    assert (limits.groupby("table_name")["violations"].max() > 0).all()
+    assert limits[limits["column_name"] == "amount"]["violations"].iloc[0] > 0
+
+
+def test_huge_fan_out_does_not_overflow(spark, monkeypatch):
+    """10^11 transactions and 10^10 flags of one account: products beyond BIGINT."""
+    from decimal import Decimal
+
+    from ledgerlens.operators import fraud
+    from ledgerlens.sources.tables import Tables
+    a = spark.createDataFrame([("A1",)], "account_id string")
+    monkeypatch.setattr(fraud, "per_account_transactions", lambda t: spark.createDataFrame(
+        [("A1", 10 ** 11, Decimal("1000.00"), 10 ** 11, Decimal("5.00"))],
+        "account_id string, _n long, _sum decimal(22,2), _fl long, _fl_sum decimal(22,2)"))
+    monkeypatch.setattr(fraud, "per_account_flags", lambda f: spark.createDataFrame(
+        [("A1", 10 ** 10, 10 ** 10, 0)], "account_id string, _m long, _conf long, _rev long"))
+    row = fraud.account_fraud_profile(Tables(a, a, a, a), ["account_id"]).first()
+    assert row.total_transactions == row.flagged_count == row.total_flags == Decimal(10 ** 21)
+    assert row.total_transaction_value == Decimal("1000.00") * 10 ** 10
+
+
+def test_flagged_accounts_are_chosen_below_the_joins(spark):
+    from ledgerlens.operators import fraud
+    from ledgerlens.plans import catalog
+    tables = catalog.bundle(spark, "/root/testdata/sf0.001", "events")
+    plan = fraud.high_risk_accounts(tables, ordered=False)._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    first_join = min(i for i, x in enumerate(lines) if "Join " in x)
+    rule = [i for i, x in enumerate(lines) if "Filter" in x and "> 0" in x]
+    assert rule and min(rule) > first_join

@@ -3,7 +3,6 @@
 import pytest
 
 from ledgerlens import settings
-from ledgerlens.functions import sizing
 from ledgerlens.plans import catalog
 from tools.compare import diff
 
@@ -16,7 +15,6 @@ NAMES = ["kpi_1d_by_merchant_category", "pat_3d_late_night", "pat_3f_above_categ
 def test_shuffle_join_path_matches_broadcast_path(spark, name, monkeypatch):
     small = catalog.run(spark, SF, name).toPandas()
     monkeypatch.setattr(settings, "BROADCAST_MAX_ROWS", 0)
-    sizing.clear_cache()
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
@@ -28,8 +26,7 @@ def test_shuffle_join_path_matches_broadcast_path(spark, name, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
-        sizing.clear_cache()
-
+    
 
 @pytest.mark.parametrize("name", ["kpi_1a_monthly_trend", "pat_3a_running_total",
                                   "pat_3c_velocity_pairs", "dq_primary_keys",
@@ -62,7 +59,6 @@ def test_hot_account_join_is_split_by_aqe(spark, monkeypatch):
         "account_id", F.when(F.col("transaction_id") % 3 == 0, F.lit(0)).otherwise(F.col("account_id"))))
     expected = patterns.late_night(hot).toPandas()
     monkeypatch.setattr(settings, "BROADCAST_MAX_ROWS", 0)
-    sizing.clear_cache()
     for k, v in SKEW_CONF.items():
         spark.conf.set(k, v)
     try:
@@ -74,4 +70,3 @@ def test_hot_account_join_is_split_by_aqe(spark, monkeypatch):
     finally:
         for k in SKEW_CONF:
             spark.conf.unset(k)
-        sizing.clear_cache()

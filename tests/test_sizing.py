@@ -18,3 +18,15 @@ def test_few_rows_with_long_text_are_not_broadcast(spark):
     assert not sizing.fits_broadcast(df, max_rows=10)
     hinted = sizing.bounded_broadcast(df.select("k"), size_of=df, max_rows=10)
     assert "broadcast" not in hinted._jdf.queryExecution().logical().toString().lower()
+
+
+def test_a_grown_dimension_is_measured_again(spark, scratch):
+    """Files that grow in a session are not broadcast on an old measurement."""
+    import os
+    path = os.path.join(scratch, "grow-dim")
+    spark.range(10).write.mode("overwrite").parquet(path)
+    assert "broadcast" in sizing.bounded_broadcast(spark.read.parquet(path))._jdf.queryExecution().logical().toString().lower()
+    spark.range(3_000_000).write.mode("append").parquet(path)
+    grown = spark.read.parquet(path)
+    assert sizing.row_count(grown) == 3_000_010
+    assert "broadcast" not in sizing.bounded_broadcast(grown)._jdf.queryExecution().logical().toString().lower()

@@ -94,7 +94,8 @@ def test_register_views_and_marts(spark, fixture_tables, scratch):
     out = views.write_marts(fixture_tables, os.path.join(scratch, "marts"))
     monthly = spark.read.parquet(out["vw_monthly_fraud_summary"])
     assert monthly.count() == 5
-    assert any(d.startswith("transaction_month=") for d in os.listdir(out["vw_monthly_fraud_summary"]))
+    assert not any("=" in d for d in os.listdir(out["vw_monthly_fraud_summary"]))       # a row a month
+    assert any(d.startswith("transaction_month=") for d in os.listdir(out["vw_time_pattern_analysis"]))
     vel = spark.read.parquet(out["vw_velocity_events"])
     assert vel.count() == 6
 
@@ -184,3 +185,71 @@ def test_positional_csv_without_header(spark, scratch):
     assert rejected.count() == 0
     got = {r.merchant_id: (r.merchant_category, r.is_verified) for r in model.collect()}
     assert got["M02"] == ("Transfers", 0) and got["M03"] == ("Food", 1)
+
+
+def _bad_records(spark, scratch, name, fmt, lines):
+    path = os.path.join(scratch, name)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w", encoding="utf-8") as fh:
+        fh.write("\n".join(lines) + "\n")
+    return load_table(spark, path, "transactions", fmt=fmt)
+
+
+def test_extra_and_missing_fields_and_rounded_amounts_are_rejected(spark, scratch):
+    head = ",".join(S.TRANSACTIONS_RAW.names)
+    row = "{0},A1,M1,2024-01-05,10:00:00,2024-01,Debit,Web,{1},Success,NULL,Web"
+    model, rejected = _bad_records(spark, scratch, "bad1/transactions.csv", "csv", [
+        head, row.format("G1", "10.90"), row.format("B1", "10.999"), row.format("B2", "99999999999.00"),
+        row.format("B3", "1.00") + ",extra", "B4,A1,M1"])
+    assert [r.transaction_id for r in model.collect()] == ["G1"]
+    reasons = {r.transaction_id: r.reject_reason for r in rejected.collect()}
+    assert reasons["B1"] == reasons["B2"] == "bad amount" and reasons["B3"] == "bad record"
+    assert reasons["B4"].startswith("bad record")
+    model, rejected = _bad_records(spark, scratch, "bad2/transactions.json", "json", [
+        '{"transaction_id": "J1", "account', '{"transaction_id": "J2"}'])
+    assert model.count() == 0 and rejected.count() == 2
+
+
+@__import__("pytest").mark.parametrize("zone,day", [("America/New_York", "2024-03-10"), ("America/Sao_Paulo", "2018-11-04")])
+def test_wall_clock_does_not_depend_on_the_session_zone(spark, scratch, zone, day):
+    """Times inside the hour that the zone skips (at 2 o'clock, at midnight) stay what they are."""
+    hour = "02" if zone.endswith("York") else "00"
+    lines = [",".join(S.TRANSACTIONS_RAW.names)]
+    for i, t in ((1, f"{hour}:10:00"), (2, f"0{int(hour) + 1}:05:00")):
+        lines.append(f"T{i},A1,M1,{day},{t},{day[:7]},Debit,Web,1.00,Success,NULL,Web")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        model, rejected = _bad_records(spark, scratch, f"zone/{zone[-4:]}.csv", "csv", lines)
+        got = {r.transaction_id: str(r.transaction_ts) for r in model.collect()}
+        assert got == {"T1": f"{day} {hour}:10:00", "T2": f"{day} 0{int(hour) + 1}:05:00"}
+        from ledgerlens.operators.interval import time_window_pairs
+        pairs = time_window_pairs(model, "account_id", "transaction_ts", "transaction_id", 1, 60, "transaction_date",
+                                  {"transaction_id": "cur"}, {"transaction_id": "prev"}).collect()
+        assert [(r.cur, r.prev, r.minutes_apart) for r in pairs] == [("T2", "T1", 55)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_stored_months_are_clustered(spark, scratch):
+    import glob
+    from ledgerlens.plans import catalog
+    from ledgerlens.sources.tables import MONTH_FILES, write_tables
+    tables = catalog.bundle(spark, "/root/testdata/sf0.001", "orders")
+    root = write_tables(tables, os.path.join(scratch, "clustered"))
+    months = tables.transactions.select("transaction_month").distinct().count()
+    assert len(glob.glob(f"{root}/transactions/*/part-*")) <= MONTH_FILES * months
+
+
+def test_adapted_tables_follow_the_given_files(spark, scratch):
+    """A given table that changes in a session gives new rows."""
+    import shutil
+    from ledgerlens.plans import catalog
+    folder = os.path.join(scratch, "given")
+    os.makedirs(folder)
+    for name in catalog.GIVEN:
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", f"{folder}/{name}.parquet")
+    first = catalog.run(spark, folder, "kpi_2a_overall_fraud_rate").first()["total_transactions"]
+    half = spark.read.parquet(f"{folder}/orders.parquet").where("o_orderkey % 2 = 0").toPandas()
+    half.to_parquet(f"{folder}/orders.parquet", coerce_timestamps="us")
+    second = catalog.run(spark, folder, "kpi_2a_overall_fraud_rate").first()["total_transactions"]
+    assert second == len(half) < first
