@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import kept
+from ledgerlens.llm.common import kept, stored
 
 #: fixed values: elements without content, elements whose content is no markup
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,6 +46,10 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 SCOPE = frozenset("html body table ul ol dl select article section div td th".split())
 #: elements nested deeper share the tree node at this depth
 MAX_DEPTH = 64
+#: (host, path) pairs that a task remembers to have described
+GIVEN_PATHS = 200_000
+#: hosts and paths of removed branches are broadcast up to so many (8 bytes a path)
+BROADCAST_ROWS, BROADCAST_PATHS = 100_000, 1_000_000
 #: weight of a node's contents against its styles, to the power of its number of styles
 GAMMA = 0.9
 #: branches below this importance are removed
@@ -194,9 +198,13 @@ def main_text(html: str | None, low: frozenset[int] = frozenset()) -> str:
 
 def site_nodes(pages: DataFrame) -> DataFrame:
     """``(host, page, path, above, style, content)``: a row for each path of each page; ``page`` is
-    a hash of the html, so copies of a page count once later on."""
+    a hash of the html, so copies of a page count once later on.  A task gives the paths above a
+    host's path once and null in its later rows."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        given: set[tuple[str, int]] = set()
         for b in batches:
+            if len(given) > GIVEN_PATHS:
+                given.clear()
             rows = []
             for host, html in zip(b["host"], b["html"]):
                 page, merged = _hash(html or ""), {}
@@ -206,7 +214,9 @@ def site_nodes(pages: DataFrame) -> DataFrame:
                     words += node.words
                 for path, (above, styles, words) in merged.items():
                     content = _hash(" ".join(" ".join(words).split())) if words else None
-                    rows.append((host, page, path, list(above), _hash("|".join(sorted(styles))), content))
+                    first = (host, path) not in given
+                    given.add((host, path))
+                    rows.append((host, page, path, list(above) if first else None, _hash("|".join(sorted(styles))), content))
             yield pd.DataFrame(rows, columns=["host", "page", "path", "above", "style", "content"]).astype(
                 {"content": "Int64"})
 
@@ -222,9 +232,12 @@ def importance(nodes: DataFrame, gamma: float = GAMMA) -> DataFrame:
     c pages share has importance ``1 - log_m c``; with l styles the composite is
     ``(1 - gamma^l) * styles + gamma^l * contents``.  A node of one page has importance 1.
     """
-    rows = kept(nodes.distinct())                          # repeated pages count once
+    # repeated pages count once
+    rows = stored(nodes.groupBy("host", "page", "path", "style", "content")
+                  .agg(F.first("above", ignorenulls=True).alias("above")), "site-nodes")
     node = ["host", "path"]
-    total = rows.groupBy(*node).agg(F.count(F.lit(1)).alias("m"), F.first("above").alias("above"))
+    total = rows.groupBy(*node).agg(F.count(F.lit(1)).alias("m"),
+                                    F.first("above", ignorenulls=True).alias("above"))
     styles = rows.groupBy(*node, "style").agg(F.count(F.lit(1)).alias("c")).groupBy(*node).agg(
         F.count(F.lit(1)).alias("l"), F.sum(F.col("c") * F.log("c")).alias("s"))
     contents = (rows.where("content is not null").groupBy(*node, "content").agg(F.count(F.lit(1)).alias("c"))
@@ -256,6 +269,10 @@ def extracted(pages: DataFrame, threshold: float = THRESHOLD, gamma: float = GAM
     tree = importance(site_nodes(hosted.where("host <> ''").select("host", F.col("row.html").alias("html"))), gamma)
     low = kept(tree.where(F.col("importance") < threshold).groupBy("host").agg(F.collect_set("path").alias("low")))
 
+    size = low.agg(F.count(F.lit(1)).alias("hosts"), F.coalesce(F.sum(F.size("low")), F.lit(0)).alias("paths")).first()
+    if size["hosts"] <= BROADCAST_ROWS and size["paths"] <= BROADCAST_PATHS:
+        low = F.broadcast(low)
+
     @F.pandas_udf("string")
     def text(html: pd.Series, low: pd.Series) -> pd.Series:
         return pd.Series([main_text(h, frozenset(() if x is None else x.tolist())) for h, x in zip(html, low)],
