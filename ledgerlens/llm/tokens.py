@@ -2,14 +2,13 @@
 
 A text is cut only where no pre-token can span the cut, so the ids of the pieces, joined,
 are the ids of the whole text.  Pieces repeat (words do): Arrow numbers the distinct pieces
-of a batch, each new piece is encoded once per worker and generation of the memo, and the
-ids of all texts are gathered in one vectorised step.  The memo holds at most
-``2 * MEMO_ENTRIES`` short pieces, whatever the size of the corpus.
+of a batch, each new piece is encoded once and kept in a memo of Arrow and numpy arrays, and
+the ids of all texts are gathered in one vectorised step.  A memo of more than ``MEMO_ENTRIES`` pieces is cut back to
+those of the last slice, so its size does not follow the corpus.
 """
 
 from __future__ import annotations
 
-import gc
 import os
 from collections.abc import Iterator
 
@@ -17,18 +16,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: entries of one memo generation; two generations are kept
-MEMO_ENTRIES = 400_000
-#: longer pieces are encoded but not remembered
-MEMO_CHARS = 48
+#: pieces of the memo (about 40 bytes each)
+MEMO_ENTRIES = 1_500_000
 #: pieces passed to the tokenizer at a time
 MISS_BATCH = 50_000
 #: text bytes encoded at a time (a single longer text goes alone)
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 16 << 20
 #: fixed values: punctuation that may be cut off the end of a word of letters
 TAIL = ".,;:!?%&*#$|"
 
-_NEW = object()
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -64,8 +60,13 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         one, two = (self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("a", "a a"))
         self.drops_space = two == one + one
-        self._young: dict[str, bytes | None] = {}        # None: unsafe
-        self._old: dict[str, bytes | None] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self._pieces = pa.array([], pa.large_string())
+        self._flat = np.zeros(0, self.dtype)                 # ids of all pieces
+        self._starts, self._lens = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._unsafe = np.zeros(0, bool)
 
     def _spelling(self, piece: str) -> str | None:
         """The text that a piece stands for; None if the piece is unsafe."""
@@ -78,47 +79,56 @@ class Encoder:
             return None
         return body if piece[0] == "\r" else piece if piece[0] == "\n" else " " + piece
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
+    def _raw(self, texts: list[str]) -> list[np.ndarray]:
         out = []
         for at in range(0, len(texts), MISS_BATCH):
             encs = self.tokenizer.encode_batch_fast(texts[at:at + MISS_BATCH], add_special_tokens=False)
-            out += [np.array(e.ids, dtype=self.dtype).tobytes() for e in encs]
+            out += [np.array(e.ids, dtype=self.dtype) for e in encs]
         return out
 
-    def _lookup(self, pieces: list[str]) -> list[bytes | None]:
-        """Ids of distinct pieces; new ones are encoded, word and closing marks apart (a
-        pre-token of letters ends where the marks begin)."""
-        young, old, new = self._young, self._old, _NEW
-        out = [young.get(p, new) for p in pieces]
-        later = [i for i, ids in enumerate(out) if ids is new]
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Where the memo has each piece; -1 if it hasn't."""
+        return np.asarray(pc.fill_null(pc.index_in(pieces, value_set=self._pieces), -1)).astype(np.int64)
+
+    def _add(self, pieces: list[str], flat: np.ndarray, lens: np.ndarray, unsafe: np.ndarray) -> np.ndarray:
+        """Adds pieces, whose ids follow each other in ``flat``; returns their places."""
+        first = len(self._lens)
+        self._pieces = pa.concat_arrays([self._pieces, pa.array(pieces, pa.large_string())])
+        self._starts = np.concatenate([self._starts, len(self._flat) + np.cumsum(lens) - lens])
+        self._lens, self._unsafe = np.concatenate([self._lens, lens]), np.concatenate([self._unsafe, unsafe])
+        self._flat = np.concatenate([self._flat, flat])
+        return np.arange(first, first + len(pieces))
+
+    def _learn(self, pieces: list[str]) -> np.ndarray:
+        """Places of new pieces, encoded word and closing marks apart (a pre-token of letters
+        ends where the marks begin)."""
         mark = "" if self.drops_space else "\r"      # marks after a word have no space before them
-        stems, tails, wanted = [], [], set()
-        for i in later:
-            piece = pieces[i]
+        stems, tails = [], []
+        for piece in pieces:
             stem = piece.rstrip(TAIL)
             if len(stem) == len(piece) or not stem.isalpha():
-                stem, tail = piece, None
+                stems.append(piece)
+                tails.append(None)
             else:
-                tail = mark + piece[len(stem):]
-                wanted.add(tail)
-            wanted.add(stem)
-            stems.append(stem)
-            tails.append(tail)
-        found = {k: young.get(k, new) for k in wanted}
-        found.update({k: old.get(k, new) for k, ids in found.items() if ids is new})
-        fresh = [k for k, ids in found.items() if ids is new]
-        spelt = [self._spelling(k) for k in fresh]
-        found.update(dict.fromkeys(fresh))
-        safe = [k for k, text in zip(fresh, spelt) if text is not None]
-        found.update(zip(safe, self._raw([text for text in spelt if text is not None])))
-        for i, stem, tail in zip(later, stems, tails):
-            ids = found[stem] if tail is None else found[stem] + found[tail]
-            out[i] = ids
-            if len(pieces[i]) <= MEMO_CHARS:
-                young[pieces[i]] = ids
-        young.update((k, ids) for k, ids in found.items() if len(k) <= MEMO_CHARS)
-        if len(young) > MEMO_ENTRIES:
-            self._old, self._young = young, {}
+                stems.append(stem)
+                tails.append(mark + piece[len(stem):])
+        parts = list(dict.fromkeys([*stems, *(t for t in tails if t is not None)]))
+        at = self._places(pa.array(parts, pa.large_string()))
+        fresh = [p for p, i in zip(parts, at) if i < 0]
+        spelt = [self._spelling(p) for p in fresh]
+        ids = self._raw([x or "" for x in spelt])
+        at[at < 0] = self._add(fresh, np.concatenate([np.zeros(0, self.dtype), *ids]),
+                               np.array([len(x) for x in ids], np.int64), np.array([x is None for x in spelt], bool))
+        place = dict(zip(parts, at.tolist()))
+        out = np.array([place[s] for s in stems], np.int64)
+        both = [i for i, t in enumerate(tails) if t is not None]
+        if both:
+            pair = np.empty(2 * len(both), np.int64)
+            pair[0::2], pair[1::2] = out[both], [place[tails[i]] for i in both]
+            lens = self._lens[pair]
+            flat = self._flat[ragged(self._starts[pair], lens)]
+            out[both] = self._add([pieces[i] for i in both], flat, lens[0::2] + lens[1::2],
+                                  np.zeros(len(both), bool))
         return out
 
     def _encode_slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -133,28 +143,31 @@ class Encoder:
         numbered = words.values[bounds[0]:bounds[-1]].dictionary_encode()
         bounds = bounds - bounds[0]
         codes = np.asarray(numbered.indices)
-        gc.disable()                     # no cycles here, and millions of small objects to walk
-        try:
-            ids = self._lookup(numbered.dictionary.to_pylist())
-        finally:
-            gc.enable()
-        numbers = pa.array(ids, pa.large_binary())
-        unsafe = np.asarray(numbers.is_null())
-        lens = np.diff(np.frombuffer(numbers.buffers()[1], np.int64, len(ids) + 1)) // self.dtype.itemsize
-        flat = np.frombuffer(numbers.buffers()[2] or b"", self.dtype)
-        starts = np.cumsum(lens) - lens
-        per_word = lens[codes]
-        out = flat[ragged(starts[codes], per_word)] if len(codes) else flat
+        at = self._places(numbered.dictionary)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = self._learn(numbered.dictionary.take(pa.array(new)).to_pylist())
+        unsafe = self._unsafe[at]
+        per_word = self._lens[at][codes]
+        out = self._flat[ragged(self._starts[at][codes], per_word)]
+        if len(self._lens) > MEMO_ENTRIES:
+            self._cut_back(at)
         ends = np.concatenate([[0], np.cumsum(per_word)])[bounds]
         if not unsafe.any():
             return out, ends
         bad = np.concatenate([[0], np.cumsum(unsafe[codes])])[bounds]
         whole = np.flatnonzero(np.diff(bad))
         again = dict(zip(whole.tolist(), self._raw(texts.take(pa.array(whole)).to_pylist())))
-        parts = [np.frombuffer(again[i], self.dtype) if i in again else out[ends[i]:ends[i + 1]]
-                 for i in range(len(texts))]
+        parts = [again[i] if i in again else out[ends[i]:ends[i + 1]] for i in range(len(texts))]
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
+    def _cut_back(self, at: np.ndarray) -> None:
+        """Keeps the pieces at the given places only."""
+        pieces, lens = self._pieces.take(pa.array(at)).to_pylist(), self._lens[at]
+        flat, unsafe = self._flat[ragged(self._starts[at], lens)], self._unsafe[at]
+        self._forget()
+        self._add(pieces, flat, lens, unsafe)
+
     def encode(self, texts) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For an Arrow string array (null: empty), yields (first text, ids, bounds) of slices of
         about ``SLICE_BYTES``; text ``first + i`` has ``ids[bounds[i]:bounds[i + 1]]``."""
@@ -169,3 +182,4 @@ class Encoder:
             ids, bounds = self._encode_slice(texts.slice(at, to - at))
             yield at, ids, bounds
             at = to
+            pa.default_memory_pool().release_unused()
