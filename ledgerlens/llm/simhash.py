@@ -30,6 +30,8 @@ BLOCK = 1 << 16
 #: fingerprints of one key that one task compares; a larger key is cut into blocks of this
 #: size, and every two blocks meet in a task of their own
 KEY_BLOCK = 20_000
+#: fingerprints whose keys one task lists
+PRINTS_PER_TASK = 8_000
 
 
 def text_fingerprint(text: str | None, width: int = 3) -> int:
@@ -150,7 +152,9 @@ def links(fps: DataFrame, distance: int = 3, key_block: int = KEY_BLOCK) -> Data
     """
     if not 0 <= distance <= 3:
         raise ValueError("the keys find distances of 0 to 3")
-    rows = _fuzzy_keys(fps)
+    # the table is small but its keys are not: dealt out by number, not by bytes
+    tasks = max(1, -(-fps.count() // PRINTS_PER_TASK))
+    rows = _fuzzy_keys(fps.repartition(tasks, "fp"))
     # keys where somebody is listed and somebody else looks
     count = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("any"))
     hot = (count.where(F.col("any") & (F.col("n") > key_block))
@@ -184,7 +188,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3,
     an empty result.
     """
     prints = kept(fingerprints(docs, width))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    classes = kept(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     joined = components(links(classes.select("fp"), distance, key_block))
     roots = (classes.join(joined, F.col("fp") == F.col("id"), "left")
              .select("fp", "least", F.coalesce("root", "fp").alias("root")))
