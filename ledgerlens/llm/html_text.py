@@ -5,7 +5,9 @@ the root), with the presentation styles (sequences of children) and the contents
 host's pages.  A node's importance joins the entropy of its styles and the rarity of its
 contents; a branch in which every node is of low importance is what the site repeats, and is
 removed from each page.  Elements that name their purpose (menus, forms, adverts, comments, ...)
-are left out on hosts of any size; the text inside an article is never taken for a template.
+are left out on hosts of any size.  An <article> or <main> is a weight, not a gate: its nodes are
+taken for more important than the tree alone says, and its text counts more against the rest of
+the page, but what the site repeats inside it goes like any other template.
 """
 
 from __future__ import annotations
@@ -54,6 +56,10 @@ BROADCAST_ROWS, BROADCAST_PATHS = 100_000, 1_000_000
 GAMMA = 0.9
 #: branches below this importance are removed
 THRESHOLD = 0.35
+#: inside an article or main, a node counts as if so many more pages had it with contents of their own
+SEMANTIC_PAGES = 2
+#: a character inside an article (or main) weighs as many outside when a page's main region is chosen
+SEMANTIC_WEIGHT = 8
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
@@ -182,24 +188,34 @@ def parse(html: str) -> Page:
 
 def main_text(html: str | None, low: frozenset[int] = frozenset()) -> str:
     """The main text of a page, blocks joined by an empty line; ``low`` are the paths of the
-    site's low-importance branches."""
+    site's low-importance branches, which go inside and outside of articles.  Of the rest the text
+    of articles is the main text, or that of <main>, unless it is shorter than the text outside it
+    by more than ``SEMANTIC_WEIGHT``: then the region beyond is taken too.  Where nothing is left
+    (one article on many pages of a site), articles keep their repeated text."""
     page = parse(html or "")
-    said = [(node, t) for block in page.blocks for node, t in block if not node.noise and not t.isspace()]
-    level = max((node.article for node, _ in said), default=0)
+    said = [[(node, t) for node, t in block if not node.noise] for block in page.blocks]
+    stays = [[(node, t) for node, t in block if not low or (node.path not in low and low.isdisjoint(node.above))]
+             for block in said]
+    if not any(t.strip() for block in stays for _, t in block):
+        stays = [[(node, t) for node, t in block if node.article] for block in said]
+    size = [0, 0, 0]
+    for block in stays:
+        for node, t in block:
+            size[node.article] += len("".join(t.split()))
+    level = next((x for x in (2, 1) if sum(size[x:]) * SEMANTIC_WEIGHT > sum(size[:x])), 0)
     out = []
-    for block in page.blocks:
-        parts = [t for node, t in block if not node.noise and node.article >= level
-                 and (node.article or not low or (node.path not in low and low.isdisjoint(node.above)))]
-        joined = " ".join("".join(parts).split())
+    for block in stays:
+        joined = " ".join("".join(t for node, t in block if node.article >= level).split())
         if joined:
             out.append(joined)
     return "\n\n".join(out)
 
 
 def site_nodes(pages: DataFrame) -> DataFrame:
-    """``(host, page, path, above, style, content)``: a row for each path of each page; ``page`` is
-    a hash of the html, so copies of a page count once later on.  A task gives the paths above a
-    host's path once and null in its later rows."""
+    """``(host, page, path, above, style, content, semantic)``: a row for each path of each page;
+    ``page`` is a hash of the html, so copies of a page count once later on; ``semantic`` tells
+    paths inside an article or main.  A task gives the paths above a host's path once and null in
+    its later rows."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         given: set[tuple[str, int]] = set()
         for b in batches:
@@ -209,19 +225,20 @@ def site_nodes(pages: DataFrame) -> DataFrame:
             for host, html in zip(b["host"], b["html"]):
                 page, merged = _hash(html or ""), {}
                 for node in parse(html or "").nodes:
-                    _, styles, words = merged.setdefault(node.path, (node.above, set(), []))
+                    _, styles, words, _ = merged.setdefault(node.path, (node.above, set(), [], node.article > 0))
                     styles.add("/".join(node.children))
                     words += node.words
-                for path, (above, styles, words) in merged.items():
+                for path, (above, styles, words, semantic) in merged.items():
                     content = _hash(" ".join(" ".join(words).split())) if words else None
                     first = (host, path) not in given
                     given.add((host, path))
-                    rows.append((host, page, path, list(above) if first else None, _hash("|".join(sorted(styles))), content))
-            yield pd.DataFrame(rows, columns=["host", "page", "path", "above", "style", "content"]).astype(
-                {"content": "Int64"})
+                    rows.append((host, page, path, list(above) if first else None, _hash("|".join(sorted(styles))), content,
+                                 semantic))
+            yield pd.DataFrame(rows, columns=["host", "page", "path", "above", "style", "content", "semantic"]).astype(
+                {"content": "Int64", "semantic": "bool"})
 
     return pages.select("host", "html").mapInPandas(
-        run, "host string, page long, path long, above array<long>, style long, content long")
+        run, "host string, page long, path long, above array<long>, style long, content long, semantic boolean")
 
 
 def importance(nodes: DataFrame, gamma: float = GAMMA) -> DataFrame:
@@ -230,14 +247,17 @@ def importance(nodes: DataFrame, gamma: float = GAMMA) -> DataFrame:
 
     Of a node on m pages: styles have the entropy of their shares, to the base m; a content that
     c pages share has importance ``1 - log_m c``; with l styles the composite is
-    ``(1 - gamma^l) * styles + gamma^l * contents``.  A node of one page has importance 1.
+    ``(1 - gamma^l) * styles + gamma^l * contents``.  A node of one page has importance 1.  Inside an
+    article or main the tag speaks for the node: its importance is the mean of m pages with the
+    composite and ``SEMANTIC_PAGES`` with 1.
     """
     # repeated pages count once
     rows = stored(nodes.groupBy("host", "page", "path", "style", "content")
-                  .agg(F.first("above", ignorenulls=True).alias("above")), "site-nodes")
+                  .agg(F.first("above", ignorenulls=True).alias("above"), F.max("semantic").alias("semantic")), "site-nodes")
     node = ["host", "path"]
     total = rows.groupBy(*node).agg(F.count(F.lit(1)).alias("m"),
-                                    F.first("above", ignorenulls=True).alias("above"))
+                                    F.first("above", ignorenulls=True).alias("above"),
+                                    F.max("semantic").alias("semantic"))
     styles = rows.groupBy(*node, "style").agg(F.count(F.lit(1)).alias("c")).groupBy(*node).agg(
         F.count(F.lit(1)).alias("l"), F.sum(F.col("c") * F.log("c")).alias("s"))
     contents = (rows.where("content is not null").groupBy(*node, "content").agg(F.count(F.lit(1)).alias("c"))
@@ -248,6 +268,8 @@ def importance(nodes: DataFrame, gamma: float = GAMMA) -> DataFrame:
     look = 1 - F.col("s") / (F.col("m") * logm)           # -sum p log_m p
     said = F.when(F.col("said").isNull(), F.lit(0.0)).otherwise(1 - F.col("t") / (F.col("said") * logm))
     own = own.withColumn("own", F.when(F.col("m") == 1, F.lit(1.0)).otherwise((1 - weight) * look + weight * said))
+    own = own.withColumn("own", F.when(F.col("semantic"), (F.col("m") * F.col("own") + SEMANTIC_PAGES)
+                                       / (F.col("m") + SEMANTIC_PAGES)).otherwise(F.col("own")))
     branches = own.select("host", F.explode(F.concat("above", F.array("path"))).alias("path"), "own")
     return branches.groupBy(*node).agg(F.max("own").alias("importance"))
 

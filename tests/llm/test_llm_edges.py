@@ -225,3 +225,25 @@ def test_broken_html_is_read(html):
 def test_article_wins_over_the_rest_of_the_page():
     page = "<body><p>aside</p><article><header><h1>T</h1></header><p>x</p><footer>f</footer></article><p>more</p>"
     assert html_text.main_text(page) == "T\n\nx"
+
+
+def test_site_boilerplate_inside_articles_goes(spark):
+    page = ("<body><{1}><h1>Title {0}</h1><p>Words of page {0} only</p>"
+            "<div class=box>Sign our petition today</div></{1}></body>")
+    rows = [(i, f"http://{tag}.example/{i}", page.format(i, tag)) for tag in ("article", "main") for i in range(30)]
+    rows += [(i, f"http://two.example/{i}", page.format("of a near copy", "article") + f"<nav>{i}</nav>") for i in (90, 91)]
+    rows += [(i, f"http://same.example/{i}", page.format("the", "article") + f"<nav>{i}</nav>") for i in range(190, 200)]
+    got = html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    text = {(r.page_id, r.url): r.text for r in got}
+    for i, url, _ in rows[:60]:
+        assert text[i, url] == f"Title {i}\n\nWords of page {i} only"
+    assert text[199, "http://same.example/199"] == "Title the\n\nWords of page the only\n\nSign our petition today"
+    assert text[90, "http://two.example/90"].startswith("Title of a near copy")       # two pages prove no template
+
+
+def test_article_teaser_does_not_replace_the_body():
+    body = "The story itself goes on and on. " * 40
+    page = f"<body><article class=box><p>Read this too</p></article><div class=story><p>{body}</p></div></body>"
+    assert " ".join(body.split()) in html_text.main_text(page)
+    page = f"<body><main><article>Read this too</article><p>{body}</p></main><p>outside</p></body>"
+    assert html_text.main_text(page) == "Read this too\n\n" + " ".join(body.split())
