@@ -49,7 +49,8 @@ class Encoder:
     tokenizer starts with at most one space, or is a run of white space; so the cut is exact
     when the character before it is no white space.  A word that breaks this (an empty one, or
     one with other white space in it) is marked unsafe, and texts that hold one are encoded in
-    one go.  A tokenizer that drops white space can be cut at every space or line end.
+    one go, as are texts with a carriage return, which marks the first piece of a text.  A
+    tokenizer that drops white space can be cut at every space or line end.
     """
 
     def __init__(self, path: str):
@@ -131,6 +132,13 @@ class Encoder:
                                   np.zeros(len(both), bool))
         return out
 
+    def _in_one_go(self, texts: pa.Array) -> np.ndarray:
+        """Which texts may not be cut, whatever their pieces are."""
+        whole = np.zeros(len(texts), bool)
+        if not self.drops_space:
+            whole |= np.asarray(pc.match_substring(texts, "\r"))
+        return whole
+
     def _encode_slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.drops_space:
             cut = pc.replace_substring(texts, "\n", " ")
@@ -153,10 +161,11 @@ class Encoder:
         if len(self._lens) > MEMO_ENTRIES:
             self._cut_back(at)
         ends = np.concatenate([[0], np.cumsum(per_word)])[bounds]
-        if not unsafe.any():
+        uncut = self._in_one_go(texts)
+        if not unsafe.any() and not uncut.any():
             return out, ends
         bad = np.concatenate([[0], np.cumsum(unsafe[codes])])[bounds]
-        whole = np.flatnonzero(np.diff(bad))
+        whole = np.flatnonzero((np.diff(bad) > 0) | uncut)
         again = dict(zip(whole.tolist(), self._raw(texts.take(pa.array(whole)).to_pylist())))
         parts = [again[i] if i in again else out[ends[i]:ends[i + 1]] for i in range(len(texts))]
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])

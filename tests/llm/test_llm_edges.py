@@ -247,3 +247,18 @@ def test_article_teaser_does_not_replace_the_body():
     assert " ".join(body.split()) in html_text.main_text(page)
     page = f"<body><main><article>Read this too</article><p>{body}</p></main><p>outside</p></body>"
     assert html_text.main_text(page) == "Read this too\n\n" + " ".join(body.split())
+
+
+def _same_as_plain(name, texts):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    from ledgerlens.llm.tokens import Encoder
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    (_, ids, bounds), = Encoder(public_tokenizers.path(name)).encode(pa.array(texts))
+    got = [ids[bounds[i]:bounds[i + 1]].tolist() for i in range(len(texts))]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_carriage_returns_keep_their_ids(name):
+    _same_as_plain(name, ["one \r\ntwo", "one \rtwo", "\rone", "one\r\ntwo\r\n", "a \r b", "\r", " \r", "one two", ""])
