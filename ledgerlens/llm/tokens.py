@@ -49,15 +49,17 @@ class Encoder:
     tokenizer starts with at most one space, or is a run of white space; so the cut is exact
     when the character before it is no white space.  A word that breaks this (an empty one, or
     one with other white space in it) is marked unsafe, and texts that hold one are encoded in
-    one go, as are texts with a carriage return, which marks the first piece of a text.  A
-    tokenizer that drops white space can be cut at every space or line end.
+    one go, as are texts with a carriage return, which marks the first piece of a text, and texts
+    with the spelling of an added token, which gets that token's id as in a plain call of the
+    tokenizer.  A tokenizer that drops white space can be cut at every space or line end.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True      # their spellings are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [(t.content, t.normalized) for t in added]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         one, two = (self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("a", "a a"))
         self.drops_space = two == one + one
@@ -137,6 +139,12 @@ class Encoder:
         whole = np.zeros(len(texts), bool)
         if not self.drops_space:
             whole |= np.asarray(pc.match_substring(texts, "\r"))
+        normalizer = self.tokenizer.normalizer
+        for content, normalized in self.added:
+            whole |= np.asarray(pc.match_substring(texts, content))
+            if normalized and normalizer is not None:        # looked for in the normalised text
+                spelt = normalizer.normalize_str(content)
+                whole |= np.array([spelt in normalizer.normalize_str(t) for t in texts.to_pylist()], bool)
         return whole
 
     def _encode_slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -262,3 +262,9 @@ def _same_as_plain(name, texts):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_carriage_returns_keep_their_ids(name):
     _same_as_plain(name, ["one \r\ntwo", "one \rtwo", "\rone", "one\r\ntwo\r\n", "a \r b", "\r", " \r", "one two", ""])
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_token_spellings_as_in_a_plain_call(name):
+    _same_as_plain(name, ["end <|endoftext|> next", "<|endoftext|>", "a<|endoftext|>b\n<|startoftext|>", "<|EndOfText|> x",
+                          "<| endoftext |>", "one two"])
