@@ -268,3 +268,19 @@ def test_carriage_returns_keep_their_ids(name):
 def test_added_token_spellings_as_in_a_plain_call(name):
     _same_as_plain(name, ["end <|endoftext|> next", "<|endoftext|>", "a<|endoftext|>b\n<|startoftext|>", "<|EndOfText|> x",
                           "<| endoftext |>", "one two"])
+
+
+def test_secrets_of_a_clean_corpus(spark):
+    import hashlib
+    import uuid
+    rows = []
+    for i in range(40):
+        digest = hashlib.sha1(str(i).encode()).hexdigest()
+        rows.append((i, f"See https://www.example.org/articles/2020/1{i % 9}/a-long-title-number-{i} and commit {digest} of "
+                        f"the file report_2020_11_{i}_final_version. The id {uuid.UUID(int=i * 7 ** 40)} has "
+                        f"md5: {hashlib.md5(digest.encode()).hexdigest()} here.", "en", "web"))
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = secrets.scanned(df).collect()
+    assert all(r.n_candidates >= 4 for r in got) and [r.secrets for r in got if r.secrets] == []
+    few = df.where("doc_id < 3").union(spark.createDataFrame([(99, f"password: {SECRET} is unquoted", "en", "web")], SCHEMA))
+    assert {r.doc_id: r.secrets for r in secrets.scanned(few).collect()} == {0: [], 1: [], 2: [], 99: [SECRET]}
