@@ -1,7 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
 Everything here is DataFrame functions and the DataFrame API of Spark ML.  A candidate is a
-long run of characters that keys are made of.  Its features: length, transitions between
+long run of characters that keys are made of, or a value of 6 characters or more that is assigned
+to a name of a secret (quoted, JSON, env file, query string).  Its features: length, transitions between
 character classes, entropy of its characters, how much of it dictionary words cover, the path
 (source) it came from, and the words next to it.
 """
@@ -16,11 +17,20 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import kept
 
-#: a candidate: a long run of the characters of keys (no other candidate beside it)
-CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+#: a candidate: a long run of the characters of keys; '=' ends it but for padding
+CANDIDATE = r"[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 #: fixed values: words that name a secret when a value is assigned to them
 NAMES = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key",
          "auth", "authorization", "bearer", "credential", "credentials", "private_key", "client_secret", "key")
+#: the parts of such names, between the borders of words, _, - and capitals
+PARTS = tuple(n for n in NAMES if not set(n) & set("_-"))
+_NAME = (rf"[\w.-]*?(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?i:{'|'.join(PARTS)})"
+         r"(?:(?![A-Za-z0-9])|(?<=[a-z])(?=[A-Z]))[\w.-]*+")
+#: a candidate: what is assigned to such a name (in quotes, or up to white space, a further
+#: parameter of an address or a closing tag), of at least so many characters
+ASSIGNED = (rf"(?<![\w.-]){_NAME}[\"']?[ \t]*+(?::=|[:=]>?)[ \t]*+(?:\"([^\s\"]++)|'([^\s']++)"
+            r"|([^\s\"'&<]++(?:(?:&(?![A-Za-z_][\w.-]*=)|<(?!/))[^\s\"'&<]*+)*+))")
+ASSIGNED_LENGTH = 6
 #: fixed values: parts of a path that hold examples rather than live values
 EXAMPLE_PATH = r"(?i)(^|[^a-z])(tests?|fixtures?|examples?|samples?|docs?|mock|vendor|dist)([^a-z]|$)"
 #: characters kept beside a candidate
@@ -59,17 +69,38 @@ FEATURES = ["length", "entropy", "digits", "uppers", "symbols", "moves", "hex",
 
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     """``(doc_id, text_key, path, value, before, after)``: every occurrence of a candidate in the
-    whole texts, with the characters beside it.  ``text_key`` is a 64-bit hash of the text."""
+    whole texts, with the characters beside it.  ``text_key`` is a 64-bit hash of the text.
+
+    Candidates are long runs and values assigned to a name of a secret; one that is both counts once.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select("doc_id", F.xxhash64("text").alias("text_key"),
-                        F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"),
-                        F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("values"),
-                        F.split(text, CANDIDATE, -1).alias("gaps")).where(F.size("values") > 0)
-    each = F.transform("values", lambda v, i: F.struct(
+                        F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), text.alias("whole"),
+                        F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("runs"),
+                        F.regexp_extract_all(text, F.lit(ASSIGNED), F.lit(0)).alias("spans"),
+                        ).where("size(runs) > 0 or size(spans) > 0")
+    found = found.select("doc_id", "text_key", "path", "runs", "spans",
+                         F.when(F.size("runs") > 0, F.split("whole", CANDIDATE, -1)).alias("gaps"),
+                         F.when(F.size("spans") > 0, F.split("whole", ASSIGNED, -1)).alias("others"))
+    runs = F.transform("runs", lambda v, i: F.struct(
         v.alias("value"),
-        F.substring(F.get("gaps", i), -CONTEXT, CONTEXT).alias("before"),
-        F.substring(F.get("gaps", i + 1), 1, CONTEXT).alias("after")))
-    return found.select("doc_id", "text_key", "path", F.explode(each).alias("c")).select(
+        F.right(F.concat(F.when(i > 0, F.get("runs", i - 1)).otherwise(""), F.get("gaps", i)), F.lit(CONTEXT)).alias("before"),
+        F.left(F.get("gaps", i + 1), F.lit(CONTEXT)).alias("after")))
+
+    def assigned(span: Column, i: Column) -> Column:
+        quoted = F.concat(F.regexp_extract(span, ASSIGNED, 1), F.regexp_extract(span, ASSIGNED, 2))
+        bare = F.regexp_extract(span, ASSIGNED, 3)
+        value = F.concat(quoted, F.regexp_replace(bare, r"[,;.)\]}>]+$", ""))
+        name = F.length(span) - F.length(quoted) - F.length(bare)
+        return F.struct(
+            value.alias("value"),
+            F.right(F.concat(F.get("others", i), F.left(span, name)), F.lit(CONTEXT)).alias("before"),
+            F.left(F.concat(F.right(span, F.length(span) - name - F.length(value)), F.get("others", i + 1)),
+                   F.lit(CONTEXT)).alias("after"))
+
+    values = F.filter(F.transform("spans", assigned), lambda c: (F.length(c["value"]) >= ASSIGNED_LENGTH)
+                      & ~c["value"].rlike(f"^(?:{CANDIDATE})$"))
+    return found.select("doc_id", "text_key", "path", F.explode(F.concat(runs, values)).alias("c")).select(
         "doc_id", "text_key", "path", "c.*")
 
 
@@ -94,6 +125,12 @@ def _runs(value: Column) -> Column:
     return F.regexp_extract_all(F.lower(value), F.lit(r"[a-z]{3,}"), F.lit(0))
 
 
+def _names_secret(name: Column) -> Column:
+    """Whether a name, or a part of it, names a secret."""
+    parts = F.split(F.lower(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1_$2")), "[_.-]")
+    return F.lower(name).isin(*NAMES) | F.arrays_overlap(parts, F.array(*map(F.lit, NAMES)))
+
+
 def features(found: DataFrame, words: DataFrame | None) -> DataFrame:
     """``found`` with the columns ``FEATURES``; ``words(word)`` is the dictionary.
 
@@ -130,11 +167,11 @@ def features(found: DataFrame, words: DataFrame | None) -> DataFrame:
         covered = (known.groupBy("value").agg(F.sum(F.length("word")).alias("letters"))
                    .select("value", (F.col("letters") / F.length("value")).alias("coverage")))
     values = values.join(covered, "value", "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
-    name = F.lower(F.regexp_extract("before", r"([A-Za-z][A-Za-z0-9_-]*)[\"']?\s*(?:[:=]>?|\s)?\s*[\"']?$", 1))
+    name = F.regexp_extract("before", r"([A-Za-z_][\w.-]*)[\"']?\s*(?::=|[:=]>?|\s)?\s*[\"']?$", 1)
     context = found.withColumns({
         "example_path": F.col("path").rlike(EXAMPLE_PATH).cast("double"),
         "path_depth": F.size(F.split("path", r"[/\\]")).cast("double"),
-        "named": name.isin(*NAMES).cast("double"),
+        "named": _names_secret(name).cast("double"),
         "assigned": F.col("before").rlike(r"[:=]\s*[\"']?$").cast("double"),
         "quoted": F.col("before").rlike(r"[\"']$").cast("double"),
         "after_quote": F.col("after").rlike(r"^[\"']").cast("double"),
@@ -149,7 +186,7 @@ def weak_labels(found: DataFrame) -> DataFrame:
     0: a value of letters only, or of digits only, that no such name stands before.
     Others are null: what a forest learns from the first two kinds decides them.
     """
-    name = F.lower(F.regexp_extract("before", r"([A-Za-z][A-Za-z0-9_-]*)\s*[:=]\s*[\"']$", 1)).isin(*NAMES)
+    name = _names_secret(F.regexp_extract("before", r"([A-Za-z_][\w.-]*)[\"']?\s*(?::=|[:=]>?)\s*[\"']$", 1))
     mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
     plain = F.col("value").rlike("^(?:[A-Za-z_-]+|[0-9_-]+)$")
     return found.withColumn("label", F.when(name & mixed, 1.0).when(plain & ~name, 0.0))

@@ -284,3 +284,17 @@ def test_secrets_of_a_clean_corpus(spark):
     assert all(r.n_candidates >= 4 for r in got) and [r.secrets for r in got if r.secrets] == []
     few = df.where("doc_id < 3").union(spark.createDataFrame([(99, f"password: {SECRET} is unquoted", "en", "web")], SCHEMA))
     assert {r.doc_id: r.secrets for r in secrets.scanned(few).collect()} == {0: [], 1: [], 2: [], 99: [SECRET]}
+
+
+def test_secrets_assigned_to_names(spark):
+    held = [("AWS_SECRET_ACCESS_KEY=%s", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"), ("GET /x?token=%s&user=bob", "abc123def456gh7"),
+            ('password = "%s"', "hunter2!"), ("db_password: %s", "s3cr3t.Pa$$w0rd"), ('{"api_key": "%s"}', "Zx81-qq.77~tt"),
+            ("github_token='%s'", "ghp_a1B2c3D4e5F6g7H8"), ("export DB_PASSWD=%s", "Ab1!cd2@ef")]
+    plain = ["the key: something else", "password: required", '"password": "required"', "monkey = abc12345"]
+    rows = [(i, line % value, "en", "web") for i, (line, value) in enumerate(held)]
+    rows += [(100 + i, line, "en", "web") for i, line in enumerate(plain)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = {(r.doc_id, r.value) for r in secrets.candidates(df).collect()}
+    assert {(i, v) for i, (_, v) in enumerate(held)} <= found and not [d for d, _ in found if d == 103]
+    got = {r.doc_id: r.secrets for r in secrets.scanned(df).collect()}
+    assert got == {i: [held[i][1]] if i < 100 else [] for i in got}
