@@ -298,3 +298,13 @@ def test_secrets_assigned_to_names(spark):
     assert {(i, v) for i, (_, v) in enumerate(held)} <= found and not [d for d, _ in found if d == 103]
     got = {r.doc_id: r.secrets for r in secrets.scanned(df).collect()}
     assert got == {i: [held[i][1]] if i < 100 else [] for i in got}
+
+
+@pytest.mark.parametrize("weights", [None, {"s1": 5.0, "s2": 1.0, "s17": 0.5}])
+def test_packing_of_many_sources_is_the_same(spark, weights):
+    rows = [(i, "some words " * (i % 7 + 1), None, f"s{i % 23}") for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(3)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    few, many = ([tuple(r) for r in packing.pack(df, path, end_id=0, sequence_tokens=64, weights=weights, max_queues=m)
+                  .orderBy("sequence_id", "offset").collect()] for m in (4096, 5))
+    assert few == many and {r[1] for r in many} == {f"s{i}" for i in range(23)}
