@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
+
 
 def _canon(v):
-    if v is None:
+    if v is None or v is pd.NA:
         return None
     try:
         if v != v:  # NaN / NaT
             return None
     except (TypeError, ValueError):
         pass
-    if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 9)
+    if isinstance(v, float):                       # a column of integers with nulls comes as floats
+        return None if math.isnan(v) else int(v) if v.is_integer() else round(v, 9)
     if hasattr(v, "item"):
         return _canon(v.item())
     return v
@@ -23,7 +25,7 @@ def _canon(v):
 def canonical(pdf) -> tuple[list[str], list[tuple]]:
     cols = sorted(pdf.columns)
     rows = [tuple(_canon(x) for x in r) for r in pdf[cols].itertuples(index=False, name=None)]
-    key = lambda r: tuple((x is None, str(type(x)), x if x is not None else 0) for x in r)
+    key = lambda r: tuple((x is None, isinstance(x, str), str(type(x)) if not isinstance(x, (int, float)) else "", x if x is not None else 0) for x in r)
     return cols, sorted(rows, key=key)
 
 
