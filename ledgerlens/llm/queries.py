@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import dac, decontamination, html_text, langid, neighbours, packing, quality, secrets, sharding, simhash
+from ledgerlens.llm import (
+    dac,
+    decontamination,
+    html_text,
+    langid,
+    neighbours,
+    packing,
+    quality,
+    runs,
+    secrets,
+    sharding,
+    simhash,
+    spelling,
+)
 from ledgerlens.llm.common import new_path, table
 
 
@@ -70,6 +85,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "fingerprint", "component_id"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), plant=True)
+
+
+def planted_period(doc_id: int, n: int) -> tuple[int, int] | None:
+    """Of one document in ten by crc32 of its id, a repetition that begins at a hashed word."""
+    h = zlib.crc32(str(doc_id).encode())
+    g = h // 10
+    return (g % n, 1 + (n - g % n) // (3 + g % 8)) if h % 10 == 0 else None
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.periodic_runs(table(spark, sf_dir, "documents"), rewrite=planted_period))
+
+
 QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_langid": op2_langid,
@@ -81,7 +111,13 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
+    "op11_spelling": op11_spelling,
+    "op12_runs": op12_runs,
 }
 
 #: DuckDB SQL where it can express a query
-ORACLE_SQL: dict[str, str] = {"op7_decontamination": decontamination.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op7_decontamination": decontamination.SQL,
+    "op11_spelling": spelling.SQL,
+    "op12_runs": runs.SQL,
+}
