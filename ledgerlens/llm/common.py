@@ -61,6 +61,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: rows that share a key from which on the key counts as hot, and hot keys that are broadcast at most
+HOT_ROWS, HOT_KEYS, SALTS = 1_000, 100_000, 8
+
+
+def hot_join(rows: DataFrame, slim: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` joined to ``slim`` (one row a ``key``) on ``key``; ``slim.count`` says how many rows
+    share the key.
+
+    Rows of hot keys are not shuffled: the few hot rows of ``slim`` (counted) go to them.  With
+    more than ``HOT_KEYS`` of them, both sides are salted instead.
+    """
+    hot = kept(slim.where(F.col(count) > HOT_ROWS))
+    held = hot.count()
+    if not held:
+        return rows.join(slim, key)
+    if held > HOT_KEYS:
+        others = [F.col(c) for c in rows.columns if c != key]
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)) if others else F.lit(0).cast("long"))
+        spread = slim.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        return salted.join(spread, [key, "_salt"]).drop("_salt")
+    near = F.broadcast(hot)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(slim.where(F.col(count) <= HOT_ROWS), key)
+    return rows.join(near, key).unionByName(cold)
+
+
 def crc32_text(column: str = "doc_id"):
     """Unsigned crc32 of a value as text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -13,6 +13,7 @@ from ledgerlens.llm import (
     decontamination,
     html_text,
     langid,
+    minhash,
     neighbours,
     packing,
     quality,
@@ -100,6 +101,11 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.periodic_runs(table(spark, sf_dir, "documents"), rewrite=planted_period))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (minhash.near_duplicates(table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_shingles", "component_id", "kept"))
+
+
 QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_langid": op2_langid,
@@ -113,6 +119,7 @@ QUERIES = {
     "op10_simhash": op10_simhash,
     "op11_spelling": op11_spelling,
     "op12_runs": op12_runs,
+    "op13_minhash": op13_minhash,
 }
 
 #: DuckDB SQL where it can express a query
@@ -120,4 +127,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_decontamination": decontamination.SQL,
     "op11_spelling": spelling.SQL,
     "op12_runs": runs.SQL,
+    "op13_minhash": minhash.SQL,
 }
