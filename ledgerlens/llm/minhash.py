@@ -45,7 +45,9 @@ KEY_BLOCK = 20_000
 #: signatures whose keys one task lists
 SIGNATURES_PER_TASK = 8_000
 #: sets and shingles of a group that one task compares, at most; a larger group is cut into pieces
-PIECE_SETS, PIECE_SHINGLES = 4_000, 1 << 22
+PIECE_SETS, PIECE_SHINGLES = 1_000, 1 << 22
+#: rows of a table of groups that is broadcast, at most (two numbers each)
+BROADCAST_GROUPS = 500_000
 
 _draw = np.random.default_rng(SEED)
 _XOR = _draw.integers(0, 1 << 63, POSITIONS, dtype=np.uint64)
@@ -168,27 +170,29 @@ def _meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"meeting": np.repeat(names.view(np.int64), size)[several], "id": ids[several]})
 
 
-def _forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[list[int], list[int]]:
-    """Links of a spanning forest of ``n`` things: a walk asks ``near(i, others)`` for unreached
-    ones only."""
+def _walks(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[list[int], list[int]]:
+    """``(first, other)`` of ``n`` things: each walk's other things with the first of it.  A step
+    asks ``near(i, others)`` for unreached ones only."""
     left, a, b = np.arange(n), [], []
     while len(left) > 1:
-        front, left = [int(left[0])], left[1:]
+        first, left = int(left[0]), left[1:]
+        front = [first]
         while front and len(left):
-            here = front.pop()
-            hit = near(here, left)
+            hit = near(front.pop(), left)
             if hit.any():
-                got, left = left[hit], left[~hit]
-                a.extend([here] * len(got))
-                b.extend(got.tolist())
-                front.extend(got.tolist())
+                got, left = left[hit].tolist(), left[~hit]
+                a.extend([first] * len(got))
+                b.extend(got)
+                front.extend(got)
     return a, b
 
 
 def _close(distance: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Links of each meeting's signatures at a distance of at most ``distance``."""
+    """Links of each meeting's signatures at a distance of at most ``distance``: to the smallest
+    of their walk."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _whole(batches, "meeting"):
+            rows = rows.sort_values(["meeting", "id"])
             ids = rows["id"].to_numpy()
             sig = np.frombuffer(b"".join(rows["signature"]), f"<u{BITS // 8}").reshape(-1, POSITIONS)
             at = _bounds(rows["meeting"].to_numpy())
@@ -198,7 +202,7 @@ def _close(distance: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
             out = [(ids[two], ids[two + 1])]
             for k in np.flatnonzero(size > 2):
                 some, who = sig[at[k]:at[k + 1]], ids[at[k]:at[k + 1]]
-                a, b = _forest(len(some), lambda i, others: (some[others] != some[i]).sum(axis=1) <= distance)
+                a, b = _walks(len(some), lambda i, others: (some[others] != some[i]).sum(axis=1) <= distance)
                 out.append((who[a], who[b]))
             yield pd.DataFrame({"a": np.concatenate([o[0] for o in out]), "b": np.concatenate([o[1] for o in out])})
     return run
@@ -226,10 +230,37 @@ def close_signatures(signed: DataFrame, distance: int = DISTANCE, key_block: int
             .mapInPandas(_close(distance), "a long, b long"))
 
 
+def _small(stored_rows: DataFrame) -> DataFrame:
+    """A stored table, for broadcast if it has few rows."""
+    return F.broadcast(stored_rows) if stored_rows.count() <= BROADCAST_GROUPS else stored_rows
+
+
+def groups(links: DataFrame) -> DataFrame:
+    """``(id, root)`` of the ids in ``links(a, b)``, in which a b has few links: one root a component.
+
+    A b with no links of its own as an a is tied to its smallest a and drops out; what remains is
+    the graph of the a that share a b, which is small (or empty) where links are stars.
+    """
+    edges = kept(links.distinct())
+    tied = edges.groupBy("b").agg(F.min("a").alias("label"), F.count(F.lit(1)).alias("n"))
+    firsts = edges.select("a").distinct()
+    shared = (edges.join(tied.where("n > 1"), "b").where("a <> label")
+              .select(F.col("label").alias("a"), F.col("a").alias("b")))
+    chained = tied.join(firsts, F.col("b") == F.col("a"), "left_semi").select(F.col("label").alias("a"), "b")
+    rest = kept(shared.union(chained).distinct())
+    alone = firsts.join(tied, F.col("a") == F.col("b"), "left_anti").select(F.col("a").alias("id"), F.col("a").alias("root"))
+    named = tied.select(F.col("b").alias("id"), F.col("label").alias("root")).union(alone)
+    if not rest.limit(1).count():
+        return named
+    joined = _small(kept(components(rest)).select(F.col("id").alias("root"), F.col("root").alias("last")))
+    return named.join(joined, "root", "left").select("id", F.coalesce("last", "root").alias("root"))
+
+
 def _similar(percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Links of each task's sets with 100 * intersection >= percent * union."""
+    """Links of each task's sets by 100 * intersection >= percent * union: to the smallest of
+    their walk."""
     def links(ids: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort([len(s) for s in sets], kind="stable")
+        order = np.argsort(ids)
         ids, sets = ids[order], [sets[i] for i in order]
         size = np.array([len(s) for s in sets])
 
@@ -245,7 +276,7 @@ def _similar(percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Dat
                 hit[fits] = 100 * both >= percent * (size[i] + size[others[fits]] - both)
             return hit
 
-        a, b = _forest(len(sets), near)
+        a, b = _walks(len(sets), near)
         return ids[a], ids[b]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -283,7 +314,9 @@ def confirmed(docs: DataFrame, members: DataFrame, percent: int = 80, width: int
     join every two whose full sets are similar, directly or through further links."""
     pieces = F.greatest(F.ceil(F.count(F.lit(1)) / piece_sets), F.ceil(F.sum("n_shingles") / piece_shingles))
     sizes = members.groupBy("root").agg(F.least(pieces, F.count(F.lit(1))).cast("long").alias("pieces"))
-    placed = members.join(sizes, "root").select("id", "root", "pieces", "doc_id", "text_key")
+    large = _small(kept(sizes.where("pieces > 1")))
+    placed = members.join(large, "root", "left").select(
+        "id", "root", F.coalesce("pieces", F.lit(1).cast("long")).alias("pieces"), "doc_id", "text_key")
     sets = _sets(docs, placed, width)
     mine, low = F.pmod(F.xxhash64("id"), F.col("pieces")), F.lit(0).cast("long")
     # a lone piece is one task; of several, each two meet
@@ -315,13 +348,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 2, key_bloc
         F.min("row").alias("id"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "minhash-classes")
     first = stored(filled.join(classes.select("id"), F.col("row") == F.col("id"), "left_semi").select(
         F.col("row").alias("id"), "doc_id", "text_key", "n_shingles", "signature"), "minhash-first")
-    groups = components(close_signatures(first.select("id", "signature"), key_block=key_block))
-    members = kept(groups.join(first.drop("signature"), "id"))
-    joined = components(confirmed(docs, members, percent, width, piece_sets))
-    roots = (classes.select("set_key", "id", "least", "copies").join(joined, "id", "left")
-             .select("set_key", "least", "copies", F.coalesce("root", "id").alias("root")))
-    smallest = roots.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("of"))
-    named = hot_join(roots, smallest, "root", "of").select("set_key", "component_id", "copies")
+    near = groups(close_signatures(first.select("id", "signature"), key_block=key_block))
+    members = kept(near.join(first.drop("signature"), "id"))
+    joined = kept(groups(confirmed(docs, members, percent, width, piece_sets)).join(classes.select("id", "least"), "id"))
+    smallest = joined.groupBy("root").agg(F.min("least").alias("smallest"), F.count(F.lit(1)).alias("of"))
+    placed = hot_join(joined.select("id", "root"), smallest, "root", "of").select("id", "smallest")
+    named = classes.join(placed, "id", "left").select(
+        "set_key", F.coalesce("smallest", "least").alias("component_id"), "copies")
     rows = prints.select("doc_id", "text_key", "n_shingles", "set_key")
     found = hot_join(rows.where("set_key is not null"), named, "set_key", "copies").select(
         "doc_id", "text_key", "n_shingles", "component_id")
