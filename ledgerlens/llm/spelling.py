@@ -30,7 +30,7 @@ from ledgerlens.llm.common import kept, stored
 #: letters of a word; only A-Z are lowered
 LETTERS = "A-Za-zÀ-ÿ"
 #: small blocks are indexed together up to so many words; looked-up words that run together
-INDEX_WORDS = 1024
+INDEX_WORDS = 512
 LOOKUPS = 1024
 #: words of one block that are indexed in a task; a larger block is cut into pieces of about this
 #: size, and every piece is looked up in every other in a task of its own
@@ -39,14 +39,15 @@ PIECE_WORDS = 16_384
 PIECE_LETTERS = 1 << 22
 
 
-def planted_slip(doc_id: Column, word: Column) -> Column:
-    """A fixed misspelling of one in 31 of the (document, word) pairs: with h the unsigned crc32 of
-    ``<doc_id>:<word>`` (a null id is empty), the letter h % length (from 0) is left out if 31
-    divides h."""
-    h = F.crc32(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), word).cast("binary"))
-    at = (h % F.char_length(word)).cast("int")
-    cut = F.concat(F.substring(word, F.lit(1), at), F.substring(word, at + 2, F.char_length(word)))
-    return F.when(h % 31 == 0, cut).otherwise(word)
+def planted_slips(words: DataFrame) -> DataFrame:
+    """``(word)`` of ``words(id, word)`` with a fixed misspelling of one in 31 of the (document,
+    word) pairs: with h the unsigned crc32 of ``<id>:<word>`` (a null id is empty), the letter
+    h % length (from 0) is left out if 31 divides h."""
+    text = F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), "word")
+    hashed = words.select("word", F.crc32(text.cast("binary")).alias("h"))
+    at = (F.col("h") % F.char_length("word")).cast("int")
+    cut = F.concat(F.substring("word", F.lit(1), at), F.substring("word", at + 2, F.char_length("word")))
+    return hashed.select(F.when(F.col("h") % 31 == 0, cut).otherwise(F.col("word")).alias("word"))
 
 
 def vocabulary(docs: DataFrame, min_letters: int = 7, min_count: int = 2, plant: bool = False) -> DataFrame:
@@ -54,16 +55,17 @@ def vocabulary(docs: DataFrame, min_letters: int = 7, min_count: int = 2, plant:
     ``min_count`` times in all texts of ``docs(doc_id, text)``.
 
     Words are maximal runs of A-Z, a-z and U+00C0 to U+00FF, with only A-Z lowered; ``plant``
-    applies :func:`planted_slip` to each.  A shorter run is never part of a word.
+    applies :func:`planted_slips` to them.  A shorter run is never part of a word.
     """
     # a run of at least so many letters is matched whole, a shorter one not at all
-    found = F.regexp_extract_all("text", F.lit(f"[{LETTERS}]{{{max(1, min_letters)},}}"), F.lit(0))
+    found = F.regexp_extract_all("text", F.lit(f"[{LETTERS}]{{{max(1, min_letters)},}}+"), F.lit(0))
     words = (docs.select(F.col("doc_id").alias("id"), F.explode(found).alias("word"))
              .select("id", F.translate("word", string.ascii_uppercase, string.ascii_lowercase).alias("word")))
     if plant:
-        words = words.select(planted_slip(F.col("id"), F.col("word")).alias("word"))
-        words = words.where(F.char_length("word") >= min_letters)
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
+        words = planted_slips(words)
+    # the length as an aggregate: a filter on the word itself would move below and hash it again
+    return (words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.max(F.char_length("word")).alias("letters"))
+            .where((F.col("n") >= min_count) & (F.col("letters") >= min_letters)).select("word", "n"))
 
 
 def _blocks(words: DataFrame, shortest: int) -> DataFrame:
@@ -89,8 +91,9 @@ def _letters(words: list[str]) -> np.ndarray:
 
 def _packed(bits: np.ndarray) -> np.ndarray:
     """Rows of booleans as bitsets of 64-bit words."""
-    packed = np.packbits(bits, axis=-1, bitorder="little")
-    return np.pad(packed, [(0, 0)] * (packed.ndim - 1) + [(0, -packed.shape[-1] % 8)]).view(np.uint64)
+    out = np.zeros((*bits.shape[:-1], -(-bits.shape[-1] // 64) * 8), np.uint8)
+    out[..., :-(-bits.shape[-1] // 8)] = np.packbits(bits, axis=-1, bitorder="little")
+    return out.view(np.uint64)
 
 
 class PositionIndex:
@@ -160,8 +163,21 @@ class PositionIndex:
 
 def _ranges(lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndarray:
     """Bitsets over ``n`` places with those from ``lo`` to before ``hi`` set."""
-    at = np.arange(n)
-    return _packed((at >= lo[:, None]) & (at < hi[:, None]))
+    base = np.arange(-(-n // 64)) * 64
+
+    def below(end: np.ndarray) -> np.ndarray:
+        k = np.clip(end[:, None] - base, 0, 64).astype(np.uint64)
+        # all ones above 63, as a shift by 64 is none
+        return np.where(k > 63, ~np.uint64(0), (np.uint64(1) << (k & np.uint64(63))) - np.uint64(1))
+
+    return below(hi) & ~below(lo)
+
+
+def _members(sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, place)`` of the set bits of bitsets, by row."""
+    row, word = np.nonzero(sets)
+    hit, bit = np.nonzero(np.unpackbits(sets[row, word][:, None].view(np.uint8), axis=1, bitorder="little"))
+    return row[hit], word[hit] * 64 + bit
 
 
 def _look_up(task: np.ndarray, words: np.ndarray, counts: np.ndarray, own: np.ndarray, asks: np.ndarray) -> pd.DataFrame:
@@ -174,9 +190,8 @@ def _look_up(task: np.ndarray, words: np.ndarray, counts: np.ndarray, own: np.nd
     # a word alone in its task has nothing near
     others = np.diff(bounds)[of] - own
     asking = np.flatnonzero(asks & (others > 0))
-    none = pd.DataFrame({"word": [], "n_near": [], "best_n": [], "best": []})
     if not len(asking):
-        return none
+        return pd.DataFrame({"word": [], "n_near": [], "best_n": [], "best": []})
     index, held_n = PositionIndex(words[held].tolist()), counts[held]
     order = np.empty(len(held), np.int64)
     order[np.argsort(words[held], kind="stable")] = np.arange(len(held))     # code-point order
@@ -193,16 +208,12 @@ def _look_up(task: np.ndarray, words: np.ndarray, counts: np.ndarray, own: np.nd
             chosen = asking[part[at:at + LOOKUPS]]
             among = _ranges(bounds[of[chosen]], bounds[of[chosen] + 1], len(held))
             near = index.near(_letters(words[chosen].tolist()), among, shorter, shorter // 2, behind)
-            some = np.flatnonzero(near.any(axis=1))
-            if not len(some):
-                continue
-            bits = np.unpackbits(near[some].view(np.uint8), axis=1, count=len(held), bitorder="little")
-            q, w = np.nonzero(bits)
+            q, w = _members(near)
             first = np.lexsort((order[w], -held_n[w], q))
             first = first[np.flatnonzero(np.diff(q[first], prepend=-1))]
-            out.append(pd.DataFrame({"word": words[chosen[some]], "n_near": np.bincount(q),
-                                     "best_n": held_n[w[first]], "best": words[held[w[first]]]}))
-    return pd.concat(out) if out else none
+            out.append((words[chosen[q[first]]], np.bincount(q)[q[first]], held_n[w[first]], words[held[w[first]]]))
+    columns = [np.concatenate(c) for c in zip(*out)] if out else [[]] * 4
+    return pd.DataFrame(dict(zip(("word", "n_near", "best_n", "best"), columns)))
 
 
 def _looked_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
