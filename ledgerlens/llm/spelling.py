@@ -180,6 +180,14 @@ def _members(sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row[hit], word[hit] * 64 + bit
 
 
+def _frame(parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+    """Found rows as a frame whose words are plain objects (text columns of pandas may come in
+    several chunks, which Spark doesn't take)."""
+    names, kinds = ("word", "n_near", "best_n", "best"), (object, np.int64, np.int64, object)
+    columns = [np.concatenate(c) for c in zip(*parts)] if parts else [[]] * 4
+    return pd.DataFrame({n: pd.Series(c, dtype=k) for n, c, k in zip(names, columns, kinds)})
+
+
 def _look_up(task: np.ndarray, words: np.ndarray, counts: np.ndarray, own: np.ndarray, asks: np.ndarray) -> pd.DataFrame:
     """``(word, n_near, best_n, best)`` of the asking rows that have near words among the ``own``
     rows of their task; rows of a task stand together."""
@@ -191,7 +199,7 @@ def _look_up(task: np.ndarray, words: np.ndarray, counts: np.ndarray, own: np.nd
     others = np.diff(bounds)[of] - own
     asking = np.flatnonzero(asks & (others > 0))
     if not len(asking):
-        return pd.DataFrame({"word": [], "n_near": [], "best_n": [], "best": []})
+        return _frame([])
     index, held_n = PositionIndex(words[held].tolist()), counts[held]
     order = np.empty(len(held), np.int64)
     order[np.argsort(words[held], kind="stable")] = np.arange(len(held))     # code-point order
@@ -212,8 +220,7 @@ def _look_up(task: np.ndarray, words: np.ndarray, counts: np.ndarray, own: np.nd
             first = np.lexsort((order[w], -held_n[w], q))
             first = first[np.flatnonzero(np.diff(q[first], prepend=-1))]
             out.append((words[chosen[q[first]]], np.bincount(q)[q[first]], held_n[w[first]], words[held[w[first]]]))
-    columns = [np.concatenate(c) for c in zip(*out)] if out else [[]] * 4
-    return pd.DataFrame(dict(zip(("word", "n_near", "best_n", "best"), columns)))
+    return _frame(out)
 
 
 def _looked_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -262,11 +269,13 @@ def near_words(words: DataFrame, shortest: int = 1, piece_words: int = PIECE_WOR
         each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("other")
         spread = spread.select("block", "word", "n", "mine", each)
         # a piece is indexed for every piece that is looked up in it
-        sides = F.inline(F.when(F.col("mine") == F.col("other"), F.array(F.struct(
-            F.col("mine").alias("held"), F.col("mine").alias("asked"), F.lit(True).alias("own"), F.lit(True).alias("asks"))))
-            .otherwise(F.array(F.struct("mine", "other", F.lit(True), F.lit(False)),
-                               F.struct("other", "mine", F.lit(False), F.lit(True)))))
-        spread = spread.select("block", "word", "n", sides).select(
+        def side(held: str, asked: str, own: bool, asks: bool) -> Column:
+            return F.struct(F.col(held).alias("held"), F.col(asked).alias("asked"), F.lit(own).alias("own"),
+                            F.lit(asks).alias("asks"))
+
+        sides = F.when(F.col("mine") == F.col("other"), F.array(side("mine", "mine", True, True))).otherwise(
+            F.array(side("mine", "other", True, False), side("other", "mine", False, True)))
+        spread = spread.select("block", "word", "n", F.inline(sides)).select(
             F.concat_ws(" ", "block", "held", "asked").alias("task"), "word", "n", "own", "asks")
         tasks = cold.join(hot.select(F.col("block").alias("task")), "task", "left_anti").union(spread)
     found = (tasks.repartition("task").sortWithinPartitions("task")

@@ -1,0 +1,259 @@
+"""Spelling variants, periodic runs and MinHash near-duplicates: brute force, DuckDB and odd inputs."""
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerlens.llm import minhash, queries, runs, spelling
+from tests.llm.test_llm_edges import CLASH, ROWS, SCHEMA
+from tools.compare import diff
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    return df.withColumns({c: F.lit("mine") for c in CLASH}).coalesce(2)
+
+
+@pytest.mark.parametrize("name", ["op11_spelling", "op12_runs", "op13_minhash"])
+def test_query_equals_duckdb(spark, name):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = con.execute(queries.ORACLE_SQL[name]).df()
+    got = queries.QUERIES[name](spark, SF)
+    assert not (set(want.columns) ^ set(got.columns))
+    assert diff(got.toPandas(), want) is None
+
+
+# ------------------------------------------------------------------------------------ spelling
+
+def _one_edit(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    if len(a) > len(b):
+        a, b = b, a
+    return len(b) - len(a) == 1 and any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+
+def _variants(counts):
+    out = {}
+    for w, n in counts.items():
+        near = [v for v in counts if _one_edit(w, v)]
+        best = min(near, key=lambda v: (-counts[v], v), default=None)
+        out[w] = (best if best and counts[best] >= 10 * n else None, len(near))
+    rows = {}
+    for w, (form, near) in out.items():
+        root = w
+        while out[root][0]:
+            root = out[root][0]
+        rows[w] = (form, root, counts[w], near, counts[form] if form else None)
+    return rows
+
+
+@pytest.mark.parametrize("piece", [spelling.PIECE_WORDS, 5])
+def test_spelling_variants_by_brute_force(spark, piece):
+    """Random words over few letters, so that near words, ties and chains of forms abound; also
+    with blocks cut into tiny pieces."""
+    rng = random.Random(7)
+    words = {"".join(rng.choice("abé") for _ in range(rng.randint(7, 9))) for _ in range(250)}
+    words |= {"abcdefg", "abcdefh", "xbcdefg", "abcdef" + "é" * 60, "abcdef" + "é" * 61}
+    counts = {w: rng.choice([2, 2, 3, 20, 25, 200, 2000]) for w in sorted(words)}
+    counts |= {"chainone": 2, "chainonx": 30, "chainoyx": 400, "chaiooyx": 5000}
+    # one document holds each word so often; pieces of it keep texts short
+    texts = [" ".join([w] * n) for w, n in counts.items()]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n)
+           for r in spelling.variants(df, piece_words=piece).collect()}
+    assert got == _variants(counts)
+    assert any(r[0] and got[r[0]][0] for r in got.values())             # a chain of forms
+
+
+def test_position_index_finds_every_single_edit():
+    rng = random.Random(1)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(6, 8))) for _ in range(600)})
+    task = np.array(["6<" if len(w) < 8 else "7<" for w in words], object)
+    # blocks named without letters: every word of a task is a candidate, from the first letter on
+    index = spelling.PositionIndex(words)
+    for size in (6, 7):
+        asked = [w for w in words if len(w) == size][:200]
+        everyone = spelling._ranges(np.zeros(len(asked), int), np.full(len(asked), len(words)), len(words))
+        row, place = spelling._members(index.near(spelling._letters(asked), everyone, size, 0, False))
+        got = {(asked[r], words[p]) for r, p in zip(row, place)}
+        assert got == {(a, b) for a in asked for b in words if len(b) in (size, size + 1) and _one_edit(a, b)}
+    assert len(task) == len(words)
+
+
+def test_spelling_edges(spark, docs):
+    """Nulls, repeated rows, long texts, clashing columns; only A-Z lowered; short runs no words."""
+    assert {r.word for r in spelling.variants(docs, min_letters=4, min_count=2, plant=True).collect()} >= {"alpha", "delta"}
+    assert spelling.variants(docs.where("false")).count() == 0
+    df = spark.createDataFrame([(1, "ÀBCDEFGH àbcdefgh abcdefghi1abcdefghi ABCDEFGHI short x"), (2, "Àbcdefgh"), (None, None), (3, "")],
+                               "doc_id long, text string")
+    got = {r.word: (r.form, r.root, r.n, r.n_near) for r in spelling.variants(df).collect()}
+    assert got == {"Àbcdefgh": (None, "Àbcdefgh", 2, 0), "abcdefghi": (None, "abcdefghi", 3, 0)}
+    one = spark.createDataFrame([(None, "wordword wordword")], "doc_id long, text string")
+    assert [r.word for r in spelling.variants(one, plant=True).collect()] == ["wordword"]
+
+
+# ---------------------------------------------------------------------------------------- runs
+
+def _runs(w, least, exponent):
+    n, found = len(w), {}
+    for q in range(1, n // exponent + 1):
+        i = 0
+        while i + q < n:
+            s = i
+            while i + q < n and w[i] == w[i + q]:
+                i += 1
+            if i - s + q >= max(least, exponent * q):
+                found.setdefault((s, i - s + q), q)
+            i += i == s
+    return sorted((s, q, n) for (s, n), q in found.items())
+
+
+def test_runs_by_brute_force():
+    rng = random.Random(3)
+    for _ in range(1500):
+        group = []
+        for _ in range(rng.randint(1, 4)):
+            letters, n = rng.choice([1, 2, 3, 5, 50]), rng.randint(0, rng.choice([8, 30, 120]))
+            w = [bytes([97 + rng.randrange(letters)]) for _ in range(n)]
+            if n and rng.random() < .6:
+                a = rng.randrange(n)
+                p = rng.choice([1 + rng.randrange(n - a), rng.randint(1, 7)])
+                w = w[:a] + [w[a + (i - a) % p] for i in range(a, n)]
+            group.append(w)
+        exponent, least = rng.choice([2, 3, 4]), rng.choice([2, 6, 10])
+        got = [[] for _ in group]
+        for d, s, n, p in zip(*(x.tolist() for x in runs._group(group, least, exponent))):
+            got[d].append((s, p, n))
+        assert got == [_runs(w, least, exponent) for w in group]
+
+
+def test_long_repeated_texts_take_steps_in_proportion():
+    import time
+    begin = time.time()
+    for w in ([b"a"] * 200_000, [b"a", b"a", b"b"] * 70_000, [b"%d" % (i % 1000) for i in range(200_000)]):
+        doc, start, length, period = runs._group([w], 6, 4)
+        assert list(length) == [len(w)] and list(start) == [0]
+    assert time.time() - begin < 30
+
+
+def test_runs_edges(spark, docs):
+    rows = runs.periodic_runs(docs).collect()
+    assert len(rows) == len(ROWS)
+    by_id = {r.doc_id: r for r in rows}
+    for i in (1, 2, 5):
+        assert by_id[i].n_words == 0 and by_id[i].runs == [] and by_id[i].collapsed == ""
+    assert [tuple(r) for r in by_id[4].runs] == [(0, 24_000, 4)] and by_id[4].collapsed == "alpha beta gamma delta"
+    assert by_id[7].collapsed == ROWS[8][1] and by_id[None].runs == []
+    out = runs.digests(runs.periodic_runs(docs)).where("doc_id = 4").first()
+    assert (out.n_runs, out.start, out.length, out.period, out.exponent_milli) == (1, 0, 24_000, 4, 6_000_000)
+    assert runs.digests(runs.periodic_runs(docs.where("false"))).count() == 0
+    nothing = runs.digests(runs.periodic_runs(docs.where("doc_id = 1"))).first()
+    assert nothing.n_runs == 0 and nothing.start is None and len(nothing.runs_sha256) == len(nothing.collapsed_sha256) == 64
+
+
+# ------------------------------------------------------------------------------------- MinHash
+
+def _shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset((x,) for x in w)
+
+
+def _closure(texts, percent=80):
+    sets = [_shingles(t) for t in texts]
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and 100 * len(a & b) >= percent * len(a | b) and root[i] != root[j]:
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    return [len(s) for s in sets], root
+
+
+@pytest.mark.parametrize("key_block,piece_sets", [(minhash.KEY_BLOCK, minhash.PIECE_SETS), (40, 30)])
+def test_minhash_components_by_brute_force(spark, key_block, piece_sets):
+    """Copies with edits of all strengths around the limit, a chain, a dense group, odd texts; also
+    with keys and groups cut into small pieces."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(12):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(20, 200))]
+        for _ in range(8):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 9))):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            texts.append(" ".join(w))
+    drift = [f"c{i}" for i in range(150)]
+    for step in range(12):                              # neighbours are near, the ends are not
+        drift = drift[:step * 6] + [f"d{step}x{j}" for j in range(6)] + drift[step * 6 + 6:]
+        texts.append(" ".join(drift))
+    dense = [f"e{i}" for i in range(120)]
+    texts += [" ".join(dense[:i] + [f"z{i}"] + dense[i + 1:]) for i in range(100)]
+    texts += ["", " \n", None, "one", "ONE", "one two", "Two one", "one  two", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(minhash.near_duplicates(df, key_block=key_block, piece_sets=piece_sets).collect(), key=lambda r: r.doc_id)
+    sizes, root = _closure(texts)
+    assert [r.n_shingles for r in got] == sizes
+    assert [r.component_id for r in got] == root
+    assert [r.kept for r in got] == [i == r for i, r in enumerate(root)]
+    assert len(set(root)) < len(texts) - 100
+
+
+def test_signatures_meet_under_a_key_at_every_distance_that_is_promised(spark):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 16, (60, minhash.POSITIONS)).astype(np.uint16)
+    rows = []
+    for i, sig in enumerate(base):
+        other = sig.copy()
+        places = rng.choice(minhash.POSITIONS, minhash.DISTANCE + i % 2, replace=False)
+        other[places] ^= rng.integers(1, 1 << 16, len(places)).astype(np.uint16)
+        rows += [(2 * i, sig.tobytes()), (2 * i + 1, other.tobytes())]
+    df = spark.createDataFrame([(i, bytearray(s)) for i, s in rows], "id long, signature binary")
+    got = {(r.a, r.b) for r in minhash.close_signatures(df).collect()}
+    # even pairs differ in 25 positions and are found, odd ones in 26 and are not linked
+    assert got == {(2 * i, 2 * i + 1) for i in range(0, 60, 2)}
+
+
+def test_similarity_at_the_limit_is_found_nearly_always():
+    rng = np.random.default_rng(4)
+    missed = 0
+    for _ in range(400):
+        shared, a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (800, 100, 100))
+        one, two = (minhash.signature(np.unique(np.concatenate([shared, x]))) for x in (a, b))
+        missed += (one != two).sum() > minhash.DISTANCE
+    assert missed <= 1
+
+
+def test_minhash_edges(spark, docs):
+    got = minhash.near_duplicates(docs).collect()
+    assert sorted((r.doc_id for r in got), key=str) == sorted((r[0] for r in ROWS), key=str)
+    for r in got:
+        assert r.component_id == r.doc_id and r.kept
+        assert r.n_shingles == len(_shingles(next(t for i, t, *_ in ROWS if i == r.doc_id)))
+    same = spark.createDataFrame([(None, "a b c d"), (5, "A b C d"), (9, "a b c d"), (9, "a b c d"), (None, "x y z")],
+                                 "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(same).collect())
+    assert got == Counter({(None, 5, False): 1, (5, 5, True): 1, (9, 5, False): 2, (None, None, True): 1})
+    assert minhash.near_duplicates(docs.where("false")).count() == 0
+
+
+def test_planted_period_is_the_contracts():
+    for i in range(200):
+        h = zlib.crc32(str(i).encode())
+        got = queries.planted_period(i, 37)
+        assert (got is None) == (h % 10 != 0)
+        if got:
+            g = h // 10
+            assert got == (g % 37, 1 + (37 - g % 37) // (3 + g % 8))
