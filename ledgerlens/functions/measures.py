@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,9 +86,19 @@ def seconds_of_day(ts: str | Column = "transaction_ts") -> Column:
     return F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
 
 
-def hour_between(first: int, last: int, ts: str | Column = "transaction_ts") -> Column:
+#: column of stored transactions that holds the hour of their time
+HOUR = "transaction_hour"
+
+
+def hour_of(df: DataFrame) -> Column:
+    """Hour of day of a frame's transactions: the stored column where there is one, so that a filter
+    on it reaches the files, else taken from the time."""
+    return F.col(HOUR) if HOUR in df.columns else F.hour("transaction_ts")
+
+
+def hour_between(first: int, last: int, hour: Column | None = None) -> Column:
     """``HOUR(transaction_time) BETWEEN first AND last``."""
-    return F.hour(_col(ts)).between(first, last)
+    return (F.hour("transaction_ts") if hour is None else hour).between(first, last)
 
 
 def transaction_time(ts: str | Column = "transaction_ts") -> Column:
@@ -96,18 +106,18 @@ def transaction_time(ts: str | Column = "transaction_ts") -> Column:
     return F.date_format(_col(ts), "HH:mm:ss")
 
 
-def _band_expr(pick: int, ts: str | Column) -> Column:
+def _band_expr(pick: int, hour: Column | None) -> Column:
     expr = None
     for band in S.TIME_BANDS:
-        cond = hour_between(band[2], band[3], ts)
+        cond = hour_between(band[2], band[3], hour)
         val = F.lit(band[pick])
         expr = F.when(cond, val) if expr is None else expr.when(cond, val)
     return expr  # no ELSE: NULL outside the four bands, as declared
 
 
-def time_band(ts: str | Column = "transaction_ts") -> Column:
-    return _band_expr(0, ts)
+def time_band(hour: Column | None = None) -> Column:
+    return _band_expr(0, hour)
 
 
-def time_band_sort(ts: str | Column = "transaction_ts") -> Column:
-    return _band_expr(1, ts)
+def time_band_sort(hour: Column | None = None) -> Column:
+    return _band_expr(1, hour)

@@ -11,13 +11,12 @@ join, where AQE can still split skewed partitions.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens import settings
+from ledgerlens.session import work_dir
 
 
 def measure(df: DataFrame) -> tuple[int, int]:
@@ -67,13 +66,6 @@ def bounded_broadcast(df: DataFrame, max_rows: int | None = None,
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once and stored by a reliable checkpoint in the session's shared folder,
-    so that what it holds survives the loss of an executor.  A session of this process alone
-    that names no folder gets a scratch one."""
-    from ledgerlens.session import checkpoint_dir, sc_is_remote, shared_dir
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if folder is None:
-        folder = checkpoint_dir(spark) if sc_is_remote(spark) else tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
+    so that what it holds survives the loss of an executor."""
+    work_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -5,17 +5,19 @@ account carries a third of the fact table that task cannot finish.  The
 operators here give exactly the numbers of the plain window and split a key
 wherever it is large:
 
-1. one aggregate tells whether any key has more than ``target_rows`` rows; if
-   none has, the plain window over a range partitioning of the key is used;
-2. otherwise all rows are range-partitioned on (key, order columns, tie) into
+1. one aggregate finds the keys of more than ``target_rows`` rows (at most rows /
+   target of them); all other rows take the plain window;
+2. the rows of hot keys alone are range-partitioned on (key, order columns, tie) into
    chunks of about ``target_rows`` rows.  The cuts are quantiles of the rows
    themselves (Spark samples them), so neither outliers nor long runs of one
    value make a chunk large: the tie column cuts a run of equal values too;
-3. the chunk number is stored with the rows by a checkpoint.  Chunks therefore
+3. the chunk number is stored with these rows by a checkpoint.  Chunks therefore
    stay what they are when a task is repeated after the loss of an executor;
 4. the window runs per (key, chunk), and a summary of the chunks of keys that
    lie in more than one chunk (at most two rows a chunk) gives each chunk what
    the earlier ones contribute.  It is broadcast only below ``SUMMARY_ROWS``.
+
+So one hot account costs a checkpoint of its own rows, not of the whole table.
 """
 
 from __future__ import annotations
@@ -25,18 +27,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens import settings
-from ledgerlens.functions.sizing import checkpointed
+from ledgerlens.functions.sizing import bounded_broadcast, checkpointed
 
 _CHUNK = "_chunk"
 #: a summary has two rows a chunk at most; with more chunks than that it is shuffled
 SUMMARY_ROWS = 200_000
 
 
-def _hot_rows(df: DataFrame, key: str, target: int) -> int:
-    """Rows of ``df`` if a key has more than ``target`` of them, else 0."""
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    row = sizes.agg(F.max("_n").alias("most"), F.sum("_n").alias("rows")).first()
-    return row["rows"] if (row["most"] or 0) > target else 0
+def _hot_keys(df: DataFrame, key: str, target: int) -> tuple[DataFrame, int]:
+    """``(keys, rows)``: the keys that more than ``target`` rows of ``df`` hold, and their rows in all."""
+    sizes = df.groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_n"))
+    keys = checkpointed(sizes.where(F.col("_n") > target))
+    return keys.select("_hot"), keys.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows")).first()["rows"]
+
+
+def _of_keys(df: DataFrame, key: str, keys: DataFrame, how: str) -> DataFrame:
+    """Rows of ``df`` whose key is among ``keys`` (``left_semi``) or not (``left_anti``)."""
+    return df.join(bounded_broadcast(keys), F.col(key).eqNullSafe(F.col("_hot")), how)
 
 
 def _chunked(df: DataFrame, rows: int, target: int, *order: Column) -> DataFrame:
@@ -58,26 +65,37 @@ def _before(key: str) -> Window:
 
 def running_sum(df: DataFrame, key: str, value: str, out: str, count_out: str,
                 ts: str = "transaction_ts", tie: str = "transaction_id",
-                target_rows: int | None = None) -> DataFrame:
+                target_rows: int | None = None, ordered: bool = True) -> DataFrame:
     """Running SUM(value) per key in (ts, tie) order plus the key's row count.
 
-    Frame: ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW.  The result is
-    sorted by (key, ts, tie).
+    Frame: ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW.  The result is sorted by
+    (key, ts, tie); ``ordered=False`` skips that global sort, and then rows that are stored
+    by key (a bucketed table) are not shuffled at all.
     """
     target = settings.SKEW_TARGET_ROWS if target_rows is None else target_rows
-    frame = Window.unboundedPreceding, Window.currentRow
+    keys, rows = _hot_keys(df, key, target)
     dtype = df.schema[value].dataType
     res_type = T.DecimalType(38, dtype.scale) if isinstance(dtype, T.DecimalType) else None
-    rows = _hot_rows(df, key, target)
-    if not rows:
+
+    def plain(x: DataFrame) -> DataFrame:
         w = Window.partitionBy(key)
-        out_col = F.sum(value).over(w.orderBy(ts, tie).rowsBetween(*frame))
-        return (df.repartitionByRange(key)
-                  .withColumn(out, out_col.cast(res_type) if res_type else out_col)
-                  .withColumn(count_out, F.count(F.lit(1)).over(w))
-                  .orderBy(key, ts, tie))
+        total = F.sum(value).over(w.orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return (x.withColumn(out, total.cast(res_type) if res_type else total)
+                 .withColumn(count_out, F.count(F.lit(1)).over(w)))
+
+    if not rows:
+        return plain(df.repartitionByRange(key)).orderBy(key, ts, tie) if ordered else plain(df)
+    split = _chunked_sum(_of_keys(df, key, keys, "left_semi"), rows, target, key, value, out, count_out, ts, tie, res_type)
+    both = plain(_of_keys(df, key, keys, "left_anti")).unionByName(split)
+    return both.orderBy(key, ts, tie) if ordered else both
+
+
+def _chunked_sum(df: DataFrame, rows: int, target: int, key: str, value: str, out: str, count_out: str,
+                 ts: str, tie: str, res_type: T.DataType | None) -> DataFrame:
+    """:func:`running_sum` of ``rows`` rows by stored chunks, unsorted."""
     x = _chunked(df, rows, target, F.col(key), F.col(ts), F.col(tie))
     chunk = Window.partitionBy(key, _CHUNK)
+    frame = Window.unboundedPreceding, Window.currentRow
     local = (x.withColumn("_local", F.sum(value).over(chunk.orderBy(ts, tie).rowsBetween(*frame)))
               .withColumn("_rows", F.count(F.lit(1)).over(chunk)))
     totals = x.groupBy(key, _CHUNK).agg(F.sum(value).alias("_sum"), F.count(F.lit(1)).alias("_n"))
@@ -90,30 +108,46 @@ def running_sum(df: DataFrame, key: str, value: str, out: str, count_out: str,
              .otherwise(local_sum + offset)
     if res_type:
         total = total.cast(res_type)
-    return (local.join(_earlier(offsets, key, rows, target), [key, _CHUNK], "left")
+    return (_joined_back(local, _earlier(offsets, key, rows, target), key)
                  .withColumn(out, total)
                  .withColumn(count_out, F.coalesce(F.col("_key_rows"), F.col("_rows")))
-                 .orderBy(key, ts, tie)
                  .drop(_CHUNK, "_local", "_rows", "_offset", "_key_rows"))
 
 
+def _joined_back(local: DataFrame, summary: DataFrame, key: str) -> DataFrame:
+    """Chunked rows with what the summary says of their chunk; a NULL key is a key like any other."""
+    there = summary.withColumnsRenamed({key: "_summary_key", _CHUNK: "_summary_chunk"})
+    same = F.col(key).eqNullSafe(F.col("_summary_key")) & (F.col(_CHUNK) == F.col("_summary_chunk"))
+    return local.join(there, same, "left").drop("_summary_key", "_summary_chunk")
+
+
 def rank_desc(df: DataFrame, key: str, value: str, out: str, tie: str = "transaction_id",
-              target_rows: int | None = None) -> DataFrame:
+              target_rows: int | None = None, ordered: bool = True) -> DataFrame:
     """RANK() OVER (PARTITION BY key ORDER BY value DESC), sorted by (key, rank, tie).
 
     The rank is BIGINT: a key may hold more than 2^31 rows.  NULL values rank
     last, as DESC does.  A chunk's rows rank among themselves, after all rows of
     the key in earlier chunks; only where a chunk begins inside a run of equal
     values do its first rows take the rank at which the run began.
+    ``ordered=False`` skips the global sort, as in :func:`running_sum`.
     """
     target = settings.SKEW_TARGET_ROWS if target_rows is None else target_rows
-    rows = _hot_rows(df, key, target)
+    keys, rows = _hot_keys(df, key, target)
     falling = F.col(value).desc()
+
+    def plain(x: DataFrame) -> DataFrame:
+        return x.withColumn(out, F.rank().over(Window.partitionBy(key).orderBy(falling)).cast("long"))
+
     if not rows:
-        return (df.repartitionByRange(key)
-                  .withColumn(out, F.rank().over(
-                      Window.partitionBy(key).orderBy(falling)).cast("long"))
-                  .orderBy(key, falling, tie))
+        return plain(df.repartitionByRange(key)).orderBy(key, falling, tie) if ordered else plain(df)
+    split = _chunked_rank(_of_keys(df, key, keys, "left_semi"), rows, target, key, value, out, tie)
+    both = plain(_of_keys(df, key, keys, "left_anti")).unionByName(split)
+    return both.orderBy(key, falling, tie) if ordered else both
+
+
+def _chunked_rank(df: DataFrame, rows: int, target: int, key: str, value: str, out: str, tie: str) -> DataFrame:
+    """:func:`rank_desc` of ``rows`` rows by stored chunks, unsorted."""
+    falling = F.col(value).desc()
     x = _chunked(df, rows, target, F.col(key), falling, F.col(tie))
     local = x.withColumn("_local", F.rank().over(
         Window.partitionBy(key, _CHUNK).orderBy(falling)).cast("long"))
@@ -128,7 +162,6 @@ def rank_desc(df: DataFrame, key: str, value: str, out: str, tie: str = "transac
     offsets = ends.join(began, same, "left").select(key, _CHUNK, "_offset", "_began")
     rank = F.col("_local") + F.coalesce(F.col("_offset"), F.lit(0))
     rank = F.when(F.col("_local") == 1, F.least(rank, F.col("_began"))).otherwise(rank)
-    return (local.join(_earlier(offsets, key, rows, target), [key, _CHUNK], "left")
+    return (_joined_back(local, _earlier(offsets, key, rows, target), key)
                  .withColumn(out, rank)
-                 .orderBy(key, falling, tie)
                  .drop(_CHUNK, "_local", "_offset", "_began"))

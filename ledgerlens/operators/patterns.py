@@ -22,6 +22,7 @@ from ledgerlens import schema as S
 from ledgerlens.functions.measures import (
     decimal_avg,
     hour_between,
+    hour_of,
     money,
     n_if,
     n_status,
@@ -34,26 +35,28 @@ from ledgerlens.operators.volume import per_merchant_totals, with_category
 from ledgerlens.sources.tables import Tables
 
 
-def running_total(tables: Tables, target_rows: int | None = None) -> DataFrame:
-    """3a. Cumulative spend per account in time order, plus the account's row count."""
+def running_total(tables: Tables, target_rows: int | None = None, ordered: bool = True) -> DataFrame:
+    """3a. Cumulative spend per account in time order, plus the account's row count
+    (``ordered=False`` skips the report's global sort)."""
     t = tables.transactions.select("account_id", "transaction_id", "transaction_date",
                                    "transaction_ts", "transaction_month", "amount",
                                    "transaction_status")
     # running_sum returns rows sorted by (account, timestamp, id), which is the
     # report order (account, date, time) with a deterministic tie-break.
     out = running_sum(t, "account_id", "amount", "running_total", "account_total_txns",
-                      target_rows=target_rows)
+                      target_rows=target_rows, ordered=ordered)
     return out.select("account_id", "transaction_date", "transaction_month", "amount",
                       "transaction_status", money("running_total").alias("running_total"),
                       "account_total_txns")
 
 
-def amount_rank(tables: Tables, target_rows: int | None = None) -> DataFrame:
-    """3b. RANK of every transaction's amount within its account (largest = 1)."""
+def amount_rank(tables: Tables, target_rows: int | None = None, ordered: bool = True) -> DataFrame:
+    """3b. RANK of every transaction's amount within its account (largest = 1; ``ordered=False``
+    skips the report's global sort)."""
     t = tables.transactions.select("account_id", "transaction_id", "transaction_date",
                                    "amount", "transaction_status")
     # Sorted by (account, rank, id) by rank_desc itself.
-    return rank_desc(t, "account_id", "amount", "amount_rank", target_rows=target_rows)
+    return rank_desc(t, "account_id", "amount", "amount_rank", target_rows=target_rows, ordered=ordered)
 
 
 def velocity_pairs(tables: Tables, min_minutes: int = S.VELOCITY_MIN_MINUTES,
@@ -96,7 +99,7 @@ def late_night(tables: Tables, first_hour: int = S.LATE_NIGHT_FIRST_HOUR,
     account and merchant details, largest amount first (``ordered=False`` skips
     the global sort, a shuffle of the whole result, for downstream jobs)."""
     t = (tables.transactions
-         .filter(hour_between(first_hour, last_hour))
+         .filter(hour_between(first_hour, last_hour, hour_of(tables.transactions)))
          .select("account_id", "merchant_id", "transaction_id", "transaction_date",
                  "transaction_ts", "amount", "transaction_status"))
     a = tables.accounts.select("account_id", "full_name", "risk_tier")

@@ -20,16 +20,19 @@ from ledgerlens import schema as S
 from ledgerlens.operators import fraud, patterns, quality, volume
 from ledgerlens.plans import views
 from ledgerlens.plans.boundary import normalise
-from ledgerlens.session import app_id, delete_at_exit, listing, parallelism, shared_dir
+from ledgerlens.session import app_id, delete_at_exit, listing, parallelism, work_dir
 from ledgerlens.sources import testdata
+from ledgerlens.sources.publish import publish, read_published
 from ledgerlens.sources.tables import (
     BAD_RECORD,
+    PARTITION_COLUMNS,
     TABLE_NAMES,
     Tables,
     ingest,
-    load_tables,
+    load_published,
+    publish_tables,
     read_raw,
-    write_tables,
+    stored_form,
 )
 
 
@@ -41,10 +44,6 @@ class Report:
     params: dict = field(default_factory=dict)
 
 
-def _shared_root(spark: SparkSession) -> str | None:
-    return shared_dir(spark)
-
-
 #: the given tables that the adapters read
 GIVEN = ("customer", "nation", "region", "part", "orders", "events")
 
@@ -55,15 +54,15 @@ def _given(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(listing(spark, f"{sf_dir}/{name}.parquet") for name in GIVEN)
 
 
-def _place(spark: SparkSession, root: str, sf_dir: str, given: tuple, kind: str) -> str:
+def _place(spark: SparkSession, sf_dir: str, given: tuple, kind: str) -> str:
     tag = os.path.basename(os.path.normpath(sf_dir)) or "data"
     digest = zlib.crc32(repr((sf_dir, given)).encode())
-    base = f"{root}/ledgerlens-model/{app_id(spark)}"
+    base = f"{work_dir(spark).rstrip('/')}/ledgerlens-model/{app_id(spark)}"
     delete_at_exit(spark, base)
     return f"{base}/{tag}-{digest:08x}/{kind}"
 
 
-_raw_cache: dict[tuple, tuple[str, DataFrame]] = {}
+_raw_cache: dict[tuple, DataFrame] = {}
 _lock = threading.RLock()
 
 RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -74,61 +73,73 @@ RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-def _raw(spark: SparkSession, sf_dir: str, kind: str) -> tuple[str, DataFrame]:
+def _raw(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """A raw-text rendering of a given table, made once for its files.
 
-    With a shared folder it is written there as CSV (positional records; merchants
-    with a header, as a column is left out) and opened with the file reader;
-    otherwise the lazy frame is used directly.
+    It is written as CSV (positional records; merchants with a header, as a column is
+    left out) and opened with the file reader.
     """
     given = _given(spark, sf_dir)
     key = (app_id(spark), sf_dir, kind, given)
     with _lock:
         if key not in _raw_cache:
             df = RAW[kind](spark, sf_dir)
-            root = _shared_root(spark)
-            if root is None:
-                _raw_cache[key] = ("frame", df)
+            path = _place(spark, sf_dir, given, f"raw/{kind}")
+            named = kind == "merchants"
+            if named:
+                df.drop(BAD_RECORD).write.mode("overwrite").options(header="true", nullValue="NULL").csv(path)
             else:
-                path = _place(spark, root, sf_dir, given, f"raw/{kind}")
-                named = kind == "merchants"
-                if named:
-                    df.drop(BAD_RECORD).write.mode("overwrite").options(header="true", nullValue="NULL").csv(path)
-                else:
-                    testdata.csv_lines(df).write.mode("overwrite").text(path)
-                _raw_cache[key] = ("csv", read_raw(spark, path, kind, fmt="csv", header=str(named).lower()))
+                testdata.csv_lines(df).write.mode("overwrite").text(path)
+            _raw_cache[key] = read_raw(spark, path, kind, fmt="csv", header=str(named).lower())
         return _raw_cache[key]
 
 
 def ingest_good(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """S3-S6: the raw text of a table through the CSV reader and typed ingest."""
-    return ingest(_raw(spark, sf_dir, kind)[1], kind)[0]
+    return ingest(_raw(spark, sf_dir, kind), kind)[0]
 
 
 def ingest_rejected(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """S7: the rows that ingest rejects, by primary key and reason."""
-    rejected = ingest(_raw(spark, sf_dir, kind)[1], kind)[1]
+    rejected = ingest(_raw(spark, sf_dir, kind), kind)[1]
     return rejected.select(*S.CONSTRAINTS[kind].primary_key, "reject_reason")
 
 
 def model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S8: the model tables and the views written as Parquet, read back, and counted."""
-    root = _shared_root(spark)
-    tables = bundle(spark, sf_dir, "orders")
-    if root is not None:
-        base = _place(spark, root, sf_dir, _given(spark, sf_dir), "round-trip")
-        write_tables(tables, base)
-        tables = load_tables(spark, base)[0]
-        views.write_marts(tables, f"{base}/marts")
-        monthly = spark.read.parquet(f"{base}/marts/vw_monthly_fraud_summary")
-    else:
-        monthly = views.monthly_fraud_summary(tables)
+    """S8: the model tables and the monthly view published as Parquet, read back, and counted."""
+    base = _place(spark, sf_dir, _given(spark, sf_dir), "round-trip")
+    publish_tables(bundle(spark, sf_dir, "orders"), base)
+    tables = load_published(spark, base)
+    views.write_marts(tables, f"{base}/marts", ["vw_monthly_fraud_summary"])
+    monthly = views.read_mart(spark, f"{base}/marts", "vw_monthly_fraud_summary")
     stored = tables.transactions.groupBy("transaction_month").agg(
         F.count(F.lit(1)).alias("stored_rows"), F.sum("amount").alias("stored_amount"))
     return monthly.select("transaction_month", "total_transactions", "flagged_count", "fraud_rate_pct").join(
         stored, "transaction_month")
 
 
+def published_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """S8: all rows of a model table, published over an older version (half of its rows) and read
+    back."""
+    key = S.CONSTRAINTS[table].primary_key[0]
+    base = _place(spark, sf_dir, _given(spark, sf_dir), f"published/{table}")
+    df = bundle(spark, sf_dir, "orders").as_dict()[table]
+    month = PARTITION_COLUMNS.get(table, [])
+    publish(stored_form(table, df.where(F.col(key) % 2 == 0)), base, month)
+    publish(stored_form(table, df), base, month)
+    return read_published(spark, base).select(*df.columns)
+
+
+def published_mart(spark: SparkSession, sf_dir: str, name: str, kind: str) -> DataFrame:
+    """S8: a view published as a mart over an older version (half of the transactions) and read
+    back."""
+    base = _place(spark, sf_dir, _given(spark, sf_dir), "published/marts")
+    tables = bundle(spark, sf_dir, kind)
+    views.write_marts(tables.with_(transactions=tables.transactions.where("transaction_id % 2 = 0")), base, [name])
+    views.write_marts(tables, base, [name])
+    return views.read_mart(spark, base, name)
+
+
 REPORTS: list[Report] = [
     Report("kpi_1a_monthly_trend", volume.monthly_trend),
     Report("kpi_1b_by_channel", volume.by_channel),
@@ -169,6 +180,11 @@ REPORTS: list[Report] = [
                                                                      "fraud_flags")),
     *(Report(f"src_rejected_{t}", ingest_rejected, None, {"kind": t}) for t in TABLE_NAMES),
     Report("sink_round_trip", model_round_trip, None),
+    *(Report(f"sink_table_{t}", published_table, None, {"table": t}) for t in TABLE_NAMES),
+    *(Report(f"sink_mart_{v[3:]}", published_mart, None, {"name": v, "kind": k}) for v, k in (
+        ("vw_monthly_fraud_summary", "orders"), ("vw_account_risk_profile", "events"),
+        ("vw_merchant_fraud_profile", "orders"), ("vw_channel_device_performance", "orders"),
+        ("vw_time_pattern_analysis", "orders"), ("vw_velocity_events", "events"))),
 ]
 
 BY_NAME = {r.name: r for r in REPORTS}
@@ -186,23 +202,16 @@ _cache: dict[tuple, Tables] = {}
 def bundle(spark: SparkSession, sf_dir: str, kind: str) -> Tables:
     """The adapted model tables of ``sf_dir``, built once for the files it holds.
 
-    When the session names a shared ``spark.checkpoint.dir``, the adapted
-    tables are written there once as typed Parquet (the load step), are removed
-    when the session's JVM ends, and every report reads them back; otherwise the
-    adapters stay lazy projections.  Changed given files give new tables.
+    They are written as typed Parquet (the load step), are removed when the session's
+    JVM ends, and every report reads them back.  Changed given files give new tables.
     """
     given = _given(spark, sf_dir)
     key = (app_id(spark), sf_dir, kind, given)
     with _lock:                       # one load per session even if reports run in threads
         if key not in _cache:
             lazy = _BUNDLES[kind](spark, sf_dir)
-            root = _shared_root(spark)
-            if root is None:
-                _cache[key] = lazy
-            else:
-                size = sum(f[1] for files in given for f in files)
-                _cache[key] = testdata.materialize(lazy, _place(spark, root, sf_dir, given, kind), size,
-                                                   parallelism(spark))
+            size = sum(f[1] for files in given for f in files)
+            _cache[key] = testdata.materialize(lazy, _place(spark, sf_dir, given, kind), size, parallelism(spark))
         return _cache[key]
 
 

@@ -11,13 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens import schema as S
 from ledgerlens.functions.measures import (
     amount_if,
     hour_between,
+    hour_of,
     money,
     n_if,
     n_status,
@@ -29,13 +30,14 @@ from ledgerlens.functions.measures import (
 from ledgerlens.functions.sizing import bounded_broadcast
 from ledgerlens.operators.fraud import account_fraud_profile
 from ledgerlens.operators.patterns import velocity_base
+from ledgerlens.sources.publish import publish, read_published
 from ledgerlens.sources.tables import Tables
 
 
 def monthly_fraud_summary(tables: Tables) -> DataFrame:
     """V1. Status counts, value, fraud rate and time-of-day counts per month."""
-    band = {b[1]: b for b in S.TIME_BANDS}
-    night = hour_between(band[1][2], band[1][3])
+    band, hour = {b[1]: b for b in S.TIME_BANDS}, hour_of(tables.transactions)
+    night = hour_between(band[1][2], band[1][3], hour)
     return (tables.transactions
             .groupBy("transaction_month")
             .agg(F.count("transaction_id").alias("total_transactions"),
@@ -47,9 +49,9 @@ def monthly_fraud_summary(tables: Tables) -> DataFrame:
                  money(amount_if(status_is(S.FLAGGED))).alias("flagged_amount"),
                  F.count(F.lit(1)).alias("_rows"),
                  n_if(night).alias("late_night_txns"),
-                 n_if(hour_between(band[2][2], band[2][3])).alias("morning_txns"),
-                 n_if(hour_between(band[3][2], band[3][3])).alias("afternoon_txns"),
-                 n_if(hour_between(band[4][2], band[4][3])).alias("evening_txns"),
+                 n_if(hour_between(band[2][2], band[2][3], hour)).alias("morning_txns"),
+                 n_if(hour_between(band[3][2], band[3][3], hour)).alias("afternoon_txns"),
+                 n_if(hour_between(band[4][2], band[4][3], hour)).alias("evening_txns"),
                  n_if(night & status_is(S.FLAGGED)).alias("late_night_flagged"))
             .select("transaction_month", "total_transactions", "successful_count",
                     "failed_count", "flagged_count", "reversed_count", "successful_revenue",
@@ -105,8 +107,8 @@ def channel_device_performance(tables: Tables) -> DataFrame:
 def time_pattern_analysis(tables: Tables) -> DataFrame:
     """V5. Counts and value per (time band, month, channel, device type)."""
     return (tables.transactions
-            .withColumn("time_band", time_band())
-            .withColumn("time_band_sort", time_band_sort())
+            .withColumn("time_band", time_band(hour_of(tables.transactions)))
+            .withColumn("time_band_sort", time_band_sort(hour_of(tables.transactions)))
             .groupBy("time_band", "time_band_sort", "transaction_month", "channel", "device_type")
             .agg(F.count("transaction_id").alias("total_transactions"),
                  n_status(S.FLAGGED).alias("flagged_count"),
@@ -181,16 +183,32 @@ def register_views(tables: Tables, names: list[str] | None = None) -> list[str]:
     return chosen
 
 
-def write_marts(tables: Tables, path: str, names: list[str] | None = None,
-                mode: str = "overwrite") -> dict[str, str]:
-    """Materialise views to Parquet under ``path/<view>``; returns view -> folder."""
+def write_marts(tables: Tables, path: str, names: list[str] | None = None) -> dict[str, str]:
+    """Publish views as Parquet under ``path/<view>``; returns view -> data folder.
+
+    Every view is written in full to a new folder, and then its readers are switched to
+    it (see :mod:`ledgerlens.sources.publish`): a dashboard that reads during a rewrite
+    gets the old or the new mart.
+    """
     chosen = list(VIEWS) if names is None else names
     out = {}
     for name in chosen:
         target = f"{path.rstrip('/')}/{name}"
-        df, parts = VIEWS[name](tables), MART_PARTITIONS.get(name)
+        df, parts = VIEWS[name](tables), MART_PARTITIONS.get(name, [])
         # clustered first: a month of an aggregated view is one file, not one of every task
-        writer = df.repartition(*parts).write.mode(mode).partitionBy(*parts) if parts else df.write.mode(mode)
-        writer.parquet(target)
-        out[name] = target
+        version = publish(df.repartition(*parts) if parts else df, target, parts)
+        out[name] = version.paths(target)[0]
     return out
+
+
+def read_mart(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The published mart ``path/<name>`` as it is now."""
+    return read_published(spark, f"{path.rstrip('/')}/{name}")
+
+
+def register_marts(spark: SparkSession, path: str, names: list[str] | None = None) -> list[str]:
+    """Registers the published marts as session temp views, at their present version."""
+    chosen = list(VIEWS) if names is None else names
+    for name in chosen:
+        read_mart(spark, path, name).createOrReplaceTempView(name)
+    return chosen

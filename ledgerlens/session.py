@@ -1,13 +1,15 @@
 """Session construction for local runs (tests, bench, tools).
 
 On a cluster the session comes from the platform; the library only reads
-settings from it.  ``checkpoint_dir`` returns the shared folder named by
-``spark.checkpoint.dir`` and never invents a machine-local one.
+settings from it.  ``work_dir`` is the one place where it is decided where intermediate
+tables go: the shared folder named by ``spark.checkpoint.dir``, or, in a session of this
+process alone that names none (tests, bench), a scratch folder made once per session.
 """
 
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -60,17 +62,85 @@ def sc_is_remote(spark: SparkSession) -> bool:
     return sc is not None and not sc.master.startswith("local")
 
 
+def in_process(spark: SparkSession) -> bool:
+    """Whether driver and executors are this one process."""
+    sc = _context(spark)
+    return sc is not None and (sc.master == "local" or sc.master.startswith("local["))
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The folder of intermediate tables and checkpoints, the same from the first call of a session
+    on."""
+    found = shared_dir(spark)
+    if not found:
+        if not in_process(spark):
+            raise RuntimeError("spark.checkpoint.dir is not set; set it to a shared folder")
+        found = tempfile.mkdtemp(prefix="ledgerlens-")
+    sc = _context(spark)
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(found)
+    return found
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def listing(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
     """(name, bytes, modification time) of the files of a table."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    place, fs = _file_system(spark, path)
     return tuple((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(place))
 
 
+def file_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    place, fs = _file_system(spark, folder)
+    return [f.getPath().getName() for f in fs.listStatus(place)] if fs.exists(place) else []
+
+
+def folder_bytes(spark: SparkSession, folder: str) -> int:
+    """Bytes of all files below a folder."""
+    place, fs = _file_system(spark, folder)
+    return fs.getContentSummary(place).getLength()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file."""
+    place, fs = _file_system(spark, path)
+    stream = fs.open(place)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_new_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Creates a small text file; False if there is one already."""
+    place, fs = _file_system(spark, path)
+    if fs.exists(place):
+        return False
+    try:
+        stream = fs.create(place, False)
+    except Exception as e:  # noqa: BLE001
+        if "already exists" in str(e):
+            return False
+        raise
+    stream.write(bytearray(text.encode("utf-8")))
+    stream.close()
+    return True
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Removes a file or folder."""
+    place, fs = _file_system(spark, path)
+    fs.delete(place, True)
+
+
 def delete_at_exit(spark: SparkSession, path: str) -> None:
     """Removes a folder of the shared store when the session's JVM ends."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    place, fs = _file_system(spark, path)
+    fs.deleteOnExit(place)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -8,13 +8,18 @@ get their date and time-of-day folded into one ``transaction_ts`` column.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens import schema as S
+from ledgerlens.functions.measures import HOUR
+from ledgerlens.functions.sizing import bounded_broadcast, checkpointed
+from ledgerlens.session import delete_path, folder_bytes, work_dir
+from ledgerlens.sources import publish as publishing
 
 
 @dataclass(frozen=True)
@@ -220,6 +225,8 @@ def ingest_marked(raw: DataFrame, table: str) -> DataFrame:
                     and "transaction_time" not in have)
     if model_layout:                           # already folded: typed check only
         schema = S.TRANSACTIONS
+        if HOUR in have:                       # stored with its hour
+            schema = T.StructType([*schema.fields, T.StructField(HOUR, T.IntegerType(), True)])
     for column, value in S.CONSTRAINTS[table].defaults.items():
         if column not in raw.columns:          # DEFAULT applies to an omitted column
             raw = raw.withColumn(column, F.lit(value))
@@ -231,34 +238,112 @@ def ingest_marked(raw: DataFrame, table: str) -> DataFrame:
     marked = mark_types(raw.select(*names, *[c for c in (BAD_RECORD,) if c in have]), schema)
     if table == "transactions" and not model_layout:
         marked = _fold_time(marked)
+    elif table == "transactions" and HOUR in have:
+        # a filter on the stored hour must mean the hour of the time
+        wrong = (F.col("reject_reason") == "") & ~F.col(f"typed.{HOUR}").eqNullSafe(F.hour("typed.transaction_ts"))
+        marked = marked.withColumn("reject_reason", F.when(wrong, F.lit(f"bad {HOUR}")).otherwise(F.col("reject_reason")))
     return marked.select(*[F.col(c).cast("string").alias(c) for c in names], "typed", "reject_reason")
 
 
 PARTITION_COLUMNS = {"transactions": ["transaction_month"]}
-#: files of a month and table: rows of a month are dealt to so many tasks by key
-MONTH_FILES = 4
+#: bytes that a stored file aims at, and rows that are written to measure bytes a row
+FILE_BYTES = 128 << 20
+MEASURED_ROWS = 100_000
+
+
+def with_hour(transactions: DataFrame) -> DataFrame:
+    """Transactions with the hour of their time as a column of its own, which a filter on the
+    hour reaches in Parquet files."""
+    return transactions.withColumn(HOUR, F.hour("transaction_ts"))
+
+
+def bytes_a_row(df: DataFrame, rows: int, key: list[str], order: list[str]) -> float:
+    """Stored bytes a row, measured: some rows (by a hash of the key, about ``MEASURED_ROWS``) are
+    written as Parquet and removed again."""
+    spark = df.sparkSession
+    every = max(1, rows // MEASURED_ROWS)
+    some = df.where(F.pmod(F.xxhash64(*key), F.lit(every)) == 0)
+    path = f"{work_dir(spark).rstrip('/')}/measured-{uuid.uuid4().hex}"
+    some.repartition(1).sortWithinPartitions(*order).write.parquet(path)
+    held = spark.read.schema(some.schema).parquet(path).count()
+    size = folder_bytes(spark, path)
+    delete_path(spark, path)
+    return size / held if held else 0.0
+
+
+def by_size(df: DataFrame, group: str | None, key: list[str], order: list[str], file_bytes: int) -> DataFrame:
+    """``df`` dealt into one task a file: files of a group hold about ``file_bytes`` each, as
+    measured, and are sorted by ``order`` so that row groups hold ranges of it.
+
+    A group of any size is cut by a hash of the key; groups never share a file.
+    """
+    place = F.col(group) if group else F.lit(0)
+    counts = checkpointed(df.groupBy(place.alias("_group")).agg(F.count(F.lit(1)).alias("_rows")))
+    rows = counts.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("n")).first()["n"]
+    if not rows:
+        return df.coalesce(1)
+    width = bytes_a_row(df, rows, key, order)
+    files = F.greatest(F.lit(1), F.ceil(F.col("_rows") * width / file_bytes)).cast("long")
+    # one row a group: numbers of the first file and of files of each
+    ahead = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    plan = counts.select("_group", files.alias("_files")).withColumn(
+        "_first", F.coalesce(F.sum("_files").over(ahead), F.lit(0)))
+    plan = checkpointed(plan)
+    total = plan.agg(F.sum("_files").alias("n")).first()["n"]
+    dealt = df.join(bounded_broadcast(plan), place.eqNullSafe(F.col("_group")))
+    number = (F.col("_first") + F.pmod(F.xxhash64(*key), F.col("_files"))).cast("int")
+    return dealt.repartitionById(total, number).select(*df.columns).sortWithinPartitions(*order)
+
+
+def stored_form(name: str, df: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """A model table as it is stored: dealt into files by measured size; transactions with their
+    hour, sorted by it within a file."""
+    key = list(S.CONSTRAINTS[name].primary_key)
+    if name == "transactions":
+        return by_size(with_hour(df), PARTITION_COLUMNS[name][0], key, [HOUR, *key], file_bytes)
+    return by_size(df, None, key, key, file_bytes)
 
 
 def write_tables(tables: Tables, base: str, database: str = S.DEFAULT_DATABASE,
-                 mode: str = "overwrite") -> str:
+                 mode: str = "overwrite", file_bytes: int = FILE_BYTES) -> str:
     """Store the model tables as Parquet under ``<base>/<database>/<table>``.
 
     Transactions are partitioned by ``transaction_month`` so month-sliced reads
-    prune whole folders; rows are clustered by month and a hash of the key first,
-    so a month has at most ``MONTH_FILES`` files, not one of every task.
-    :func:`load_tables` reads the result back.
+    prune whole folders.  Each month has as many files as its measured size asks for.
+    :func:`load_tables` reads the result back.  The folders are rewritten in place;
+    readers of a live model use :func:`publish_tables`.
     """
     root = namespace_path(base, database)
     for name, df in tables.as_dict().items():
-        if name in PARTITION_COLUMNS:
-            month = PARTITION_COLUMNS[name]
-            bucket = F.pmod(F.xxhash64(*S.CONSTRAINTS[name].primary_key), F.lit(MONTH_FILES))
-            df.repartition(*month, bucket).write.mode(mode).partitionBy(*month).parquet(f"{root}/{name}")
-        else:
-            df.write.mode(mode).parquet(f"{root}/{name}")
+        month = PARTITION_COLUMNS.get(name, [])
+        stored_form(name, df, file_bytes).write.mode(mode).partitionBy(*month).parquet(f"{root}/{name}")
     return root
 
 
+def publish_tables(tables: Tables, base: str, database: str = S.DEFAULT_DATABASE,
+                   file_bytes: int = FILE_BYTES) -> publishing.Version:
+    """Store all four model tables as one new version of the database and switch readers to it: a
+    reader sees the four old tables or the four new ones."""
+    root = namespace_path(base, database)
+    name, folder = publishing.new_folder(root)
+    for table, df in tables.as_dict().items():
+        month = PARTITION_COLUMNS.get(table, [])
+        stored_form(table, df, file_bytes).write.partitionBy(*month).parquet(f"{folder}/{table}")
+    return publishing.switch(tables.accounts.sparkSession, root, name)
+
+
+def load_published(spark: SparkSession, base: str, database: str = S.DEFAULT_DATABASE) -> Tables:
+    """The newest published version of the model tables.  What is published is the model already: it
+    is read as it is stored, without the checks of :func:`load_table`, so that filters on stored
+    columns reach the files."""
+    root = namespace_path(base, database)
+    at = publishing.current(spark, root)
+    if at is None:
+        raise FileNotFoundError(f"{root}: nothing is published there")
+    (folder,) = at.paths(root)
+    return Tables(**{name: spark.read.parquet(f"{folder}/{name}") for name in TABLE_NAMES})
+
+
 def load_tables(spark: SparkSession, base: str, fmt: str = "parquet",
                 database: str = S.DEFAULT_DATABASE, canonical: bool = False,
                 **options: str) -> tuple[Tables, dict[str, DataFrame]]:

@@ -29,17 +29,28 @@ def test_shuffle_join_path_matches_broadcast_path(spark, name, monkeypatch):
     
 
 @pytest.mark.parametrize("name", ["kpi_1a_monthly_trend", "pat_3a_running_total",
-                                  "pat_3c_velocity_pairs", "dq_primary_keys",
-                                  "src_ingest_transactions", "src_ingest_merchants"])
+                                  "pat_3c_velocity_pairs", "dq_primary_keys"])
 def test_lazy_and_materialised_bundles_agree(spark, name, monkeypatch):
     materialised = catalog.run(spark, SF, name).toPandas()
-    monkeypatch.setattr(catalog, "_shared_root", lambda s: None)
+    monkeypatch.setattr(catalog.testdata, "materialize", lambda tables, *a: tables)
     monkeypatch.setattr(catalog, "_cache", {})
-    monkeypatch.setattr(catalog, "_raw_cache", {})
     lazy = catalog.run(spark, SF, name).toPandas()
     assert diff(lazy, materialised) is None, diff(lazy, materialised)
 
 
+def test_work_folder_is_decided_once(tmp_path):
+    """A session of this process that names no folder has the same one from its first call on, so a
+    report does the same work before and after others."""
+    import subprocess
+    import sys
+    code = ("from ledgerlens.session import local_session, work_dir; from ledgerlens.plans import catalog\n"
+            "s = local_session(2); a = work_dir(s)\n"
+            "n = catalog.run(s, '/root/testdata/sf0.001', 'pat_3f_above_category_avg').count()\n"
+            "assert work_dir(s) == a and n > 0; print('same')")
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert done.stdout.strip().endswith("same"), done.stderr[-2000:]
+
+
 SKEW_CONF = {"spark.sql.autoBroadcastJoinThreshold": "-1",
              "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
              "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",

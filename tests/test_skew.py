@@ -182,7 +182,7 @@ def test_rank_with_negative_and_zero_amounts(spark):
 
 def _chunk_sizes(df, target, *order):
     from ledgerlens.operators import ordered
-    rows = ordered._hot_rows(df, "k", target)
+    rows = ordered._hot_keys(df, "k", target)[1]
     chunks = ordered._chunked(df, rows, target, F.col("k"), *order)
     return [r["n"] for r in chunks.groupBy("k", ordered._CHUNK).agg(F.count("*").alias("n")).collect()]
 
