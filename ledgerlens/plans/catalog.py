@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import threading
+import uuid
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -18,10 +19,10 @@ from pyspark.sql import functions as F
 
 from ledgerlens import schema as S
 from ledgerlens.operators import fraud, patterns, quality, volume
-from ledgerlens.plans import views
+from ledgerlens.plans import incremental, views
 from ledgerlens.plans.boundary import normalise
 from ledgerlens.session import app_id, delete_at_exit, listing, parallelism, work_dir
-from ledgerlens.sources import testdata
+from ledgerlens.sources import loads, testdata, warehouse
 from ledgerlens.sources.publish import publish, read_published
 from ledgerlens.sources.tables import (
     BAD_RECORD,
@@ -140,6 +141,81 @@ def published_mart(spark: SparkSession, sf_dir: str, name: str, kind: str) -> Da
     return views.read_mart(spark, base, name)
 
 
+def from_catalog(spark: SparkSession, sf_dir: str, fn: Callable[..., DataFrame], kind: str, **params) -> DataFrame:
+    """S2: a report on the tables of a catalog database, by name."""
+    return fn(warehouse.open_tables(spark, _database(spark, sf_dir, kind)), **params)
+
+
+def region_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2: plain SQL over the names of a selected database."""
+    return warehouse.accounts_per_region(spark, _database(spark, sf_dir, "orders"))
+
+
+_databases: dict[tuple, str] = {}
+
+
+def _database(spark: SparkSession, sf_dir: str, kind: str) -> str:
+    """The model tables saved in a database of the session's catalog, once for their files."""
+    given = _given(spark, sf_dir)
+    key = (app_id(spark), sf_dir, kind, given)
+    with _lock:
+        if key not in _databases:
+            place = _place(spark, sf_dir, given, f"catalog-{kind}")
+            name = f"payments_{kind}_{zlib.crc32(place.encode()):08x}"
+            warehouse.save_tables(bundle(spark, sf_dir, kind), name, place)
+            _databases[key] = name
+        return _databases[key]
+
+
+def key_rejects(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """Q1, Q2, Q4 at the load: the rows of a table that leave for a broken key or reference."""
+    rejected = loads.enforce_model(bundle(spark, sf_dir, "dirty"), (table,))[1][table]
+    return rejected.select(*S.CONSTRAINTS[table].primary_key, "reject_reason")
+
+
+_loads: dict[tuple, str] = {}
+
+
+def _loaded(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the model that :func:`two_loads` reads, loaded once for the given files."""
+    given = _given(spark, sf_dir)
+    key = (app_id(spark), sf_dir, given)
+    with _lock:
+        if key not in _loads:
+            base = f"{_place(spark, sf_dir, given, 'loads')}/{uuid.uuid4().hex}"
+            tables = bundle(spark, sf_dir, "orders")
+            even = F.col("transaction_id") % 2 == 0
+            other = F.when(F.col("transaction_id") % 20 == 0, F.col("amount") + 1).otherwise(F.col("amount")).cast(S.MONEY)
+            loads.load_batch(spark, base, tables.with_(transactions=tables.transactions.where(even),
+                                                       fraud_flags=tables.fraud_flags.where(even)), "first")
+            for tag in ("second", "again"):
+                loads.load_batch(spark, base, tables.with_(
+                    transactions=tables.transactions.withColumn("amount", other)), tag)
+            _loads[key] = base
+        return _loads[key]
+
+
+def two_loads(spark: SparkSession, sf_dir: str, table: str, rejected: bool) -> DataFrame:
+    """S5, S6: a model loaded in two batches, the second one twice.
+
+    The first batch holds all accounts and merchants and the even transactions with their flags;
+    the second one everything, with another amount for every twentieth transaction.
+    """
+    model, bad = loads.loaded_tables(spark, _loaded(spark, sf_dir))
+    if rejected:
+        return bad[table].select(*S.CONSTRAINTS[table].primary_key, "reject_reason")
+    return model.as_dict()[table].select(*S.SCHEMAS[table].names)
+
+
+def grown_mart(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A report from partial aggregates that three batches were added to, one of them twice."""
+    path = f"{_place(spark, sf_dir, _given(spark, sf_dir), 'partials')}/{uuid.uuid4().hex}"
+    t = bundle(spark, sf_dir, "orders").transactions
+    for i in (0, 1, 2, 1):
+        incremental.add_batch(spark, path, t.where(F.col("transaction_id") % 3 == i), f"batch-{i}")
+    return incremental.REPORTS[name](incremental.stored(spark, path))
+
+
 REPORTS: list[Report] = [
     Report("kpi_1a_monthly_trend", volume.monthly_trend),
     Report("kpi_1b_by_channel", volume.by_channel),
@@ -185,6 +261,17 @@ REPORTS: list[Report] = [
         ("vw_monthly_fraud_summary", "orders"), ("vw_account_risk_profile", "events"),
         ("vw_merchant_fraud_profile", "orders"), ("vw_channel_device_performance", "orders"),
         ("vw_time_pattern_analysis", "orders"), ("vw_velocity_events", "events"))),
+    Report("cat_accounts_per_region", region_accounts, None),
+    *(Report(f"cat_{n}", from_catalog, None, {"fn": f, "kind": k, "ordered": False}) for n, f, k in (
+        ("pat_3a_running_total", patterns.running_total, "orders"), ("pat_3b_amount_rank", patterns.amount_rank, "orders"),
+        ("pat_3e_risk_scores", patterns.risk_scores, "orders"),
+        ("kpi_2e_high_risk_accounts", fraud.high_risk_accounts, "events"))),
+    Report("cat_vw_account_risk_profile", from_catalog, None, {"fn": views.account_risk_profile, "kind": "events"}),
+    *(Report(f"src_key_rejects_{t}", key_rejects, None, {"table": t}) for t in TABLE_NAMES),
+    Report("load_stored_transactions", two_loads, None, {"table": "transactions", "rejected": False}),
+    Report("load_stored_fraud_flags", two_loads, None, {"table": "fraud_flags", "rejected": False}),
+    Report("load_rejected_transactions", two_loads, None, {"table": "transactions", "rejected": True}),
+    *(Report(f"inc_{n}", grown_mart, None, {"name": n}) for n in incremental.REPORTS),
 ]
 
 BY_NAME = {r.name: r for r in REPORTS}

@@ -37,6 +37,10 @@ class Version:
     number: int
     folders: tuple[str, ...]          # names below the published path
     tags: tuple[str, ...]             # names of the batches that the version holds
+    schema: str | None = None         # of its rows, as JSON (a part may hold no file)
+
+    def text(self) -> str:
+        return json.dumps({"folders": self.folders, "tags": self.tags, "schema": self.schema})
 
     def paths(self, path: str) -> list[str]:
         return [f"{path.rstrip('/')}/{f}" for f in self.folders]
@@ -56,7 +60,7 @@ def _read_entry(spark: SparkSession, path: str, number: int) -> Version | None:
         held = json.loads(read_text(spark, _entry(path, number)) or "null")
     except (Py4JJavaError, ValueError):
         return None
-    return Version(number, tuple(held["folders"]), tuple(held["tags"])) if held else None
+    return Version(number, tuple(held["folders"]), tuple(held["tags"]), held.get("schema")) if held else None
 
 
 def versions(spark: SparkSession, path: str) -> list[Version]:
@@ -80,7 +84,7 @@ def new_folder(path: str) -> tuple[str, str]:
 
 
 def switch(spark: SparkSession, path: str, folder: str, add: bool = False, tag: str | None = None,
-           keep: int = KEEP) -> Version:
+           keep: int = KEEP, schema: T.StructType | None = None) -> Version:
     """Makes ``folder`` (a data folder that is written in full) the published table, or with ``add``
     a further part of it.  A part whose ``tag`` the table holds already is not added again."""
     for _ in range(TRIES):
@@ -89,11 +93,25 @@ def switch(spark: SparkSession, path: str, folder: str, add: bool = False, tag:
             return now
         folders = (*now.folders, folder) if add and now else (folder,)
         tags = (now.tags if add and now else ()) + ((tag,) if tag is not None else ())
-        number = taken[-1] + 1 if taken else 1
-        held = json.dumps({"folders": folders, "tags": tags})
-        if write_new_text(spark, _entry(path, number), held):
+        found = Version(taken[-1] + 1 if taken else 1, folders, tags, schema.json() if schema else None)
+        if write_new_text(spark, _entry(path, found.number), found.text()):
+            retire(spark, path, keep)
+            return found
+    raise RuntimeError(f"{path}: no version could be claimed in {TRIES} tries")
+
+
+def replace(spark: SparkSession, path: str, seen: Version, folder: str, keep: int = KEEP) -> Version:
+    """Makes ``folder`` stand for the parts of version ``seen`` (the same rows in another form); parts
+    that were added since stay.  A version in which a part of ``seen`` is gone is left as it is."""
+    for _ in range(TRIES):
+        now, taken = current(spark, path), _numbers(spark, path)
+        if now is None or not set(seen.folders) <= set(now.folders):
+            return now
+        later = tuple(f for f in now.folders if f not in seen.folders)
+        found = Version(taken[-1] + 1, (folder, *later), now.tags, now.schema)
+        if write_new_text(spark, _entry(path, found.number), found.text()):
             retire(spark, path, keep)
-            return Version(number, folders, tags)
+            return found
     raise RuntimeError(f"{path}: no version could be claimed in {TRIES} tries")
 
 
@@ -101,7 +119,7 @@ def publish(df: DataFrame, path: str, partition_by: Iterable[str] = (), keep: in
     """Writes ``df`` as a new version of the table at ``path`` and switches readers to it."""
     name, folder = new_folder(path)
     df.write.partitionBy(*partition_by).parquet(folder)
-    return switch(df.sparkSession, path, name, keep=keep)
+    return switch(df.sparkSession, path, name, keep=keep, schema=df.schema)
 
 
 def publish_part(df: DataFrame, path: str, tag: str | None = None, partition_by: Iterable[str] = (),
@@ -113,17 +131,18 @@ def publish_part(df: DataFrame, path: str, tag: str | None = None, partition_by:
         return now
     name, folder = new_folder(path)
     df.write.partitionBy(*partition_by).parquet(folder)
-    return switch(df.sparkSession, path, name, add=True, tag=tag, keep=keep)
+    return switch(df.sparkSession, path, name, add=True, tag=tag, keep=keep, schema=df.schema)
 
 
-def read_published(spark: SparkSession, path: str, schema: T.StructType | None = None,
-                   version: Version | None = None) -> DataFrame:
+def read_published(spark: SparkSession, path: str, version: Version | None = None) -> DataFrame:
     """The published table as it is now (or a given version of it)."""
     at = version or current(spark, path)
     if at is None:
         raise FileNotFoundError(f"{path}: nothing is published there")
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    parts = [reader.parquet(p) for p in at.paths(path)]
+    schema = T.StructType.fromJson(json.loads(at.schema)) if at.schema else None
+    parts = [(spark.read.schema(schema) if schema else spark.read).parquet(p) for p in at.paths(path)]
+    if schema:
+        parts = [p.select(*schema.names) for p in parts]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
