@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.session import shared_dir
+from ledgerlens import session
 
 
 def importable(spark: SparkSession) -> None:
@@ -31,16 +30,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a scratch folder only where the session
-    names none and runs in this process (tests)."""
+    """The folder of intermediate tables (see :func:`ledgerlens.session.work_dir`)."""
     importable(spark)
-    found = shared_dir(spark)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir is not set; set it to a shared folder")
-        found = tempfile.mkdtemp(prefix="ledgerlens-llm-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+    return session.work_dir(spark)
 
 
 def new_path(spark: SparkSession, name: str) -> str:

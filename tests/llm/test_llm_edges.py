@@ -38,7 +38,6 @@ def none(docs):
 def _ids(name, end):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [np.array(t.encode(r[1] or "", add_special_tokens=False).ids + [end], "<u4") for r in ROWS]
 
 

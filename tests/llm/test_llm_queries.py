@@ -63,7 +63,6 @@ def test_op2_held_out_accuracy(spark, documents):
 def _ids(documents, name, end):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [np.array(e.ids + [end], "<u4")
             for e in t.encode_batch(documents["text"].fillna("").tolist(), add_special_tokens=False)]
 
