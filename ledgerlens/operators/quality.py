@@ -50,7 +50,7 @@ def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
     """Q4. Child rows whose non-NULL ``fk`` has no parent row (NULL is not checked)."""
     keys = parent.select(F.col(pk).alias("_pk"))
     return (child.filter(F.col(fk).isNotNull())
-                 .join(bounded_broadcast(keys, size_of=parent), F.col(fk) == F.col("_pk"),
+                 .join(bounded_broadcast(keys), F.col(fk) == F.col("_pk"),
                        "left_anti"))
 
 
