@@ -24,8 +24,11 @@ NAMES = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "a
          "auth", "authorization", "bearer", "credential", "credentials", "private_key", "client_secret", "key")
 #: the parts of such names, between the borders of words, _, - and capitals
 PARTS = tuple(n for n in NAMES if not set(n) & set("_-"))
-_NAME = (rf"[\w.-]*?(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?i:{'|'.join(PARTS)})"
-         r"(?:(?![A-Za-z0-9])|(?<=[a-z])(?=[A-Z]))[\w.-]*+")
+#: a run that holds such a part; the run is read whole at once, and only one that something is
+#: assigned to is searched for parts, so that a long run costs in proportion to its length
+_NAME = (r"(?=[\w.-]++[\"']?[ \t]*+[:=])"
+         rf"(?=[\w.-]*?(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?i:{'|'.join(PARTS)})"
+         r"(?:(?![A-Za-z0-9])|(?<=[a-z])(?=[A-Z])))[\w.-]++")
 #: a candidate: what is assigned to such a name (in quotes, or up to white space, a further
 #: parameter of an address or a closing tag), of at least so many characters
 ASSIGNED = (rf"(?<![\w.-]){_NAME}[\"']?[ \t]*+(?::=|[:=]>?)[ \t]*+(?:\"([^\s\"]++)|'([^\s']++)"
