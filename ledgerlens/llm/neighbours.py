@@ -10,7 +10,8 @@ at most.
 The top of the kd-tree deals the vectors into cells; a cell is a block of one task, cut into more
 blocks where it is large.  A query first searches its own cell, and then, with that bound,
 every cell that the stopping test does not exclude.  Within a block a local kd-tree yields the
-buckets in order of their distance until the test holds.
+buckets in order of their distance until the test holds, and of a bucket only the vectors whose own
+projected distance passes the test are verified.
 """
 
 from __future__ import annotations
@@ -27,16 +28,18 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import kept
 
 #: projections
-DIMS = 8
+DIMS = 24
 #: vectors of a block, and of a bucket of its kd-tree
-BLOCK_ROWS, BUCKET_ROWS = 2_000, 64
+BLOCK_ROWS, BUCKET_ROWS = 8_000, 256
 #: most cells of the top tree; larger cells are cut into blocks by hash
 MAX_CELLS = 4_096
 #: vectors that the top tree is fitted to
 SAMPLE_ROWS = 50_000
 #: queries of a block that one task answers
 QUERY_ROWS = 2_000
-CONFIDENCE = 0.99
+CONFIDENCE = 0.93
+#: share of a projection's squared length by which equal vectors may be off through rounding
+ROUNDING = 1e-12
 
 
 def chi_square_quantile(p: float, dims: int) -> float:
@@ -121,8 +124,8 @@ class Tree:
             self.nodes[me] = (low, high, lo, hi, a, b)
         return me
 
-    def rising(self, query: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
-        """(squared distance of its box, rows) of the buckets, nearest box first."""
+    def rising(self, query: np.ndarray) -> Iterator[tuple[float, int, int]]:
+        """(squared distance of its box, first, end in ``order``) of the buckets, nearest box first."""
         def far(node: int) -> float:
             low, high = self.nodes[node][:2]
             gap = np.maximum(np.maximum(low - query, query - high), 0)
@@ -133,7 +136,7 @@ class Tree:
             at, node = heapq.heappop(heap)
             _, _, lo, hi, a, b = self.nodes[node]
             if a < 0:
-                yield at, self.order[lo:hi]
+                yield at, lo, hi
             else:
                 heapq.heappush(heap, (far(a), a))
                 heapq.heappush(heap, (far(b), b))
@@ -156,19 +159,30 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_list()) if len(column) else np.zeros((0, 0))
 
 
+def _limit(quantile: float, bound, length):
+    """Squared projected distance up to which the stopping test goes on; ``length`` is the
+    query's squared projected length, and its rounding keeps exact copies within the limit."""
+    return quantile * bound * (1 + 1e-9) + ROUNDING * length
+
+
 def _search(block: pd.DataFrame, queries: pd.DataFrame, k: int, quantile: float) -> pd.DataFrame:
-    """The k nearest of a block to each query, as far as the stopping test needs them."""
-    out_q, out_v, out_d = [], [], []
+    """The k nearest of a block to each query, as far as the stopping test needs them.  The first
+    row of a query holds how many vectors were ``verified``, without a vector if none is near."""
+    out_q, out_v, out_d, out_n = [], [], [], []
     if len(block) and len(queries):
-        ids, x, p = block["vec_id"].to_numpy(), _matrix(block["x"]), _matrix(block["p"])
+        p = _matrix(block["p"])
         tree = Tree(p)
+        ids, x, p = block["vec_id"].to_numpy()[tree.order], _matrix(block["x"])[tree.order], p[tree.order]
         bounds = queries["bound"].to_numpy(np.float64)
         for q, qx, qp, bound in zip(queries["vec_id"].to_numpy(), _matrix(queries["x"]),
                                     _matrix(queries["p"]), bounds):
-            got_v, got_d = np.zeros(0, np.int64), np.zeros(0)
-            for far, rows in tree.rising(qp):
-                if far > quantile * bound * (1 + 1e-9):
+            got_v, got_d, verified, length = np.zeros(0, np.int64), np.zeros(0), 0, float(qp @ qp)
+            for far, lo, hi in tree.rising(qp):
+                limit = _limit(quantile, bound, length)
+                if far > limit:
                     break
+                rows = lo + np.flatnonzero(((p[lo:hi] - qp) ** 2).sum(axis=1) <= limit)
+                verified += len(rows)
                 d = ((x[rows] - qx) ** 2).sum(axis=1)
                 keep = (d <= bound) & (ids[rows] != q)
                 if keep.any():
@@ -176,15 +190,21 @@ def _search(block: pd.DataFrame, queries: pd.DataFrame, k: int, quantile: float)
                     if len(got_v) >= k:
                         best = np.lexsort((got_v, got_d))[:k]
                         got_v, got_d = got_v[best], got_d[best]
-                        if len(got_v) == k:
-                            bound = min(bound, float(got_d[-1]))
+                        bound = min(bound, float(got_d[-1]))
+            if not len(got_v):
+                got_v, got_d = np.array([-1]), np.array([np.inf])
             out_q.append(np.full(len(got_v), q))
             out_v.append(got_v)
             out_d.append(got_d)
+            out_n.append(np.r_[float(verified), np.full(len(got_v) - 1, np.nan)])
     none = [np.zeros(0)]
-    return pd.DataFrame({"query_id": np.concatenate(out_q or none).astype(np.int64),
-                         "vec_id": np.concatenate(out_v or none).astype(np.int64),
-                         "d2": np.concatenate(out_d or none)})
+    d2, verified = np.concatenate(out_d or none), np.concatenate(out_n or none)
+    vec_id = pd.Series(np.concatenate(out_v or none), dtype="Int64").mask(np.isinf(d2))
+    return pd.DataFrame({"query_id": np.concatenate(out_q or none).astype(np.int64), "vec_id": vec_id,
+                         "d2": d2, "verified": pd.Series(verified).astype("Int64")})
+
+
+FOUND = "query_id long, vec_id long, d2 double, verified long"
 
 
 def _answer(blocks: DataFrame, visits: DataFrame, k: int, quantile: float) -> DataFrame:
@@ -206,19 +226,24 @@ def _answer(blocks: DataFrame, visits: DataFrame, k: int, quantile: float) -> Da
 
     keys = ("cell", "block", "group")
     return (held.groupBy(*keys).cogroup(asked.groupBy(*keys))
-            .applyInPandas(run, "query_id long, vec_id long, d2 double"))
+            .applyInPandas(run, FOUND))
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy("d2", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """The k nearest found of every query, with the vectors verified and blocks searched for it."""
+    mine = Window.partitionBy("query_id")
+    return (found.withColumns({"rank": F.row_number().over(mine.orderBy("d2", "vec_id")),
+                               "verified": F.sum("verified").over(mine),
+                               "blocks": F.count("verified").over(mine)})
+            .where((F.col("rank") <= k) & F.col("vec_id").isNotNull()))
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 10, dims: int = DIMS, confidence: float = CONFIDENCE,
             id_column: str = "vec_id", vector_column: str = "embedding", seed: int = 7) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: for every vector that ``is_query`` (a condition on
+    """``(query_id, rank, vec_id, score, verified, blocks)``: for every vector that ``is_query`` (a condition on
     ``vec_id``) selects, the k nearest other vectors found, ``score`` being the Euclidean distance
-    in double precision; ties go to the smaller id.
+    in double precision; ties go to the smaller id.  ``verified`` vectors in ``blocks`` blocks were
+    compared with the query in all.
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor do null
     ids and vectors of another length than most; rows of one id count once (the smallest vector).
@@ -231,7 +256,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, dims: int = DIMS, confide
     n = rows.count()
     spark = vectors.sparkSession
     if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, verified long, blocks long")
     width = rows.select(F.size("x").alias("n")).first()["n"]
     directions = np.random.default_rng(seed).standard_normal((width, dims))
     cells = max(1, min(MAX_CELLS, -(-n // BLOCK_ROWS)))
@@ -267,7 +292,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, dims: int = DIMS, confide
             for q, x, p, limit, own in zip(b["vec_id"], b["x"], _matrix(b["p"]) if len(b) else [], b["bound"], b["cell"]):
                 gap = np.maximum(np.maximum(low - p, p - high), 0)
                 far = (gap ** 2).sum(axis=1)
-                go = names[(far <= quantile * limit * (1 + 1e-9)) & (names != own)]
+                go = names[(far <= _limit(quantile, limit, float(p @ p))) & (names != own)]
                 if len(go):
                     yield pd.DataFrame({"cell": go, "vec_id": q, "x": [x] * len(go), "p": [p] * len(go),
                                         "bound": limit})
@@ -276,4 +301,5 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, dims: int = DIMS, confide
         others, "cell int, vec_id long, x array<double>, p array<double>, bound double")
     second = _answer(blocks, kept(visits), k, quantile)
     return (_best(first.union(second), k)
-            .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.sqrt("d2").alias("score")))
+            .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.sqrt("d2").alias("score"),
+                    "verified", "blocks"))
