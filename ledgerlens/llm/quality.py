@@ -29,6 +29,9 @@ REPEAT_WEIGHT = 3.0
 BLOCK = 512
 #: bytes hashed at a time
 BYTES = 1 << 20
+#: steps to 1 of the factors of inner products: the sums of the products of two such numbers are
+#: exact in double precision, so a score depends neither on the batch nor on the order of a sum
+GRID = 1 << 22
 
 
 def term_vector(text: str | None) -> np.ndarray:
@@ -61,8 +64,8 @@ class Model:
     sharpness: int = 8
 
     def latent(self, terms: np.ndarray) -> np.ndarray:
-        z = _weighted(terms, self.idf) @ self.axes
-        return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+        z = _on_grid(_weighted(terms, self.idf)) @ _on_grid(self.axes)
+        return _on_grid(z / np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z))[:, None], 1e-9))
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
         """Similarity-weighted share of label 1 among the nearest labelled vectors; of a text
@@ -71,16 +74,20 @@ class Model:
         if not len(self.labels):
             return np.full(len(terms), prior)
         near = self.latent(terms) @ self.vectors.T
-        k = min(self.neighbours, near.shape[1])
-        # ties at the border go to the vectors that come first
-        best = np.argsort(-near, axis=1, kind="stable")[:, :k] if near.shape[1] <= k else \
-            np.argpartition(-near, k - 1, axis=1)[:, :k]
-        votes = np.take_along_axis(near, best, 1).clip(0).astype(np.float64) ** self.sharpness
+        k, n = min(self.neighbours, near.shape[1]), near.shape[1]
+        # one number a vector: its similarity, and of equal ones the vector that comes first is larger
+        rank = np.rint(near * GRID).astype(np.int64) * n + np.arange(n)[::-1]
+        best = np.sort(np.argpartition(-rank, k - 1, axis=1)[:, :k], axis=1)
+        votes = np.take_along_axis(near, best, 1).clip(0) ** self.sharpness
         total = votes.sum(axis=1)
         share = (votes * self.labels[best]).sum(axis=1) / np.maximum(total, 1e-300)
         return np.where(total > 1e-12, share, prior).clip(0, 1)
 
 
+def _on_grid(values: np.ndarray) -> np.ndarray:
+    return np.rint(values.astype(np.float64) * GRID) / GRID
+
+
 def _weighted(terms: np.ndarray, idf: np.ndarray) -> np.ndarray:
     w = terms[:, :TERMS] * idf
     w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-9)
@@ -99,7 +106,7 @@ def fit_terms(terms: np.ndarray, labels: np.ndarray, dims: int = 32) -> Model:
     _, _, axes = np.linalg.svd(w @ basis, full_matrices=False)
     axes = (basis @ axes.T)[:, :dims].astype(np.float32)
     model = Model(idf, axes, np.zeros((0, axes.shape[1]), np.float32), labels.astype(np.float64))
-    model.vectors = model.latent(terms).astype(np.float32)
+    model.vectors = model.latent(terms)
     return model
 
 
