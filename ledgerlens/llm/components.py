@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import kept
+from ledgerlens.llm.common import hot_join, kept
 
 #: rounds after which a run is given up (labels halve their distance in a round)
 MAX_ROUNDS = 60
@@ -17,15 +17,16 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star rounds: every node ties its larger neighbours, then
     its smaller ones, to the smallest node it sees, until nothing changes.  A round is a
-    partial minimum per node and one join; each is cut from its lineage by a checkpoint.  Null
+    partial minimum per node and one join, in which the links of hot nodes are not shuffled; each
+    is cut from its lineage by a checkpoint.  Null
     ends and self links are left out; an empty table gives an empty one.
     """
     edges = kept(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                  .where("a is not null and b is not null and a <> b").distinct())
     for _ in range(MAX_ROUNDS):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = (both.where("v > u").join(low, "u")
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = (hot_join(both.where("v > u"), low, "u", "n")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small = (large.join(low.where("n > 1").drop("n"), "u")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import golay
-from ledgerlens.llm.common import kept
+from ledgerlens.llm.common import hot_join, kept
 from ledgerlens.llm.components import components
 
 #: (lowest bit, bits) of the segments
@@ -188,12 +188,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3,
     an empty result.
     """
     prints = kept(fingerprints(docs, width))
-    classes = kept(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = kept(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
     joined = components(links(classes.select("fp"), distance, key_block))
     roots = (classes.join(joined, F.col("fp") == F.col("id"), "left")
-             .select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    smallest = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = roots.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id")
-    return (prints.join(named, "fp")
+             .select("fp", "least", "copies", F.coalesce("root", "fp").alias("root")))
+    smallest = roots.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("of"))
+    named = hot_join(roots.select("fp", "copies", "root"), smallest, "root", "of").drop("of")
+    # copies of one text, and empty texts, share a fingerprint
+    return (hot_join(prints, named, "fp", "copies")
             .select("doc_id", "text_key", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
                     F.col("root").alias("component"), "component_id"))
