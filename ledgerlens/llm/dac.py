@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.common import kept
 from ledgerlens.llm.tokens import encoder
 
 #: fixed value: first bytes of a segment
@@ -26,6 +27,8 @@ MAGIC = b"DAC1"
 RANK_BLOCK = 512
 #: a segment is closed by the first document that brings it to so many ids
 SEGMENT_TOKENS = 1 << 20
+#: names of segments that are broadcast at most
+BROADCAST_SEGMENTS = 100_000
 
 
 def pack_segment(ids: np.ndarray) -> bytes:
@@ -176,18 +179,22 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def tokens_at(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """Random access: ``wanted(position)``, positions in the whole token stream, ->
-    ``(position, token)``.  Segments answer for the positions they hold; positions outside the
-    stream have no row, repeated positions have a row each."""
+    ``(position, token)``.  Segments answer for the positions they hold, and only segments that
+    are asked for are shuffled; positions outside the stream have no row, repeated positions
+    have a row each."""
     import pandas as pd
 
-    segments = _segments(spark, path)
     # segments are listed under the stretches of the stream that they touch: an equi-join
     stretch = F.lit(SEGMENT_TOKENS)
     end = F.col("start") + F.col("n")
     places = _segments(spark, path).select("part", "seq", "start", end.alias("end"), F.explode(F.sequence(
         F.floor(F.col("start") / stretch), F.floor((end - 1) / stretch))).alias("stretch"))
     asked = wanted.select("position", F.floor(F.col("position") / stretch).alias("stretch"))
-    found = asked.join(places, "stretch").where("position >= start and position < end")
+    found = kept(asked.join(places, "stretch").where("position >= start and position < end")
+                 .select("part", "seq", "start", "position"))
+    named = found.select("part", "seq", "start").distinct()
+    segments = spark.read.parquet(path).select("part", "seq", "blob").join(
+        F.broadcast(named) if named.count() <= BROADCAST_SEGMENTS else named, ["part", "seq"])
 
     def run(seg: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
         if not len(seg) or not len(want):
