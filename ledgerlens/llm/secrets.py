@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import kept
+from ledgerlens.llm.common import hot_join, kept
 
 #: a candidate: a long run of the characters of keys; '=' ends it but for padding
 CANDIDATE = r"[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
@@ -140,7 +140,7 @@ def features(found: DataFrame, words: DataFrame | None) -> DataFrame:
     Features of a value are made once for each distinct value, features of its surroundings for
     each occurrence.
     """
-    values = found.select("value").distinct()
+    values = found.groupBy("value").agg(F.count(F.lit(1)).alias("uses"))
     v = F.col("value")
     chars = F.split(v, "")
     kinds = F.translate(v, "0123456789", "0" * 10)
@@ -179,7 +179,7 @@ def features(found: DataFrame, words: DataFrame | None) -> DataFrame:
         "quoted": F.col("before").rlike(r"[\"']$").cast("double"),
         "after_quote": F.col("after").rlike(r"^[\"']").cast("double"),
     })
-    return context.join(values, "value")
+    return hot_join(context, kept(values), "value", "uses").drop("uses")
 
 
 def weak_labels(found: DataFrame) -> DataFrame:
