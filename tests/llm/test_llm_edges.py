@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -196,6 +197,53 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_equal_vectors_are_the_smallest_ids(spark):
+    rng = np.random.default_rng(5)
+    same, rest = rng.standard_normal(64), rng.standard_normal((400, 64))
+    rows = [(i, same.tolist()) for i in range(0, 500, 10)] + [(1001 + i, v.tolist()) for i, v in enumerate(rest)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7)
+    got = neighbours.nearest(df, F.col("vec_id") % 100 == 0, k=10).orderBy("query_id", "rank").collect()
+    for q in (0, 100, 200, 300, 400):
+        mine = [r for r in got if r.query_id == q]
+        assert [r.vec_id for r in mine] == [i for i in range(0, 500, 10) if i != q][:10]
+        assert all(r.score == 0.0 for r in mine)
+
+
+def test_neighbours_verify_a_part_of_the_rows(spark):
+    """20,000 unit vectors without clusters: under half are verified, recall is at least 0.95."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}))
+    got = neighbours.nearest(df, F.col("vec_id") % 200 == 0, k=10).toPandas()
+    hits = 0
+    for q in range(0, len(x), 200):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10]) & set(got["vec_id"][got["query_id"] == q]))
+    asked = got.drop_duplicates("query_id")
+    verified, blocks = asked["verified"].mean() / len(x), asked["blocks"].mean()
+    print(f"verified {verified:.3f} of all rows in {blocks:.1f} blocks a query, recall {hits / 1000:.3f}")
+    assert verified < 0.5 and hits / 1000 >= 0.95
+
+
+def test_equal_texts_get_equal_quality_scores():
+    texts = [f"word {i % 37} of a text {i % 11} " * (1 + i % 5) for i in range(300)]
+    terms = np.array([quality.term_vector(t) for t in texts])
+    model = quality.fit_terms(terms, (np.arange(300) % 3 == 0).astype(float))
+    at_once = model.scores(terms)
+    one_by_one = np.concatenate([model.scores(terms[i:i + 1]) for i in range(300)])
+    assert (at_once == one_by_one).all() and (model.scores(terms[::-1].copy())[::-1] == at_once).all()
+
+
+def test_quality_ties_go_to_the_vectors_that_come_first():
+    vectors = np.repeat(np.eye(3), 20, axis=0)
+    labels = np.r_[np.ones(10), np.zeros(10), np.zeros(40)]
+    model = quality.Model(np.ones(quality.TERMS), np.zeros((0, 0)), vectors, labels)
+    model.latent = lambda terms: terms
+    assert model.scores(np.eye(3)).tolist() == [1.0, 0.0, 0.0]
+
+
 PAGE = """<html><head><title>t</title></head><body><div class="top">Site name</div><nav>menu</nav>
 <div class=body><p>First &amp; {0}<br>line {0}</p><p><b>Second {0}<p>Third&nbsp;{0}</div>
 <script>var x="</p>";</script><div class="comments">hi</div><div class="base">All rights</div></body></html>"""
