@@ -20,6 +20,8 @@ VNODES = 128
 RING_BITS = 16
 #: copies of one row that one exploded row stands for
 COPIES = 10_000
+#: distinct rows of one place that are ranked in one task; a place of more is cut by hash
+PLACE_ROWS = 100_000
 
 
 def ring(shards: int, vnodes: int = VNODES) -> list[tuple[int, int]]:
@@ -67,14 +69,36 @@ def arcs(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def shard_rows(docs: DataFrame, shards: int = 8, vnodes: int = VNODES, slack: float = 0.0) -> DataFrame:
+def _ranked(rows: DataFrame, place_rows: int) -> DataFrame:
+    """``rows`` with ``rank0``, the copies before a row in its arc, by place and hash.
+
+    Places (2^RING_BITS at most) are cut into cells of about ``place_rows`` distinct rows; counts
+    of the cells are summed along an arc, and only the rows of one cell are sorted together.
+    """
+    hot = (rows.groupBy("place").agg(F.count(F.lit(1)).alias("distinct_rows"))
+           .select("place", F.ceil(F.col("distinct_rows") / place_rows).alias("cells")))
+    key = F.xxhash64("doc_id", "size", "text_crc32")
+    rows = rows.join(F.broadcast(hot), "place").withColumn("cell", F.pmod(key, F.col("cells")))
+    earlier = Window.unboundedPreceding, -1
+    along = Window.partitionBy("arc").orderBy("place", "cell").rowsBetween(*earlier)
+    inside = Window.partitionBy("place", "cell").orderBy("doc_id", "size", "text_crc32").rowsBetween(*earlier)
+    bases = (rows.groupBy("arc", "place", "cell").agg(F.sum("copies").alias("held"))
+             .select("place", "cell", F.coalesce(F.sum("held").over(along), F.lit(0)).alias("base")))
+    return (rows.withColumn("within", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
+            .join(bases, ["place", "cell"])
+            .select("arc", "doc_id", "size", "text_crc32", "copies", (F.col("base") + F.col("within")).alias("rank0")))
+
+
+def shard_rows(docs: DataFrame, shards: int = 8, vnodes: int = VNODES, slack: float = 0.0,
+               place_rows: int = PLACE_ROWS) -> DataFrame:
     """``(doc_id, size, text_crc32, shard, slot)`` of every row of ``docs(doc_id, text)``.
 
     The key is the doc_id (null: one key of its own).  Loads are rows: with ``slack`` 0 the shards'
     row counts are at most one apart; with more, a shard takes at most ``1 + slack`` times its
     share and fewer rows move when shards change.  ``slot`` is gapless from 0 in a shard.  ``size`` is the UTF-8 bytes of the text
     plus 1 (null text: 1, crc 0).  Rows that agree in id, size and crc are ranked together and
-    spread again afterwards, so no number of repeated rows meets in one task.  Further columns
+    spread again afterwards, so no number of repeated rows meets in one task, and more than
+    ``place_rows`` different rows of one place (a null or repeated id) are ranked in cells.  Further columns
     are ignored; no rows give no rows.
     """
     if shards < 1 or vnodes < 1 or slack < 0:
@@ -95,9 +119,7 @@ def shard_rows(docs: DataFrame, shards: int = 8, vnodes: int = VNODES, slack: fl
     walk = fill(points, counts, capacities(sum(counts.values()), shards, slack))
     plan = F.broadcast(spark.createDataFrame(walk or [(-1, 0, 0, 0, 0)],
                                              "arc int, lo long, hi long, shard int, slot0 long"))
-    before = Window.partitionBy("arc").orderBy("place", "doc_id", "size", "text_crc32").rowsBetween(
-        Window.unboundedPreceding, -1)
-    ranked = rows.withColumn("rank0", F.coalesce(F.sum("copies").over(before), F.lit(0)))
+    ranked = _ranked(rows, place_rows)
     chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long")))
     spread = (ranked.withColumn("from", chunk)
               .withColumn("copy", F.explode(F.sequence(

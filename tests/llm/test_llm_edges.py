@@ -113,6 +113,36 @@ def test_sharding(spark, docs, none):
     assert sharding.shard_rows(none).count() == 0
 
 
+@pytest.mark.parametrize("place_rows", [sharding.PLACE_ROWS, 100])
+@pytest.mark.parametrize("slack", [0.0, 0.1])
+def test_sharding_by_a_walk_of_every_key(spark, slack, place_rows):
+    """A third of the rows share an id (with texts of their own), some have none."""
+    docs = spark.range(3_000).select(
+        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(F.col("id")).alias("doc_id"),
+        F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    got = sharding.shard_rows(docs, 5, vnodes=16, slack=slack, place_rows=place_rows).toPandas()
+    assert len(got) == 3_000 and got["text_crc32"].nunique() == 3_000
+    for _, mine in got.groupby("shard"):
+        assert sorted(mine["slot"]) == list(range(len(mine)))
+    place = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))),
+                                 64 - sharding.RING_BITS)
+    points = sharding.ring(5, 16)
+    arcs = dict(sharding.arcs(points))
+    keys = sorted((arcs[r.place], r.place, r.crc) for r in docs.select(place.alias("place"), F.crc32(F.col("text").cast("binary")).alias("crc")).collect())
+    room, want = sharding.capacities(3_000, 5, slack), {}
+    for arc, at, _ in keys:                            # clockwise from its arc to a shard with room
+        step = arc
+        while not room[points[step % len(points)][1]]:
+            step += 1
+        room[points[step % len(points)][1]] -= 1
+        want.setdefault(at, []).append(points[step % len(points)][1])
+    by_crc = {k[2]: k[1] for k in keys}
+    found = {}
+    for crc, shard in zip(got["text_crc32"], got["shard"]):
+        found.setdefault(by_crc[crc], []).append(shard)
+    assert {p: sorted(x) for p, x in found.items()} == {p: sorted(x) for p, x in want.items()}
+
+
 def test_sharding_spreads_repeats_and_moves_little(spark):
     same = spark.range(30_000).select(F.lit(1).alias("doc_id"), F.lit("x").alias("text"))
     sizes = [r["count"] for r in sharding.shard_rows(same, 7).groupBy("shard").count().collect()]
