@@ -71,76 +71,76 @@ def grams(codes: np.ndarray, order: int) -> np.ndarray:
 
 
 class Table:
-    """A hash array sorted by hash, with a row of numbers for each language."""
+    """A hash array sorted by hash and language: an n-gram has an entry for each language that
+    knows it, and no room is kept for the others."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
+    def __init__(self, keys: np.ndarray, langs: np.ndarray, values: np.ndarray):
         hashed = keys * MULTIPLIER
-        order = np.argsort(hashed)
-        self.hashes, self.values = hashed[order], values[order].astype(np.float32)
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, found) of each key."""
+        order = np.lexsort((langs, hashed))
+        hashed = hashed[order]
+        self.langs, self.values = langs[order].astype(np.int32), values[order].astype(np.float32)
+        first = np.flatnonzero(np.r_[True, hashed[1:] != hashed[:-1]]) if len(hashed) else np.zeros(0, np.int64)
+        self.hashes, self.bounds = hashed[first], np.r_[first, len(hashed)]
+
+    def spread(self, keys: np.ndarray, out: np.ndarray) -> None:
+        """Sets ``out[i, language]`` to the entries of each key."""
         if not len(self.hashes):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+            return
         hashed = keys * MULTIPLIER
         at = np.minimum(np.searchsorted(self.hashes, hashed), len(self.hashes) - 1)
-        return at, self.hashes[at] == hashed
+        rows = np.flatnonzero(self.hashes[at] == hashed)
+        start, size = self.bounds[at[rows]], np.diff(self.bounds)[at[rows]]
+        entry = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+        out[np.repeat(rows, size), self.langs[entry]] = self.values[entry]
 
 
-def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of rows of equal keys."""
-    distinct, where = np.unique(keys, return_inverse=True)
-    out = np.zeros((len(distinct), values.shape[1]))
-    np.add.at(out, where, values)
-    return distinct, out
+def _sums(keys: np.ndarray, langs: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of the entries of equal (key, language), in that order."""
+    order = np.lexsort((langs, keys))
+    keys, langs, values = keys[order], langs[order], values[order]
+    new = np.r_[True, (keys[1:] != keys[:-1]) | (langs[1:] != langs[:-1])] if len(keys) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    return keys[first], langs[first], np.add.reduceat(values, first) if len(first) else values
 
 
 class Model:
     """Interpolated Kneser-Ney models of all languages, and their rejection limits."""
 
-    def __init__(self, languages: list[str], keys: np.ndarray, counts: np.ndarray):
-        """``counts[i, l]``: occurrences of the ``ORDER``-gram ``keys[i]`` in language l."""
+    def __init__(self, languages: list[str], keys: np.ndarray, langs: np.ndarray, counts: np.ndarray):
+        """``counts[i]``: occurrences of the ``ORDER``-gram ``keys[i]`` in language ``langs[i]``."""
         self.languages, self.limits = languages, np.full(len(languages), np.inf)
-        width = len(languages)
-        self.probs: list[Table] = [None] * (ORDER + 1)
-        self.mass: list[Table] = [None] * (ORDER + 1)
-        by_order = {ORDER: (keys, counts.astype(np.float64))}
+        #: by order: what an n-gram has beyond the lower order, and the weight of the lower order after a context
+        self.own: list[Table] = [None] * (ORDER + 1)
+        self.back: list[Table] = [None] * (ORDER + 1)
+        by_order = {ORDER: _sums(keys, langs, counts.astype(np.float64))}
         for order in range(ORDER - 1, 0, -1):     # continuation counts: distinct left neighbours
-            above, seen = by_order[order + 1]
-            by_order[order] = _sums(above & np.uint64((1 << 16 * order) - 1), (seen > 0) * 1.0)
+            above, who, _ = by_order[order + 1]
+            by_order[order] = _sums(above & np.uint64((1 << 16 * order) - 1), who, np.ones(len(above)))
         for order in range(1, ORDER + 1):
-            k, c = by_order[order]
-            context, total = _sums(k >> np.uint64(16), c)
-            _, kinds = _sums(k >> np.uint64(16), (c > 0) * 1.0)
-            n1, n2 = (c == 1).sum(axis=0), (c == 2).sum(axis=0)
+            k, who, c = by_order[order]
+            n1, n2 = (np.bincount(who[c == x], minlength=len(languages)) for x in (1, 2))
             discount = np.where(n1 > 0, n1 / np.maximum(n1 + 2 * n2, 1), 0.5)
-            safe = np.maximum(total, 1.0)
-            back = np.where(total > 0, discount * kinds / safe, 1.0)
-            at = np.searchsorted(context, k >> np.uint64(16))
-            lower = self._below(order, k, width)
-            value = np.maximum(c - discount, 0) / safe[at] + back[at] * lower
-            self.probs[order], self.mass[order] = Table(k, value), Table(context, back)
-
-    def _below(self, order: int, keys: np.ndarray, width: int) -> np.ndarray:
-        if order == 1:
-            return np.full((len(keys), width), 1.0 / (1 << 16))
-        return self.probability(order - 1, keys & np.uint64((1 << 16 * (order - 1)) - 1))
+            context, speaker, total = _sums(k >> np.uint64(16), who, c)
+            _, _, kinds = _sums(k >> np.uint64(16), who, np.ones(len(k)))
+            # entries are sorted by (key, language), so those of a context are found by rank
+            _, at = np.unique((k >> np.uint64(16)) * np.uint64(len(languages) or 1) + who.astype(np.uint64), return_inverse=True)
+            self.own[order] = Table(k, who, np.maximum(c - discount[who], 0) / total[at])
+            self.back[order] = Table(context, speaker, discount[speaker] * kinds / total)
 
     def probability(self, order: int, keys: np.ndarray) -> np.ndarray:
-        """Interpolated probability of the last symbol in every language."""
-        at, found = self.probs[order].find(keys)
-        if len(self.probs[order].values):
-            out = self.probs[order].values[at]
-        else:
-            out = np.ones((len(keys), len(self.languages)), np.float32)
-        rest = np.flatnonzero(~found)
-        if len(rest):
-            lower = self._below(order, keys[rest], len(self.languages))
-            at, known = self.mass[order].find(keys[rest] >> np.uint64(16))
-            back = np.ones_like(lower)
-            back[known] = self.mass[order].values[at[known]]
-            out[rest] = back * lower
-        return out
+        """Interpolated probability of the last symbol in every language, from the lowest order up;
+        each distinct n-gram is looked up once."""
+        distinct, where = np.unique(keys, return_inverse=True)
+        return self._distinct(order, distinct)[where]
+
+    def _distinct(self, order: int, keys: np.ndarray) -> np.ndarray:
+        if not order:
+            return np.full((len(keys), len(self.languages)), 1.0 / (1 << 16), np.float32)
+        lower = self.probability(order - 1, keys & np.uint64((1 << 16 * (order - 1)) - 1))
+        own, back = np.zeros_like(lower), np.ones_like(lower)
+        self.own[order].spread(keys, own)
+        self.back[order].spread(keys >> np.uint64(16), back)
+        return own + back * lower
 
     def entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(nats a symbol in every language, symbols, has a letter) of whole texts."""
@@ -212,10 +212,9 @@ def fit(docs: DataFrame, max_docs: int = 1000) -> Model:
     counts = count_grams(chosen)
     languages = sorted(counts["lang"].unique())
     train = counts[counts["part"] != 0] if (counts["part"] != 0).any() else counts
-    keys, where = np.unique(train["gram"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
-    table = np.zeros((len(keys), len(languages)))
-    np.add.at(table, (where, [languages.index(x) for x in train["lang"]]), train["n"])
-    model = Model(languages, keys, table)
+    number = {lang: i for i, lang in enumerate(languages)}
+    model = Model(languages, train["gram"].to_numpy(np.int64).view(np.uint64),
+                  train["lang"].map(number).to_numpy(np.int64), train["n"].to_numpy())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

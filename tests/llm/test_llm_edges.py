@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
 
+import collections
 import zlib
 
 import numpy as np
@@ -209,12 +210,62 @@ def test_kneser_ney_is_a_distribution():
     texts = ["abab abba baba", "abc cab bca"]
     codes, _, scored = langid.symbols(texts)
     keys, counts = np.unique(langid.grams(codes, 4)[scored[3:]], return_counts=True)
-    model = langid.Model(["x"], keys, counts[:, None])
+    model = langid.Model(["x"], keys, np.zeros(len(keys), np.int64), counts)
     for context in (0, int(keys[3]) >> 16, int(keys[0]) >> 16):
         every = np.array([(context << 16 | c) & ((1 << 64) - 1) for c in range(1 << 16)], np.uint64)
         assert model.probability(4, every).sum() == pytest.approx(1, abs=1e-3)
 
 
+def _plain_kneser_ney(text_grams):
+    """Probability of a tuple of symbols by the textbook recursion over dictionaries."""
+    tables = {langid.ORDER: collections.Counter(text_grams)}
+    for n in range(langid.ORDER - 1, 0, -1):
+        tables[n] = collections.Counter(g[1:] for g in tables[n + 1])
+
+    def probability(gram):
+        if not gram:
+            return 1 / (1 << 16)
+        table = tables[len(gram)]
+        once, twice = (sum(c == x for c in table.values()) for x in (1, 2))
+        discount = once / (once + 2 * twice) if once else 0.5
+        after = [c for g, c in table.items() if g[:-1] == gram[:-1]]
+        lower = probability(gram[1:])
+        if not after:
+            return lower
+        return (max(table[gram] - discount, 0) + discount * len(after) * lower) / sum(after)
+    return probability
+
+
+def test_language_models_by_brute_force():
+    texts = {"a": "abab abba baba cab", "b": "abc cab bca zzz abab", "c": "x"}
+    keys, langs, counts, plain = [], [], [], []
+    for i, text in enumerate(texts.values()):
+        codes, _, scored = langid.symbols([text])
+        packed = langid.grams(codes, 4)[scored[3:]]
+        k, n = np.unique(packed, return_counts=True)
+        keys.append(k), langs.append(np.full(len(k), i)), counts.append(n)
+        plain.append(_plain_kneser_ney([tuple(int(g) >> 16 * j & 0xFFFF for j in (3, 2, 1, 0)) for g in packed]))
+    model = langid.Model(list(texts), *map(np.concatenate, (keys, langs, counts)))
+    asked = np.unique(np.concatenate([*keys, np.array([0, 97, 97 << 48 | 98 << 32 | 99 << 16 | 122], np.uint64)]))
+    got = model.probability(4, asked)
+    for g, row in zip(asked, got):
+        want = [p(tuple(int(g) >> 16 * j & 0xFFFF for j in (3, 2, 1, 0))) for p in plain]
+        assert row.tolist() == pytest.approx(want, rel=1e-4)
+
+
+def test_sixty_languages_and_one_of_a_single_short_document(spark):
+    rng = np.random.default_rng(8)
+    words = {f"l{i:02d}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(40)] for i in range(60)}
+    rows = [(i * 100 + j, " ".join(rng.choice(w, 30)), lang) for i, (lang, w) in enumerate(words.items()) for j in range(20)]
+    rows.append((99_999, "zqzqz", "short"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs.where("doc_id % 4 <> 0"))
+    assert len(model.languages) == 61
+    assert len(model.own[4].values) < 2 * len(model.own[4].hashes)       # entries, not n-grams x languages
+    got = langid.identified(docs.where("doc_id % 4 = 0"), model).select("lang", "lang_pred").toPandas()
+    assert len(got) == 300 and (got["lang"] == got["lang_pred"]).mean() >= 0.98
+
+
 def test_neighbours(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (100, [0.0, 1.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]),
