@@ -50,3 +50,13 @@ def test_sessions_with_one_application_id_keep_their_own_tables(spark, tmp_path)
     assert done.returncode == 0, done.stderr[-2000:]
     counts = [len(frames[n].collect()) for n in names]          # its files are the session's own
     assert counts == list(map(int, done.stdout.split()[-len(names):])) and all(counts)
+
+
+def test_reports_need_only_the_tables_of_their_bundle(spark, tmp_path):
+    """Reports on orders run without events, those on events without orders."""
+    whole = given_tables(spark, tmp_path / "whole")
+    for unread, names in (("events", ["kpi_1a_monthly_trend", "dq_dirty_limits"]), ("orders", ["cat_kpi_2e_high_risk_accounts"])):
+        folder = given_tables(spark, tmp_path / f"no-{unread}", leave_out=(unread,))
+        for name in names:
+            some, all_ = (sorted(map(str, catalog.run(spark, d, name).collect())) for d in (folder, whole))
+            assert some == all_ and some
