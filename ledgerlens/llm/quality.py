@@ -98,15 +98,20 @@ def _weighted(terms: np.ndarray, idf: np.ndarray) -> np.ndarray:
 def fit_terms(terms: np.ndarray, labels: np.ndarray, dims: int = 32) -> Model:
     """Fits the latent space to term vectors by a randomized truncated SVD (fixed seed)."""
     n = len(terms)
-    idf = (np.log((1 + n) / (1 + (terms[:, :TERMS] > 0).sum(axis=0))) + 1).astype(np.float32)
-    w = _weighted(terms, idf).astype(np.float32)
+    idf = (np.log((1 + n) / (1 + np.count_nonzero(terms[:, :TERMS] > 0, axis=0))) + 1).astype(np.float32)
+    # rows are weighted one by one: blocks give the same numbers and hold no further whole copy
+    w = np.empty(terms.shape, np.float32)
+    for at in range(0, n, BLOCK):
+        w[at:at + BLOCK] = _weighted(terms[at:at + BLOCK], idf)
     basis = np.random.default_rng(0).standard_normal((TERMS + 1, dims + 16)).astype(np.float32)
     for _ in range(5 if n else 0):
         basis, _ = np.linalg.qr(w.T @ (w @ basis))
     _, _, axes = np.linalg.svd(w @ basis, full_matrices=False)
     axes = (basis @ axes.T)[:, :dims].astype(np.float32)
+    del w
     model = Model(idf, axes, np.zeros((0, axes.shape[1]), np.float32), labels.astype(np.float64))
-    model.vectors = model.latent(terms)
+    if n:
+        model.vectors = np.vstack([model.latent(terms[at:at + BLOCK]) for at in range(0, n, BLOCK)])
     return model
 
 
@@ -130,8 +135,10 @@ def fit(docs: DataFrame, labels: DataFrame, dims: int = 32, max_labelled: int =
 
     rows = (texts.mapInPandas(run, "doc_id long, quality int, terms binary")
             .dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id"))    # max_labelled rows at most
-    terms = np.array([np.frombuffer(t, np.float16) for t in rows["terms"]]).reshape(-1, TERMS + 1)
-    return fit_terms(terms.astype(np.float32), rows["quality"].to_numpy(np.float64), dims)
+    terms = np.empty((len(rows), TERMS + 1), np.float32)
+    for i, t in enumerate(rows.pop("terms")):
+        terms[i] = np.frombuffer(t, np.float16)
+    return fit_terms(terms, rows["quality"].to_numpy(np.float64), dims)
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
