@@ -148,7 +148,7 @@ def from_catalog(spark: SparkSession, sf_dir: str, fn: Callable[..., DataFrame],
 
 
 def region_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S2: plain SQL over the names of a selected database."""
+    """S2: plain SQL over the names of a database."""
     return warehouse.accounts_per_region(spark, _database(spark, sf_dir, "orders"))
 
 

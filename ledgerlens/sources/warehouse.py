@@ -49,14 +49,12 @@ def save_tables(tables: Tables, database: str, location: str, buckets: int | Non
 
 
 def open_tables(spark: SparkSession, database: str) -> Tables:
-    """The tables of a database by name: it is selected, the names are looked up in it, and the
-    database selected before is selected again."""
-    before = spark.catalog.currentDatabase()
-    spark.sql(f"USE `{database}`")
-    try:
-        return Tables(**{name: spark.table(name) for name in TABLE_NAMES})
-    finally:
-        spark.sql(f"USE `{before}`")
+    """The tables of a database by name.
+
+    Names carry their database: the selected one belongs to the whole session, in which other
+    reports may run at the same time.
+    """
+    return Tables(**{name: spark.table(f"`{database}`.`{name}`") for name in TABLE_NAMES})
 
 
 def exchanges(df) -> int:
@@ -68,14 +66,10 @@ def exchanges(df) -> int:
 
 def accounts_per_region(spark: SparkSession, database: str):
     """Accounts and their transactions per region and state, by plain SQL over the database's names."""
-    before = spark.catalog.currentDatabase()
-    spark.sql(f"USE `{database}`")
-    try:
-        return spark.sql("""
-            SELECT region, state, count(*) AS accounts, coalesce(sum(n), 0) AS transactions, sum(value) AS total_amount
-            FROM accounts LEFT JOIN (SELECT account_id, count(*) AS n, sum(amount) AS value FROM transactions
-                                     GROUP BY account_id) USING (account_id)
-            GROUP BY region, state""").select("region", "state", "accounts", F.col("transactions").cast("long").alias(
-                "transactions"), "total_amount")
-    finally:
-        spark.sql(f"USE `{before}`")
+    return spark.sql(f"""
+        SELECT region, state, count(*) AS accounts, coalesce(sum(n), 0) AS transactions, sum(value) AS total_amount
+        FROM `{database}`.accounts
+        LEFT JOIN (SELECT account_id, count(*) AS n, sum(amount) AS value FROM `{database}`.transactions
+                   GROUP BY account_id) USING (account_id)
+        GROUP BY region, state""").select("region", "state", "accounts", F.col("transactions").cast("long").alias(
+            "transactions"), "total_amount")
