@@ -1,10 +1,13 @@
-"""Memory of what runs in the driver."""
+"""Memory of what runs in the driver and in Python workers."""
 
 import tracemalloc
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
 
-from ledgerlens.llm import quality
+from ledgerlens.llm import quality, tokens
 
 
 def test_quality_fit_holds_few_copies_of_the_term_vectors():
@@ -21,3 +24,26 @@ def test_quality_fit_holds_few_copies_of_the_term_vectors():
     tracemalloc.stop()
     assert peak < 2.5 * terms.nbytes
     assert np.array_equal(model.vectors, model.latent(terms))
+
+
+def traced(call):
+    tracemalloc.start()
+    try:
+        out = call()
+        return tracemalloc.get_traced_memory()[1], out
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("distinct", [2_000, 400_000])
+def test_encoder_holds_few_times_the_bytes_of_a_slice(distinct):
+    """Ids of many short words, and of many new words with closing marks, are made in blocks."""
+    draw = np.random.default_rng(2)
+    words = np.array([np.base_repr(i, 36).lower().translate(str.maketrans("0123456789", "qwrtpsdfgh")) for i in range(distinct)])
+    texts = [" ".join(words[draw.integers(0, distinct, 1000)]) + "." for _ in range(1500)] + [" ".join(w + "!" for w in words)]
+    enc = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    peak, found = traced(lambda: [ids[a:b] for _, ids, ends in enc.encode(pa.array(texts)) for a, b in zip(ends, ends[1:])])
+    assert len(found) == len(texts)
+    for i in (0, 700, 1499):
+        assert found[i].tolist() == enc.tokenizer.encode(texts[i], add_special_tokens=False).ids
+    assert peak < 9 * min(sum(map(len, texts)), 8 << 20)
