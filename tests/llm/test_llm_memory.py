@@ -47,3 +47,29 @@ def test_encoder_holds_few_times_the_bytes_of_a_slice(distinct):
     for i in (0, 700, 1499):
         assert found[i].tolist() == enc.tokenizer.encode(texts[i], add_special_tokens=False).ids
     assert peak < 9 * min(sum(map(len, texts)), 8 << 20)
+
+
+def test_a_task_leaves_few_pieces_in_the_worker():
+    """Workers live on beside the other stages of an executor: of what a task learned, they keep the
+    pieces that its last slice repeats."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = pa.array([" ".join(f"word{i}" for i in range(2000)), "word7 word7 and word8,", None, "two\r\nlines"])
+    whole = [tokens.encoder(path).tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts.to_pylist()]
+    for _ in range(2):
+        with tokens.task_encoder(path) as enc:
+            found = [ids[a:b].tolist() for _, ids, ends in enc.encode(texts) for a, b in zip(ends, ends[1:])]
+            assert len(enc._lens) > 2000
+        assert found == whole
+        assert 0 < len(enc._lens) < 20
+        assert len(enc._flat) == enc._lens.sum()
+
+
+def test_a_memo_that_was_cut_back_within_a_slice_keeps_its_common_pieces(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_ENTRIES", 3)
+    enc = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("one two, three four five five", "six seven one one two,", ""):
+        (_, ids, _), = enc.encode(pa.array([text]))
+        assert ids.tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    list(enc.encode(pa.array(["eight ten nine ten nine"])))
+    enc.keep_common()
+    assert sorted(enc._pieces.to_pylist()) == ["nine", "ten"]
