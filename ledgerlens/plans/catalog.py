@@ -21,7 +21,7 @@ from ledgerlens import schema as S
 from ledgerlens.operators import fraud, patterns, quality, volume
 from ledgerlens.plans import incremental, views
 from ledgerlens.plans.boundary import normalise
-from ledgerlens.session import app_id, delete_at_exit, listing, owner_id, parallelism, work_dir
+from ledgerlens.session import app_id, delete_at_exit, folder_bytes, listing, owner_id, parallelism, work_dir
 from ledgerlens.sources import loads, testdata, warehouse
 from ledgerlens.sources.publish import publish, read_published
 from ledgerlens.sources.tables import (
@@ -64,8 +64,18 @@ def _place(spark: SparkSession, sf_dir: str, given: tuple, kind: str) -> str:
     return f"{base}/{tag}-{digest:08x}/{kind}"
 
 
-_raw_cache: dict[tuple, DataFrame] = {}
 _lock = threading.RLock()
+_cache: dict[tuple, tuple] = {}
+
+
+def _once(spark: SparkSession, key: tuple, folder: str, make: Callable[[], object]):
+    """What ``make`` returns; it writes to ``folder`` and is called once a key, and again if the
+    folder no longer holds the bytes that it wrote (shared folders are cleaned)."""
+    with _lock:                       # one load per session even if reports run in threads
+        if key not in _cache or folder_bytes(spark, folder) != _cache[key][1]:
+            out = make()
+            _cache[key] = out, folder_bytes(spark, folder)
+        return _cache[key][0]
 
 RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "accounts": testdata.raw_accounts,
@@ -82,18 +92,18 @@ def _raw(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     left out) and opened with the file reader.
     """
     given = _given(spark, sf_dir)
-    key = (app_id(spark), sf_dir, kind, given)
-    with _lock:
-        if key not in _raw_cache:
-            df = RAW[kind](spark, sf_dir)
-            path = _place(spark, sf_dir, given, f"raw/{kind}")
-            named = kind == "merchants"
-            if named:
-                df.drop(BAD_RECORD).write.mode("overwrite").options(header="true", nullValue="NULL").csv(path)
-            else:
-                testdata.csv_lines(df).write.mode("overwrite").text(path)
-            _raw_cache[key] = read_raw(spark, path, kind, fmt="csv", header=str(named).lower())
-        return _raw_cache[key]
+    path = _place(spark, sf_dir, given, f"raw/{kind}")
+
+    def make() -> DataFrame:
+        df = RAW[kind](spark, sf_dir)
+        named = kind == "merchants"
+        if named:
+            df.drop(BAD_RECORD).write.mode("overwrite").options(header="true", nullValue="NULL").csv(path)
+        else:
+            testdata.csv_lines(df).write.mode("overwrite").text(path)
+        return read_raw(spark, path, kind, fmt="csv", header=str(named).lower())
+
+    return _once(spark, (app_id(spark), sf_dir, f"raw/{kind}", given), path, make)
 
 
 def ingest_good(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
@@ -152,20 +162,17 @@ def region_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warehouse.accounts_per_region(spark, _database(spark, sf_dir, "orders"))
 
 
-_databases: dict[tuple, str] = {}
-
-
 def _database(spark: SparkSession, sf_dir: str, kind: str) -> str:
     """The model tables saved in a database of the session's catalog, once for their files."""
     given = _given(spark, sf_dir, kind)
-    key = (app_id(spark), sf_dir, kind, given)
-    with _lock:
-        if key not in _databases:
-            place = _place(spark, sf_dir, given, f"catalog-{kind}")
-            name = f"payments_{kind}_{zlib.crc32(place.encode()):08x}"
-            warehouse.save_tables(bundle(spark, sf_dir, kind), name, place)
-            _databases[key] = name
-        return _databases[key]
+    place = _place(spark, sf_dir, given, f"catalog-{kind}")
+
+    def make() -> str:
+        name = f"payments_{kind}_{zlib.crc32(place.encode()):08x}"
+        warehouse.save_tables(bundle(spark, sf_dir, kind), name, place)
+        return name
+
+    return _once(spark, (app_id(spark), sf_dir, f"catalog-{kind}", given), place, make)
 
 
 def key_rejects(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -174,26 +181,24 @@ def key_rejects(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return rejected.select(*S.CONSTRAINTS[table].primary_key, "reject_reason")
 
 
-_loads: dict[tuple, str] = {}
-
-
 def _loaded(spark: SparkSession, sf_dir: str) -> str:
     """The folder of the model that :func:`two_loads` reads, loaded once for the given files."""
     given = _given(spark, sf_dir)
-    key = (app_id(spark), sf_dir, given)
-    with _lock:
-        if key not in _loads:
-            base = f"{_place(spark, sf_dir, given, 'loads')}/{uuid.uuid4().hex}"
-            tables = bundle(spark, sf_dir, "orders")
-            even = F.col("transaction_id") % 2 == 0
-            other = F.when(F.col("transaction_id") % 20 == 0, F.col("amount") + 1).otherwise(F.col("amount")).cast(S.MONEY)
-            loads.load_batch(spark, base, tables.with_(transactions=tables.transactions.where(even),
-                                                       fraud_flags=tables.fraud_flags.where(even)), "first")
-            for tag in ("second", "again"):
-                loads.load_batch(spark, base, tables.with_(
-                    transactions=tables.transactions.withColumn("amount", other)), tag)
-            _loads[key] = base
-        return _loads[key]
+    place = _place(spark, sf_dir, given, "loads")
+
+    def make() -> str:
+        base = f"{place}/{uuid.uuid4().hex}"
+        tables = bundle(spark, sf_dir, "orders")
+        even = F.col("transaction_id") % 2 == 0
+        other = F.when(F.col("transaction_id") % 20 == 0, F.col("amount") + 1).otherwise(F.col("amount")).cast(S.MONEY)
+        loads.load_batch(spark, base, tables.with_(transactions=tables.transactions.where(even),
+                                                   fraud_flags=tables.fraud_flags.where(even)), "first")
+        for tag in ("second", "again"):
+            loads.load_batch(spark, base, tables.with_(
+                transactions=tables.transactions.withColumn("amount", other)), tag)
+        return base
+
+    return _once(spark, (app_id(spark), sf_dir, "loads", given), place, make)
 
 
 def two_loads(spark: SparkSession, sf_dir: str, table: str, rejected: bool) -> DataFrame:
@@ -284,9 +289,6 @@ _BUNDLES: dict[str, Callable[[SparkSession, str], Tables]] = {
 }
 
 
-_cache: dict[tuple, Tables] = {}
-
-
 def bundle(spark: SparkSession, sf_dir: str, kind: str) -> Tables:
     """The adapted model tables of ``sf_dir``, built once for the files it holds.
 
@@ -294,13 +296,13 @@ def bundle(spark: SparkSession, sf_dir: str, kind: str) -> Tables:
     JVM ends, and every report reads them back.  Changed given files give new tables.
     """
     given = _given(spark, sf_dir, kind)
-    key = (app_id(spark), sf_dir, kind, given)
-    with _lock:                       # one load per session even if reports run in threads
-        if key not in _cache:
-            lazy = _BUNDLES[kind](spark, sf_dir)
-            size = sum(f[1] for files in given for f in files)
-            _cache[key] = testdata.materialize(lazy, _place(spark, sf_dir, given, kind), size, parallelism(spark))
-        return _cache[key]
+    root = _place(spark, sf_dir, given, kind)
+
+    def make() -> Tables:
+        size = sum(f[1] for files in given for f in files)
+        return testdata.materialize(_BUNDLES[kind](spark, sf_dir), root, size, parallelism(spark))
+
+    return _once(spark, (app_id(spark), sf_dir, kind, given), root, make)
 
 
 def run(spark: SparkSession, sf_dir: str, name: str, normalised: bool = True) -> DataFrame:

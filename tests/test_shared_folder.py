@@ -6,7 +6,7 @@ import sys
 from datetime import datetime, timedelta
 
 from ledgerlens.plans import catalog
-from ledgerlens.session import app_id, work_dir
+from ledgerlens.session import app_id, delete_path, owner_id, work_dir
 
 START = datetime(2024, 1, 1)
 
@@ -60,3 +60,12 @@ def test_reports_need_only_the_tables_of_their_bundle(spark, tmp_path):
         for name in names:
             some, all_ = (sorted(map(str, catalog.run(spark, d, name).collect())) for d in (folder, whole))
             assert some == all_ and some
+
+
+def test_reports_outlive_a_cleaned_shared_folder(spark, tmp_path):
+    """Tables that a session keeps are made again when what they wrote is gone."""
+    folder = given_tables(spark, tmp_path)
+    names = ["kpi_1a_monthly_trend", "dq_dirty_limits", "cat_pat_3a_running_total", "src_rejected_accounts"]
+    first = {n: sorted(map(str, catalog.run(spark, folder, n).collect())) for n in names}
+    delete_path(spark, f"{work_dir(spark)}/ledgerlens-model/{owner_id(spark)}")
+    assert {n: sorted(map(str, catalog.run(spark, folder, n).collect())) for n in names} == first
