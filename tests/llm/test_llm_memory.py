@@ -73,3 +73,19 @@ def test_a_memo_that_was_cut_back_within_a_slice_keeps_its_common_pieces(monkeyp
     list(enc.encode(pa.array(["eight ten nine ten nine"])))
     enc.keep_common()
     assert sorted(enc._pieces.to_pylist()) == ["nine", "ten"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_new_pieces_go_to_the_tokenizer_by_many(name):
+    """New pieces are encoded by many in one text, with the ids that each has alone, whatever they hold."""
+    enc, plain, seen = tokens.Encoder(public_tokenizers.path(name)), tokens.Encoder(public_tokenizers.path(name)).tokenizer, []
+    raw = enc._raw
+    enc._raw = lambda texts: seen.append(len(texts)) or raw(texts)
+    texts = [" ".join(f"word{i}x" for i in range(4000))]
+    for odd in ("\x01", "a\x01b \x01 c", "\x01\x01 \x01", "one\n\ntwo\n", "\nline start's it'll", "a᠎ b᠎", "tab\tin \t word",
+                " x y z", "x́ ́y é.", "\x1c \x85  ", "ends.,; ;. ...!?", "  two  spaces ", "",
+                "<|endoftext|> a<|endoftext|>", "ÉTÉ! İx, ΣΣ. 中文!", "​ ​z", "\U0001f600 \U0001f600!!", "\x00 a\x00"):
+        texts += [odd, f"before{len(texts)} {odd} behind{len(texts)}."]
+    found = [ids[a:b].tolist() for _, ids, ends in enc.encode(pa.array(texts)) for a, b in zip(ends, ends[1:])]
+    assert found == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum(seen) < 600
