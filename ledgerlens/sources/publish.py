@@ -88,7 +88,7 @@ def switch(spark: SparkSession, path: str, folder: str, add: bool = False, tag:
     """Makes ``folder`` (a data folder that is written in full) the published table, or with ``add``
     a further part of it.  A part whose ``tag`` the table holds already is not added again."""
     for _ in range(TRIES):
-        now, taken = current(spark, path), _numbers(spark, path)
+        taken, now = _numbers(spark, path), current(spark, path)   # a version that comes between takes the number
         if add and now and tag is not None and tag in now.tags:
             return now
         folders = (*now.folders, folder) if add and now else (folder,)
@@ -104,7 +104,7 @@ def replace(spark: SparkSession, path: str, seen: Version, folder: str, keep: in
     """Makes ``folder`` stand for the parts of version ``seen`` (the same rows in another form); parts
     that were added since stay.  A version in which a part of ``seen`` is gone is left as it is."""
     for _ in range(TRIES):
-        now, taken = current(spark, path), _numbers(spark, path)
+        taken, now = _numbers(spark, path), current(spark, path)   # a version that comes between takes the number
         if now is None or not set(seen.folders) <= set(now.folders):
             return now
         later = tuple(f for f in now.folders if f not in seen.folders)

@@ -77,6 +77,25 @@ def test_a_half_written_version_is_not_seen(spark, scratch):
     assert P.publish(spark.range(4), path).number == 3 and P.read_published(spark, path).count() == 4
 
 
+def test_a_version_that_comes_while_a_writer_looks_is_kept(spark, scratch, monkeypatch):
+    path = os.path.join(scratch, "between")
+    P.publish_part(spark.range(10), path, "first")
+    name, folder = P.new_folder(path)
+    spark.range(10, 20).write.parquet(folder)
+    look, seen = P.current, []
+
+    def slow(session, place):
+        found = look(session, place)
+        if not seen:
+            seen.append(found)
+            P.publish_part(spark.range(20, 30), path, "between")
+        return found
+
+    monkeypatch.setattr(P, "current", slow)
+    P.switch(spark, path, name, add=True, tag="last")
+    assert P.read_published(spark, path).distinct().count() == 30
+
+
 def test_two_writers_at_once_both_add(spark, scratch):
     path = os.path.join(scratch, "two")
     threads = [threading.Thread(target=P.publish_part, args=(spark.range(i * 100, i * 100 + 100), path, f"batch-{i}"))
