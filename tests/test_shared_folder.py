@@ -5,8 +5,12 @@ import subprocess
 import sys
 from datetime import datetime, timedelta
 
+import pytest
+
+from ledgerlens import session
+from ledgerlens.functions.sizing import checkpointed
 from ledgerlens.plans import catalog
-from ledgerlens.session import app_id, delete_path, owner_id, work_dir
+from ledgerlens.session import app_id, delete_path, file_names, owner_id, work_dir
 
 START = datetime(2024, 1, 1)
 
@@ -69,3 +73,30 @@ def test_reports_outlive_a_cleaned_shared_folder(spark, tmp_path):
     first = {n: sorted(map(str, catalog.run(spark, folder, n).collect())) for n in names}
     delete_path(spark, f"{work_dir(spark)}/ledgerlens-model/{owner_id(spark)}")
     assert {n: sorted(map(str, catalog.run(spark, folder, n).collect())) for n in names} == first
+
+
+@pytest.fixture
+def on_cluster(monkeypatch):
+    """The session's master counts as one of other machines; gives the folders tried."""
+    monkeypatch.setattr(session, "sc_is_remote", lambda spark: True)
+    monkeypatch.setattr(session, "_tried", tried := set(), raising=False)
+    return tried
+
+
+def test_a_mounted_folder_serves_a_cluster(spark, tmp_path, on_cluster):
+    """A path of the local file system may be shared by all machines: it is tried, once, not refused by name."""
+    names = ["kpi_1a_monthly_trend", "dq_dirty_limits"]
+    folder = given_tables(spark, tmp_path)
+    assert all(catalog.run(spark, folder, n).count() for n in names)
+    assert checkpointed(spark.range(7)).count() == 7 and len(on_cluster) == 1
+    assert not [n for n in file_names(spark, work_dir(spark)) if n.startswith("ledgerlens-trial")]
+
+
+def test_a_folder_of_one_machine_is_refused_on_a_cluster(spark, on_cluster, monkeypatch):
+    """Files of other executors are missing there; nothing is stored in it."""
+    writer = type(spark.range(1).write)
+    write = writer.parquet
+    monkeypatch.setattr(writer, "parquet", lambda self, path, *a, **b: write(self._df.where("id > 0").write, path, *a, **b))
+    for _ in range(2):
+        with pytest.raises(RuntimeError, match="folder of one machine"):
+            work_dir(spark)
