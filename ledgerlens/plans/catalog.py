@@ -21,7 +21,7 @@ from ledgerlens import schema as S
 from ledgerlens.operators import fraud, patterns, quality, volume
 from ledgerlens.plans import incremental, views
 from ledgerlens.plans.boundary import normalise
-from ledgerlens.session import app_id, delete_at_exit, folder_bytes, listing, owner_id, parallelism, work_dir
+from ledgerlens.session import app_id, common_dir, delete_at_exit, folder_bytes, listing, owner_id, parallelism
 from ledgerlens.sources import loads, testdata, warehouse
 from ledgerlens.sources.publish import publish, read_published
 from ledgerlens.sources.tables import (
@@ -59,7 +59,7 @@ def _given(spark: SparkSession, sf_dir: str, kind: str = "orders") -> tuple:
 def _place(spark: SparkSession, sf_dir: str, given: tuple, kind: str) -> str:
     tag = os.path.basename(os.path.normpath(sf_dir)) or "data"
     digest = zlib.crc32(repr((sf_dir, given)).encode())
-    base = f"{work_dir(spark).rstrip('/')}/ledgerlens-model/{owner_id(spark)}"
+    base = f"{common_dir(spark, 'ledgerlens-model')}/{owner_id(spark)}"
     delete_at_exit(spark, base)
     return f"{base}/{tag}-{digest:08x}/{kind}"
 

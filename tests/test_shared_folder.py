@@ -1,6 +1,7 @@
 """Sessions that share one folder for intermediate tables."""
 
 import os
+import stat
 import subprocess
 import sys
 from datetime import datetime, timedelta
@@ -100,3 +101,13 @@ def test_a_folder_of_one_machine_is_refused_on_a_cluster(spark, on_cluster, monk
     for _ in range(2):
         with pytest.raises(RuntimeError, match="folder of one machine"):
             work_dir(spark)
+
+
+def test_model_folder_has_the_rights_of_the_shared_folder(spark, tmp_path, monkeypatch):
+    """Sessions of other users write in it too, whoever made it first."""
+    folder, shared = given_tables(spark, tmp_path / "given"), tmp_path / "shared"
+    shared.mkdir()
+    shared.chmod(0o1777)
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(shared))
+    assert catalog.run(spark, folder, "kpi_1a_monthly_trend").count()
+    assert {p.name: stat.S_IMODE(p.stat().st_mode) for p in shared.iterdir()} == {"ledgerlens-model": 0o1777}
